@@ -1 +1,224 @@
-"""Registered queries."""
+"""Registered pair-metadata and payload queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import pairs as FP
+from ..functions import payload as PL
+from ..functions import timeframes as FT
+from ..operators import reads as R
+from ..sources import payloads as SP
+from ..sources.catalog import MarketTables
+from .registry import query
+
+SEARCH = "red"
+COUNT_SEARCH = "eco"
+
+_DISPLAY = "coalesce(nullif(wsname, ''), nullif(altname, ''), pair)"
+
+
+def _search_sql(term: str) -> str:
+    from ..functions.pairs import SEARCH_COLUMNS, search_terms
+
+    return "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')"
+                             for t in search_terms(term) for c in SEARCH_COLUMNS) + ")"
+
+
+def _pair_detail(df: DataFrame) -> DataFrame:
+    return df.select("pair", FP.display_name().alias("name"), "altname", "base", "quote", "status")
+
+
+@query("pairs_search", f"""
+SELECT pair, {_DISPLAY} AS name, altname, base, quote, status FROM pairs_t
+WHERE status = 'online' AND {_search_sql(SEARCH)}
+""")
+def pairs_search(t: MarketTables) -> DataFrame:
+    """Online pairs matching a search term in any of five text columns."""
+    return _pair_detail(t.pairs.filter(FP.status_filter("online") & FP.matches_search(SEARCH)))
+
+
+@query("pairs_page", f"""
+SELECT pair, {_DISPLAY} AS name, altname, base, quote, status FROM pairs_t
+ORDER BY pair LIMIT 50 OFFSET 20
+""")
+def pairs_page(t: MarketTables) -> DataFrame:
+    """All statuses, sorted by pair key, third page of 50... offset 20."""
+    return _pair_detail(R.page(t.pairs.filter(FP.status_filter("all")), [F.col("pair")], 50, 20))
+
+
+@query("pairs_counts", f"""
+SELECT count(*) AS total_pairs, count_if(status = 'online') AS active_pairs,
+       count_if(status = 'online' AND {_search_sql(COUNT_SEARCH)}) AS filtered_pairs
+FROM pairs_t
+""")
+def pairs_counts(t: MarketTables) -> DataFrame:
+    """A4: total / active / filtered pair counts in one pass."""
+    flt = FP.status_filter("online") & FP.matches_search(COUNT_SEARCH)
+    return t.pairs.agg(F.count(F.lit(1)).alias("total_pairs"),
+                       F.count_if(F.col("status") == "online").alias("active_pairs"),
+                       F.count_if(flt).alias("filtered_pairs"))
+
+
+_NORM_SQL = ("CASE upper(regexp_replace(requested, '[/-]', '', 'g')) "
+             + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.PAIR_NORMALIZE_MAP.items())
+             + " ELSE upper(regexp_replace(requested, '[/-]', '', 'g')) END")
+
+
+@query("pair_normalize", f"""
+SELECT requested, {_NORM_SQL} AS normalized FROM requests_t
+""")
+def pair_normalize(t: MarketTables) -> DataFrame:
+    """user-typed pair names -> exchange pair keys."""
+    return t.pair_requests.select("requested", FP.normalize_pair(F.col("requested")).alias("normalized"))
+
+
+def _infer_sql(c: str) -> str:
+    s = f"(CASE WHEN starts_with({c}, 'XBT') THEN replace({c}, 'XBT', 'BTC') ELSE {c} END)"
+    whens = " ".join(
+        f"WHEN strpos({s}, '/') = 0 AND length({s}) > 6 AND ends_with({s}, '{q}') "
+        f"THEN substr({s}, 1, length({s}) - {len(q)}) || '/{q}'"
+        for q in ["USD", "USDT", "EUR", "GBP"])
+    return f"(CASE {whens} ELSE {s} END)"
+
+
+@query("symbol_infer", f"""
+SELECT normalized, {_infer_sql('normalized')} AS db_symbol,
+       CASE WHEN contains({_infer_sql('normalized')}, 'USD') THEN 'USD' ELSE 'EUR' END AS currency
+FROM (SELECT {_NORM_SQL} AS normalized FROM requests_t)
+""")
+def symbol_infer(t: MarketTables) -> DataFrame:
+    """database symbol and currency inferred from each normalised request."""
+    n = t.pair_requests.select(FP.normalize_pair(F.col("requested")).alias("normalized"))
+    sym = FP.infer_symbol(F.col("normalized"))
+    return n.select("normalized", sym.alias("db_symbol"), FP.currency_of(sym).alias("currency"))
+
+
+_MAP2 = S.PAIR_SYMBOL_MAP
+
+
+@query("pair_to_symbol", f"""
+SELECT pair, coalesce(CASE pair {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _MAP2.items())} END, pair) AS db_symbol,
+       coalesce(status = 'online', false) AS is_active
+FROM pairs_t
+""")
+def pair_to_symbol(t: MarketTables) -> DataFrame:
+    """exchange pair -> database symbol (identity when unmapped), online -> active."""
+    return t.pairs.select("pair", FP.pair_to_symbol(F.col("pair")).alias("db_symbol"),
+                          FP.is_online(F.col("status")).alias("is_active"))
+
+
+@query("pairs_mapped", f"""
+SELECT r.requested, p.pair, p.status FROM (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t) r
+JOIN pairs_t p ON p.pair = r.normalized
+""")
+def pairs_mapped(t: MarketTables) -> DataFrame:
+    """Requests whose normalised key is offered by the exchange."""
+    from ..operators.pairs import requests_offered
+
+    return requests_offered(t.pair_requests, t.pairs)
+
+
+@query("pairs_missing", f"""
+SELECT r.requested, r.normalized FROM (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t) r
+WHERE NOT EXISTS (SELECT 1 FROM pairs_t p WHERE p.pair = r.normalized)
+""")
+def pairs_missing(t: MarketTables) -> DataFrame:
+    """Requests for pairs the exchange does not offer (the reference answers 404)."""
+    from ..operators.pairs import requests_not_offered
+
+    return requests_not_offered(t.pair_requests, t.pairs)
+
+
+# --------------------------------------------------------------------------- payload decoding
+def _ohlc_pair():
+    return F.concat(F.lit("S"), F.col("symbol_id").cast("string"), F.lit("-"), F.col("data_source"))
+
+
+_OHLC_PAIR_SQL = "'S' || CAST(symbol_id AS VARCHAR) || '-' || data_source"
+
+
+def _decoded_candles(t: MarketTables) -> DataFrame:
+    raw = SP.ohlc_payloads(t.candles, _ohlc_pair()).select("value")
+    ok, _ = PL.split_errors(raw)
+    return PL.decode_ohlc(PL.ohlc_records(ok), "1d").drop("value")
+
+
+@query("ohlc_decode", f"""
+SELECT {_OHLC_PAIR_SQL} AS pair, t_stamp, open, high, low, close, CAST(round_even(CAST(volume AS DOUBLE), 0) AS BIGINT) AS volume,
+       close AS adjusted_close, '1d' AS time_frame, 'kraken' AS data_source
+FROM candles_t
+""")
+def ohlc_decode(t: MarketTables) -> DataFrame:
+    """Render candles as exchange OHLC documents, decode them back."""
+    return _decoded_candles(t).drop("last")
+
+
+@query("ohlc_tail", f"""
+SELECT pair, t_stamp, open, high, low, close, volume FROM (
+  SELECT {_OHLC_PAIR_SQL} AS pair, t_stamp, open, high, low, close, volume,
+         row_number() OVER (PARTITION BY symbol_id, data_source ORDER BY t_stamp DESC) AS rn
+  FROM candles_t) WHERE rn <= 30
+""")
+def ohlc_tail(t: MarketTables) -> DataFrame:
+    """Keep only the last 30 decoded candles of each pair."""
+    d = _decoded_candles(t)
+    return R.latest_n_per_series(d, 30, ["pair"], [F.col("t_stamp").desc()]).select(
+        "pair", "t_stamp", "open", "high", "low", "close", "volume")
+
+
+INCREMENTAL_CUT = "2000-01-01 00:00:00"
+
+
+@query("ohlc_incremental", f"""
+WITH hwm AS (SELECT symbol_id, data_source, max(t_stamp) AS hwm FROM candles_t
+             WHERE t_stamp < TIMESTAMP '{INCREMENTAL_CUT}' GROUP BY symbol_id, data_source)
+SELECT {_OHLC_PAIR_SQL.replace('symbol_id', 'c.symbol_id').replace('data_source', 'c.data_source')} AS pair,
+       c.t_stamp, c.open, c.high, c.low, c.close, c.volume
+FROM candles_t c LEFT JOIN hwm h ON c.symbol_id = h.symbol_id AND c.data_source = h.data_source
+WHERE h.hwm IS NULL OR c.t_stamp > h.hwm
+""")
+def ohlc_incremental(t: MarketTables) -> DataFrame:
+    """High-water mark per series from the stored table; keep only newer fetched rows."""
+    from ..operators.pairs import newer_than_stored
+
+    stored = t.candles.filter(F.col("t_stamp") < F.lit(INCREMENTAL_CUT).cast("timestamp"))
+    stored = stored.select(_ohlc_pair().alias("pair"), "t_stamp")
+    return newer_than_stored(_decoded_candles(t), stored, ["pair"]).select(
+        "pair", "t_stamp", "open", "high", "low", "close", "volume")
+
+
+@query("ticker_decode", f"""
+SELECT {_OHLC_PAIR_SQL} AS pair, price, bid, ask,
+       CASE WHEN volume_24h <> 0 THEN volume_24h END AS volume_24h,
+       price - (price - change_24h) AS change_24h,
+       CASE WHEN price - change_24h > 0 THEN (price - (price - change_24h)) / (price - change_24h) * 100 END AS change_percent_24h,
+       'kraken' AS data_source
+FROM prices_t
+""")
+def ticker_decode(t: MarketTables) -> DataFrame:
+    """Render prices as ticker documents, decode them back."""
+    raw = SP.ticker_payloads(t.prices, _ohlc_pair()).select("value")
+    return PL.decode_ticker(raw).select("pair", "price", "bid", "ask", "volume_24h", "change_24h",
+                                        "change_percent_24h", "data_source")
+
+
+@query("pairs_explode", """
+SELECT pair, wsname, altname, base, quote, status FROM pairs_t
+""")
+def pairs_explode(t: MarketTables) -> DataFrame:
+    """AssetPairs documents (<= 100 pairs each) exploded to one row per pair."""
+    doc = F.floor(F.regexp_extract("pair", r"(\d+)$", 1).cast("bigint") / SP.PAIRS_PER_DOC)
+    raw = SP.pair_payloads(t.pairs, doc).select("value")
+    return PL.decode_pairs(raw)
+
+
+@query("iso_roundtrip", """
+SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, ts AS parsed FROM ticks_t
+""")
+def iso_roundtrip(t: MarketTables) -> DataFrame:
+    """timestamps to ISO-8601 text and back."""
+    iso = FT.to_iso(F.col("ts"))
+    return t.ticks.select("id", iso.alias("iso"), FT.parse_iso(iso).alias("parsed"))
