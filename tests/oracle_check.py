@@ -11,8 +11,12 @@ import math
 import sys
 import time
 
+import os
+
 import duckdb
 
+EXACT = os.environ.get("EXACT") == "1"
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -31,7 +35,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if EXACT else round(v, 9)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 9)
     if isinstance(v, dt.datetime):

@@ -81,6 +81,8 @@ sources_t AS (
 def with_adapters(sql: str) -> str:
     """Prefix the adapter CTEs; a query's own leading WITH joins the same CTE list."""
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ADAPTERS.strip() + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ADAPTERS.strip() + ",\n" + body[5:]
     return "WITH " + ADAPTERS.strip() + "\n" + body
