@@ -1 +1,145 @@
-"""Registered queries."""
+"""Registered data-quality and session queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..operators import quality as Q
+from ..operators import sessions as SS
+from ..sources.catalog import MarketTables
+from .registry import query
+
+
+def _nulls_sql(table: str, cte: str, cols: list[str]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM {cte}"
+        for c in cols)
+
+
+@query("dq_nulls", _nulls_sql("symbols", "symbols_t", S.NOT_NULL["symbols"]) + "\nUNION ALL "
+       + _nulls_sql("market_data", "candles_t", S.NOT_NULL["market_data"]) + "\nUNION ALL "
+       + _nulls_sql("real_time_prices", "prices_t", S.NOT_NULL["real_time_prices"]))
+def dq_nulls(t: MarketTables) -> DataFrame:
+    """Q1: NULL counts of every NOT NULL column."""
+    return Q.union_all([Q.null_counts(t.symbols, "symbols", S.NOT_NULL["symbols"]),
+                        Q.null_counts(t.candles, "market_data", S.NOT_NULL["market_data"]),
+                        Q.null_counts(t.prices, "real_time_prices", S.NOT_NULL["real_time_prices"])])
+
+
+def _dup_sql(table: str, cte: str, key: list[str]) -> str:
+    k = ", ".join(key)
+    return (f"SELECT '{table}' AS table_name, '{','.join(key)}' AS key_columns, count(*) AS duplicate_keys, "
+            f"CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows "
+            f"FROM (SELECT {k}, count(*) AS n FROM {cte} GROUP BY {k} HAVING count(*) > 1)")
+
+
+_DUPS = [("symbols", "symbols_t", ["id"]), ("symbols", "symbols_t", ["symbol"]),
+         ("market_data", "candles_t", S.KEYS["market_data"][0]),
+         ("real_time_prices", "prices_t", S.KEYS["real_time_prices"][0])]
+
+
+@query("dq_unique", "\nUNION ALL ".join(_dup_sql(*d) for d in _DUPS))
+def dq_unique(t: MarketTables) -> DataFrame:
+    """Q2: duplicate keys per declared UNIQUE/PRIMARY KEY."""
+    tables = {"symbols_t": t.symbols, "candles_t": t.candles, "prices_t": t.prices}
+    return Q.union_all([Q.key_duplicates(tables[cte], name, key) for name, cte, key in _DUPS])
+
+
+@query("dq_orphans", """
+SELECT 'market_data' AS table_name, count(*) AS orphan_rows FROM candles_t WHERE symbol_id NOT IN (SELECT id FROM symbols_t)
+UNION ALL SELECT 'real_time_prices', count(*) FROM prices_t WHERE symbol_id NOT IN (SELECT id FROM symbols_t)
+UNION ALL SELECT 'ticks', count(*) FROM ticks_t WHERE symbol_id NOT IN (SELECT id FROM symbols_t)
+""")
+def dq_orphans(t: MarketTables) -> DataFrame:
+    """Q3: rows referencing a missing symbol (foreign keys)."""
+    return Q.union_all([Q.orphans(t.candles, "market_data", t.symbols),
+                        Q.orphans(t.prices, "real_time_prices", t.symbols),
+                        Q.orphans(t.ticks, "ticks", t.symbols)])
+
+
+@query("dq_ranges", f"""
+SELECT 'market_data' AS table_name, 'open_not_positive' AS rule, count_if(NOT coalesce(open > 0, false)) AS violations FROM candles_t
+UNION ALL SELECT 'market_data', 'high_not_positive', count_if(NOT coalesce(high > 0, false)) FROM candles_t
+UNION ALL SELECT 'market_data', 'low_not_positive', count_if(NOT coalesce(low > 0, false)) FROM candles_t
+UNION ALL SELECT 'market_data', 'close_not_positive', count_if(NOT coalesce(close > 0, false)) FROM candles_t
+UNION ALL SELECT 'market_data', 'volume_negative', count_if(NOT coalesce(volume >= 0, false)) FROM candles_t
+UNION ALL SELECT 'market_data', 'bad_time_frame', count_if(NOT coalesce(regexp_full_match(time_frame, '{S.TIMEFRAME_PATTERN[1:-1]}'), false)) FROM candles_t
+UNION ALL SELECT 'real_time_prices', 'price_not_positive', count_if(NOT coalesce(price > 0, false)) FROM prices_t
+""")
+def dq_ranges(t: MarketTables) -> DataFrame:
+    """Value-rule violations per rule."""
+    return Q.range_violations(t.candles, t.prices)
+
+
+@query("dq_lengths", "\nUNION ALL ".join(
+    f"SELECT 'symbols' AS table_name, '{c}' AS column_name, {n} AS max_length, count_if(length({c}) > {n}) AS too_long FROM symbols_t"
+    for c, n in S.SYMBOL_LENGTHS.items()))
+def dq_lengths(t: MarketTables) -> DataFrame:
+    """Q5: VARCHAR(n) limits of the symbols table."""
+    return Q.length_violations(t.symbols)
+
+
+@query("dq_gaps", """
+SELECT symbol_id, data_source, time_frame, min(t_stamp) AS first_ts, max(t_stamp) AS last_ts,
+       CAST(floor((epoch(max(t_stamp)) - epoch(min(t_stamp))) / (1440 * 60)) + 1 AS BIGINT) AS expected,
+       count(DISTINCT t_stamp) AS present,
+       CAST(floor((epoch(max(t_stamp)) - epoch(min(t_stamp))) / (1440 * 60)) + 1 - count(DISTINCT t_stamp) AS BIGINT) AS missing
+FROM candles_t GROUP BY symbol_id, data_source, time_frame
+""")
+def dq_gaps(t: MarketTables) -> DataFrame:
+    """Q7: expected vs present bars per series."""
+    return Q.gap_summary(t.candles)
+
+
+_SOD = "(hour({x}) * 3600 + minute({x}) * 60 + second({x}))"
+_SOD_TXT = ("(CAST(split_part({x}, ':', 1) AS INTEGER) * 3600 + CAST(split_part({x}, ':', 2) AS INTEGER) * 60 "
+            "+ CAST(split_part({x}, ':', 3) AS INTEGER))")
+
+
+@query("ticks_in_session", f"""
+SELECT tk.id, tk.symbol_id, s.exchange, tk.ts,
+       strftime(timezone(se.timezone, CAST(tk.ts AS TIMESTAMPTZ)), '%H:%M:%S') AS local_time,
+       {_SOD.format(x="timezone(se.timezone, CAST(tk.ts AS TIMESTAMPTZ))")} >= {_SOD_TXT.format(x="se.open_time")}
+       AND {_SOD.format(x="timezone(se.timezone, CAST(tk.ts AS TIMESTAMPTZ))")} <= {_SOD_TXT.format(x="se.close_time")} AS in_session
+FROM ticks_t tk JOIN symbols_t s ON tk.symbol_id = s.id JOIN sessions_t se ON se.exchange = s.exchange
+WHERE se.is_active
+""")
+def ticks_in_session(t: MarketTables) -> DataFrame:
+    """Ticks with exchange-local time and an in-session flag."""
+    return SS.ticks_in_session(t.ticks, t.symbols, t.sessions)
+
+
+def _status_sql(src: str) -> str:
+    lt = "timezone(se.timezone, CAST(a.as_of AS TIMESTAMPTZ))"
+    sod = _SOD.format(x=lt)
+    o, c = _SOD_TXT.format(x="se.open_time"), _SOD_TXT.format(x="se.close_time")
+    at = lambda day, tm: f"CAST(timezone(se.timezone, CAST({day} AS DATE) + CAST({tm} AS TIME)) AS TIMESTAMP)"
+    day, nxt = f"CAST({lt} AS DATE)", f"(CAST({lt} AS DATE) + 1)"
+    return f"""
+SELECT a.exchange, a.as_of, ({sod} >= {o} AND {sod} <= {c}) AS is_open,
+       CASE WHEN {sod} < {o} THEN {at(day, 'se.open_time')} ELSE {at(nxt, 'se.open_time')} END AS next_open,
+       CASE WHEN {sod} <= {c} THEN {at(day, 'se.close_time')} ELSE {at(nxt, 'se.close_time')} END AS next_close
+FROM ({src}) a JOIN sessions_t se ON se.exchange = a.exchange WHERE se.is_active"""
+
+
+_ACTIVITY = "SELECT DISTINCT s.exchange, date_trunc('hour', tk.ts) AS as_of FROM ticks_t tk JOIN symbols_t s ON tk.symbol_id = s.id"
+
+
+@query("status_from_sessions", _status_sql(_ACTIVITY))
+def status_from_sessions(t: MarketTables) -> DataFrame:
+    """Q6: is_open / next_open / next_close of each exchange at every hour its symbols traded."""
+    act = SS.exchange_activity(t.ticks, t.symbols).select(
+        "exchange", F.date_trunc("hour", "ts").alias("as_of")).distinct()
+    return SS.status_at(act, t.sessions)
+
+
+@query("market_status", f"""
+SELECT exchange, is_open, next_open, next_close, as_of AS last_updated FROM ({_status_sql(
+    "SELECT s.exchange, max(tk.ts) AS as_of FROM ticks_t tk JOIN symbols_t s ON tk.symbol_id = s.id GROUP BY s.exchange")})
+ORDER BY exchange
+""")
+def market_status(t: MarketTables) -> DataFrame:
+    """Each exchange's status as of its latest tick, ordered by exchange."""
+    return SS.market_status(t.ticks, t.symbols, t.sessions)
