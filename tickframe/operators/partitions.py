@@ -1,0 +1,33 @@
+"""Monthly range partitions of market_data.
+
+Storage is ``partitionBy("time_frame", "year_month")`` Parquet, so a partition exists as
+soon as a row lands in it. This module reports the partition layout the reference creates
+with DDL: one partition per month [start, start + 1 month), named market_data_YYYY_MM, plus
+the months pre-created ahead of the newest one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def monthly_partitions(candles_ym: DataFrame, ahead: int = 12) -> DataFrame:
+    """Per month: partition name, range, row count; ``ahead`` empty months after the last.
+
+    Counts are one aggregate over ``year_month``; the future months come from one
+    aggregated row (the newest month) expanded by a fixed-length sequence.
+    """
+    parts = candles_ym.groupBy("year_month").agg(F.count(F.lit(1)).alias("row_count"))
+    last = candles_ym.agg(F.max(F.date_trunc("month", "t_stamp")).alias("m"))
+    fut = last.select(F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("n"), "m").select(
+        F.date_format(F.add_months(F.col("m").cast("date"), F.col("n")), "yyyy-MM").alias("year_month"),
+        F.lit(0).cast("bigint").alias("row_count"))
+    allp = parts.unionByName(fut)
+    start = F.to_timestamp(F.concat("year_month", F.lit("-01")), "yyyy-MM-dd")
+    return allp.select(
+        F.concat(F.lit("market_data_"), F.regexp_replace("year_month", "-", "_")).alias("partition_name"),
+        "year_month",
+        start.alias("range_start"),
+        F.add_months(start.cast("date"), 1).cast("timestamp").alias("range_end"),
+        F.col("row_count").cast("bigint").alias("row_count"))

@@ -1 +1,106 @@
-"""Registered queries."""
+"""Registered candle-building queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import timeframes as FT
+from ..operators import merge as M
+from ..operators import reads as R
+from ..operators import stats as A
+from ..sources.catalog import MarketTables
+from .registry import query
+
+
+@query("candles_from_ticks", """
+SELECT symbol_id, data_source, date_trunc('hour', ts) AS t_stamp,
+       arg_min(price, (ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, id)) AS close,
+       CAST(sum(size) AS BIGINT) AS volume, count(*) AS trades, '1h' AS time_frame
+FROM ticks_t GROUP BY symbol_id, data_source, date_trunc('hour', ts)
+""")
+def candles_from_ticks(t: MarketTables) -> DataFrame:
+    """Hourly OHLCV bars from ticks per (symbol, source)."""
+    return A.candles_from_ticks(t.ticks, "1h")
+
+
+@query("candles_from_ticks_5m", """
+SELECT symbol_id, data_source, time_bucket(INTERVAL '5 minutes', ts) AS t_stamp,
+       arg_min(price, (ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, id)) AS close,
+       CAST(sum(size) AS BIGINT) AS volume, count(*) AS trades, '5m' AS time_frame
+FROM ticks_t GROUP BY symbol_id, data_source, time_bucket(INTERVAL '5 minutes', ts)
+""")
+def candles_from_ticks_5m(t: MarketTables) -> DataFrame:
+    """5-minute bars from ticks."""
+    return A.candles_from_ticks(t.ticks, "5m")
+
+
+_ROLL = """
+SELECT symbol_id, data_source, date_trunc('{unit}', t_stamp) AS t_stamp,
+       arg_min(open, t_stamp) AS open, max(high) AS high, min(low) AS low, arg_max(close, t_stamp) AS close,
+       CAST(sum(volume) AS BIGINT) AS volume, count(*) AS bars, '{tf}' AS time_frame
+FROM candles_t GROUP BY symbol_id, data_source, date_trunc('{unit}', t_stamp)"""
+
+
+def _rollups(t: MarketTables) -> DataFrame:
+    return A.candles_rollup(t.candles, "1w").unionByName(A.candles_rollup(t.candles, "1M"))
+
+
+@query("candles_rollup", _ROLL.format(unit="week", tf="1w") + "\nUNION ALL" + _ROLL.format(unit="month", tf="1M"))
+def candles_rollup(t: MarketTables) -> DataFrame:
+    """Daily bars re-bucketed to weekly (Monday) and calendar-monthly bars."""
+    return _rollups(t)
+
+
+@query("timeframe_minutes", """
+SELECT time_frame, CASE time_frame WHEN '1m' THEN 1 WHEN '5m' THEN 5 WHEN '15m' THEN 15 WHEN '30m' THEN 30
+       WHEN '1h' THEN 60 WHEN '4h' THEN 240 WHEN '1d' THEN 1440 WHEN '1w' THEN 10080 WHEN '1M' THEN 21600 ELSE 60 END AS minutes,
+       count(*) AS bars
+FROM (SELECT time_frame FROM candles_t UNION ALL SELECT '1w' FROM candles_t GROUP BY symbol_id, data_source, date_trunc('week', t_stamp)
+      UNION ALL SELECT '1M' FROM candles_t GROUP BY symbol_id, data_source, date_trunc('month', t_stamp))
+GROUP BY time_frame
+""")
+def timeframe_minutes(t: MarketTables) -> DataFrame:
+    """exchange interval (minutes) of every time frame stored, with its bar count."""
+    allc = t.candles.select("time_frame").unionByName(_rollups(t).select("time_frame"))
+    return allc.groupBy("time_frame").agg(F.count(F.lit(1)).alias("bars")).select(
+        "time_frame", FT.timeframe_minutes(F.col("time_frame")).alias("minutes"), "bars")
+
+
+@query("candles_validate", """
+SELECT time_frame, count_if(ok) AS valid_rows, count_if(NOT ok) AS invalid_rows FROM (
+  SELECT time_frame, coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0
+         AND regexp_full_match(time_frame, '(1m|5m|15m|30m|1h|4h|1d|1w|1M)'), false) AS ok
+  FROM (SELECT time_frame, open, high, low, close, volume FROM candles_t
+        UNION ALL SELECT '1h', arg_min(price, (ts, id)), max(price), min(price), arg_max(price, (ts, id)), CAST(sum(size) AS BIGINT)
+        FROM ticks_t GROUP BY symbol_id, data_source, date_trunc('hour', ts)))
+GROUP BY time_frame
+""")
+def candles_validate(t: MarketTables) -> DataFrame:
+    """Split stored and tick-built candles into valid rows and quarantine."""
+    cols = ["time_frame", "open", "high", "low", "close", "volume"]
+    allc = t.candles.select(*cols).unionByName(A.candles_from_ticks(t.ticks, "1h").select(*cols))
+    tagged = allc.withColumn("ok", F.size(R.candle_violations()) == 0)
+    return tagged.groupBy("time_frame").agg(F.count_if("ok").alias("valid_rows"),
+                                            F.count_if(~F.col("ok")).alias("invalid_rows"))
+
+
+@query("candles_partitioned", """
+WITH parts AS (
+  SELECT strftime(t_stamp, '%Y-%m') AS year_month, count(*) AS row_count FROM candles_t GROUP BY 1
+), ahead AS (
+  SELECT strftime(CAST(date_trunc('month', max(t_stamp)) AS DATE) + to_months(CAST(n AS INTEGER)), '%Y-%m') AS year_month,
+         0 AS row_count
+  FROM candles_t, range(1, 13) r(n) GROUP BY n
+)
+SELECT 'market_data_' || replace(year_month, '-', '_') AS partition_name, year_month,
+       CAST(strptime(year_month || '-01', '%Y-%m-%d') AS TIMESTAMP) AS range_start,
+       CAST(strptime(year_month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS range_end,
+       CAST(row_count AS BIGINT) AS row_count
+FROM (SELECT * FROM parts UNION ALL SELECT * FROM ahead)
+""")
+def candles_partitioned(t: MarketTables) -> DataFrame:
+    """Monthly partitions [start, start + 1 month) with rows, plus 12 months ahead."""
+    from ..operators.partitions import monthly_partitions
+
+    return monthly_partitions(M.with_year_month(t.candles), ahead=12)
