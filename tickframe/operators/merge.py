@@ -49,19 +49,25 @@ def max_id(df: DataFrame, id_col: str = "id") -> Column:
 
 
 # --------------------------------------------------------------------------- U1 insert-ignore
-def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row per key by ``order`` (in-batch duplicates: first writer wins)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def first_per_key(df: DataFrame, key: list[str], order: list[str], newest: bool = False) -> DataFrame:
+    """Keep one row per key: the first by ``order`` (or the last with ``newest=True``).
+
+    A min_by/max_by aggregate, so duplicates combine map-side before the shuffle and a key
+    holding a large share of the rows never has to be sorted or buffered in one task.
+    """
+    others = [c for c in df.columns if c not in key]
+    pick = F.max_by if newest else F.min_by
+    g = df.groupBy(*key).agg(pick(F.struct(*others), F.struct(*order)).alias("_r"))
+    return g.select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*df.columns)
 
 
-def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """INSERT ... ON CONFLICT (key) DO NOTHING. Returns only the rows to append."""
     fresh = first_per_key(incoming, key, order)
     return fresh.join(target.select(*key), key, "left_anti")
 
 
-def insert_ignore_table(target: DataFrame, incoming: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+def insert_ignore_table(target: DataFrame, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """U1 as the resulting table (target plus the appended rows)."""
     return target.unionByName(insert_ignore(target, incoming, key, order).select(*target.columns))
 
@@ -74,7 +80,7 @@ def upsert_prices(target: DataFrame, incoming: DataFrame, now: Column | None = N
     last_updated; id and created_at of an existing row are kept. Several incoming rows per
     key: the newest (last_updated, id) wins. One full outer join on the key.
     """
-    inc = first_per_key(incoming, PRICE_KEY, [F.col("last_updated").desc(), F.col("id").desc()])
+    inc = first_per_key(incoming, PRICE_KEY, ["last_updated", "id"], newest=True)
     t = target.alias("t")
     i = inc.alias("i")
     j = t.join(i, PRICE_KEY, "full_outer")
@@ -105,8 +111,10 @@ def create_symbols(symbols: DataFrame, incoming: DataFrame, now: Column | None =
     """
     now = now if now is not None else F.current_timestamp()
     inc = symbol_defaults(incoming)
-    w = Window.partitionBy("symbol").orderBy(*[F.col(c) for c in ["name", "exchange"]])
-    inc = inc.withColumn("_dup", F.row_number().over(w) > 1)
+    # in-batch duplicates: the first row per symbol (by name, exchange) is kept
+    firsts = inc.groupBy("symbol").agg(F.min(F.struct("name", "exchange")).alias("_first"))
+    inc = (inc.join(firsts, "symbol")
+              .withColumn("_dup", F.struct("name", "exchange") != F.col("_first")).drop("_first"))
     existing = sized_broadcast(symbols.select("symbol", F.lit(True).alias("_exists")))
     tagged = inc.join(existing, "symbol", "left")
     reason = (F.when(F.col("_exists"), F.lit("duplicate_symbol"))
@@ -212,3 +220,84 @@ def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> str
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
     """S2 over the stored table: partition columns become filterable (pruned) columns."""
     return spark.read.parquet(path)
+
+
+# --------------------------------------------------------------------------- U6 / U7 / U9 pair-driven writes
+def sync_plan(mapping: DataFrame, pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One diff of mapped pairs against the symbols table.
+
+    mapping (pair, db_symbol) semi-joined to the exchange metadata, left-joined to symbols:
+    action = create (no such symbol) / update (is_active differs from status == 'online') /
+    none. The reference's update call never writes is_active; this plan carries the value
+    so ``apply_sync`` really sets it.
+    """
+    from ..functions.pairs import is_online
+
+    m = mapping.join(pairs.select("pair", "altname", "status"), "pair")
+    s = sized_broadcast(symbols.select(F.col("symbol").alias("db_symbol"), F.col("is_active").alias("_cur"),
+                                       F.lit(True).alias("_exists")))
+    j = m.join(s, "db_symbol", "left")
+    want = is_online(F.col("status"))
+    action = (F.when(F.col("_exists").isNull(), F.lit("create"))
+              .when(~F.col("_cur").eqNullSafe(want), F.lit("update"))
+              .otherwise(F.lit("none")))
+    return j.select("pair", "db_symbol", F.coalesce("altname", "db_symbol").alias("name"),
+                    want.alias("is_active"), action.alias("action"))
+
+
+def apply_sync(plan: DataFrame, symbols: DataFrame, now: Column | None = None) -> DataFrame:
+    """Apply a sync plan: create missing symbols, set is_active on the changed ones."""
+    creates = plan.filter(F.col("action") == "create").select(
+        F.col("db_symbol").alias("symbol"), "name", F.lit(S.EXCHANGE_NAME).alias("exchange"),
+        F.lit("crypto").alias("asset_type"), F.lit("USD").alias("currency"), "is_active")
+    created, _ = create_symbols(symbols, creates, now)
+    changes = plan.filter(F.col("action") == "update").select(F.col("db_symbol").alias("symbol"), "is_active")
+    updated = update_symbols(symbols, changes, now, fields=["is_active"])
+    return updated.unionByName(created)
+
+
+def add_pairs_plan(requests: DataFrame, pairs: DataFrame, symbols: DataFrame, col: str = "requested") -> DataFrame:
+    """Normalise -> infer symbol -> offered? -> exists? -> create, for a batch of requests.
+
+    Repeated requests for one new symbol: the first (by request text) creates, the rest are
+    ``duplicate_in_batch``.
+    """
+    from ..functions.pairs import currency_of, infer_symbol, is_online, normalize_pair
+
+    r = requests.select(col, normalize_pair(F.col(col)).alias("normalized"))
+    r = r.withColumn("db_symbol", infer_symbol(F.col("normalized")))
+    p = pairs.select(F.col("pair").alias("normalized"), "altname", "status", F.lit(True).alias("_offered"))
+    s = sized_broadcast(symbols.select(F.col("symbol").alias("db_symbol"), F.lit(True).alias("_exists")))
+    j = r.join(p, "normalized", "left").join(s, "db_symbol", "left")
+    firsts = r.groupBy("db_symbol").agg(F.min(col).alias("_first"))
+    j = j.join(firsts, "db_symbol")
+    first = F.col(col) == F.col("_first")
+    action = (F.when(F.col("_offered").isNull(), F.lit("not_found"))
+              .when(F.col("_exists").isNotNull(), F.lit("exists"))
+              .when(first, F.lit("create"))
+              .otherwise(F.lit("duplicate_in_batch")))
+    return j.select(col, "normalized", "db_symbol", action.alias("action"),
+                    F.coalesce("altname", "db_symbol").alias("name"),
+                    currency_of(F.col("db_symbol")).alias("currency"),
+                    is_online(F.col("status")).alias("is_active"))
+
+
+def ingest_ohlc(decoded: DataFrame, symbols: DataFrame, target: DataFrame,
+                now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decoded candles -> mapped symbol (F2) -> get-or-create symbols -> insert-ignore.
+
+    Returns (symbols created, candle rows appended). One anti join per step; the candle
+    key shuffle is the only wide step on the candle side.
+    """
+    from ..functions.pairs import pair_to_symbol
+
+    d = decoded.withColumn("db_symbol", pair_to_symbol(F.col("pair")))
+    new_syms = d.select(F.col("db_symbol").alias("symbol")).distinct().select(
+        "symbol", F.col("symbol").alias("name"), F.lit(S.EXCHANGE_NAME).alias("exchange"),
+        F.lit("crypto").alias("asset_type"), F.lit("USD").alias("currency"), F.lit(True).alias("is_active"))
+    new_syms = new_syms.join(symbols.select("symbol"), "symbol", "left_anti")
+    created, _ = create_symbols(symbols, new_syms, now)
+    allsym = symbols.select("id", "symbol").unionByName(created.select("id", "symbol"))
+    rows = d.join(allsym.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol")
+    appended = insert_ignore(target, rows, CANDLE_KEY, ["t_stamp"])
+    return created, appended

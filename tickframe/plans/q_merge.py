@@ -1 +1,298 @@
-"""Registered queries."""
+"""Registered writes and merges.
+
+Merges return the resulting table (or the rows they change) as a DataFrame; the oracle
+states the same result as UNION ALL + anti join / row_number in SQL. Scenario: the target
+holds the even-day (or even-id) half of a table and the incoming batch carries every key
+plus conflicting copies, so each branch of a merge is hit.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import pairs as FP
+from ..functions import payload as PL
+from ..operators import merge as M
+from ..sources import payloads as SP
+from ..sources.catalog import MarketTables
+from .oracle import CANDLE_COLS, PRICE_COLS
+from .q_pairs import _NORM_SQL, _OHLC_PAIR_SQL, _infer_sql, _ohlc_pair
+from .registry import query
+
+NOW = "2024-02-01 00:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def _days(c: str = "t_stamp"):
+    return F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def _candle_scenario(t: MarketTables) -> tuple[DataFrame, DataFrame]:
+    target = t.candles.filter(F.pmod(_days(), F.lit(2)) == 0)
+    dups = (t.candles.filter((F.pmod("symbol_id", F.lit(3)) == 0) & (F.pmod(_days(), F.lit(2)) == 1))
+            .withColumn("close", F.col("close") + 1.0).withColumn("id", F.col("id") - 1))
+    return target, t.candles.unionByName(dups)
+
+
+_DAYS_SQL = "(CAST(t_stamp AS DATE) - DATE '1970-01-01')"
+_CANDLE_SCENARIO_SQL = f"""
+WITH tgt AS (SELECT * FROM candles_t WHERE {_DAYS_SQL} % 2 = 0),
+inc AS (SELECT * FROM candles_t
+        UNION ALL
+        SELECT id - 1 AS id, symbol_id, t_stamp, open, high, low, close + 1.0 AS close, volume, adjusted_close,
+               time_frame, data_source, created_at
+        FROM candles_t WHERE symbol_id % 3 = 0 AND {_DAYS_SQL} % 2 = 1),
+firsts AS (SELECT * EXCLUDE (rn) FROM (
+             SELECT *, row_number() OVER (PARTITION BY symbol_id, t_stamp, time_frame, data_source ORDER BY id) AS rn
+             FROM inc) WHERE rn = 1),
+appended AS (SELECT f.* FROM firsts f WHERE NOT EXISTS (
+             SELECT 1 FROM tgt t WHERE t.symbol_id = f.symbol_id AND t.t_stamp = f.t_stamp
+               AND t.time_frame = f.time_frame AND t.data_source = f.data_source))"""
+
+
+@query("candles_merge", _CANDLE_SCENARIO_SQL + f"""
+SELECT {CANDLE_COLS} FROM tgt UNION ALL SELECT {CANDLE_COLS} FROM appended
+""")
+def candles_merge(t: MarketTables) -> DataFrame:
+    """INSERT ... ON CONFLICT DO NOTHING on the 4-column candle key; first arrival wins."""
+    target, incoming = _candle_scenario(t)
+    return M.insert_ignore_table(target, incoming, M.CANDLE_KEY, ["id"])
+
+
+@query("merge_metrics", _CANDLE_SCENARIO_SQL + """
+SELECT 'fetched' AS metric, count(*) AS value FROM inc
+UNION ALL SELECT 'unique_keys', count(*) FROM firsts
+UNION ALL SELECT 'inserted', count(*) FROM appended
+""")
+def merge_metrics(t: MarketTables) -> DataFrame:
+    """A5: fetched / unique / inserted counts of a candle merge."""
+    target, incoming = _candle_scenario(t)
+    firsts = M.first_per_key(incoming, M.CANDLE_KEY, ["id"])
+    appended = M.insert_ignore(target, incoming, M.CANDLE_KEY, ["id"])
+    parts = [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("metric"), "value")
+             for n, df in [("fetched", incoming), ("unique_keys", firsts), ("inserted", appended)]]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_UPS_FIELDS = ", ".join(f"CASE WHEN i.id IS NOT NULL THEN i.{c} ELSE t.{c} END AS {c}" for c in M.PRICE_FIELDS)
+
+
+@query("prices_upsert", f"""
+WITH tgt AS (SELECT * FROM prices_t WHERE symbol_id % 2 = 0),
+inc0 AS (SELECT id, symbol_id, price + 1.0 AS price, bid, ask, volume_24h, change_24h, change_percent_24h, market_cap,
+                data_source, last_updated + INTERVAL 1 HOUR AS last_updated, created_at FROM prices_t
+         UNION ALL SELECT {PRICE_COLS} FROM prices_t),
+inc AS (SELECT * EXCLUDE (rn) FROM (
+          SELECT *, row_number() OVER (PARTITION BY symbol_id, data_source ORDER BY last_updated DESC, id DESC) AS rn
+          FROM inc0) WHERE rn = 1)
+SELECT coalesce(t.id, i.id) AS id, coalesce(t.symbol_id, i.symbol_id) AS symbol_id,
+       coalesce(t.data_source, i.data_source) AS data_source, {_UPS_FIELDS},
+       CASE WHEN i.id IS NOT NULL THEN i.last_updated ELSE t.last_updated END AS last_updated,
+       coalesce(t.created_at, i.created_at) AS created_at,
+       CASE WHEN t.id IS NULL THEN 'insert' WHEN i.id IS NOT NULL THEN 'update' ELSE 'keep' END AS action
+FROM tgt t FULL OUTER JOIN inc i ON t.symbol_id = i.symbol_id AND t.data_source = i.data_source
+""")
+def prices_upsert(t: MarketTables) -> DataFrame:
+    """Latest-price upsert on (symbol_id, data_source); newest incoming row wins."""
+    target = t.prices.filter(F.pmod("symbol_id", F.lit(2)) == 0)
+    newer = (t.prices.withColumn("price", F.col("price") + 1.0)
+             .withColumn("last_updated", F.col("last_updated") + F.expr("INTERVAL 1 HOUR")))
+    return M.upsert_prices(target, newer.unionByName(t.prices))
+
+
+def _create_batch(t: MarketTables) -> DataFrame:
+    online = t.pairs.filter(F.col("status") == "online")
+    base = online.select(F.col("pair").alias("symbol"), FP.display_name().alias("name"))
+    dup = online.filter(F.pmod(F.length("pair"), F.lit(2)) == 0).select(
+        F.col("pair").alias("symbol"), F.concat(FP.display_name(), F.lit(" dup")).alias("name"))
+    new = base.unionByName(dup).select("symbol", "name", F.lit(S.EXCHANGE_NAME).alias("exchange"),
+                                       F.lit("crypto").alias("asset_type"), F.lit(None).cast("string").alias("currency"),
+                                       F.lit(None).cast("boolean").alias("is_active"))
+    again = t.symbols.filter(F.pmod("id", F.lit(5)) == 0).select("symbol", "name", "exchange", "asset_type",
+                                                                 "currency", "is_active")
+    return new.unionByName(again)
+
+
+_DISPLAY = "coalesce(nullif(wsname, ''), nullif(altname, ''), pair)"
+_LEN_CHECKS = " ".join(f"WHEN length({c}) > {S.SYMBOL_LENGTHS[c]} THEN '{c}_too_long'"
+                       for c in ["symbol", "name", "exchange", "asset_type", "currency"])
+
+
+@query("symbols_create", f"""
+WITH inc AS (
+  SELECT pair AS symbol, {_DISPLAY} AS name, 'Kraken' AS exchange, 'crypto' AS asset_type,
+         CAST(NULL AS VARCHAR) AS currency, CAST(NULL AS BOOLEAN) AS is_active FROM pairs_t WHERE status = 'online'
+  UNION ALL
+  SELECT pair, {_DISPLAY} || ' dup', 'Kraken', 'crypto', NULL, NULL FROM pairs_t WHERE status = 'online' AND length(pair) % 2 = 0
+  UNION ALL
+  SELECT symbol, name, exchange, asset_type, currency, is_active FROM symbols_t WHERE id % 5 = 0),
+d AS (SELECT symbol, name, exchange, asset_type, coalesce(currency, 'USD') AS currency, coalesce(is_active, true) AS is_active,
+             min((name, exchange)) OVER (PARTITION BY symbol) AS f FROM inc)
+SELECT symbol, name, exchange, currency, is_active,
+       CASE WHEN symbol IN (SELECT symbol FROM symbols_t) THEN 'duplicate_symbol'
+            WHEN (name, exchange) <> f THEN 'duplicate_in_batch' {_LEN_CHECKS}
+            ELSE 'created' END AS outcome
+FROM d
+""")
+def symbols_create(t: MarketTables) -> DataFrame:
+    """Create symbols with defaults; duplicates (existing or in-batch) are rejected."""
+    created, rejected = M.create_symbols(t.symbols, _create_batch(t), _now())
+    cols = ["symbol", "name", "exchange", "currency", "is_active"]
+    return (created.select(*cols, F.lit("created").alias("outcome"))
+            .unionByName(rejected.select(*cols, F.col("reason").alias("outcome"))))
+
+
+def _changes(t: MarketTables) -> DataFrame:
+    return t.symbols.filter(F.pmod("id", F.lit(3)) == 0).select(
+        "symbol", F.concat("name", F.lit(" (updated)")).alias("name"),
+        F.lit(None).cast("string").alias("sector"), F.lit(None).cast("string").alias("industry"),
+        (F.col("market_cap") * 2).alias("market_cap"))
+
+
+def _update_sql(replace: bool) -> str:
+    keep = lambda c: f"c.{c}" if replace else f"coalesce(c.{c}, s.{c})"
+    return f"""
+WITH c AS (SELECT symbol, name || ' (updated)' AS name, CAST(NULL AS VARCHAR) AS sector, CAST(NULL AS VARCHAR) AS industry,
+                  market_cap * 2 AS market_cap, true AS hit FROM symbols_t WHERE id % 3 = 0)
+SELECT s.id, s.symbol,
+       CASE WHEN c.hit THEN {keep('name')} ELSE s.name END AS name, s.exchange, s.asset_type, s.currency,
+       CASE WHEN c.hit THEN {keep('sector')} ELSE s.sector END AS sector,
+       CASE WHEN c.hit THEN {keep('industry')} ELSE s.industry END AS industry,
+       CASE WHEN c.hit THEN {keep('market_cap')} ELSE s.market_cap END AS market_cap,
+       s.is_active, s.created_at,
+       CASE WHEN c.hit THEN TIMESTAMP '{NOW}' ELSE s.updated_at END AS updated_at
+FROM symbols_t s LEFT JOIN c ON c.symbol = s.symbol"""
+
+
+@query("symbols_update", _update_sql(False))
+def symbols_update(t: MarketTables) -> DataFrame:
+    """U4: batch update by symbol, patch semantics (NULL keeps the old value)."""
+    return M.update_symbols(t.symbols, _changes(t), _now())
+
+
+@query("symbols_update_replace", _update_sql(True))
+def symbols_update_replace(t: MarketTables) -> DataFrame:
+    """U4 in the reference's form: all four fields written, missing ones become NULL."""
+    return M.update_symbols(t.symbols, _changes(t), _now(), replace=True)
+
+
+_MAP_SQL = "coalesce(CASE pair " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.PAIR_SYMBOL_MAP.items()) + " END, pair)"
+
+
+@query("symbols_sync", f"""
+WITH syms AS (SELECT symbol, is_active FROM symbols_t UNION ALL SELECT pair, true FROM pairs_t WHERE length(pair) % 2 = 0),
+m AS (SELECT pair, {_MAP_SQL} AS db_symbol FROM pairs_t)
+SELECT m.pair, m.db_symbol, coalesce(p.altname, m.db_symbol) AS name, coalesce(p.status = 'online', false) AS is_active,
+       CASE WHEN s.symbol IS NULL THEN 'create'
+            WHEN s.is_active IS NOT DISTINCT FROM coalesce(p.status = 'online', false) THEN 'none'
+            ELSE 'update' END AS action
+FROM m JOIN pairs_t p ON p.pair = m.pair LEFT JOIN syms s ON s.symbol = m.db_symbol
+""")
+def symbols_sync(t: MarketTables) -> DataFrame:
+    """Diff of mapped exchange pairs against symbols -> create / update / none."""
+    synced = t.pairs.filter(F.pmod(F.length("pair"), F.lit(2)) == 0).select(
+        F.col("pair").alias("symbol"), F.lit(True).alias("is_active"))
+    syms = t.symbols.select("symbol", "is_active").unionByName(synced)
+    mapping = t.pairs.select("pair", FP.pair_to_symbol(F.col("pair")).alias("db_symbol"))
+    return M.sync_plan(mapping, t.pairs, syms)
+
+
+@query("pairs_add", f"""
+WITH r AS (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t),
+r2 AS (SELECT *, {_infer_sql('normalized')} AS db_symbol FROM r),
+j AS (SELECT r2.*, p.altname, p.status, p.pair IS NOT NULL AS offered, s.symbol IS NOT NULL AS known,
+             min(r2.requested) OVER (PARTITION BY r2.db_symbol) AS f
+      FROM r2 LEFT JOIN pairs_t p ON p.pair = r2.normalized LEFT JOIN symbols_t s ON s.symbol = r2.db_symbol)
+SELECT requested, normalized, db_symbol,
+       CASE WHEN NOT offered THEN 'not_found' WHEN known THEN 'exists' WHEN requested = f THEN 'create'
+            ELSE 'duplicate_in_batch' END AS action,
+       coalesce(altname, db_symbol) AS name,
+       CASE WHEN contains(db_symbol, 'USD') THEN 'USD' ELSE 'EUR' END AS currency,
+       coalesce(status = 'online', false) AS is_active
+FROM j
+""")
+def pairs_add(t: MarketTables) -> DataFrame:
+    """Add-pair requests -> not_found / exists / create plan."""
+    return M.add_pairs_plan(t.pair_requests, t.pairs, t.symbols)
+
+
+INGEST_CUT = "2000-01-01 00:00:00"
+
+
+@query("ohlc_ingest", f"""
+SELECT {_MAP_SQL.replace('pair', 'p')} AS db_symbol, t_stamp, open, high, low, close, volume, time_frame, data_source
+FROM (SELECT {_OHLC_PAIR_SQL} AS p, t_stamp, open, high, low, close,
+             CAST(round_even(CAST(volume AS DOUBLE), 0) AS BIGINT) AS volume, '1d' AS time_frame, 'kraken' AS data_source
+      FROM candles_t WHERE t_stamp >= TIMESTAMP '{INGEST_CUT}')
+""")
+def ohlc_ingest(t: MarketTables) -> DataFrame:
+    """Two fetch batches of decoded OHLC documents -> get-or-create symbols -> insert-ignore.
+    The second batch re-sends the first; only its new rows are appended."""
+    raw = SP.ohlc_payloads(t.candles, _ohlc_pair()).select("value")
+    decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(raw)[0]), "1d").drop("value", "last")
+    empty = t.spark.createDataFrame([], "symbol_id int, t_stamp timestamp, time_frame string, data_source string")
+    batch1 = decoded.filter(F.col("t_stamp") < F.lit(INGEST_CUT).cast("timestamp"))
+    created1, app1 = M.ingest_ohlc(batch1, t.symbols, empty, _now())
+    syms2 = t.symbols.unionByName(created1)
+    _, app2 = M.ingest_ohlc(decoded, syms2, app1.select(*M.CANDLE_KEY), _now())
+    return app2.select("db_symbol", "t_stamp", "open", "high", "low", "close", "volume", "time_frame", "data_source")
+
+
+_SEED_VALUES = ", ".join(
+    "('{}', '{}', '{}', '{}', '{}', '{}', '{}', {})".format(*(x.replace("'", "''") for x in r[:7]),
+                                                         "NULL" if r[7] is None else r[7])
+    for r in S.SEED_SYMBOLS)
+
+
+@query("seed_load", f"""
+WITH seed AS (SELECT * FROM (VALUES {_SEED_VALUES})
+              AS v(symbol, name, exchange, asset_type, currency, sector, industry, market_cap))
+SELECT symbol, name, exchange, asset_type, currency, sector, industry, market_cap, is_active FROM symbols_t
+UNION ALL
+SELECT symbol, name, exchange, asset_type, currency, sector, industry, CAST(market_cap AS BIGINT), true
+FROM seed WHERE symbol NOT IN (SELECT symbol FROM symbols_t)
+""")
+def seed_load(t: MarketTables) -> DataFrame:
+    """Load the reference seed symbols into the symbols table, ON CONFLICT DO NOTHING."""
+    from ..sources.tables import seed_symbols
+
+    cols = ["symbol", "name", "exchange", "asset_type", "currency", "sector", "industry", "market_cap", "is_active"]
+    seeds = seed_symbols(t.spark)
+    created, _ = M.create_symbols(t.symbols, M.insert_ignore(t.symbols, seeds, ["symbol"], ["name"]), _now())
+    return t.symbols.select(*cols).unionByName(created.select(*cols))
+
+
+@query("snapshot_freshness", f"""
+WITH s AS (SELECT data_source, max(ts) AS fetched_at FROM ticks_t GROUP BY data_source)
+SELECT data_source, fetched_at, max(fetched_at) OVER () AS as_of,
+       (epoch_us(max(fetched_at) OVER ()) - epoch_us(fetched_at)) // 1000000 AS age_seconds,
+       fetched_at < max(fetched_at) OVER () - INTERVAL {S.PAIR_CACHE_SECONDS} SECOND AS is_stale
+FROM s
+""")
+def snapshot_freshness(t: MarketTables) -> DataFrame:
+    """Newest snapshot per source and whether it is older than the 1 h cache lifetime."""
+    from ..operators.snapshots import freshness
+
+    return freshness(t.ticks, "data_source", "ts", S.PAIR_CACHE_SECONDS)
+
+
+@query("related_write", """
+SELECT 'symbols' AS table_name, count(*) AS row_count FROM symbols_t
+UNION ALL SELECT 'market_data', count(*) FROM candles_t
+UNION ALL SELECT 'real_time_prices', count(*) FROM prices_t
+""")
+def related_write(t: MarketTables) -> DataFrame:
+    """Stage symbols, candles (partitioned by time_frame, year_month) and prices as
+    one version under the shared checkpoint folder, publish it, and read it back."""
+    from ..operators import stats as A
+    from ..operators.snapshots import publish_version, read_version
+
+    version = publish_version(t.spark, {"symbols": t.symbols, "market_data": t.candles,
+                                         "real_time_prices": t.prices})
+    tables = read_version(t.spark, version)
+    return A.table_counts({k: tables[k] for k in ["symbols", "market_data", "real_time_prices"]})

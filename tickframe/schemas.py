@@ -181,3 +181,62 @@ SEED_SESSIONS = [
     ("COINBASE", "24/7 Trading", "UTC", "00:00:00", "23:59:59", True),
 ]
 SESSION_EXCHANGES = [s[0] for s in SEED_SESSIONS]
+
+# Seed rows: symbols (symbol, name, exchange, asset type, currency, sector, industry, market cap).
+SEED_SYMBOLS = [
+    ("AAPL", "Apple Inc.", "NASDAQ", "stock", "USD", "Technology", "Consumer Electronics", 3000000000000),
+    ("MSFT", "Microsoft Corporation", "NASDAQ", "stock", "USD", "Technology", "Software", 2800000000000),
+    ("GOOGL", "Alphabet Inc. Class A", "NASDAQ", "stock", "USD", "Technology", "Internet", 1800000000000),
+    ("AMZN", "Amazon.com Inc.", "NASDAQ", "stock", "USD", "Consumer Discretionary", "E-commerce", 1500000000000),
+    ("TSLA", "Tesla Inc.", "NASDAQ", "stock", "USD", "Consumer Discretionary", "Electric Vehicles", 800000000000),
+    ("META", "Meta Platforms Inc.", "NASDAQ", "stock", "USD", "Technology", "Social Media", 700000000000),
+    ("NVDA", "NVIDIA Corporation", "NASDAQ", "stock", "USD", "Technology", "Semiconductors", 1200000000000),
+    ("BRK.A", "Berkshire Hathaway Inc. Class A", "NYSE", "stock", "USD", "Financial Services", "Insurance", 800000000000),
+    ("JPM", "JPMorgan Chase & Co.", "NYSE", "stock", "USD", "Financial Services", "Banking", 400000000000),
+    ("JNJ", "Johnson & Johnson", "NYSE", "stock", "USD", "Healthcare", "Pharmaceuticals", 400000000000),
+    ("V", "Visa Inc.", "NYSE", "stock", "USD", "Financial Services", "Payment Processing", 500000000000),
+    ("PG", "Procter & Gamble Co.", "NYSE", "stock", "USD", "Consumer Staples", "Household Products", 350000000000),
+    ("UNH", "UnitedHealth Group Inc.", "NYSE", "stock", "USD", "Healthcare", "Health Insurance", 450000000000),
+    ("HD", "Home Depot Inc.", "NYSE", "stock", "USD", "Consumer Discretionary", "Retail", 300000000000),
+    ("MA", "Mastercard Inc.", "NYSE", "stock", "USD", "Financial Services", "Payment Processing", 400000000000),
+    ("BTC", "Bitcoin", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("ETH", "Ethereum", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("BNB", "Binance Coin", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("ADA", "Cardano", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("SOL", "Solana", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("XRP", "Ripple", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("DOT", "Polkadot", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("DOGE", "Dogecoin", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("AVAX", "Avalanche", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("MATIC", "Polygon", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("LINK", "Chainlink", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("UNI", "Uniswap", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("LTC", "Litecoin", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("BCH", "Bitcoin Cash", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("ATOM", "Cosmos", "BINANCE", "crypto", "USD", "Cryptocurrency", "Digital Currency", None),
+    ("EURUSD", "Euro / US Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("GBPUSD", "British Pound / US Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("USDJPY", "US Dollar / Japanese Yen", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("USDCHF", "US Dollar / Swiss Franc", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("AUDUSD", "Australian Dollar / US Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("USDCAD", "US Dollar / Canadian Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("NZDUSD", "New Zealand Dollar / US Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("EURGBP", "Euro / British Pound", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("EURJPY", "Euro / Japanese Yen", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("GBPJPY", "British Pound / Japanese Yen", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("EURCHF", "Euro / Swiss Franc", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("AUDJPY", "Australian Dollar / Japanese Yen", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("GBPCHF", "British Pound / Swiss Franc", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("EURCAD", "Euro / Canadian Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("AUDCAD", "Australian Dollar / Canadian Dollar", "FOREX", "forex", "USD", "Foreign Exchange", "Currency Pair", None),
+    ("SPX", "S&P 500 Index", "NYSE", "index", "USD", "Market Index", "Broad Market", None),
+    ("DJI", "Dow Jones Industrial Average", "NYSE", "index", "USD", "Market Index", "Broad Market", None),
+    ("IXIC", "NASDAQ Composite", "NASDAQ", "index", "USD", "Market Index", "Technology", None),
+    ("RUT", "Russell 2000 Index", "NYSE", "index", "USD", "Market Index", "Small Cap", None),
+    ("VIX", "CBOE Volatility Index", "CBOE", "index", "USD", "Market Index", "Volatility", None),
+    ("FTSE", "FTSE 100 Index", "LSE", "index", "GBP", "Market Index", "Broad Market", None),
+    ("N225", "Nikkei 225 Index", "TSE", "index", "JPY", "Market Index", "Broad Market", None),
+    ("HSI", "Hang Seng Index", "HKEX", "index", "HKD", "Market Index", "Broad Market", None),
+    ("DAX", "DAX Index", "XETRA", "index", "EUR", "Market Index", "Broad Market", None),
+    ("CAC", "CAC 40 Index", "EPA", "index", "EUR", "Market Index", "Broad Market", None),
+]

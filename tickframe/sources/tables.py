@@ -186,3 +186,10 @@ def data_sources(spark: SparkSession) -> DataFrame:
 def market_sessions(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, *r) for i, r in enumerate(S.SEED_SESSIONS)]
     return spark.createDataFrame(rows, S.MARKET_SESSIONS)
+
+
+def seed_symbols(spark: SparkSession) -> DataFrame:
+    """Reference seed symbols as incoming rows (is_active left to the default)."""
+    schema = ("symbol string, name string, exchange string, asset_type string, currency string, "
+              "sector string, industry string, market_cap bigint")
+    return spark.createDataFrame(S.SEED_SYMBOLS, schema).withColumn("is_active", F.lit(None).cast("boolean"))
