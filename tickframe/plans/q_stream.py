@@ -1 +1,131 @@
-"""Registered queries."""
+"""Registered streaming queries (T1-T6): each runs a stream over a landing folder derived
+from the input tables (trigger availableNow) and returns the sink's contents. Oracles are
+the equivalent batch results restricted to what the final watermark has closed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import indicators as I
+from ..session import fresh_path
+from ..sources.catalog import MarketTables
+from ..streaming import streams as ST
+from .q_indicators import indicator_sql
+from .registry import query
+
+TICK_CHUNKS = 6
+BAR_CHUNKS = 7
+
+
+def _tick_landing(t: MarketTables, extra: DataFrame | None = None) -> str:
+    path = fresh_path(t.spark, "landing-ticks")
+    src = t.ticks if extra is None else t.ticks.unionByName(extra)
+    return ST.land_in_order(src, "ts", path, TICK_CHUNKS)
+
+
+def _late_copy(t: MarketTables, id_shift: int = 0) -> DataFrame:
+    first = t.ticks.agg(F.min("ts")).first()[0]
+    late = t.ticks.filter(F.col("ts") < F.lit(first) + F.expr("INTERVAL 1 DAY"))
+    return late.withColumn("id", F.col("id") + id_shift)
+
+
+@query("stream_prices", """
+SELECT symbol_id, data_source, arg_max(id, (ts, id)) AS id, arg_max(ts, (ts, id)) AS ts,
+       arg_max(price, (ts, id)) AS price, arg_max(size, (ts, id)) AS size
+FROM ticks_t GROUP BY symbol_id, data_source
+""")
+def stream_prices(t: MarketTables) -> DataFrame:
+    """Tick stream -> latest price per (symbol, source), upserted per micro-batch."""
+    land = _tick_landing(t)
+    sink = ST.VersionedUpsert(t.spark, fresh_path(t.spark, "stream-prices"), ["symbol_id", "data_source"], ["ts", "id"])
+    ST.run_foreach_batch(ST.latest_prices_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-prices", sink)
+    return t.spark.read.parquet(sink.current).select("symbol_id", "data_source", "id", "ts", "price", "size")
+
+
+_CLOSED_1H = """
+SELECT symbol_id, data_source, date_trunc('hour', ts) AS t_stamp,
+       arg_min(price, (ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, id)) AS close,
+       sum(size) AS volume, count(*) AS trades
+FROM ticks_t GROUP BY symbol_id, data_source, date_trunc('hour', ts)
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks_t) - INTERVAL 10 MINUTE"""
+
+
+@query("stream_candles", _CLOSED_1H)
+def stream_candles(t: MarketTables) -> DataFrame:
+    """Hourly candles with a 10-minute watermark; only closed windows are emitted."""
+    land = _tick_landing(t)
+    sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-candles")
+    return t.spark.read.parquet(sink)
+
+
+@query("stream_dedup", """
+SELECT id, symbol_id, ts, price, size, data_source FROM ticks_t
+""")
+def stream_dedup(t: MarketTables) -> DataFrame:
+    """Re-delivered ticks (in-batch copies and a late re-send) suppressed on the tick key."""
+    copies = t.ticks.filter(F.pmod("id", F.lit(4)) == 0)
+    land = _tick_landing(t, copies)
+    _late_copy(t).coalesce(1).write.mode("append").parquet(land)
+    root = fresh_path(t.spark, "stream-dedup")
+    sink = ST.InsertIgnoreSink(t.spark, root, ["id"], "ts", 3600)
+    ST.run_foreach_batch(ST.dedup_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA), ["id"]),
+                         "stream-dedup", sink, mode="append")
+    return t.spark.read.parquet(root).drop("epoch")
+
+
+@query("stream_late", f"""
+SELECT 'late_groups_dropped' AS metric, count(DISTINCT (symbol_id, data_source, date_trunc('hour', ts))) AS value
+FROM ticks_t WHERE ts < (SELECT min(ts) FROM ticks_t) + INTERVAL 1 DAY
+UNION ALL SELECT 'windows_emitted', count(*) FROM ({_CLOSED_1H})
+""")
+def stream_late(t: MarketTables) -> DataFrame:
+    """T4: a late re-send of the first day is dropped past the watermark and counted.
+
+    Spark counts drops at the stateful operator, after map-side partial aggregation, so
+    the metric is the number of (symbol, source, window) groups of late rows per input
+    partition; the late re-send here is one file, i.e. one group per window."""
+    land = _tick_landing(t)
+    _late_copy(t, 10 ** 12).coalesce(1).write.mode("append").parquet(land)
+    sink, q = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-late")
+    dropped = ST.dropped_by_watermark(q)
+    emitted = t.spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("value"))
+    return (emitted.select(F.lit("windows_emitted").alias("metric"), "value")
+            .unionByName(t.spark.createDataFrame([("late_groups_dropped", dropped)], "metric string, value bigint")))
+
+
+@query("stream_24h", """
+WITH w AS (
+  SELECT t.*, date_trunc('hour', t.ts) - to_hours(CAST(k AS BIGINT)) AS window_start
+  FROM ticks_t t, range(0, 24) r(k))
+SELECT symbol_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, sum(size) AS volume_24h,
+       arg_min(price, (ts, id)) AS first_price, arg_max(price, (ts, id)) AS last_price,
+       arg_max(price, (ts, id)) - arg_min(price, (ts, id)) AS change_24h, count(*) AS trades
+FROM w GROUP BY symbol_id, window_start
+HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM ticks_t) - INTERVAL 10 MINUTE
+""")
+def stream_24h(t: MarketTables) -> DataFrame:
+    """T5: 24 h volume and price change per symbol, sliding hourly, closed windows only."""
+    land = _tick_landing(t)
+    sink, _ = ST.run_to_files(ST.rolling_24h_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-24h")
+    return t.spark.read.parquet(sink)
+
+
+def _ema_oracle() -> str:
+    body = indicator_sql(["ema_12", "ema_26", "rsi_14"], True)
+    return body.replace(
+        "SELECT symbol_id, t_stamp AS timestamp, time_frame, ema_12, ema_26, rsi_14 FROM wd JOIN ri USING (symbol_id, time_frame, rn)",
+        "SELECT symbol_id, time_frame, t_stamp, ema_12, ema_26, rsi_14 FROM wd JOIN ri USING (symbol_id, time_frame, rn) "
+        "WHERE t_stamp <= (SELECT max(t_stamp) FROM bars)")
+
+
+@query("stream_ema", _ema_oracle())
+def stream_ema(t: MarketTables) -> DataFrame:
+    """Incremental EMA12/EMA26/RSI14 per series from a bar stream, state per series;
+    bars are released in event-time order once the watermark passes them."""
+    bars = I.series_bars(t.candles).select("symbol_id", "time_frame", "t_stamp", "close")
+    land = fresh_path(t.spark, "landing-bars")
+    ST.land_in_order(bars, "t_stamp", land, BAR_CHUNKS)
+    stream = ST.read_landing(t.spark, land, "symbol_id int, time_frame string, t_stamp timestamp, close double")
+    sink, _ = ST.run_to_files(ST.ema_stream(stream), "stream-ema")
+    return t.spark.read.parquet(sink)
