@@ -7,8 +7,8 @@ fixed here (see README). A series is one (symbol_id, time_frame); bars are order
   are Spark window frames over ``Window.partitionBy(symbol_id, time_frame).orderBy(t_stamp)``.
 * True recurrences (EMA, MACD signal, Wilder-smoothed RSI/ATR/ADX) depend on the previous
   output, which no window frame expresses; they run in one grouped-map pass per series
-  (``applyInPandas``) over the window output, which is already partitioned by series, so
-  it adds no shuffle.
+  (``applyInPandas``) over the bar columns only. Its output stays hash-partitioned by
+  series, so the window frames computed after it add no shuffle.
 
 Group size: a series holds at most one bar per period of its time frame, so its length is
 bounded by history span / bar width (about 0.5M bars for 1m over a year), independent of
@@ -34,7 +34,15 @@ def series_bars(candles: DataFrame) -> DataFrame:
     """One bar per (symbol, time frame, time): the indicator key has no data_source, so the
     bar of the lowest-ranked source (name order) is used. Partial-aggregable (min_by)."""
     bar = F.struct("data_source", "open", "high", "low", "close", "volume")
-    g = candles.groupBy("symbol_id", "time_frame", "t_stamp").agg(F.min_by(bar, F.col("data_source")).alias("b"))
+    # Hash-partition by symbol once: symbol_id is a subset of every later clustering key
+    # (bar key, series key of the grouped map and of the windows), so all of them reuse this
+    # one exchange. (A constant time_frame is folded out of keys by the optimizer, so the
+    # partitioning must not depend on it.)
+    # The count is explicit so AQE keeps every partition: this stage is CPU-bound (frames and
+    # Python recurrences), where merged partitions only lengthen the slowest task.
+    n = int(candles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_series = candles.repartition(n, F.col("symbol_id"))
+    g = by_series.groupBy("symbol_id", "time_frame", "t_stamp").agg(F.min_by(bar, F.col("data_source")).alias("b"))
     return g.select("symbol_id", "time_frame", "t_stamp", "b.data_source", "b.open", "b.high", "b.low",
                     "b.close", "b.volume")
 
@@ -101,11 +109,14 @@ def window_indicators(bars: DataFrame) -> DataFrame:
 def _ema(xs: list[float], n: int) -> list[float]:
     a = 2.0 / (n + 1)
     b = 1.0 - a
-    out = []
-    e = None
-    for x in xs:
-        e = x if e is None else a * x + b * e
-        out.append(e)
+    if not xs:
+        return []
+    e = xs[0]
+    out = [e]
+    append = out.append
+    for x in xs[1:]:
+        e = a * x + b * e
+        append(e)
     return out
 
 
@@ -197,19 +208,36 @@ def series_recurrences(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def recurrence_indicators(df: DataFrame) -> DataFrame:
-    """Grouped map per series; input columns pass through, recurrence columns are added."""
+BAR_COLUMNS = ["symbol_id", "time_frame", "t_stamp", "data_source", "open", "high", "low", "close", "volume"]
+
+
+def recurrence_indicators(bars: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Grouped map per series; the bar columns (plus ``extra`` columns) pass through and the
+    recurrence columns are added. Grouping by series is satisfied by the symbol_id
+    partitioning of ``series_bars``, so this adds no shuffle."""
+    df = bars.select(*BAR_COLUMNS, *(extra or []))
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType(), True)
                                                      for c in RECURRENCE_COLUMNS])
     return df.groupBy(*SERIES).applyInPandas(series_recurrences, schema)
 
 
+WINDOW_COLUMNS = ["sma_5", "sma_10", "sma_20", "sma_50", "sma_200", "bollinger_upper", "bollinger_middle",
+                  "bollinger_lower", "stoch_k", "stoch_d", "williams_r", "volume_sma_20", "obv", "cci"]
+
+
+def all_indicators(bars: DataFrame, window_cols: list[str] | None = None) -> DataFrame:
+    """Window frames, then the grouped map over their output: both run on the single
+    symbol_id partitioning of ``series_bars`` (Python-UDF output is not known to Spark to
+    keep a partitioning, so the grouped map goes last)."""
+    return recurrence_indicators(window_indicators(bars), window_cols if window_cols is not None else WINDOW_COLUMNS)
+
+
 # --------------------------------------------------------------------------- assembly
 def technical_indicators(candles: DataFrame) -> DataFrame:
     """The full technical_indicators row per (symbol_id, timestamp, time_frame)."""
     from .. import schemas as S
 
-    ind = recurrence_indicators(window_indicators(series_bars(candles)))
+    ind = all_indicators(series_bars(candles))
     return ind.select(
         F.lit(None).cast("bigint").alias("id"),
         "symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import checkpoint_root
 from .joins import sized_broadcast
 
 CANDLE_KEY = ["symbol_id", "t_stamp", "time_frame", "data_source"]
@@ -297,6 +298,9 @@ def ingest_ohlc(decoded: DataFrame, symbols: DataFrame, target: DataFrame,
         F.lit("crypto").alias("asset_type"), F.lit("USD").alias("currency"), F.lit(True).alias("is_active"))
     new_syms = new_syms.join(symbols.select("symbol"), "symbol", "left_anti")
     created, _ = create_symbols(symbols, new_syms, now)
+    # new symbols get their ids once: cut the lineage (reliable checkpoint in the shared folder)
+    checkpoint_root(decoded.sparkSession)
+    created = created.checkpoint(eager=True)
     allsym = symbols.select("id", "symbol").unionByName(created.select("id", "symbol"))
     rows = d.join(allsym.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol")
     appended = insert_ignore(target, rows, CANDLE_KEY, ["t_stamp"])

@@ -152,9 +152,14 @@ def indicator_sql(cols: list[str], recursive: bool) -> str:
 
 
 def _spark(t: MarketTables, cols: list[str], recursive: bool) -> DataFrame:
-    df = I.window_indicators(I.series_bars(t.candles))
-    if recursive:
-        df = I.recurrence_indicators(df)
+    bars = I.series_bars(t.candles)
+    win = [c for c in cols if c not in I.RECURRENCE_COLUMNS]
+    if not recursive:
+        df = I.window_indicators(bars)
+    elif win:
+        df = I.all_indicators(bars, win)
+    else:
+        df = I.recurrence_indicators(bars)
     return df.select("symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame", *cols)
 
 
@@ -202,7 +207,7 @@ def indicators_with_symbols(t: MarketTables) -> DataFrame:
 def candles_left_indicators(t: MarketTables) -> DataFrame:
     """Symbols x candles left-join indicators on (symbol, time, time_frame); every feed's
     bar gets the indicator row of its (symbol, time, time frame)."""
-    ind = I.recurrence_indicators(I.window_indicators(I.series_bars(t.candles))).select(
+    ind = I.all_indicators(I.series_bars(t.candles), ["sma_20"]).select(
         "symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame", "sma_20", "rsi_14", "macd")
     return J.candles_left_indicators(t.candles, t.symbols, ind, columns=["sma_20", "rsi_14", "macd"])
 

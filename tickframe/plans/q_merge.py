@@ -8,6 +8,7 @@ plus conflicting copies, so each branch of a merge is hit.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,6 +236,7 @@ def ohlc_ingest(t: MarketTables) -> DataFrame:
     The second batch re-sends the first; only its new rows are appended."""
     raw = SP.ohlc_payloads(t.candles, _ohlc_pair()).select("value")
     decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(raw)[0]), "1d").drop("value", "last")
+    decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)  # both fetch batches re-read it
     empty = t.spark.createDataFrame([], "symbol_id int, t_stamp timestamp, time_frame string, data_source string")
     batch1 = decoded.filter(F.col("t_stamp") < F.lit(INGEST_CUT).cast("timestamp"))
     created1, app1 = M.ingest_ohlc(batch1, t.symbols, empty, _now())

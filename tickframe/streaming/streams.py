@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +33,16 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int) -> str:
     file arrival order follows event time (as a live feed would). ``chunks`` is small and
     fixed; each job reads only its span (pushed-down range filter).
     """
-    lo, hi = df.agg(F.min(ts_col), F.max(ts_col)).first()
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # computed once, re-read per chunk
+    lo, hi = src.agg(F.min(ts_col), F.max(ts_col)).first()
     span = (hi - lo) / chunks
     for i in range(chunks):
         a = lo + span * i
         cond = F.col(ts_col) >= F.lit(a)
         if i < chunks - 1:
             cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        src.filter(cond).coalesce(1).write.mode("append").parquet(path)
+    src.unpersist()
     return path
 
 
