@@ -55,7 +55,8 @@ def rows_of(cols, rows):
 
 
 def compare(spark, sf_dir: str, names=None, verbose=True):
-    sys.path.insert(0, ".")
+    """Run queries and oracle SQL; return names that differ."""
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as E
 
     qs, sqls = E.queries(), E.oracle_sql()
