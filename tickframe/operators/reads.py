@@ -98,12 +98,25 @@ def time_range(df: DataFrame, lo=None, hi=None, ts_col: str = "t_stamp") -> Data
     return df
 
 
+def symbol_id_of(symbols: DataFrame, symbol: str) -> int | None:
+    """P1 point lookup: the id of one symbol (a single scalar read), or None."""
+    row = symbols.filter(F.col("symbol") == symbol).select("id").limit(1).collect()
+    return row[0][0] if row else None
+
+
 def candles_for(candles: DataFrame, symbols: DataFrame, symbol: str | None, time_frame: str = "1d") -> DataFrame:
-    """Candles of one symbol (or all) and time frame, with symbol text and name."""
+    """Candles of one symbol (or all) and time frame, with symbol text and name.
+
+    For one symbol the id is looked up first, so ``symbol_id = <id>`` reaches the candle
+    scan as a pushed-down filter (row-group skipping on the sorted files) instead of joining
+    the whole table against a one-row dimension.
+    """
     c = candles.filter(F.col("time_frame") == time_frame)
     s = symbols.select(F.col("id").alias("symbol_id"), "symbol", "name")
     if symbol is not None:
+        sid = symbol_id_of(symbols, symbol)
         s = s.filter(F.col("symbol") == symbol)
+        c = c.filter(F.col("symbol_id") == F.lit(sid if sid is not None else -1).cast("int"))
     return c.join(sized_broadcast(s), "symbol_id")
 
 

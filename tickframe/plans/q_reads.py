@@ -108,8 +108,10 @@ SELECT p.{PRICE_COLS.replace(', ', ', p.')}, s.symbol, s.name
 FROM prices_t p JOIN symbols_t s ON p.symbol_id = s.id WHERE s.symbol = '{SYMBOL}'
 """)
 def prices_by_symbol(t: MarketTables) -> DataFrame:
-    """Prices of one symbol, all sources."""
-    return J.prices_with_symbols(t.prices, t.symbols).filter(F.col("symbol") == SYMBOL)
+    """Prices of one symbol, all sources (id looked up first, so the filter reaches the scan)."""
+    sid = R.symbol_id_of(t.symbols, SYMBOL)
+    p = t.prices.filter(F.col("symbol_id") == F.lit(sid if sid is not None else -1).cast("int"))
+    return J.prices_with_symbols(p, t.symbols).filter(F.col("symbol") == SYMBOL)
 
 
 @query("prices_nullified", f"""
