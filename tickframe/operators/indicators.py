@@ -20,11 +20,18 @@ then (prev*(n-1) + x)/n. Sums are accumulated left to right so results are repro
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The grouped-map / stateful functions below run in Python workers; ship this module's code
+# with the task (pickle by value) so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SERIES = ["symbol_id", "time_frame"]
 SMA_PERIODS = [5, 10, 20, 50, 200]
 

@@ -9,9 +9,12 @@ transactional, and ``foreachBatch`` writers publish each epoch to its own versio
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,10 @@ from ..operators import merge as M
 from ..operators import stats as A
 from ..session import fresh_path
 
+# The grouped-map / stateful functions below run in Python workers; ship this module's code
+# with the task (pickle by value) so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TICK_SCHEMA = "id bigint, symbol_id int, ts timestamp, price double, size bigint, data_source string"
 
 
