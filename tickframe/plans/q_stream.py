@@ -129,3 +129,28 @@ def stream_ema(t: MarketTables) -> DataFrame:
     stream = ST.read_landing(t.spark, land, "symbol_id int, time_frame string, t_stamp timestamp, close double")
     sink, _ = ST.run_to_files(ST.ema_stream(stream), "stream-ema")
     return t.spark.read.parquet(sink)
+
+
+@query("stream_ohlc_ingest", """
+SELECT 'S' || CAST(symbol_id AS VARCHAR) || '-' || data_source AS pair, t_stamp, open, high, low, close,
+       CAST(round_even(CAST(volume AS DOUBLE), 0) AS BIGINT) AS volume, close AS adjusted_close,
+       '1d' AS time_frame, 'kraken' AS data_source
+FROM candles_t
+""")
+def stream_ohlc_ingest(t: MarketTables) -> DataFrame:
+    """Exchange OHLC documents landed as text files in fetch order, odd months
+    fetched twice; the stream decodes them, drops re-sent bars on the candle key within
+    the watermark and appends with insert-ignore per micro-batch."""
+    from ..sources import payloads as SP
+    from .q_pairs import _ohlc_pair
+
+    docs = SP.ohlc_payloads(t.candles, _ohlc_pair())
+    docs = docs.withColumn("doc_ts", F.to_timestamp(F.concat("ym", F.lit("-01"))))
+    resent = docs.filter(F.substring("ym", 6, 2).cast("int") % 2 == 1)
+    land = fresh_path(t.spark, "landing-ohlc")
+    ST.land_in_order(docs.unionByName(resent), "doc_ts", land, BAR_CHUNKS, fmt="text")
+    root = fresh_path(t.spark, "stream-ohlc")
+    key = ["pair", "t_stamp", "time_frame", "data_source"]
+    sink = ST.InsertIgnoreSink(t.spark, root, key, "t_stamp", 62 * 86400)
+    ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d"), "stream-ohlc", sink, mode="append")
+    return t.spark.read.parquet(root).drop("epoch")

@@ -33,7 +33,7 @@ TICK_SCHEMA = "id bigint, symbol_id int, ts timestamp, price double, size bigint
 
 
 # --------------------------------------------------------------------------- landing / running
-def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int) -> str:
+def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str = "parquet") -> str:
     """Producer for tests and backfills: deliver ``df`` as ``chunks`` files in event-time order.
 
     The time range is cut into equal spans and each span is written by its own job, so
@@ -48,7 +48,11 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int) -> str:
         cond = F.col(ts_col) >= F.lit(a)
         if i < chunks - 1:
             cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
-        src.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        part = src.filter(cond)
+        if fmt == "text":
+            part.select("value").coalesce(1).write.mode("append").text(path)
+        else:
+            part.coalesce(1).write.mode("append").parquet(path)
     src.unpersist()
     return path
 
@@ -170,6 +174,19 @@ class InsertIgnoreSink:
         fresh.write.mode("overwrite").parquet(path)
 
 
+def ohlc_document_stream(spark: SparkSession, landing: str, time_frame: str, files_per_batch: int = 1,
+                         delay: str = "62 days") -> DataFrame:
+    """S9 + T3: landed OHLC documents (text, one per line) -> decoded candles, with re-sent
+    bars dropped on the 4-column candle key inside the watermark delay."""
+    from ..functions import payload as PL
+
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing)
+    ok, _ = PL.split_errors(raw)
+    dec = PL.decode_ohlc(PL.ohlc_records(ok), time_frame).drop("value", "last")
+    return dec.withWatermark("t_stamp", delay).dropDuplicatesWithinWatermark(
+        ["pair", "t_stamp", "time_frame", "data_source"])
+
+
 # --------------------------------------------------------------------------- T6 incremental EMA / RSI
 EMA_STATE = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("last_ms", T.LongType()),
