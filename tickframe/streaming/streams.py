@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import merge as M
-from ..operators import stats as A
 from ..session import fresh_path
 
 # The grouped-map / stateful functions below run in Python workers; ship this module's code
