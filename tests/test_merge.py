@@ -108,3 +108,23 @@ def test_paging_has_no_overlap_and_limit_first(spark):
     late = R.symbols_filtered(syms, is_active=True, asset_type="crypto", limit=5, limit_first=True)
     assert filtered.count() == 5 and late.count() <= 5
     assert {r.id for r in late.collect()} <= {r.id for r in R.symbols_page(syms, 5).collect()}
+
+
+def test_stored_candles_prune_months(spark):
+    import contextlib
+    import io
+
+    from tickframe.session import fresh_path
+    from tickframe.sources.tables import market_data
+
+    path = M.write_candles(market_data(spark, "/root/testdata/sf0.001"), fresh_path(spark, "md-test"))
+    df = R.time_range(M.read_candles(spark, path), "1998-01-01 00:00:00", "1998-02-15 00:00:00")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    plan = buf.getvalue()
+    assert "PartitionFilters" in plan and "year_month" in plan.split("PartitionFilters")[1].split("\n")[0]
+    assert "PushedFilters" in plan and "t_stamp" in plan.split("PushedFilters")[1].split("\n")[0]
+    months = {r.year_month for r in df.select("year_month").distinct().collect()}
+    assert months == {"1998-01", "1998-02"}
+    assert dict(M.read_candles(spark, path).dtypes)["open"] == "decimal(20,8)"

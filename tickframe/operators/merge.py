@@ -197,19 +197,20 @@ def with_year_month(df: DataFrame, ts_col: str = "t_stamp") -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
-    """Write ``df`` as Parquet. Overwrite mode replaces only the partitions present in
-    ``df`` (dynamic partition overwrite). Within files rows are sorted by the read key."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Write ``df`` as Parquet. Overwrite replaces only the partitions present in ``df``
+    (dynamic partition overwrite, set on this write only). Rows are clustered by partition
+    and sorted by (symbol_id, t_stamp) within files, so min/max statistics skip row groups
+    for point and range reads."""
     w = df
+    writer_opts = {"partitionOverwriteMode": "dynamic"}
     if partition_by:
         sort_cols = [c for c in ["symbol_id", "t_stamp"] if c in df.columns]
         w = df.repartition(*[F.col(c) for c in partition_by])
         if sort_cols:
             w = w.sortWithinPartitions(*partition_by, *sort_cols)
-        w.write.mode(mode).partitionBy(*partition_by).parquet(path)
+        w.write.options(**writer_opts).mode(mode).partitionBy(*partition_by).parquet(path)
     else:
-        w.write.mode(mode).parquet(path)
+        w.write.options(**writer_opts).mode(mode).parquet(path)
     return path
 
 
@@ -218,9 +219,23 @@ def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> str
     return publish(to_storage(with_year_month(candles), "market_data"), path, ["time_frame", "year_month"], mode)
 
 
+def stored_schema(table: str):
+    """Storage schema (declared decimals, partition columns as strings) of a stored table."""
+    from pyspark.sql import types as T
+
+    base = {"market_data": S.MARKET_DATA, "real_time_prices": S.REAL_TIME_PRICES,
+            "technical_indicators": S.TECHNICAL_INDICATORS}[table]
+    probe = to_storage(SparkSession.getActiveSession().createDataFrame([], base), table).schema
+    fields = list(probe.fields)
+    if table == "market_data":
+        fields.append(T.StructField("year_month", T.StringType(), True))
+    return T.StructType(fields)
+
+
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
-    """S2 over the stored table: partition columns become filterable (pruned) columns."""
-    return spark.read.parquet(path)
+    """S2 over the stored table, read with its declared schema: partition values keep their
+    string type (no inference, so time frame "1d" stays text) and become pruning filters."""
+    return spark.read.schema(stored_schema("market_data")).parquet(path)
 
 
 # --------------------------------------------------------------------------- U6 / U7 / U9 pair-driven writes

@@ -49,4 +49,5 @@ def publish_version(spark: SparkSession, tables: dict[str, DataFrame], root: str
 
 def read_version(spark: SparkSession, version: str) -> dict[str, DataFrame]:
     man = json.loads(spark.read.text(f"{version}/_manifest").first()[0])
-    return {name: spark.read.parquet(f"{version}/{name}") for name in man["tables"]}
+    return {name: (M.read_candles(spark, f"{version}/{name}") if name == "market_data"
+                   else spark.read.parquet(f"{version}/{name}")) for name in man["tables"]}

@@ -233,3 +233,22 @@ WHERE c.time_frame IS NOT NULL AND c.time_frame <> ''
 def timeframes_by_symbol(t: MarketTables) -> DataFrame:
     """Distinct time frames per symbol."""
     return R.timeframes_by_symbol(t.candles, t.symbols)
+
+
+@query("candles_stored_range", f"""
+SELECT symbol_id, t_stamp, CAST(open AS DECIMAL(20, 8)) AS open, CAST(close AS DECIMAL(20, 8)) AS close, volume,
+       time_frame, data_source, strftime(t_stamp, '%Y-%m') AS year_month
+FROM candles_t
+WHERE time_frame = '{TIME_FRAME}' AND t_stamp >= TIMESTAMP '{RANGE_LO}' AND t_stamp <= TIMESTAMP '{RANGE_HI}'
+""")
+def candles_stored_range(t: MarketTables) -> DataFrame:
+    """Candles written as the partitioned table (time_frame, year_month; decimal
+    storage types) and read back with an inclusive range: the scan prunes to the months in
+    range (PartitionFilters) and pushes the timestamp bounds (PushedFilters)."""
+    from ..operators import merge as M
+    from ..session import fresh_path
+
+    path = M.write_candles(t.candles, fresh_path(t.spark, "market_data"))
+    stored = M.read_candles(t.spark, path).filter(F.col("time_frame") == TIME_FRAME)
+    return R.time_range(stored, RANGE_LO, RANGE_HI).select(
+        "symbol_id", "t_stamp", "open", "close", "volume", "time_frame", "data_source", "year_month")
