@@ -68,7 +68,7 @@ def timeframe_minutes(t: MarketTables) -> DataFrame:
 
 
 @query("candles_validate", """
-SELECT time_frame, count_if(ok) AS valid_rows, count_if(NOT ok) AS invalid_rows FROM (
+SELECT time_frame, CAST(count_if(ok) AS BIGINT) AS valid_rows, CAST(count_if(NOT ok) AS BIGINT) AS invalid_rows FROM (
   SELECT time_frame, coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0
          AND regexp_full_match(time_frame, '(1m|5m|15m|30m|1h|4h|1d|1w|1M)'), false) AS ok
   FROM (SELECT time_frame, open, high, low, close, volume FROM candles_t

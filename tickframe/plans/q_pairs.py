@@ -50,8 +50,8 @@ def pairs_page(t: MarketTables) -> DataFrame:
 
 
 @query("pairs_counts", f"""
-SELECT count(*) AS total_pairs, count_if(status = 'online') AS active_pairs,
-       count_if(status = 'online' AND {_search_sql(COUNT_SEARCH)}) AS filtered_pairs
+SELECT count(*) AS total_pairs, CAST(count_if(status = 'online') AS BIGINT) AS active_pairs,
+       CAST(count_if(status = 'online' AND {_search_sql(COUNT_SEARCH)}) AS BIGINT) AS filtered_pairs
 FROM pairs_t
 """)
 def pairs_counts(t: MarketTables) -> DataFrame:

@@ -14,7 +14,7 @@ from .registry import query
 
 def _nulls_sql(table: str, cte: str, cols: list[str]) -> str:
     return "\nUNION ALL ".join(
-        f"SELECT '{table}' AS table_name, '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM {cte}"
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM {cte}"
         for c in cols)
 
 
@@ -60,13 +60,13 @@ def dq_orphans(t: MarketTables) -> DataFrame:
 
 
 @query("dq_ranges", f"""
-SELECT 'market_data' AS table_name, 'open_not_positive' AS rule, count_if(NOT coalesce(open > 0, false)) AS violations FROM candles_t
-UNION ALL SELECT 'market_data', 'high_not_positive', count_if(NOT coalesce(high > 0, false)) FROM candles_t
-UNION ALL SELECT 'market_data', 'low_not_positive', count_if(NOT coalesce(low > 0, false)) FROM candles_t
-UNION ALL SELECT 'market_data', 'close_not_positive', count_if(NOT coalesce(close > 0, false)) FROM candles_t
-UNION ALL SELECT 'market_data', 'volume_negative', count_if(NOT coalesce(volume >= 0, false)) FROM candles_t
-UNION ALL SELECT 'market_data', 'bad_time_frame', count_if(NOT coalesce(regexp_full_match(time_frame, '{S.TIMEFRAME_PATTERN[1:-1]}'), false)) FROM candles_t
-UNION ALL SELECT 'real_time_prices', 'price_not_positive', count_if(NOT coalesce(price > 0, false)) FROM prices_t
+SELECT 'market_data' AS table_name, 'open_not_positive' AS rule, CAST(count_if(NOT coalesce(open > 0, false)) AS BIGINT) AS violations FROM candles_t
+UNION ALL SELECT 'market_data', 'high_not_positive', CAST(count_if(NOT coalesce(high > 0, false)) AS BIGINT) FROM candles_t
+UNION ALL SELECT 'market_data', 'low_not_positive', CAST(count_if(NOT coalesce(low > 0, false)) AS BIGINT) FROM candles_t
+UNION ALL SELECT 'market_data', 'close_not_positive', CAST(count_if(NOT coalesce(close > 0, false)) AS BIGINT) FROM candles_t
+UNION ALL SELECT 'market_data', 'volume_negative', CAST(count_if(NOT coalesce(volume >= 0, false)) AS BIGINT) FROM candles_t
+UNION ALL SELECT 'market_data', 'bad_time_frame', CAST(count_if(NOT coalesce(regexp_full_match(time_frame, '{S.TIMEFRAME_PATTERN[1:-1]}'), false)) AS BIGINT) FROM candles_t
+UNION ALL SELECT 'real_time_prices', 'price_not_positive', CAST(count_if(NOT coalesce(price > 0, false)) AS BIGINT) FROM prices_t
 """)
 def dq_ranges(t: MarketTables) -> DataFrame:
     """Value-rule violations per rule."""
@@ -74,7 +74,7 @@ def dq_ranges(t: MarketTables) -> DataFrame:
 
 
 @query("dq_lengths", "\nUNION ALL ".join(
-    f"SELECT 'symbols' AS table_name, '{c}' AS column_name, {n} AS max_length, count_if(length({c}) > {n}) AS too_long FROM symbols_t"
+    f"SELECT 'symbols' AS table_name, '{c}' AS column_name, {n} AS max_length, CAST(count_if(length({c}) > {n}) AS BIGINT) AS too_long FROM symbols_t"
     for c, n in S.SYMBOL_LENGTHS.items()))
 def dq_lengths(t: MarketTables) -> DataFrame:
     """Q5: VARCHAR(n) limits of the symbols table."""

@@ -46,7 +46,7 @@ def stream_prices(t: MarketTables) -> DataFrame:
 _CLOSED_1H = """
 SELECT symbol_id, data_source, date_trunc('hour', ts) AS t_stamp,
        arg_min(price, (ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, id)) AS close,
-       sum(size) AS volume, count(*) AS trades
+       CAST(sum(size) AS BIGINT) AS volume, count(*) AS trades
 FROM ticks_t GROUP BY symbol_id, data_source, date_trunc('hour', ts)
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks_t) - INTERVAL 10 MINUTE"""
 
@@ -98,7 +98,7 @@ def stream_late(t: MarketTables) -> DataFrame:
 WITH w AS (
   SELECT t.*, date_trunc('hour', t.ts) - to_hours(CAST(k AS BIGINT)) AS window_start
   FROM ticks_t t, range(0, 24) r(k))
-SELECT symbol_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, sum(size) AS volume_24h,
+SELECT symbol_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, CAST(sum(size) AS BIGINT) AS volume_24h,
        arg_min(price, (ts, id)) AS first_price, arg_max(price, (ts, id)) AS last_price,
        arg_max(price, (ts, id)) - arg_min(price, (ts, id)) AS change_24h, count(*) AS trades
 FROM w GROUP BY symbol_id, window_start

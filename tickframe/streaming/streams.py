@@ -255,7 +255,8 @@ def ema_state_fn(key, pdfs, state: GroupState):
                   rest, [pend[m] for m in rest]))
     if rest:
         state.setTimeoutTimestamp(max(rest[0], wm + 1))
-    yield pd.DataFrame(rows, columns=["symbol_id", "time_frame", "t_stamp", "ema_12", "ema_26", "rsi_14"])
+    if rows:
+        yield pd.DataFrame(rows, columns=["symbol_id", "time_frame", "t_stamp", "ema_12", "ema_26", "rsi_14"])
 
 
 def ema_stream(bars: DataFrame, delay: str = "0 seconds") -> DataFrame:
