@@ -10,6 +10,7 @@ transactional, and ``foreachBatch`` writers publish each epoch to its own versio
 from __future__ import annotations
 
 import sys
+import warnings
 
 from collections.abc import Callable
 
@@ -229,6 +230,8 @@ def _ema_step(st: dict, close: float) -> tuple[float, float, float | None]:
 
 def ema_state_fn(key, pdfs, state: GroupState):
     """Per series: buffer bars, release those at or below the watermark in time order."""
+    # warm-up rows carry an all-NULL rsi_14; pandas warns when the worker concatenates them
+    warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation", category=FutureWarning)
     if state.exists:
         (n, last_ms, e12, e26, prev, gs, ls, ag, al, pend_ms, pend_close) = state.get
         st = dict(n=n, e12=e12, e26=e26, prev=prev, gs=gs, ls=ls, ag=ag, al=al)
