@@ -16,8 +16,9 @@ def _bars(spark, closes, highs=None, lows=None, vols=None):
     vols = vols or [100 + i for i in range(n)]
     rows = [(7, "1d", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), "s", closes[i], highs[i], lows[i], closes[i], vols[i])
             for i in range(n)]
-    return spark.createDataFrame(rows, "symbol_id int, time_frame string, t_stamp timestamp, data_source string, "
-                                       "open double, high double, low double, close double, volume bigint")
+    df = spark.createDataFrame(rows, "symbol_id int, time_frame string, t_stamp timestamp, data_source string, "
+                                     "open double, high double, low double, close double, volume bigint")
+    return I.series_bars(df)
 
 
 def _col(df, c):

@@ -28,11 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas as S
+
 # The grouped-map / stateful functions below run in Python workers; ship this module's code
 # with the task (pickle by value) so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SERIES = ["symbol_id", "time_frame"]
+# One real column naming a series: partitioning, windows and the grouped map all key on it,
+# so they share one exchange (a constant time_frame cannot be folded out of it).
+SERIES_KEY = "_series"
 SMA_PERIODS = [5, 10, 20, 50, 200]
 
 
@@ -41,21 +46,23 @@ def series_bars(candles: DataFrame) -> DataFrame:
     """One bar per (symbol, time frame, time): the indicator key has no data_source, so the
     bar of the lowest-ranked source (name order) is used. Partial-aggregable (min_by)."""
     bar = F.struct("data_source", "open", "high", "low", "close", "volume")
-    # Hash-partition by symbol once: symbol_id is a subset of every later clustering key
-    # (bar key, series key of the grouped map and of the windows), so all of them reuse this
-    # one exchange. (A constant time_frame is folded out of keys by the optimizer, so the
-    # partitioning must not depend on it.)
-    # The count is explicit so AQE keeps every partition: this stage is CPU-bound (frames and
-    # Python recurrences), where merged partitions only lengthen the slowest task.
+    # Hash-partition by series once: the bar key, the window partitions and the grouped-map
+    # key all contain the series column, so they reuse this one exchange, and the time frames
+    # of one symbol spread over tasks. The count is explicit so AQE keeps every partition:
+    # this stage is CPU-bound (frames and Python recurrences), where merged partitions only
+    # lengthen the slowest task.
+    tf_index = F.array_position(F.array(*[F.lit(x) for x in S.TIMEFRAMES]), F.col("time_frame"))
+    keyed = candles.withColumn(SERIES_KEY, F.col("symbol_id").cast("bigint") * 16 + tf_index)
     n = int(candles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_series = candles.repartition(n, F.col("symbol_id"))
-    g = by_series.groupBy("symbol_id", "time_frame", "t_stamp").agg(F.min_by(bar, F.col("data_source")).alias("b"))
-    return g.select("symbol_id", "time_frame", "t_stamp", "b.data_source", "b.open", "b.high", "b.low",
-                    "b.close", "b.volume")
+    by_series = keyed.repartition(n, F.col(SERIES_KEY))
+    g = by_series.groupBy(SERIES_KEY, "symbol_id", "time_frame", "t_stamp").agg(
+        F.min_by(bar, F.col("data_source")).alias("b"))
+    return g.select(SERIES_KEY, "symbol_id", "time_frame", "t_stamp", "b.data_source", "b.open", "b.high",
+                    "b.low", "b.close", "b.volume")
 
 
 def _w() -> Window:
-    return Window.partitionBy(*SERIES).orderBy("t_stamp")
+    return Window.partitionBy(SERIES_KEY).orderBy("t_stamp")
 
 
 def _frame(n: int) -> Window:
@@ -99,7 +106,7 @@ def window_indicators(bars: DataFrame) -> DataFrame:
     tp_sma = _list_sum(F.col("_tp20")) / 20
     md = _list_sum(F.transform("_tp20", lambda x: F.abs(x - tp_sma))) / 20
     df = df.select(
-        *[c for c in df.columns if not c.startswith("_")],
+        *[c for c in df.columns if not c.startswith("_") or c == SERIES_KEY],
         F.when(F.col("rn") >= 20, mid + sd * 2).alias("bollinger_upper"),
         mid.alias("bollinger_middle"),
         F.when(F.col("rn") >= 20, mid - sd * 2).alias("bollinger_lower"),
@@ -215,7 +222,8 @@ def series_recurrences(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-BAR_COLUMNS = ["symbol_id", "time_frame", "t_stamp", "data_source", "open", "high", "low", "close", "volume"]
+BAR_COLUMNS = [SERIES_KEY, "symbol_id", "time_frame", "t_stamp", "data_source", "open", "high", "low", "close",
+               "volume"]
 
 
 def recurrence_indicators(bars: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -225,7 +233,7 @@ def recurrence_indicators(bars: DataFrame, extra: list[str] | None = None) -> Da
     df = bars.select(*BAR_COLUMNS, *(extra or []))
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType(), True)
                                                      for c in RECURRENCE_COLUMNS])
-    return df.groupBy(*SERIES).applyInPandas(series_recurrences, schema)
+    return df.groupBy(SERIES_KEY).applyInPandas(series_recurrences, schema)
 
 
 WINDOW_COLUMNS = ["sma_5", "sma_10", "sma_20", "sma_50", "sma_200", "bollinger_upper", "bollinger_middle",
