@@ -194,3 +194,19 @@ def timeframes_by_symbol(candles: DataFrame, symbols: DataFrame, symbol: str | N
     if symbol is not None:
         s = s.filter(F.col("symbol") == symbol)
     return c.join(sized_broadcast(s), "symbol_id").select("symbol", "time_frame").distinct()
+
+
+def timeframe_lists(candles: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A3/L9 batch form: per symbol, its distinct time frames as a list in binary text order
+    (the reference's ORDER BY) and in duration order (F5 minutes). The set per symbol is
+    bounded by the number of time frames."""
+    from ..functions.timeframes import timeframe_minutes
+
+    c = candles.select("symbol_id", "time_frame").filter(
+        F.col("time_frame").isNotNull() & (F.col("time_frame") != "")).distinct()
+    s = symbols.select(F.col("id").alias("symbol_id"), "symbol")
+    g = c.join(sized_broadcast(s), "symbol_id").groupBy("symbol").agg(
+        F.array_sort(F.collect_set("time_frame")).alias("time_frames"),
+        F.array_sort(F.collect_set(F.struct(timeframe_minutes(F.col("time_frame")).alias("m"),
+                                            F.col("time_frame").alias("t")))).alias("_d"))
+    return g.select("symbol", "time_frames", F.transform("_d", lambda x: x["t"]).alias("time_frames_by_duration"))

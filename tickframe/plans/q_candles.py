@@ -104,3 +104,25 @@ def candles_partitioned(t: MarketTables) -> DataFrame:
     from ..operators.partitions import monthly_partitions
 
     return monthly_partitions(M.with_year_month(t.candles), ahead=12)
+
+
+_TF_MIN_SQL = ("CASE time_frame WHEN '1m' THEN 1 WHEN '5m' THEN 5 WHEN '15m' THEN 15 WHEN '30m' THEN 30 "
+               "WHEN '1h' THEN 60 WHEN '4h' THEN 240 WHEN '1d' THEN 1440 WHEN '1w' THEN 10080 WHEN '1M' THEN 21600 ELSE 60 END")
+
+
+@query("timeframes_sorted", f"""
+WITH tf AS (SELECT DISTINCT symbol_id, time_frame FROM (
+  SELECT symbol_id, time_frame FROM candles_t
+  UNION ALL SELECT symbol_id, '1w' FROM candles_t
+  UNION ALL SELECT symbol_id, '1M' FROM candles_t))
+SELECT s.symbol, list_sort(list(tf.time_frame)) AS time_frames,
+       list_transform(list_sort(list({{'m': {_TF_MIN_SQL}, 't': tf.time_frame}})), lambda x: x.t) AS time_frames_by_duration
+FROM tf JOIN symbols_t s ON s.id = tf.symbol_id
+GROUP BY s.symbol
+""")
+def timeframes_sorted(t: MarketTables) -> DataFrame:
+    """Per symbol, stored time frames (daily bars plus their weekly and monthly
+    roll-ups) sorted as text and by duration."""
+    cols = ["symbol_id", "time_frame"]
+    allc = t.candles.select(*cols).unionByName(_rollups(t).select(*cols))
+    return R.timeframe_lists(allc, t.symbols)
