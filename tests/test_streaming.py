@@ -38,15 +38,15 @@ def test_candle_stream_resumes_from_checkpoint(spark):
     assert resumed.exceptAll(once).count() == 0 and once.exceptAll(resumed).count() == 0
 
 
-def test_versioned_upsert_epoch_retry_is_idempotent(spark):
-    tk = ticks(spark, SF)
-    latest = ST.latest_prices_stream  # batch-compatible aggregate
-    batch = latest(tk)
-    sink = ST.VersionedUpsert(spark, fresh_path(spark, "t-ups"), ["symbol_id", "data_source"], ["ts", "id"])
+def test_versioned_upsert_epoch_retry_and_restart(spark):
+    batch = ST.latest_prices_stream(ticks(spark, SF))
+    root = fresh_path(spark, "t-ups")
+    sink = ST.VersionedUpsert(spark, root, ["symbol_id", "data_source"], ["ts", "id"])
     sink(batch, 0)
     sink(batch.filter(F.col("symbol_id") < 5), 1)
     v1 = spark.read.parquet(sink.current).orderBy("symbol_id", "data_source").collect()
-    sink.current = sink.root + "/v0000000000"      # retry of epoch 1 after a failure
-    sink(batch.filter(F.col("symbol_id") < 5), 1)
-    v1b = spark.read.parquet(sink.current).orderBy("symbol_id", "data_source").collect()
+    sink(batch.filter(F.col("symbol_id") < 5), 1)            # retry of epoch 1
+    again = ST.VersionedUpsert(spark, root, ["symbol_id", "data_source"], ["ts", "id"])
+    again(batch.filter(F.col("symbol_id") < 5), 1)           # restarted driver, same epoch
+    v1b = spark.read.parquet(again.current).orderBy("symbol_id", "data_source").collect()
     assert v1 == v1b and len(v1) == batch.count()

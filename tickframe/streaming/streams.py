@@ -84,18 +84,28 @@ def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int
 # --------------------------------------------------------------------------- T1 latest prices
 class VersionedUpsert:
     """foreachBatch sink: merge each micro-batch into the table and publish epoch ``n`` as
-    version ``n`` (previous version read, new path written; never in place)."""
+    the version folder ``epoch=n``. The previous version is found in storage (the highest
+    committed epoch below ``n``), not in driver memory, so a retried epoch or a restarted
+    driver rebuilds the same version; nothing is overwritten while it is read."""
 
     def __init__(self, spark: SparkSession, root: str, key: list[str], order: list[str]):
         self.spark, self.root, self.key, self.order = spark, root, key, order
         self.current: str | None = None
 
+    def _previous(self, epoch_id: int) -> DataFrame | None:
+        try:
+            versions = self.spark.read.parquet(self.root)
+        except Exception:  # noqa: BLE001  (no version published yet)
+            return None
+        prev = versions.filter(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
+        if prev is None:
+            return None
+        return self.spark.read.parquet(f"{self.root}/epoch={prev}")
+
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        path = f"{self.root}/v{epoch_id:010d}"
-        merged = batch
-        if self.current is not None:
-            prev = self.spark.read.parquet(self.current)
-            merged = M.first_per_key(prev.unionByName(batch), self.key, self.order, newest=True)
+        path = f"{self.root}/epoch={epoch_id}"
+        prev = self._previous(epoch_id)
+        merged = batch if prev is None else M.first_per_key(prev.unionByName(batch), self.key, self.order, newest=True)
         merged.write.mode("overwrite").parquet(path)
         self.current = path
 
