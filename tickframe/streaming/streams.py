@@ -169,19 +169,24 @@ class InsertIgnoreSink:
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         path = f"{self.root}/epoch={epoch_id}"
-        fresh = M.first_per_key(batch, self.key, [self.ts_col])
+        # two actions read the batch (its time bounds, then the write): compute it once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            table = self.spark.read.parquet(self.root)
-        except Exception:  # noqa: BLE001  (first epoch: no table yet)
-            table = None
-        if table is not None:
-            b = batch.agg(F.min(self.ts_col).alias("lo"), F.max(self.ts_col).alias("hi")).first()
-            if b["lo"] is not None:
-                near = table.filter((F.col(self.ts_col) >= F.lit(b["lo"]) - F.expr(f"INTERVAL {self.delay} SECONDS"))
-                                    & (F.col(self.ts_col) <= F.lit(b["hi"])))
-                near = near.filter(F.col("epoch") != epoch_id) if "epoch" in table.columns else near
-                fresh = fresh.join(near.select(*self.key), self.key, "left_anti")
-        fresh.write.mode("overwrite").parquet(path)
+            fresh = M.first_per_key(batch, self.key, [self.ts_col])
+            try:
+                table = self.spark.read.parquet(self.root)
+            except Exception:  # noqa: BLE001  (first epoch: no table yet)
+                table = None
+            if table is not None:
+                b = batch.agg(F.min(self.ts_col).alias("lo"), F.max(self.ts_col).alias("hi")).first()
+                if b["lo"] is not None:
+                    near = table.filter((F.col(self.ts_col) >= F.lit(b["lo"]) - F.expr(f"INTERVAL {self.delay} SECONDS"))
+                                        & (F.col(self.ts_col) <= F.lit(b["hi"])))
+                    near = near.filter(F.col("epoch") != epoch_id) if "epoch" in table.columns else near
+                    fresh = fresh.join(near.select(*self.key), self.key, "left_anti")
+            fresh.write.mode("overwrite").parquet(path)
+        finally:
+            batch.unpersist()
 
 
 def ohlc_document_stream(spark: SparkSession, landing: str, time_frame: str, files_per_batch: int = 1,
