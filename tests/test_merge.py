@@ -128,3 +128,12 @@ def test_stored_candles_prune_months(spark):
     months = {r.year_month for r in df.select("year_month").distinct().collect()}
     assert months == {"1998-01", "1998-02"}
     assert dict(M.read_candles(spark, path).dtypes)["open"] == "decimal(20,8)"
+
+
+def test_bad_price_is_quarantined(spark):
+    rows = spark.createDataFrame([("AAPL", -100.0), ("AAPL", 105.5), ("X", None)], "symbol string, price double")
+    ok, bad = R.validate_prices(rows)
+    assert [r.price for r in ok.collect()] == [105.5]
+    assert sorted((r.price, tuple(r.violations)) for r in bad.collect() if r.price is not None) == [
+        (-100.0, ("price_not_positive",))]
+    assert bad.count() == 2

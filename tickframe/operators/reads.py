@@ -177,10 +177,18 @@ def validate_candles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def price_violations() -> Column:
+    """A price row must have price > 0."""
     arr = F.array(F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), F.lit("price_not_positive")))
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+def validate_prices(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split incoming price rows into (valid, quarantine-with-reasons) in one pass."""
+    tagged = df.withColumn("violations", price_violations())
+    return (tagged.filter(F.size("violations") == 0).drop("violations"),
+            tagged.filter(F.size("violations") > 0))
+
+
 # --------------------------------------------------------------------------- time frames
 def timeframes_by_symbol(candles: DataFrame, symbols: DataFrame, symbol: str | None = None) -> DataFrame:
     """Distinct non-empty time frames per symbol, binary text order.
