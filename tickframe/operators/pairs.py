@@ -33,3 +33,13 @@ def newer_than_stored(fetched: DataFrame, stored: DataFrame, series: list[str],
     hwm = stored.groupBy(*series).agg(F.max(ts_col).alias("_hwm"))
     j = fetched.join(hwm, series, "left")
     return j.filter(F.col("_hwm").isNull() | (F.col(ts_col) > F.col("_hwm"))).drop("_hwm")
+
+
+def page_meta(filtered: DataFrame, limit: int, offset: int) -> DataFrame:
+    """One row: limit, offset, rows returned by the page, has_more, total (one count)."""
+    total = F.count(F.lit(1))
+    return filtered.agg(
+        F.lit(limit).alias("page_limit"), F.lit(offset).alias("page_offset"),
+        F.greatest(F.least(F.lit(limit).cast("bigint"), total - offset), F.lit(0).cast("bigint")).alias("returned"),
+        (F.lit(offset + limit) < total).alias("has_more"),
+        total.alias("total"))

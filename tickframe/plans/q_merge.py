@@ -298,3 +298,23 @@ def related_write(t: MarketTables) -> DataFrame:
                                          "real_time_prices": t.prices})
     tables = read_version(t.spark, version)
     return A.table_counts({k: tables[k] for k in ["symbols", "market_data", "real_time_prices"]})
+
+
+@query("sync_metrics", f"""
+WITH syms AS (SELECT symbol, is_active FROM symbols_t UNION ALL SELECT pair, true FROM pairs_t WHERE length(pair) % 2 = 0),
+m AS (SELECT pair, {_MAP_SQL} AS db_symbol FROM pairs_t),
+plan AS (
+  SELECT CASE WHEN s.symbol IS NULL THEN 'create'
+              WHEN s.is_active IS NOT DISTINCT FROM coalesce(p.status = 'online', false) THEN 'none'
+              ELSE 'update' END AS action
+  FROM m JOIN pairs_t p ON p.pair = m.pair LEFT JOIN syms s ON s.symbol = m.db_symbol)
+SELECT CAST(count_if(action = 'create') AS BIGINT) AS created, CAST(count_if(action = 'update') AS BIGINT) AS updated,
+       count(*) AS total_pairs
+FROM plan
+""")
+def sync_metrics(t: MarketTables) -> DataFrame:
+    """A5: created / updated / total counts of a symbol sync, one pass over its plan."""
+    plan = symbols_sync(t)
+    return plan.agg(F.count_if(F.col("action") == "create").alias("created"),
+                    F.count_if(F.col("action") == "update").alias("updated"),
+                    F.count(F.lit(1)).alias("total_pairs"))

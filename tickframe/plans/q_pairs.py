@@ -222,3 +222,20 @@ def iso_roundtrip(t: MarketTables) -> DataFrame:
     """timestamps to ISO-8601 text and back."""
     iso = FT.to_iso(F.col("ts"))
     return t.ticks.select("id", iso.alias("iso"), FT.parse_iso(iso).alias("parsed"))
+
+
+PAGE_LIMIT, PAGE_OFFSET = 50, 20
+
+
+@query("pairs_page_meta", f"""
+SELECT {PAGE_LIMIT} AS page_limit, {PAGE_OFFSET} AS page_offset,
+       CAST(greatest(least({PAGE_LIMIT}, count(*) - {PAGE_OFFSET}), 0) AS BIGINT) AS returned,
+       {PAGE_OFFSET} + {PAGE_LIMIT} < count(*) AS has_more, count(*) AS total
+FROM pairs_t WHERE status = 'online' AND {_search_sql(COUNT_SEARCH)}
+""")
+def pairs_page_meta(t: MarketTables) -> DataFrame:
+    """Pagination block of a filtered pair listing (returned, has_more, total)."""
+    from ..operators.pairs import page_meta
+
+    flt = t.pairs.filter(FP.status_filter("online") & FP.matches_search(COUNT_SEARCH))
+    return page_meta(flt, PAGE_LIMIT, PAGE_OFFSET)
