@@ -86,3 +86,19 @@ def test_latest_per_key(spark):
         "ts", F.lit("2024-01-01").cast("timestamp"))
     got = {r.symbol_id: r.price for r in I.latest_per_key(df, ["symbol_id", "data_source"]).collect()}
     assert got == {1: 30.0, 2: 5.0}
+
+
+def test_indicator_table_storage_types_and_key(spark):
+    from tickframe.operators import merge as M
+    from tickframe.session import fresh_path
+    from tickframe.sources.tables import market_data
+
+    ind = I.technical_indicators(market_data(spark, "/root/testdata/sf0.001"))
+    stored = M.to_storage(ind, "technical_indicators")
+    path = M.publish(stored, fresh_path(spark, "ti"))
+    back = spark.read.parquet(path)
+    types = dict(back.dtypes)
+    assert types["sma_20"] == "decimal(20,8)" and types["rsi_14"] == "decimal(10,4)"
+    assert types["volume_sma_20"] == "bigint" and types["adx"] == "decimal(10,4)"
+    n = back.count()
+    assert n == back.select("symbol_id", "timestamp", "time_frame").distinct().count() > 0
