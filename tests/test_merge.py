@@ -137,3 +137,28 @@ def test_bad_price_is_quarantined(spark):
     assert sorted((r.price, tuple(r.violations)) for r in bad.collect() if r.price is not None) == [
         (-100.0, ("price_not_positive",))]
     assert bad.count() == 2
+
+
+def test_apply_sync_creates_and_flips_is_active(spark):
+    pairs = spark.createDataFrame([("AAA", "A-alt", "cancel_only"), ("NEWUSD", "NEW", "online"), ("CCC", "C", "online")],
+                                  "pair string, altname string, status string")
+    mapping = spark.createDataFrame([("AAA", "AAA"), ("NEWUSD", "NEW/USD"), ("ZZZ", "ZZZ")], "pair string, db_symbol string")
+    syms = _symbols(spark)
+    plan = {r.pair: r for r in M.sync_plan(mapping, pairs, syms).collect()}
+    assert set(plan) == {"AAA", "NEWUSD"}                         # ZZZ is not offered
+    assert plan["AAA"].action == "update" and plan["AAA"].is_active is False
+    assert plan["NEWUSD"].action == "create" and plan["NEWUSD"].name == "NEW"
+    out = {r.symbol: r for r in M.apply_sync(M.sync_plan(mapping, pairs, syms), syms, _now()).collect()}
+    assert out["AAA"].is_active is False and out["AAA"].name == "A"
+    assert out["NEW/USD"].exchange == "Kraken" and out["NEW/USD"].is_active is True and out["NEW/USD"].id == 3
+    assert out["BBB"].is_active is False
+
+
+def test_missing_bars_listing(spark):
+    from tickframe.operators import quality as Q
+
+    c = _candles(spark, [(1, 1, d, 1.0, 1.0, 1.0, 1.0, 1, "1d", "x") for d in (1, 2, 5, 6)])
+    missing = sorted(r.t_stamp.day for r in Q.missing_bars(c).collect())
+    assert missing == [3, 4]
+    g = Q.gap_summary(c).first()
+    assert (g.expected, g.present, g.missing) == (6, 4, 2)
