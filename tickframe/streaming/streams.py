@@ -61,12 +61,30 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int =
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
 
 
+def _start(spark: SparkSession, writer):
+    """Start a new query with at most one state partition per core.
+
+    A stream fixes its state-partition count from ``spark.sql.shuffle.partitions`` when it
+    first starts (the query clones the session conf at start), so the value is capped at the
+    cluster's parallelism just for the start and then restored. Every micro-batch runs one
+    task per state partition, so more partitions than cores only add per-batch overhead.
+    """
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    n = max(1, min(int(prev), spark.sparkContext.defaultParallelism))
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, prev)
+
+
 def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> tuple[str, object]:
     """Run a stream over everything available now into a Parquet sink; return (path, query)."""
     spark = stream.sparkSession
     sink, ckpt = fresh_path(spark, f"{name}-out"), fresh_path(spark, f"{name}-ckpt")
-    q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
+    q = _start(spark, stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+               .outputMode(mode).trigger(availableNow=True))
     q.awaitTermination()
     return sink, q
 
@@ -75,8 +93,8 @@ def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int
                       mode: str = "update") -> object:
     spark = stream.sparkSession
     ckpt = fresh_path(spark, f"{name}-ckpt")
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
+    q = _start(spark, stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
+               .outputMode(mode).trigger(availableNow=True))
     q.awaitTermination()
     return q
 
