@@ -56,3 +56,11 @@ def test_point_read_filters_before_aggregating(spark, q):
     assert "TakeOrderedAndProject" in plan
     filters = [ln for ln in plan.splitlines() if ln.startswith("Condition") and "l_suppkey" in ln]
     assert filters and "= 7" in filters[0]
+
+
+def test_top_n_per_series_limits_before_the_shuffle(spark, q):
+    tree = _tree(_plan(q["candles_latest_per_symbol"](spark, SF_SMALL)))
+    lines = [ln.strip("+-: ") for ln in tree.splitlines()]
+    ex = next(i for i, ln in enumerate(lines) if ln.startswith("Exchange"))
+    assert any(ln.startswith("WindowGroupLimit") for ln in lines[ex + 1:])   # partial, map side
+    assert any(ln.startswith("WindowGroupLimit") for ln in lines[:ex])       # final
