@@ -50,3 +50,10 @@ def test_versioned_upsert_epoch_retry_and_restart(spark):
     again(batch.filter(F.col("symbol_id") < 5), 1)           # restarted driver, same epoch
     v1b = spark.read.parquet(again.current).orderBy("symbol_id", "data_source").collect()
     assert v1 == v1b and len(v1) == batch.count()
+
+
+def test_empty_delivery_lands_and_streams(spark):
+    empty = ticks(spark, SF).filter(F.col("id") < 0)
+    land = ST.land_in_order(empty, "ts", fresh_path(spark, "t-empty"), 3)
+    sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(spark, land, ST.TICK_SCHEMA)), "t-empty")
+    assert spark.read.schema("symbol_id int").parquet(sink).count() == 0

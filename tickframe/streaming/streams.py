@@ -42,6 +42,12 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str =
     """
     src = df.persist(StorageLevel.MEMORY_AND_DISK)  # computed once, re-read per chunk
     lo, hi = src.agg(F.min(ts_col), F.max(ts_col)).first()
+    if lo is None:  # nothing to deliver: land one empty file so the folder and schema exist
+        empty = src.limit(0)
+        (empty.select("value").write.mode("append").text(path) if fmt == "text"
+         else empty.write.mode("append").parquet(path))
+        src.unpersist()
+        return path
     span = (hi - lo) / chunks
     for i in range(chunks):
         a = lo + span * i
