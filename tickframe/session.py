@@ -29,13 +29,24 @@ _DEFAULT_CONF = {
 }
 
 
+def default_driver_memory(cap_gb: int = 8) -> str:
+    """About 60% of physical memory, at most ``cap_gb``: local mode runs everything in the
+    driver JVM, and a heap larger than the machine would be killed instead of spilling."""
+    try:
+        total = os.sysconf("SC_PHYS_PAGES") * os.sysconf("SC_PAGE_SIZE")
+        gb = max(1, min(cap_gb, int(total * 0.6 / 2 ** 30)))
+    except (ValueError, OSError, AttributeError):
+        gb = 2
+    return f"{gb}g"
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tickframe",
                   extra: dict | None = None) -> SparkSession:
     """Session for local runs and tests. On a cluster, pass the cluster's own session instead."""
     b = SparkSession.builder.master(master).appName(app)
     conf = {**_DEFAULT_CONF, **_REQUIRED_CONF,
             "spark.sql.shuffle.partitions": str(shuffle_partitions),
-            "spark.driver.memory": "8g"}
+            "spark.driver.memory": default_driver_memory()}
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
