@@ -162,3 +162,18 @@ def test_missing_bars_listing(spark):
     assert missing == [3, 4]
     g = Q.gap_summary(c).first()
     assert (g.expected, g.present, g.missing) == (6, 4, 2)
+
+
+def test_candles_latest_filter_first_vs_limit_first(spark):
+    from tickframe.sources.tables import market_data, symbols
+
+    c, s = market_data(spark, "/root/testdata/sf0.001"), symbols(spark, "/root/testdata/sf0.001")
+    lo, hi = "1996-01-01 00:00:00", "1996-12-31 00:00:00"
+    first = R.candles_latest(c, s, "Supplier#000000007", "1d", limit=10, lo=lo, hi=hi)
+    late = R.candles_latest(c, s, "Supplier#000000007", "1d", limit=10, lo=lo, hi=hi, limit_first=True)
+    rows = first.collect()
+    assert len(rows) == 10 and all(dt.datetime(1996, 1, 1) <= r.t_stamp <= dt.datetime(1996, 12, 31) for r in rows)
+    assert [r.t_stamp for r in rows] == sorted((r.t_stamp for r in rows), reverse=True)
+    assert late.count() == 0          # the newest 10 bars are after 1996: the reference's order returns nothing
+    edge = R.candles_latest(c, s, "Supplier#000000007", "1d", limit=1000, lo=rows[-1].t_stamp, hi=rows[0].t_stamp)
+    assert {r.t_stamp for r in rows} <= {r.t_stamp for r in edge.collect()}   # both ends inclusive
