@@ -218,8 +218,9 @@ def ohlc_document_stream(spark: SparkSession, landing: str, time_frame: str, fil
     """S9 + T3: landed OHLC documents (text, one per line) -> decoded candles, with re-sent
     bars dropped on the 4-column candle key inside the watermark delay."""
     from ..functions import payload as PL
+    from ..sources.payloads import stream_landing
 
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing)
+    raw = stream_landing(spark, landing, files_per_batch)
     ok, _ = PL.split_errors(raw)
     dec = PL.decode_ohlc(PL.ohlc_records(ok), time_frame).drop("value", "last")
     return dec.withWatermark("t_stamp", delay).dropDuplicatesWithinWatermark(
