@@ -102,3 +102,4 @@ def test_indicator_table_storage_types_and_key(spark):
     assert types["volume_sma_20"] == "bigint" and types["adx"] == "decimal(10,4)"
     n = back.count()
     assert n == back.select("symbol_id", "timestamp", "time_frame").distinct().count() > 0
+    assert back.filter(F.col("id").isNull()).count() == 0 and back.select("id").distinct().count() == n

@@ -254,7 +254,9 @@ def technical_indicators(candles: DataFrame) -> DataFrame:
 
     ind = all_indicators(series_bars(candles))
     return ind.select(
-        F.lit(None).cast("bigint").alias("id"),
+        # surrogate id from the key, no extra shuffle: bars are >= 1 minute apart, so
+        # (series, minute since epoch) is unique; 2^26 minutes reach the year 2097
+        (F.col(SERIES_KEY) * (1 << 26) + F.floor(F.unix_seconds("t_stamp") / 60)).cast("bigint").alias("id"),
         "symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame",
         *S.INDICATOR_COLUMNS,
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
