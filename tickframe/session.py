@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -68,12 +69,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, stream checkpoints and staged tables.
 
     Uses ``spark.checkpoint.dir`` from the session (the cluster's shared store). Only when
-    it is unset (local runs, tests) a fresh scratch folder is created and recorded.
+    it is unset on a single-JVM session (local runs, tests) a fresh scratch folder is created
+    and recorded; on a cluster an unset folder is an error, because a machine-local one would
+    lose data without notice.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tickframe-ckpt-", dir=os.environ.get("TICKFRAME_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
