@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_shards, line_dedup
+from . import kd_shards, line_dedup, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op2_simhash_anchors")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 64-bit SimHash, at most 2 differing bits."""
+    return simhash.simhash_digest(read(spark, sf_dir, "documents"))
+
+
 @query("op7_kd_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes: k-d tree over source, language and size."""
