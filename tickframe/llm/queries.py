@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_shards, line_dedup, simhash
+from . import bpe, kd_shards, line_dedup, simhash
 from .common import read
 
+
+def vocabulary() -> str:
+    """Where the installed public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -34,6 +42,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op9_bpe_backtracking")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with a public byte-level BPE vocabulary and decoded again."""
+    return bpe.bpe_digest(read(spark, sf_dir, "documents"), vocabulary())
+
+
 @query("op10_line_dedup", line_dedup.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 10 characters stay only in the first document that holds them."""
