@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_root, fresh_path
@@ -33,4 +35,17 @@ def small_batches(spark: SparkSession, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-__all__ = ["UPPER", "LOWER", "BLANKS", "read", "staged", "small_batches", "checkpoint_root", "fresh_path"]
+def byte_pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``size`` bytes, cut at spaces, so that words stay whole and a
+    very long text is never split into all its words at once."""
+    start = 0
+    while len(raw) - start > size:
+        cut = raw.find(b" ", start + size)
+        if cut < 0:
+            break
+        yield raw[start:cut]
+        start = cut
+    yield raw[start:] if start else raw
+
+
+__all__ = ["UPPER", "LOWER", "BLANKS", "read", "staged", "small_batches", "byte_pieces", "checkpoint_root", "fresh_path"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_shards, line_dedup, simhash
+from . import bpe, decontaminate, kd_shards, line_dedup, simhash
 from .common import read
 
 
@@ -36,6 +36,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op3_benchmark_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item up to a fifth of its words edited."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op7_kd_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes: k-d tree over source, language and size."""
