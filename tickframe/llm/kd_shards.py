@@ -26,8 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import staged
-
-TIE = "__tie"
+from .select import TIE, pick, tie_hash, weighted_cut
 
 
 def string_number(c: str) -> Column:
@@ -35,43 +34,6 @@ def string_number(c: str) -> Column:
     return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
 
 
-def _pick(values: list, node: str = "__node") -> Column:
-    """values[node], as a literal array."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.col(node))
-
-
-def _cut(rows: DataFrame, value: Column, nodes: list[dict], want: list[float], bins: int) -> list[dict | None]:
-    """For each node the largest value v whose rows up to v weigh at most ``want``, with what
-    they weigh (below) and what the rows of the next value up weigh (at).
-
-    ``rows`` has __node, size and everything ``value`` needs; rows with a null value don't count.
-    """
-    span = (rows.select("__node", value.alias("v"), "size").filter(F.col("v").isNotNull()))
-    lo: list[float | None] = [None] * len(nodes)
-    hi: list[float | None] = [None] * len(nodes)
-    below = [0.0] * len(nodes)
-    done: list[dict | None] = [None] * len(nodes)
-    for r in span.groupBy("__node").agg(F.min("v"), F.max("v"), F.sum("size")).collect():
-        lo[r[0]], hi[r[0]] = r[1], r[2]
-        if r[1] == r[2]:
-            done[r[0]] = {"v": r[1], "below": 0.0, "at": float(r[3])}
-    while any(d is None and x is not None for d, x in zip(done, lo)):
-        live = [d is None and x is not None for d, x in zip(done, lo)]
-        low, high = _pick([x if k else 1.0 for x, k in zip(lo, live)]), _pick([x if k else 0.0 for x, k in zip(hi, live)])
-        at = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
-        sums = (span.filter(F.col("v").between(low, high)).groupBy("__node", at.alias("bin"))
-                .agg(F.sum("size").alias("w"), F.min("v").alias("least"), F.max("v").alias("most")).collect())
-        for n in (i for i, k in enumerate(live) if k):
-            for r in sorted((r for r in sums if r["__node"] == n), key=lambda r: r["least"]):
-                if below[n] + r["w"] > want[n] or r["most"] >= hi[n]:
-                    lo[n], hi[n] = r["least"], r["most"]
-                    if r["least"] == r["most"]:
-                        done[n] = {"v": r["least"], "below": below[n], "at": float(r["w"])}
-                    break
-                below[n] += r["w"]
-    return done
-
-
 def kd_tree(meta: DataFrame, dims: list[str], shards: int, bins: int = 512) -> DataFrame:
     """``meta`` (size, the tie hash and double columns ``dims``) with an int column ``shard``."""
     span = meta.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first()
@@ -89,15 +51,15 @@ def kd_tree(meta: DataFrame, dims: list[str], shards: int, bins: int = 512) -> D
             dim.append(wide.index(max(wide)))
             want.append(float(r["w"]) * (n["n"] // 2) / n["n"] if r else 0.0)
         split = [n["n"] > 1 for n in level]
-        value = F.when(_pick(split), F.get(F.array(*dims), _pick(dim)))
-        first = _cut(rows, value, level, want, bins)
+        value = F.when(pick(split), F.get(F.array(*dims), pick(dim)))
+        first = weighted_cut(rows, value, level, want, bins)
         v = [c["v"] if c else 0.0 for c in first]
         rest = [w - c["below"] if c else 0.0 for w, c in zip(want, first)]
-        tied = _cut(rows, F.when(value == _pick(v), F.col(TIE)), level, rest, bins)
+        tied = weighted_cut(rows, F.when(value == pick(v), F.col(TIE)), level, rest, bins)
         # the rows of the median hash go to the side that they bring nearer to its share
         t = [(c["v"] if 2 * (r - c["below"]) >= c["at"] else math.nextafter(c["v"], -math.inf)) if c else -1.0
              for r, c in zip(rest, tied)]
-        right = (value > _pick(v)) | ((value == _pick(v)) & (F.col(TIE) > _pick(t)))
+        right = (value > pick(v)) | ((value == pick(v)) & (F.col(TIE) > pick(t)))
         after: list[dict] = []
         left_at, right_at = [], []
         for n in level:
@@ -108,10 +70,10 @@ def kd_tree(meta: DataFrame, dims: list[str], shards: int, bins: int = 512) -> D
             else:
                 after.append(n)
             right_at.append(len(after) - 1)
-        rows = staged(rows.withColumn("__node", F.when(F.coalesce(right, F.lit(False)), _pick(right_at))
-                                      .otherwise(_pick(left_at))), "kd-level")
+        rows = staged(rows.withColumn("__node", F.when(F.coalesce(right, F.lit(False)), pick(right_at))
+                                      .otherwise(pick(left_at))), "kd-level")
         level = after
-    return rows.withColumn("shard", _pick([n["first"] for n in level])).drop("__node")
+    return rows.withColumn("shard", pick([n["first"] for n in level])).drop("__node")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bins: int = 512) -> DataFrame:
@@ -124,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bins:
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         string_number("source").alias("__source"), string_number("lang").alias("__lang"),
-        F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)).cast("double").alias(TIE),
+        tie_hash("doc_id").alias(TIE),
     ).withColumn("__size", F.log2(F.col("size").cast("double"))), "kd-meta")
     rows = kd_tree(meta, ["__source", "__lang", "__size"], shards, bins)
 

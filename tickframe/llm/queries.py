@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, kd_shards, line_dedup, simhash
+from . import bpe, decontaminate, divergence, kd_shards, line_dedup, resample, simhash
 from .common import read
 
 
@@ -42,6 +42,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op4_divergence_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, Jensen-Shannon distances to the language references and the verdict of every document."""
+    return divergence.quality_rules(read(spark, sf_dir, "documents"))
+
+
+@query("op5_importance_resampling")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weights of all documents against the good labelled ones, and the Gumbel top-k selection."""
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op7_kd_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes: k-d tree over source, language and size."""
