@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, kd_shards, line_dedup, resample, simhash
+from . import bpe, decontaminate, divergence, kd_shards, line_dedup, resample, simhash, toxicity
 from .common import read
 
 
@@ -54,6 +54,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op6_subword_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels outside the held-out fold."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op7_kd_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes: k-d tree over source, language and size."""
