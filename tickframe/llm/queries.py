@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, kd_shards, line_dedup, resample, simhash, toxicity
+from . import bpe, decontaminate, divergence, kd_shards, langid, line_dedup, resample, simhash, toxicity
 from .common import read
 
 
@@ -66,6 +66,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op8_language_evidence")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page from its text, markup, address suffix and host."""
+    return langid.page_languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 @query("op9_bpe_backtracking")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with a public byte-level BPE vocabulary and decoded again."""
