@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, kd_shards, langid, line_dedup, resample, simhash, toxicity
+from . import bpe, decontaminate, divergence, kd_shards, langid, line_dedup, pii, resample, simhash, toxicity
 from .common import read
 
 
@@ -30,6 +30,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data replaced by surrogates (the key is a test value)."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), key="registered query").select("doc_id", "text", "n_replaced")
+
+
 @query("op2_simhash_anchors")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 64-bit SimHash, at most 2 differing bits."""
