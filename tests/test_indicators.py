@@ -103,3 +103,24 @@ def test_indicator_table_storage_types_and_key(spark):
     n = back.count()
     assert n == back.select("symbol_id", "timestamp", "time_frame").distinct().count() > 0
     assert back.filter(F.col("id").isNull()).count() == 0 and back.select("id").distinct().count() == n
+
+
+def test_unlisted_time_frames_are_series_of_their_own(spark):
+    import datetime as dt
+
+    from tickframe import schemas as S
+    from tickframe.operators import indicators as I
+
+    rows = [(i, 1, dt.datetime(2024, 1, 1 + i % 10), 1.0, 2.0, 0.5, float(10 + f), 1, None, tf, "x", None)
+            for f, tf in enumerate(["2h", "3h", None, "1d"]) for i in range(10)]
+    out = I.technical_indicators(spark.createDataFrame(rows, S.MARKET_DATA.fromJson({**S.MARKET_DATA.jsonValue(), "fields": [
+        {**x, "nullable": True} for x in S.MARKET_DATA.jsonValue()["fields"]]})).withColumn("id", F_id())).collect()
+    sma = {r.time_frame: {x.sma_5 for x in out if x.time_frame == r.time_frame and x.sma_5 is not None} for r in out}
+    assert sma == {"2h": {10.0}, "3h": {11.0}, None: {12.0}, "1d": {13.0}}
+    assert len({r.id for r in out}) == len(out) == 40
+
+
+def F_id():
+    from pyspark.sql import functions as F
+
+    return F.col("id").cast("bigint")

@@ -177,3 +177,90 @@ def test_candles_latest_filter_first_vs_limit_first(spark):
     assert late.count() == 0          # the newest 10 bars are after 1996: the reference's order returns nothing
     edge = R.candles_latest(c, s, "Supplier#000000007", "1d", limit=1000, lo=rows[-1].t_stamp, hi=rows[0].t_stamp)
     assert {r.t_stamp for r in rows} <= {r.t_stamp for r in edge.collect()}   # both ends inclusive
+
+
+def test_upsert_takes_rows_without_an_id(spark):
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    target = spark.createDataFrame([(10, 1, 150.75, 1.0, 2.0, 3, 2.5, 1.68, 4, "test", t0, t0)], S.REAL_TIME_PRICES)
+    inc = spark.createDataFrame([(1, 105.5, "test", t1, t1), (2, 7.0, "test", t1, t1), (3, 8.0, "test", t1, t1)],
+                                "symbol_id int, price double, data_source string, last_updated timestamp, created_at timestamp")
+    for c in ["bid", "ask", "change_24h", "change_percent_24h"]:
+        inc = inc.withColumn(c, F.lit(None).cast("double"))
+    inc = inc.withColumn("volume_24h", F.lit(None).cast("bigint")).withColumn("market_cap", F.lit(None).cast("bigint"))
+    out = {r.symbol_id: r for r in M.upsert_prices(target, inc).collect()}
+    assert (out[1].id, out[1].price, out[1].action) == (10, 105.5, "update")
+    assert sorted((out[k].id, out[k].action) for k in (2, 3)) == [(11, "insert"), (12, "insert")]
+    assert out[2].price == 7.0
+
+
+def test_create_symbols_equal_rows_and_missing_names(spark):
+    row = ("NEW", "n", "X", "crypto", "USD", True)
+    inc = spark.createDataFrame([row, row, row, ("BAD", None, "X", "crypto", "USD", True), ("BAD", "b", "X", "crypto", "USD", True),
+                                 (None, "n", "X", "crypto", "USD", True)],
+                                "symbol string, name string, exchange string, asset_type string, currency string, is_active boolean")
+    created, rejected = M.create_symbols(_symbols(spark), inc, _now())
+    assert sorted((r.symbol, r.name) for r in created.collect()) == [("BAD", "b"), ("NEW", "n")]
+    assert sorted((r.symbol or "", r.reason) for r in rejected.collect()) == [
+        ("", "symbol_missing"), ("BAD", "name_missing"), ("NEW", "duplicate_in_batch"), ("NEW", "duplicate_in_batch")]
+
+
+def test_update_with_repeated_changes_keeps_one_row(spark):
+    ch = spark.createDataFrame([(1, "AAA", "first"), (2, "AAA", "second")], "seq int, symbol string, name string")
+    out = M.update_symbols(_symbols(spark), ch, _now(), order=["seq"]).filter("symbol = 'AAA'").collect()
+    assert [r.name for r in out] == ["second"]
+
+
+def test_add_pairs_picks_one_offered_request(spark):
+    pairs = spark.createDataFrame([("XBTEUR", "XBT/EUR", "online"), ("DOGEUSD", "D", "online")], "pair string, altname string, status string")
+    req = spark.createDataFrame([("BTCEUR",), ("XBTEUR",), ("dogeusd",), ("dogeusd",)], "requested string")
+    got = sorted((r.requested, r.action) for r in M.add_pairs_plan(req, pairs, _symbols(spark)).collect())
+    assert got == [("BTCEUR", "not_found"), ("XBTEUR", "create"), ("dogeusd", "create"), ("dogeusd", "duplicate_in_batch")]
+    given = req.limit(0).unionByName(spark.createDataFrame([("xbteur",)], "requested string")).withColumn("db_symbol", F.lit("AAA"))
+    assert [r.action for r in M.add_pairs_plan(given, pairs, _symbols(spark)).collect()] == ["exists"]
+
+
+def test_monthly_gaps_are_calendar_months(spark):
+    from tickframe.operators import quality as Q
+
+    rows = [(m, 1, dt.datetime(2023, m, 1), 1.0, 1.0, 1.0, 1.0, 1, None, "1M", "x", None) for m in range(1, 13)]
+    c = spark.createDataFrame(rows, S.MARKET_DATA)
+    g = Q.gap_summary(c).first()
+    assert (g.expected, g.present, g.missing) == (12, 12, 0) and Q.missing_bars(c).count() == 0
+    some = c.filter("id not in (3, 7)")
+    assert Q.gap_summary(some).first().missing == 2
+    assert sorted(r.t_stamp.month for r in Q.missing_bars(some).collect()) == [3, 7]
+
+
+def test_ingest_rerun_appends_nothing(spark):
+    from tickframe.session import fresh_path
+
+    rows = [("XBTUSD", dt.datetime(2024, 1, d), 1.0, 2.0, 0.5, o, v, 1.0, "1d", "kraken") for d, o, v in [(1, 1.5, 3), (2, 1.5, None), (40 % 28, -1.0, 1)]]
+    dec = spark.createDataFrame(rows, "pair string, t_stamp timestamp, open double, high double, low double, close double, volume bigint, "
+                                      "adjusted_close double, time_frame string, data_source string")
+    path = fresh_path(spark, "t-ingest")
+    syms, bad, counts = M.ingest_ohlc(dec, _symbols(spark), path, _now())
+    assert {r.metric: r.value for r in counts.collect()} == {"fetched": 3, "inserted": 2, "quarantined": 1}
+    assert [r.violations for r in bad.collect()] == [["close_not_positive"]]
+    assert syms.filter("symbol = 'BTC/USD'").count() == 1
+    first = sorted(map(tuple, M.read_candles(spark, path).select("id", "volume", "t_stamp").collect()))
+    assert [r[:2] for r in sorted(first, key=lambda r: r[2])] and {r[1] for r in first} == {0, 3} and {r[0] for r in first} == {1, 2}
+    _, _, again = M.ingest_ohlc(dec, syms, path, _now())
+    assert {r.metric: r.value for r in again.collect()}["inserted"] == 0
+    assert sorted(map(tuple, M.read_candles(spark, path).select("id", "volume", "t_stamp").collect())) == first
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from tickframe.session import checkpoint_root
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        checkpoint_root(Session())

@@ -26,9 +26,10 @@ def q():
     return E.queries()
 
 
-def test_indicator_pipeline_has_two_exchanges(spark, q):
+def test_indicator_pipeline_has_three_exchanges(spark, q):
     tree = _tree(_plan(q["indicators_all"](spark, SF_SMALL)))
-    assert tree.count("Exchange") == 2, tree       # adapter aggregate + one series partitioning
+    assert tree.count("Exchange") == 3, tree       # adapter aggregate, bars reduced to one feed, series
+    assert "REPARTITION_BY_NUM" not in _plan(q["indicators_all"](spark, SF_SMALL))
     assert "FlatMapGroupsInPandas" in tree and "Window" in tree
 
 
@@ -44,9 +45,10 @@ def test_stored_candles_prune_partitions(spark, q):
     assert part and "year_month" in part[0] and "time_frame" in part[0]
 
 
-def test_symbol_join_is_a_checked_broadcast_and_scan_is_pruned(spark, q):
-    plan = _plan(q["candles_with_symbols"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in plan
+def test_symbol_join_has_no_hint_and_scan_is_pruned(spark, q):
+    df = q["candles_with_symbols"](spark, SF_SMALL)
+    assert df._jdf.queryExecution().analyzed().toString().count("ResolvedHint") == 2   # nation and region only
+    plan = _plan(df)
     schema = [ln for ln in plan.splitlines() if "ReadSchema" in ln and "l_orderkey" in ln][0]
     assert "l_discount" not in schema and "l_tax" not in schema and "l_linestatus" not in schema
 
@@ -54,8 +56,14 @@ def test_symbol_join_is_a_checked_broadcast_and_scan_is_pruned(spark, q):
 def test_point_read_filters_before_aggregating(spark, q):
     plan = _plan(q["candles_latest"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan
-    filters = [ln for ln in plan.splitlines() if ln.startswith("Condition") and "l_suppkey" in ln]
-    assert filters and "= 7" in filters[0]
+    assert any("EqualTo(l_suppkey,7)" in ln for ln in plan.splitlines() if "PushedFilters" in ln)
+    prices = _plan(q["prices_by_symbol"](spark, SF_SMALL))
+    assert any("EqualTo(user_id,7)" in ln for ln in prices.splitlines() if "PushedFilters" in ln)
+
+
+def test_merge_counts_scan_each_side_once(spark, q):
+    tree = _tree(_plan(q["merge_metrics"](spark, SF_SMALL)))
+    assert tree.count("Scan parquet") == 3, tree   # target, incoming and its conflicting copies
 
 
 def test_top_n_per_series_limits_before_the_shuffle(spark, q):

@@ -57,3 +57,40 @@ def test_empty_delivery_lands_and_streams(spark):
     land = ST.land_in_order(empty, "ts", fresh_path(spark, "t-empty"), 3)
     sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(spark, land, ST.TICK_SCHEMA)), "t-empty")
     assert spark.read.schema("symbol_id int").parquet(sink).count() == 0
+
+
+def test_a_failing_read_is_raised_not_taken_for_an_empty_table(spark, monkeypatch):
+    import pytest
+
+    batch = ST.latest_prices_stream(ticks(spark, SF))
+    sink = ST.VersionedUpsert(spark, fresh_path(spark, "t-fail"), ["symbol_id", "data_source"], ["ts", "id"])
+    sink(batch, 0)
+
+    def broken(*a, **k):
+        raise OSError("storage is away")
+    monkeypatch.setattr(type(spark.read), "parquet", broken)
+    with pytest.raises(OSError):
+        sink(batch.filter(F.col("symbol_id") < 5), 1)
+    monkeypatch.undo()
+    assert spark.read.parquet(sink.current).count() == batch.count()
+
+
+def test_late_rows_are_added_up_over_all_batches(spark):
+    from types import SimpleNamespace as N
+
+    drops = ST.WatermarkDrops(spark)
+    for b in range(150):
+        drops.onQueryProgress(N(progress=N(runId="r", stateOperators=[N(numRowsDroppedByWatermark=2), N(numRowsDroppedByWatermark=1)])))
+    drops.onQueryTerminated(N(runId="r"))
+    assert drops.total(N(runId="r")) == 450
+
+
+def test_deliveries_of_several_files_give_the_same_candles(spark):
+    tk = ticks(spark, SF)
+    out = []
+    for files in (1, 3):
+        land = ST.land_in_order(tk, "ts", fresh_path(spark, "t-files"), 4, files=files)
+        assert len(spark.read.parquet(land).inputFiles()) == 4 * files
+        sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(spark, land, ST.TICK_SCHEMA, files)), "t-files")
+        out.append(spark.read.parquet(sink))
+    assert out[0].exceptAll(out[1]).count() == 0 == out[1].exceptAll(out[0]).count() and out[0].count() > 0

@@ -46,16 +46,12 @@ def series_bars(candles: DataFrame) -> DataFrame:
     """One bar per (symbol, time frame, time): the indicator key has no data_source, so the
     bar of the lowest-ranked source (name order) is used. Partial-aggregable (min_by)."""
     bar = F.struct("data_source", "open", "high", "low", "close", "volume")
-    # Hash-partition by series once: the bar key, the window partitions and the grouped-map
-    # key all contain the series column, so they reuse this one exchange, and the time frames
-    # of one symbol spread over tasks. The count is explicit so AQE keeps every partition:
-    # this stage is CPU-bound (frames and Python recurrences), where merged partitions only
-    # lengthen the slowest task.
-    tf_index = F.array_position(F.array(*[F.lit(x) for x in S.TIMEFRAMES]), F.col("time_frame"))
-    keyed = candles.withColumn(SERIES_KEY, F.col("symbol_id").cast("bigint") * 16 + tf_index)
-    n = int(candles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_series = keyed.repartition(n, F.col(SERIES_KEY))
-    g = by_series.groupBy(SERIES_KEY, "symbol_id", "time_frame", "t_stamp").agg(
+    # The feeds of a bar are reduced where the rows lie (partial min_by), then the bars are
+    # partitioned by the series column once: the windows and the grouped map reuse that exchange,
+    # and the time frames of one symbol spread over tasks. The column spells out both key parts,
+    # so any two time frames (a NULL one included) are different series.
+    series = F.concat_ws(":", F.col("symbol_id").cast("string"), F.coalesce("time_frame", F.lit("-")))
+    g = candles.withColumn(SERIES_KEY, series).groupBy(SERIES_KEY, "symbol_id", "time_frame", "t_stamp").agg(
         F.min_by(bar, F.col("data_source")).alias("b"))
     return g.select(SERIES_KEY, "symbol_id", "time_frame", "t_stamp", "b.data_source", "b.open", "b.high",
                     "b.low", "b.close", "b.volume")
@@ -253,10 +249,13 @@ def technical_indicators(candles: DataFrame) -> DataFrame:
     from .. import schemas as S
 
     ind = all_indicators(series_bars(candles))
+    listed = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in S.TIMEFRAMES]), F.col("time_frame")), F.lit(0))
     return ind.select(
-        # surrogate id from the key, no extra shuffle: bars are >= 1 minute apart, so
-        # (series, minute since epoch) is unique; 2^26 minutes reach the year 2097
-        (F.col(SERIES_KEY) * (1 << 26) + F.floor(F.unix_seconds("t_stamp") / 60)).cast("bigint").alias("id"),
+        # surrogate id from the key, no extra shuffle: bars are >= 1 minute apart, so (symbol, listed
+        # time frame, minute since epoch) is unique; 2^26 minutes reach the year 2097. Other time
+        # frames get a negative hash of the key.
+        F.when(listed > 0, (F.col("symbol_id").cast("bigint") * 16 + listed) * (1 << 26) + F.floor(F.unix_seconds("t_stamp") / 60))
+        .otherwise(-F.abs(F.shiftright(F.xxhash64(SERIES_KEY, "t_stamp"), 1)) - 1).cast("bigint").alias("id"),
         "symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame",
         *S.INDICATOR_COLUMNS,
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),

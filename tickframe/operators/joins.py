@@ -1,8 +1,8 @@
 """Joins of the market tables (inner/left/semi/anti), all equi-joins on declared keys.
 
-Dimension sides (symbols, sessions, source ranks) are broadcast only after their row count
-is checked against a bound; beyond it the join stays a shuffle join that AQE may still
-convert at runtime from the measured shuffle size.
+No join carries a hint: Spark broadcasts a side when its measured size is below
+``spark.sql.autoBroadcastJoinThreshold`` (AQE decides from the shuffle files), and splits
+skewed partitions of the shuffle joins that remain.
 """
 
 from __future__ import annotations
@@ -10,20 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may have. A symbols row projected for a join is < 100 bytes,
-# so the bound keeps a broadcast well under 100 MB.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it unchanged.
-
-    The check reads at most ``max_rows + 1`` rows (a bounded LIMIT job), never the whole side.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 SYMBOL_VIEW_COLS = ["symbol", "name", "exchange", "asset_type"]
 
 
@@ -34,7 +20,7 @@ def active_symbols(symbols: DataFrame) -> DataFrame:
 def candles_with_symbols(candles: DataFrame, symbols: DataFrame, active_only: bool = True) -> DataFrame:
     """market_data_with_symbols view (J1/J13/P11): 14 columns, t_stamp renamed to timestamp."""
     s = active_symbols(symbols) if active_only else symbols
-    s = sized_broadcast(s.select(F.col("id").alias("symbol_id"), *SYMBOL_VIEW_COLS))
+    s = s.select(F.col("id").alias("symbol_id"), *SYMBOL_VIEW_COLS)
     j = candles.join(s, "symbol_id")
     return j.select(*SYMBOL_VIEW_COLS, F.col("t_stamp").alias("timestamp"), "open", "high", "low", "close",
                     "volume", "adjusted_close", "time_frame", "data_source", "created_at")
@@ -46,15 +32,15 @@ LATEST_PRICE_COLS = ["price", "bid", "ask", "volume_24h", "change_24h", "change_
 
 def latest_prices(prices: DataFrame, symbols: DataFrame) -> DataFrame:
     """latest_prices view (J12): prices of active symbols, 14 columns."""
-    s = sized_broadcast(active_symbols(symbols).select(
-        F.col("id").alias("symbol_id"), "symbol", "name", "exchange", "asset_type", "currency"))
+    s = active_symbols(symbols).select(
+        F.col("id").alias("symbol_id"), "symbol", "name", "exchange", "asset_type", "currency")
     return prices.join(s, "symbol_id").select(
         "symbol", "name", "exchange", "asset_type", "currency", *LATEST_PRICE_COLS)
 
 
 def prices_with_symbols(prices: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All prices with the symbol text and name (no activity filter)."""
-    s = sized_broadcast(symbols.select(F.col("id").alias("symbol_id"), "symbol", "name"))
+    """All prices with symbol text, name, exchange and asset type (no activity filter)."""
+    s = symbols.select(F.col("id").alias("symbol_id"), *SYMBOL_VIEW_COLS)
     return prices.join(s, "symbol_id")
 
 
@@ -68,7 +54,7 @@ def indicators_with_symbols(indicators: DataFrame, symbols: DataFrame) -> DataFr
     """technical_indicators_with_symbols view."""
     from .. import schemas as S
 
-    s = sized_broadcast(active_symbols(symbols).select(F.col("id").alias("symbol_id"), "symbol", "name", "exchange"))
+    s = active_symbols(symbols).select(F.col("id").alias("symbol_id"), "symbol", "name", "exchange")
     return indicators.join(s, "symbol_id").select(
         "symbol", "name", "exchange", "timestamp", "time_frame", *S.INDICATOR_COLUMNS, "created_at")
 
@@ -81,7 +67,7 @@ def candles_left_indicators(candles: DataFrame, symbols: DataFrame, indicators:
     out across time frames.
     """
     cols = columns or ["sma_20", "rsi_14", "macd"]
-    s = sized_broadcast(symbols.select(F.col("id").alias("symbol_id"), "symbol"))
+    s = symbols.select(F.col("id").alias("symbol_id"), "symbol")
     keys = ["symbol_id", "t_stamp"] + (["time_frame"] if match_time_frame else [])
     ind = indicators.select("symbol_id", F.col("timestamp").alias("t_stamp"),
                             *(["time_frame"] if match_time_frame else []), *cols)
@@ -93,17 +79,11 @@ def candles_left_indicators(candles: DataFrame, symbols: DataFrame, indicators:
 
 def resolve_symbols(incoming: DataFrame, symbols: DataFrame, symbol_col: str = "symbol") -> DataFrame:
     """Name -> id for a whole batch in one join (left: unresolved rows keep a NULL id)."""
-    s = sized_broadcast(symbols.select(F.col("symbol").alias(symbol_col), F.col("id").alias("symbol_id")))
+    s = symbols.select(F.col("symbol").alias(symbol_col), F.col("id").alias("symbol_id"))
     return incoming.join(s, symbol_col, "left")
 
 
 def unresolved_symbols(incoming: DataFrame, symbols: DataFrame, symbol_col: str = "symbol") -> DataFrame:
     """Rows whose symbol is unknown (the reference answers 404 per row)."""
-    s = sized_broadcast(symbols.select(F.col("symbol").alias(symbol_col)))
+    s = symbols.select(F.col("symbol").alias(symbol_col))
     return incoming.join(s, symbol_col, "left_anti")
-
-
-def cascade_delete(deleted_ids: DataFrame, *children: DataFrame) -> list[DataFrame]:
-    """Drop child rows whose symbol_id was deleted (ON DELETE CASCADE)."""
-    ids = sized_broadcast(deleted_ids.select(F.col("id").alias("symbol_id")).distinct())
-    return [c.join(ids, "symbol_id", "left_anti") for c in children]

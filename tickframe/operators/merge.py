@@ -9,12 +9,12 @@ overwritten in place while it is being read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..session import checkpoint_root
-from .joins import sized_broadcast
 
 CANDLE_KEY = ["symbol_id", "t_stamp", "time_frame", "data_source"]
 PRICE_KEY = ["symbol_id", "data_source"]
@@ -68,24 +68,40 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str], order:
     return fresh.join(target.select(*key), key, "left_anti")
 
 
+def merge_counts(target: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """A5: fetched, unique_keys and inserted of an insert-ignore merge. Every row is tagged once and
+    counted per key in one shuffle (counts combine map-side)."""
+    tagged = incoming.select(*key, F.lit(1).alias("_in"), F.lit(0).alias("_has")).unionByName(
+        target.select(*key, F.lit(0).alias("_in"), F.lit(1).alias("_has")))
+    per_key = tagged.groupBy(*key).agg(F.sum("_in").alias("n"), F.max("_has").alias("has"))
+    one = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("fetched"), F.count_if(F.col("n") > 0).alias("unique_keys"),
+                      F.count_if((F.col("n") > 0) & (F.col("has") == 0)).alias("inserted"))
+    return one.unpivot([], ["fetched", "unique_keys", "inserted"], "metric", "value")
+
+
 def insert_ignore_table(target: DataFrame, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """U1 as the resulting table (target plus the appended rows)."""
     return target.unionByName(insert_ignore(target, incoming, key, order).select(*target.columns))
 
 
 # --------------------------------------------------------------------------- U2 upsert
-def upsert_prices(target: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
+def upsert_prices(target: DataFrame, incoming: DataFrame, now: Column | None = None, assign_missing: bool | None = None) -> DataFrame:
     """INSERT ... ON CONFLICT (symbol_id, data_source) DO UPDATE.
 
     The incoming row replaces all seven value fields (NULLs overwrite too) and sets
     last_updated; id and created_at of an existing row are kept. Several incoming rows per
-    key: the newest (last_updated, id) wins. One full outer join on the key.
+    key: the newest (last_updated, then the other fields) wins. One full outer join on the
+    key. Incoming rows need no id (decoded tickers have none): with ``assign_missing`` (default:
+    where ``incoming`` has no id column) inserted rows without one get ids above all known ones.
     """
-    inc = first_per_key(incoming, PRICE_KEY, ["last_updated", "id"], newest=True)
+    assign_missing = "id" not in incoming.columns if assign_missing is None else assign_missing
+    if "id" not in incoming.columns:
+        incoming = incoming.withColumn("id", F.lit(None).cast("bigint"))
+    inc = first_per_key(incoming, PRICE_KEY, ["last_updated", "id", *PRICE_FIELDS], newest=True).withColumn("_hit", F.lit(True))
     t = target.alias("t")
     i = inc.alias("i")
     j = t.join(i, PRICE_KEY, "full_outer")
-    hit = F.col("i.id").isNotNull()
+    hit = F.col("i._hit").isNotNull()
     cols = [F.coalesce(F.col("t.id"), F.col("i.id")).alias("id"), *[F.col(k) for k in PRICE_KEY]]
     for c in PRICE_FIELDS:
         cols.append(F.when(hit, F.col(f"i.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
@@ -94,7 +110,12 @@ def upsert_prices(target: DataFrame, incoming: DataFrame, now: Column | None = N
     cols.append(F.coalesce(F.col("t.created_at"), F.col("i.created_at")).alias("created_at"))
     cols.append(F.when(F.col("t.id").isNull(), F.lit("insert"))
                 .when(hit, F.lit("update")).otherwise(F.lit("keep")).alias("action"))
-    return j.select(*cols)
+    merged = j.select(*cols)
+    if not assign_missing:
+        return merged
+    base = max_id(target.select("id").unionByName(incoming.select("id")))
+    fresh = assign_ids(merged.filter(F.col("id").isNull()).drop("id"), PRICE_KEY, base=base)
+    return merged.filter(F.col("id").isNotNull()).unionByName(fresh.select(*merged.columns))
 
 
 # --------------------------------------------------------------------------- U3 / U4 / U5 symbols
@@ -107,23 +128,33 @@ def symbol_defaults(df: DataFrame) -> DataFrame:
 def create_symbols(symbols: DataFrame, incoming: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Create symbols with defaults; the symbol text is unique.
 
-    Returns (created rows with fresh ids, rejected rows with a reason). A name already in the
-    table, or repeated inside the batch, is rejected (the reference raises on duplicates).
+    Returns (created rows with fresh ids, rejected rows with a reason). A NULL in a NOT NULL
+    column, a text over its declared length, a symbol already in the table or one repeated
+    inside the batch is rejected (the reference raises). Of the valid rows of one new symbol
+    exactly one is created, the least by (name, exchange, other columns); equal rows are
+    counted together before the shuffle, so one symbol may hold any share of the batch.
     """
     now = now if now is not None else F.current_timestamp()
     inc = symbol_defaults(incoming)
-    # in-batch duplicates: the first row per symbol (by name, exchange) is kept
-    firsts = inc.groupBy("symbol").agg(F.min(F.struct("name", "exchange")).alias("_first"))
-    inc = (inc.join(firsts, "symbol")
-              .withColumn("_dup", F.struct("name", "exchange") != F.col("_first")).drop("_first"))
-    existing = sized_broadcast(symbols.select("symbol", F.lit(True).alias("_exists")))
-    tagged = inc.join(existing, "symbol", "left")
-    reason = (F.when(F.col("_exists"), F.lit("duplicate_symbol"))
-              .when(F.col("_dup"), F.lit("duplicate_in_batch")))
-    for name, n in S.SYMBOL_LENGTHS.items():
+    fault = F.lit(None).cast("string")
+    for name, n in reversed(S.SYMBOL_LENGTHS.items()):
         if name in incoming.columns:
-            reason = reason.when(F.length(name) > n, F.lit(f"{name}_too_long"))
-    tagged = tagged.withColumn("reason", reason).drop("_exists", "_dup")
+            fault = F.when(F.length(name) > n, F.lit(f"{name}_too_long")).otherwise(fault)
+    for name in reversed(S.NOT_NULL["symbols"]):
+        fault = F.when(F.col(name).isNull(), F.lit(f"{name}_missing")).otherwise(fault)
+    others = ["name", "exchange", *[c for c in inc.columns if c not in ("symbol", "name", "exchange")]]
+    rows = inc.groupBy(*inc.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_fault", fault)
+    firsts = (rows.filter(F.col("_fault").isNull()).groupBy("symbol").agg(F.min(F.struct(*others)).alias("_first"))
+              .withColumnRenamed("symbol", "_symbol"))
+    existing = symbols.select(F.col("symbol").alias("_known"))
+    tagged = (rows.join(firsts, F.col("symbol") == F.col("_symbol"), "left").join(existing, F.col("symbol") == F.col("_known"), "left")
+              .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))))
+    first = F.struct(*others).eqNullSafe(F.col("_first")) & (F.col("_copy") == 1)
+    reason = (F.when(F.col("_fault").endswith("_missing"), F.col("_fault"))
+              .when(F.col("_known").isNotNull(), F.lit("duplicate_symbol"))
+              .when(F.col("_fault").isNotNull(), F.col("_fault"))
+              .when(~first, F.lit("duplicate_in_batch")))
+    tagged = tagged.select(*inc.columns, reason.alias("reason"))
     ok = tagged.filter(F.col("reason").isNull()).drop("reason")
     ok = assign_ids(ok, ["symbol"], base=max_id(symbols), id_col="id").withColumn("id", F.col("id").cast("int"))
     for c in ["sector", "industry"]:
@@ -139,8 +170,9 @@ UPDATE_FIELDS = ["name", "sector", "industry", "market_cap"]
 
 
 def update_symbols(symbols: DataFrame, changes: DataFrame, now: Column | None = None,
-                   replace: bool = False, fields: list[str] | None = None) -> DataFrame:
-    """U4: apply a batch of changes keyed by symbol.
+                   replace: bool = False, fields: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """U4: apply a batch of changes keyed by symbol; several changes of one symbol: the last by
+    ``order`` (columns of ``changes``; default: by the changed values) is applied.
 
     Default is patch semantics (a NULL/missing field keeps the old value). ``replace=True``
     is the reference's form: all four of name, sector, industry, market_cap are written and
@@ -148,8 +180,9 @@ def update_symbols(symbols: DataFrame, changes: DataFrame, now: Column | None =
     """
     now = now if now is not None else F.current_timestamp()
     fields = fields or UPDATE_FIELDS + (["is_active"] if "is_active" in changes.columns else [])
-    ch = changes.select("symbol", *[F.col(c).alias(f"_new_{c}") for c in fields if c in changes.columns],
-                        F.lit(True).alias("_hit"))
+    given = [c for c in fields if c in changes.columns]
+    last = first_per_key(changes.select("symbol", *dict.fromkeys([*given, *(order or [])])), ["symbol"], order or given, newest=True)
+    ch = last.select("symbol", *[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_hit"))
     j = symbols.join(ch, "symbol", "left")
     out = []
     for c in symbols.columns:
@@ -169,7 +202,7 @@ def delete_symbols(symbols: DataFrame, predicate: Column, **children: DataFrame)
     gone = symbols.filter(predicate).select("id")
     out = {"symbols": symbols.filter(~predicate | predicate.isNull())}
     if children:
-        ids = sized_broadcast(gone.select(F.col("id").alias("symbol_id")))
+        ids = gone.select(F.col("id").alias("symbol_id"))
         for name, df in children.items():
             out[name] = df.join(ids, "symbol_id", "left_anti")
     return out
@@ -205,7 +238,7 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None, mod
     writer_opts = {"partitionOverwriteMode": "dynamic"}
     if partition_by:
         sort_cols = [c for c in ["symbol_id", "t_stamp"] if c in df.columns]
-        w = df.repartition(*[F.col(c) for c in partition_by])
+        w = df.hint("rebalance", *partition_by)  # AQE splits a large month over tasks and files
         if sort_cols:
             w = w.sortWithinPartitions(*partition_by, *sort_cols)
         w.write.options(**writer_opts).mode(mode).partitionBy(*partition_by).parquet(path)
@@ -238,6 +271,18 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(stored_schema("market_data")).parquet(path)
 
 
+def existing_candles(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored candle table at ``path``, or None where nothing has been written. Any other
+    failure to read is raised."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return read_candles(spark, path)
+
+
 # --------------------------------------------------------------------------- U6 / U7 / U9 pair-driven writes
 def sync_plan(mapping: DataFrame, pairs: DataFrame, symbols: DataFrame) -> DataFrame:
     """One diff of mapped pairs against the symbols table.
@@ -250,8 +295,8 @@ def sync_plan(mapping: DataFrame, pairs: DataFrame, symbols: DataFrame) -> DataF
     from ..functions.pairs import is_online
 
     m = mapping.join(pairs.select("pair", "altname", "status"), "pair")
-    s = sized_broadcast(symbols.select(F.col("symbol").alias("db_symbol"), F.col("is_active").alias("_cur"),
-                                       F.lit(True).alias("_exists")))
+    s = symbols.select(F.col("symbol").alias("db_symbol"), F.col("is_active").alias("_cur"),
+                                       F.lit(True).alias("_exists"))
     j = m.join(s, "db_symbol", "left")
     want = is_online(F.col("status"))
     action = (F.when(F.col("_exists").isNull(), F.lit("create"))
@@ -275,19 +320,23 @@ def apply_sync(plan: DataFrame, symbols: DataFrame, now: Column | None = None) -
 def add_pairs_plan(requests: DataFrame, pairs: DataFrame, symbols: DataFrame, col: str = "requested") -> DataFrame:
     """Normalise -> infer symbol -> offered? -> exists? -> create, for a batch of requests.
 
-    Repeated requests for one new symbol: the first (by request text) creates, the rest are
-    ``duplicate_in_batch``.
+    A ``db_symbol`` column of ``requests`` overrides the inferred symbol where it is given. Of the
+    requests for one new symbol that the exchange offers exactly one (the least by request text)
+    creates it, the rest are ``duplicate_in_batch``; equal requests are counted together first.
     """
     from ..functions.pairs import currency_of, infer_symbol, is_online, normalize_pair
 
-    r = requests.select(col, normalize_pair(F.col(col)).alias("normalized"))
-    r = r.withColumn("db_symbol", infer_symbol(F.col("normalized")))
+    given = F.col("db_symbol") if "db_symbol" in requests.columns else F.lit(None).cast("string")
+    r = (requests.select(col, given.alias("_given")).groupBy(col, normalize_pair(F.col(col)).alias("normalized"), "_given")
+         .agg(F.count(F.lit(1)).alias("_n")))
+    r = r.withColumn("db_symbol", F.coalesce("_given", infer_symbol(F.col("normalized"))))
     p = pairs.select(F.col("pair").alias("normalized"), "altname", "status", F.lit(True).alias("_offered"))
-    s = sized_broadcast(symbols.select(F.col("symbol").alias("db_symbol"), F.lit(True).alias("_exists")))
+    s = symbols.select(F.col("symbol").alias("db_symbol"), F.lit(True).alias("_exists"))
     j = r.join(p, "normalized", "left").join(s, "db_symbol", "left")
-    firsts = r.groupBy("db_symbol").agg(F.min(col).alias("_first"))
-    j = j.join(firsts, "db_symbol")
-    first = F.col(col) == F.col("_first")
+    firsts = (j.filter(F.col("_offered") & F.col("_exists").isNull()).groupBy("db_symbol")
+              .agg(F.min(F.struct(col, "normalized")).alias("_first")))  # one row per (request, given symbol)
+    j = j.join(firsts, "db_symbol", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    first = (F.struct(col, "normalized") == F.col("_first")) & (F.col("_copy") == 1)
     action = (F.when(F.col("_offered").isNull(), F.lit("not_found"))
               .when(F.col("_exists").isNotNull(), F.lit("exists"))
               .when(first, F.lit("create"))
@@ -298,25 +347,72 @@ def add_pairs_plan(requests: DataFrame, pairs: DataFrame, symbols: DataFrame, co
                     is_online(F.col("status")).alias("is_active"))
 
 
-def ingest_ohlc(decoded: DataFrame, symbols: DataFrame, target: DataFrame,
-                now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Decoded candles -> mapped symbol (F2) -> get-or-create symbols -> insert-ignore.
+def get_or_create_symbols(texts: DataFrame, symbols: DataFrame, now: Column | None = None) -> DataFrame:
+    """The symbols table with a new row for each ``symbol`` of ``texts`` that it lacks.
 
-    Returns (symbols created, candle rows appended). One anti join per step; the candle
-    key shuffle is the only wide step on the candle side.
+    Written once to the shared folder, so that ids are decided once.
     """
-    from ..functions.pairs import pair_to_symbol
-
-    d = decoded.withColumn("db_symbol", pair_to_symbol(F.col("pair")))
-    new_syms = d.select(F.col("db_symbol").alias("symbol")).distinct().select(
+    lacking = texts.select("symbol").distinct().join(symbols.select("symbol"), "symbol", "left_anti").select(
         "symbol", F.col("symbol").alias("name"), F.lit(S.EXCHANGE_NAME).alias("exchange"),
         F.lit("crypto").alias("asset_type"), F.lit("USD").alias("currency"), F.lit(True).alias("is_active"))
-    new_syms = new_syms.join(symbols.select("symbol"), "symbol", "left_anti")
-    created, _ = create_symbols(symbols, new_syms, now)
-    # new symbols get their ids once: cut the lineage (reliable checkpoint in the shared folder)
-    checkpoint_root(decoded.sparkSession)
-    created = created.checkpoint(eager=True)
-    allsym = symbols.select("id", "symbol").unionByName(created.select("id", "symbol"))
-    rows = d.join(allsym.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol")
-    appended = insert_ignore(target, rows, CANDLE_KEY, ["t_stamp"])
-    return created, appended
+    created, _ = create_symbols(symbols, lacking, now)
+    checkpoint_root(texts.sparkSession)
+    return symbols.unionByName(created).checkpoint(eager=True)
+
+
+def touched(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of a stored candle table in the (time_frame, year_month) partitions that ``batch`` touches.
+
+    The month list is joined, so Spark prunes the other partitions when it runs the scan.
+    """
+    months = batch.select("time_frame", "year_month").distinct()
+    return table.join(months, ["time_frame", "year_month"], "left_semi")
+
+
+def ingest_ohlc(decoded: DataFrame, symbols: DataFrame, path: str, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decoded candles -> validation -> mapped symbol (F2) -> get-or-create symbols ->
+    insert-ignore into the stored candle table at ``path``.
+
+    Appended rows get ids and created_at; volume defaults to 0. Only the partitions that the
+    batch touches are read back. Returns (symbols with the created ones, quarantined rows with
+    reasons, counts as metric and value: fetched, inserted, quarantined). A rerun appends nothing.
+    """
+    from ..functions.pairs import pair_to_symbol
+    from .reads import validate_candles
+
+    now = now if now is not None else F.current_timestamp()
+    spark = decoded.sparkSession
+    defaults = decoded.withColumn("volume", F.coalesce("volume", F.lit(0).cast("bigint")))
+    valid, bad = validate_candles(defaults.withColumn("db_symbol", pair_to_symbol(F.col("pair"))))
+    allsym = get_or_create_symbols(valid.select(F.col("db_symbol").alias("symbol")), symbols, now)
+    rows = with_year_month(valid.join(allsym.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol"))
+    rows = rows.select("symbol_id", "t_stamp", "open", "high", "low", "close", "volume", "adjusted_close", "time_frame",
+                       "data_source", "year_month")
+    stored = existing_candles(spark, path)
+    fresh = first_per_key(rows, CANDLE_KEY, ["open", "high", "low", "close", "volume"])
+    if stored is not None:
+        fresh = fresh.join(touched(stored, rows).select(*CANDLE_KEY), CANDLE_KEY, "left_anti")
+    base = max_id(stored) if stored is not None else F.lit(0)
+    fresh = assign_ids(fresh, CANDLE_KEY, base=base).withColumn("created_at", now).checkpoint(eager=True)
+    write_candles(fresh.select(*S.MARKET_DATA.fieldNames()), path, mode="append")
+    counts = [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("metric"), "value")
+              for n, df in (("fetched", defaults), ("inserted", fresh), ("quarantined", bad))]
+    return allsym, bad, counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def ingest_tickers(decoded: DataFrame, symbols: DataFrame, prices: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decoded tickers -> validation -> get-or-create symbols -> price upsert.
+
+    Returns (symbols with the created ones, quarantined rows with reasons, the price table with
+    an ``action`` column).
+    """
+    from ..functions.pairs import pair_to_symbol
+    from .reads import validate_prices
+
+    now = now if now is not None else F.current_timestamp()
+    valid, bad = validate_prices(decoded.withColumn("db_symbol", pair_to_symbol(F.col("pair"))))
+    allsym = get_or_create_symbols(valid.select(F.col("db_symbol").alias("symbol")), symbols, now)
+    rows = valid.join(allsym.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol").select(
+        F.lit(None).cast("bigint").alias("id"), "symbol_id", "price", "bid", "ask", "volume_24h", "change_24h", "change_percent_24h",
+        F.lit(None).cast("bigint").alias("market_cap"), "data_source", now.alias("last_updated"), now.alias("created_at"))
+    return allsym, bad, upsert_prices(prices, rows, assign_missing=True)

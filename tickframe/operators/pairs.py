@@ -13,9 +13,16 @@ def _normalized(requests: DataFrame) -> DataFrame:
 
 
 def requests_offered(requests: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Requests whose normalised key is a pair in the metadata (equi-join on the key)."""
-    p = pairs.select(F.col("pair").alias("normalized"), "status")
-    return _normalized(requests).join(p, "normalized").select("requested", F.col("normalized").alias("pair"), "status")
+    """Requests whose normalised key is a pair in the metadata, else the alternative name of
+    one (of the least pair with that name, case ignored). Two equi-joins."""
+    p = pairs.select("pair", "status")
+    alt = (pairs.filter("altname <> ''").groupBy(F.upper("altname").alias("normalized"))
+           .agg(F.min_by(F.struct("pair", "status"), "pair").alias("_alt")))
+    j = _normalized(requests).join(p, F.col("normalized") == F.col("pair"), "left").join(alt, "normalized", "left")
+    by_key = F.col("pair").isNotNull()
+    return j.filter(by_key | F.col("_alt").isNotNull()).select(
+        "requested", F.coalesce("pair", "_alt.pair").alias("pair"), F.when(by_key, F.col("status")).otherwise(F.col("_alt.status")).alias("status"),
+        F.when(by_key, "pair").otherwise("altname").alias("matched_by"))
 
 
 def requests_not_offered(requests: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.timeframes import timeframe_minutes
-from .joins import sized_broadcast
 from .reads import candle_violations
 
 
@@ -31,7 +30,7 @@ def key_duplicates(df: DataFrame, table: str, key: list[str]) -> DataFrame:
 
 def orphans(child: DataFrame, table: str, symbols: DataFrame, fk: str = "symbol_id") -> DataFrame:
     """Q3: child rows whose symbol does not exist."""
-    ids = sized_broadcast(symbols.select(F.col("id").alias(fk)))
+    ids = symbols.select(F.col("id").alias(fk))
     return child.join(ids, fk, "left_anti").agg(F.count(F.lit(1)).alias("orphan_rows")).select(
         F.lit(table).alias("table_name"), "orphan_rows")
 
@@ -63,12 +62,15 @@ def length_violations(symbols: DataFrame) -> DataFrame:
 
 def gap_summary(candles: DataFrame) -> DataFrame:
     """Q7: per series, bars expected between its first and last bar at the time frame's
-    interval (F5 minutes) versus bars present. Counting needs no expansion of the range."""
+    interval (F5 minutes; calendar months for 1M, as A8 builds them) versus bars present.
+    Counting needs no expansion of the range."""
     g = candles.groupBy("symbol_id", "data_source", "time_frame").agg(
         F.min("t_stamp").alias("first_ts"), F.max("t_stamp").alias("last_ts"),
         F.count_distinct("t_stamp").alias("present"))
     step = timeframe_minutes(F.col("time_frame")) * 60
-    expected = F.floor((F.unix_seconds("last_ts") - F.unix_seconds("first_ts")) / step) + 1
+    months = (F.year("last_ts") - F.year("first_ts")) * 12 + F.month("last_ts") - F.month("first_ts")
+    expected = F.when(F.col("time_frame") == "1M", months).otherwise(
+        F.floor((F.unix_seconds("last_ts") - F.unix_seconds("first_ts")) / step)) + 1
     return g.select("symbol_id", "data_source", "time_frame", "first_ts", "last_ts",
                     expected.cast("bigint").alias("expected"), "present",
                     (expected - F.col("present")).cast("bigint").alias("missing"))
@@ -83,8 +85,10 @@ def missing_bars(candles: DataFrame) -> DataFrame:
     g = candles.groupBy("symbol_id", "data_source", "time_frame").agg(
         F.min("t_stamp").alias("first_ts"), F.max("t_stamp").alias("last_ts"))
     step = F.make_dt_interval(F.lit(0), F.lit(0), timeframe_minutes(F.col("time_frame")).cast("int"))
-    grid = g.select("symbol_id", "data_source", "time_frame",
-                    F.explode(F.sequence("first_ts", "last_ts", step)).alias("t_stamp"))
+    monthly = F.transform(F.sequence(F.lit(0), (F.months_between(F.date_trunc("month", "last_ts"), F.date_trunc("month", "first_ts"))).cast("int")),
+                          lambda k: F.col("first_ts") + F.make_ym_interval(F.lit(0), k))
+    times = F.when(F.col("time_frame") == "1M", monthly).otherwise(F.sequence("first_ts", "last_ts", step))
+    grid = g.select("symbol_id", "data_source", "time_frame", F.explode(times).alias("t_stamp"))
     return grid.join(candles.select("symbol_id", "data_source", "time_frame", "t_stamp"),
                      ["symbol_id", "data_source", "time_frame", "t_stamp"], "left_anti")
 

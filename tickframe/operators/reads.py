@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import sized_broadcast
 
 
 def _ts(v) -> Column:
@@ -40,6 +39,13 @@ def symbols_page(symbols: DataFrame, limit: int = 100, offset: int = 0) -> DataF
     return page(symbols, [F.col("symbol"), F.col("id")], limit, offset)
 
 
+def symbols_after(symbols: DataFrame, last: str | None, limit: int = 100) -> DataFrame:
+    """L1 by key: the page that follows symbol ``last`` (None: the first). The filter prunes what
+    came before, so a deep page costs no more than the first."""
+    rest = symbols if last is None else symbols.filter(F.col("symbol") > last)
+    return page(rest, [F.col("symbol"), F.col("id")], limit)
+
+
 def symbol_lookup(symbols: DataFrame, symbol: str | list[str]) -> DataFrame:
     """Equality lookup by symbol text."""
     names = [symbol] if isinstance(symbol, str) else list(symbol)
@@ -117,7 +123,7 @@ def candles_for(candles: DataFrame, symbols: DataFrame, symbol: str | None, time
         sid = symbol_id_of(symbols, symbol)
         s = s.filter(F.col("symbol") == symbol)
         c = c.filter(F.col("symbol_id") == F.lit(sid if sid is not None else -1).cast("int"))
-    return c.join(sized_broadcast(s), "symbol_id")
+    return c.join(s, "symbol_id")
 
 
 def candles_latest(candles: DataFrame, symbols: DataFrame, symbol: str | None, time_frame: str = "1d",
@@ -201,7 +207,7 @@ def timeframes_by_symbol(candles: DataFrame, symbols: DataFrame, symbol: str | N
     s = symbols.select(F.col("id").alias("symbol_id"), "symbol")
     if symbol is not None:
         s = s.filter(F.col("symbol") == symbol)
-    return c.join(sized_broadcast(s), "symbol_id").select("symbol", "time_frame").distinct()
+    return c.join(s, "symbol_id").select("symbol", "time_frame").distinct()
 
 
 def timeframe_lists(candles: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -213,7 +219,7 @@ def timeframe_lists(candles: DataFrame, symbols: DataFrame) -> DataFrame:
     c = candles.select("symbol_id", "time_frame").filter(
         F.col("time_frame").isNotNull() & (F.col("time_frame") != "")).distinct()
     s = symbols.select(F.col("id").alias("symbol_id"), "symbol")
-    g = c.join(sized_broadcast(s), "symbol_id").groupBy("symbol").agg(
+    g = c.join(s, "symbol_id").groupBy("symbol").agg(
         F.array_sort(F.collect_set("time_frame")).alias("time_frames"),
         F.array_sort(F.collect_set(F.struct(timeframe_minutes(F.col("time_frame")).alias("m"),
                                             F.col("time_frame").alias("t")))).alias("_d"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import sized_broadcast
 
 
 def _sod(ts: Column) -> Column:
@@ -31,8 +30,8 @@ def _local_at(day: Column, hhmmss: Column, tz: Column) -> Column:
 def ticks_in_session(ticks: DataFrame, symbols: DataFrame, sessions: DataFrame) -> DataFrame:
     """Each tick of a known symbol with its exchange-local time and whether it falls in
     the exchange's session (open <= local time of day <= close, second resolution)."""
-    s = sized_broadcast(symbols.select(F.col("id").alias("symbol_id"), "exchange"))
-    ses = sized_broadcast(sessions.filter(F.col("is_active")).select("exchange", "timezone", "open_time", "close_time"))
+    s = symbols.select(F.col("id").alias("symbol_id"), "exchange")
+    ses = sessions.filter(F.col("is_active")).select("exchange", "timezone", "open_time", "close_time")
     j = ticks.join(s, "symbol_id").join(ses, "exchange")
     local = F.from_utc_timestamp(F.col("ts"), F.col("timezone"))
     sod = _sod(local)
@@ -48,14 +47,14 @@ def status_at(instants: DataFrame, sessions: DataFrame, at_col: str = "as_of") -
     next_open: today's open if still ahead, else tomorrow's; next_close: today's close unless
     it has passed, else tomorrow's (local calendar, DST-aware via the zone rules).
     """
-    ses = sized_broadcast(sessions.filter(F.col("is_active")).select("exchange", "timezone", "open_time", "close_time"))
+    ses = sessions.filter(F.col("is_active")).select("exchange", "timezone", "open_time", "close_time")
     j = instants.join(ses, "exchange")
     return j.select("exchange", F.col(at_col).alias(at_col), *_status_cols(F.col(at_col)))
 
 
 def exchange_activity(ticks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Ticks tagged with the exchange of their symbol (known symbols only)."""
-    s = sized_broadcast(symbols.select(F.col("id").alias("symbol_id"), "exchange"))
+    s = symbols.select(F.col("id").alias("symbol_id"), "exchange")
     return ticks.join(s, "symbol_id")
 
 

@@ -7,6 +7,7 @@ plans can be checked against a second engine on the same Parquet files.
 from __future__ import annotations
 
 from .. import schemas as S
+from ..sources.tables import TYPED_PAIRS
 
 
 def _list(vals) -> str:
@@ -54,11 +55,11 @@ prices_t AS (
         FROM ticks_t WHERE symbol_id IN (SELECT id FROM symbols_t) GROUP BY symbol_id, data_source)
 ),
 pairs_t AS (
-  SELECT upper(split_part(p_name, ' ', 1)) || upper(substr(p_type, 1, 3)) || CAST(p_partkey AS VARCHAR) AS pair,
+  SELECT coalesce(({_list(S.PAIR_SYMBOL_MAP)})[p_partkey], upper(split_part(p_name, ' ', 1)) || upper(substr(p_type, 1, 3)) || CAST(p_partkey AS VARCHAR)) AS pair,
          CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE upper(split_part(p_name, ' ', 1)) || '/' || upper(substr(p_type, 1, 3)) END AS wsname,
-         CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand END AS altname,
-         upper(split_part(p_name, ' ', 1)) AS base, p_type AS quote,
-         ({_list(S.PAIR_STATUSES)})[(p_size % 4) + 1] AS status
+         CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand END AS altname,
+         CASE WHEN p_partkey % 17 <> 0 THEN upper(split_part(p_name, ' ', 1)) END AS base, p_type AS quote,
+         CASE WHEN p_partkey % 19 <> 0 THEN ({_list(S.PAIR_STATUSES)})[(p_size % 4) + 1] END AS status
   FROM part
 ),
 requests_t AS (
@@ -67,6 +68,8 @@ requests_t AS (
            WHEN 1 THEN substr(pair, 1, 2) || '-' || substr(pair, 3)
            ELSE pair || '-z' END AS requested
   FROM pairs_t
+  UNION ALL
+  SELECT ({_list(TYPED_PAIRS)})[CAST((p_partkey // 25) % {len(TYPED_PAIRS)} AS INTEGER) + 1] FROM part WHERE p_partkey % 25 = 0
 ),
 sessions_t AS (
   SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{e}', '{n}', '{tz}', '{o}', '{c}', {str(a).lower()})" for i, (e, n, tz, o, c, a) in enumerate(S.SEED_SESSIONS))})

@@ -8,7 +8,6 @@ plus conflicting copies, so each branch of a merge is hit.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +72,7 @@ UNION ALL SELECT 'inserted', count(*) FROM appended
 def merge_metrics(t: MarketTables) -> DataFrame:
     """A5: fetched / unique / inserted counts of a candle merge."""
     target, incoming = _candle_scenario(t)
-    firsts = M.first_per_key(incoming, M.CANDLE_KEY, ["id"])
-    appended = M.insert_ignore(target, incoming, M.CANDLE_KEY, ["id"])
-    parts = [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("metric"), "value")
-             for n, df in [("fetched", incoming), ("unique_keys", firsts), ("inserted", appended)]]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return M.merge_counts(target, incoming, M.CANDLE_KEY)
 
 
 _UPS_FIELDS = ", ".join(f"CASE WHEN i.id IS NOT NULL THEN i.{c} ELSE t.{c} END AS {c}" for c in M.PRICE_FIELDS)
@@ -90,7 +85,7 @@ inc0 AS (SELECT id, symbol_id, price + 1.0 AS price, bid, ask, volume_24h, chang
          UNION ALL SELECT {PRICE_COLS} FROM prices_t),
 inc AS (SELECT * EXCLUDE (rn) FROM (
           SELECT *, row_number() OVER (PARTITION BY symbol_id, data_source ORDER BY last_updated DESC, id DESC) AS rn
-          FROM inc0) WHERE rn = 1)
+          FROM inc0 WHERE symbol_id % 5 <> 0) WHERE rn = 1)
 SELECT coalesce(t.id, i.id) AS id, coalesce(t.symbol_id, i.symbol_id) AS symbol_id,
        coalesce(t.data_source, i.data_source) AS data_source, {_UPS_FIELDS},
        CASE WHEN i.id IS NOT NULL THEN i.last_updated ELSE t.last_updated END AS last_updated,
@@ -103,7 +98,8 @@ def prices_upsert(t: MarketTables) -> DataFrame:
     target = t.prices.filter(F.pmod("symbol_id", F.lit(2)) == 0)
     newer = (t.prices.withColumn("price", F.col("price") + 1.0)
              .withColumn("last_updated", F.col("last_updated") + F.expr("INTERVAL 1 HOUR")))
-    return M.upsert_prices(target, newer.unionByName(t.prices))
+    incoming = newer.unionByName(t.prices).filter(F.pmod("symbol_id", F.lit(5)) != 0)  # the others are kept
+    return M.upsert_prices(target, incoming)
 
 
 def _create_batch(t: MarketTables) -> DataFrame:
@@ -116,7 +112,10 @@ def _create_batch(t: MarketTables) -> DataFrame:
                                        F.lit(None).cast("boolean").alias("is_active"))
     again = t.symbols.filter(F.pmod("id", F.lit(5)) == 0).select("symbol", "name", "exchange", "asset_type",
                                                                  "currency", "is_active")
-    return new.unionByName(again)
+    same = new.filter(F.pmod(F.length("symbol"), F.lit(3)) == 0)                       # equal rows
+    nameless = new.withColumn("symbol", F.concat(F.lit("N"), "symbol")).withColumn("name", F.lit(None).cast("string"))
+    long = new.filter(F.pmod(F.length("symbol"), F.lit(4)) == 0).withColumn("exchange", F.repeat("symbol", 20))
+    return new.unionByName(again).unionByName(same).unionByName(nameless).unionByName(long)
 
 
 _DISPLAY = "coalesce(nullif(wsname, ''), nullif(altname, ''), pair)"
@@ -129,16 +128,22 @@ WITH inc AS (
   SELECT pair AS symbol, {_DISPLAY} AS name, 'Kraken' AS exchange, 'crypto' AS asset_type,
          CAST(NULL AS VARCHAR) AS currency, CAST(NULL AS BOOLEAN) AS is_active FROM pairs_t WHERE status = 'online'
   UNION ALL
-  SELECT pair, {_DISPLAY} || ' dup', 'Kraken', 'crypto', NULL, NULL FROM pairs_t WHERE status = 'online' AND length(pair) % 2 = 0
-  UNION ALL
-  SELECT symbol, name, exchange, asset_type, currency, is_active FROM symbols_t WHERE id % 5 = 0),
-d AS (SELECT symbol, name, exchange, asset_type, coalesce(currency, 'USD') AS currency, coalesce(is_active, true) AS is_active,
-             min((name, exchange)) OVER (PARTITION BY symbol) AS f FROM inc)
+  SELECT pair, {_DISPLAY} || ' dup', 'Kraken', 'crypto', NULL, NULL FROM pairs_t WHERE status = 'online' AND length(pair) % 2 = 0),
+every AS (
+  SELECT * FROM inc
+  UNION ALL SELECT symbol, name, exchange, asset_type, currency, is_active FROM symbols_t WHERE id % 5 = 0
+  UNION ALL SELECT * FROM inc WHERE length(symbol) % 3 = 0
+  UNION ALL SELECT 'N' || symbol, NULL, exchange, asset_type, currency, is_active FROM inc
+  UNION ALL SELECT symbol, name, repeat(symbol, 20), asset_type, currency, is_active FROM inc WHERE length(symbol) % 4 = 0),
+d AS (SELECT symbol, name, exchange, asset_type, coalesce(currency, 'USD') AS currency, coalesce(is_active, true) AS is_active FROM every),
+f AS (SELECT *, CASE WHEN name IS NULL THEN 'name_missing' {_LEN_CHECKS} END AS fault FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol, fault IS NULL ORDER BY name, exchange, asset_type, currency, is_active) AS rn FROM f)
 SELECT symbol, name, exchange, currency, is_active,
-       CASE WHEN symbol IN (SELECT symbol FROM symbols_t) THEN 'duplicate_symbol'
-            WHEN (name, exchange) <> f THEN 'duplicate_in_batch' {_LEN_CHECKS}
-            ELSE 'created' END AS outcome
-FROM d
+       CASE WHEN fault = 'name_missing' THEN fault
+            WHEN symbol IN (SELECT symbol FROM symbols_t) THEN 'duplicate_symbol'
+            WHEN fault IS NOT NULL THEN fault
+            WHEN rn > 1 THEN 'duplicate_in_batch' ELSE 'created' END AS outcome
+FROM n
 """)
 def symbols_create(t: MarketTables) -> DataFrame:
     """Create symbols with defaults; duplicates (existing or in-batch) are rejected."""
@@ -187,7 +192,7 @@ _MAP_SQL = "coalesce(CASE pair " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 @query("symbols_sync", f"""
 WITH syms AS (SELECT symbol, is_active FROM symbols_t UNION ALL SELECT pair, true FROM pairs_t WHERE length(pair) % 2 = 0),
-m AS (SELECT pair, {_MAP_SQL} AS db_symbol FROM pairs_t)
+m AS (SELECT pair, {_MAP_SQL} AS db_symbol FROM (SELECT pair FROM pairs_t UNION ALL SELECT 'OLD' || pair FROM pairs_t WHERE length(pair) > 8))
 SELECT m.pair, m.db_symbol, coalesce(p.altname, m.db_symbol) AS name, coalesce(p.status = 'online', false) AS is_active,
        CASE WHEN s.symbol IS NULL THEN 'create'
             WHEN s.is_active IS NOT DISTINCT FROM coalesce(p.status = 'online', false) THEN 'none'
@@ -199,18 +204,24 @@ def symbols_sync(t: MarketTables) -> DataFrame:
     synced = t.pairs.filter(F.pmod(F.length("pair"), F.lit(2)) == 0).select(
         F.col("pair").alias("symbol"), F.lit(True).alias("is_active"))
     syms = t.symbols.select("symbol", "is_active").unionByName(synced)
-    mapping = t.pairs.select("pair", FP.pair_to_symbol(F.col("pair")).alias("db_symbol"))
-    return M.sync_plan(mapping, t.pairs, syms)
+    return M.sync_plan(_sync_mapping(t), t.pairs, syms)
+
+
+def _sync_mapping(t: MarketTables) -> DataFrame:
+    """The pair map: every pair of the metadata, and as many withdrawn ones that it no longer offers."""
+    gone = t.pairs.filter(F.length("pair") > 8).select(F.concat(F.lit("OLD"), "pair").alias("pair"))
+    return t.pairs.select("pair").unionByName(gone).select("pair", FP.pair_to_symbol(F.col("pair")).alias("db_symbol"))
 
 
 @query("pairs_add", f"""
 WITH r AS (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t),
 r2 AS (SELECT *, {_infer_sql('normalized')} AS db_symbol FROM r),
+syms AS (SELECT symbol FROM symbols_t UNION ALL SELECT {_MAP_SQL} FROM pairs_t WHERE pair IN ('XBTUSDT', 'ADAUSDT')),
 j AS (SELECT r2.*, p.altname, p.status, p.pair IS NOT NULL AS offered, s.symbol IS NOT NULL AS known,
-             min(r2.requested) OVER (PARTITION BY r2.db_symbol) AS f
-      FROM r2 LEFT JOIN pairs_t p ON p.pair = r2.normalized LEFT JOIN symbols_t s ON s.symbol = r2.db_symbol)
+             row_number() OVER (PARTITION BY r2.db_symbol, p.pair IS NOT NULL AND s.symbol IS NULL ORDER BY r2.requested, r2.normalized) AS rn
+      FROM r2 LEFT JOIN pairs_t p ON p.pair = r2.normalized LEFT JOIN syms s ON s.symbol = r2.db_symbol)
 SELECT requested, normalized, db_symbol,
-       CASE WHEN NOT offered THEN 'not_found' WHEN known THEN 'exists' WHEN requested = f THEN 'create'
+       CASE WHEN NOT offered THEN 'not_found' WHEN known THEN 'exists' WHEN rn = 1 THEN 'create'
             ELSE 'duplicate_in_batch' END AS action,
        coalesce(altname, db_symbol) AS name,
        CASE WHEN contains(db_symbol, 'USD') THEN 'USD' ELSE 'EUR' END AS currency,
@@ -219,30 +230,127 @@ FROM j
 """)
 def pairs_add(t: MarketTables) -> DataFrame:
     """Add-pair requests -> not_found / exists / create plan."""
-    return M.add_pairs_plan(t.pair_requests, t.pairs, t.symbols)
+    known = t.pairs.filter(F.col("pair").isin("XBTUSDT", "ADAUSDT")).select(FP.pair_to_symbol(F.col("pair")).alias("symbol"))
+    return M.add_pairs_plan(t.pair_requests, t.pairs, t.symbols.select("symbol").unionByName(known))
 
 
 INGEST_CUT = "2000-01-01 00:00:00"
+# Bars of every eleventh symbol arrive with a negative open: they must end in quarantine.
+_INGEST_BARS = "SELECT * REPLACE (CASE WHEN symbol_id % 11 = 0 THEN -open ELSE open END AS open) FROM candles_t"
+
+
+def _ingest(t: MarketTables) -> tuple[str, DataFrame, list[DataFrame]]:
+    """Two fetch batches of OHLC documents (the second re-sends the first) into a new stored table:
+    its path, the symbols afterwards and the counts of each batch."""
+    from ..session import fresh_path
+
+    bars = t.candles.withColumn("open", F.when(F.pmod("symbol_id", F.lit(11)) == 0, -F.col("open")).otherwise(F.col("open")))
+    raw = SP.ohlc_payloads(bars, _ohlc_pair()).select("value")
+    decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(raw)[0]), "1d").drop("value", "last")
+    landed = fresh_path(t.spark, "ohlc-decoded")  # both fetch batches read it
+    decoded.write.parquet(landed)
+    decoded = t.spark.read.parquet(landed)
+    path = fresh_path(t.spark, "market_data")
+    batch1 = decoded.filter(F.col("t_stamp") < F.lit(INGEST_CUT).cast("timestamp"))
+    syms, _, counts1 = M.ingest_ohlc(batch1, t.symbols, path, _now())
+    syms, _, counts2 = M.ingest_ohlc(decoded, syms, path, _now())
+    return path, syms, [counts1, counts2]
 
 
 @query("ohlc_ingest", f"""
-SELECT {_MAP_SQL.replace('pair', 'p')} AS db_symbol, t_stamp, open, high, low, close, volume, time_frame, data_source
+SELECT {_MAP_SQL.replace('pair', 'p')} AS db_symbol, t_stamp, CAST(open AS DECIMAL(20, 8)) AS open, CAST(high AS DECIMAL(20, 8)) AS high,
+       CAST(low AS DECIMAL(20, 8)) AS low, CAST(close AS DECIMAL(20, 8)) AS close, volume, time_frame, data_source,
+       TIMESTAMP '{NOW}' AS created_at, 1 AS rows_of_id
 FROM (SELECT {_OHLC_PAIR_SQL} AS p, t_stamp, open, high, low, close,
              CAST(round_even(CAST(volume AS DOUBLE), 0) AS BIGINT) AS volume, '1d' AS time_frame, 'kraken' AS data_source
-      FROM candles_t WHERE t_stamp >= TIMESTAMP '{INGEST_CUT}')
+      FROM ({_INGEST_BARS}) WHERE open > 0)
 """)
 def ohlc_ingest(t: MarketTables) -> DataFrame:
-    """Two fetch batches of decoded OHLC documents -> get-or-create symbols -> insert-ignore.
-    The second batch re-sends the first; only its new rows are appended."""
-    raw = SP.ohlc_payloads(t.candles, _ohlc_pair()).select("value")
-    decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(raw)[0]), "1d").drop("value", "last")
-    decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)  # both fetch batches re-read it
-    empty = t.spark.createDataFrame([], "symbol_id int, t_stamp timestamp, time_frame string, data_source string")
-    batch1 = decoded.filter(F.col("t_stamp") < F.lit(INGEST_CUT).cast("timestamp"))
-    created1, app1 = M.ingest_ohlc(batch1, t.symbols, empty, _now())
-    syms2 = t.symbols.unionByName(created1)
-    _, app2 = M.ingest_ohlc(decoded, syms2, app1.select(*M.CANDLE_KEY), _now())
-    return app2.select("db_symbol", "t_stamp", "open", "high", "low", "close", "volume", "time_frame", "data_source")
+    """The stored candle table after two overlapping fetch batches: decoded, validated, symbols
+    got or created, inserted with ids where new."""
+    path, syms, _ = _ingest(t)
+    stored = M.read_candles(t.spark, path)
+    ids = stored.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("rows_of_id"))
+    names = syms.select(F.col("id").alias("symbol_id"), F.col("symbol").alias("db_symbol"))
+    return stored.join(names, "symbol_id").join(ids, "id").select(
+        "db_symbol", "t_stamp", "open", "high", "low", "close", "volume", "time_frame", "data_source", "created_at", "rows_of_id")
+
+
+@query("ohlc_ingest_metrics", f"""
+WITH b AS ({_INGEST_BARS}), f AS (SELECT *, t_stamp < TIMESTAMP '{INGEST_CUT}' AS early FROM b)
+SELECT 1 AS batch, 'fetched' AS metric, CAST(count_if(early) AS BIGINT) AS value FROM f
+UNION ALL SELECT 1, 'inserted', CAST(count_if(early AND open > 0) AS BIGINT) FROM f
+UNION ALL SELECT 1, 'quarantined', CAST(count_if(early AND open <= 0) AS BIGINT) FROM f
+UNION ALL SELECT 2, 'fetched', count(*) FROM f
+UNION ALL SELECT 2, 'inserted', CAST(count_if(NOT early AND open > 0) AS BIGINT) FROM f
+UNION ALL SELECT 2, 'quarantined', CAST(count_if(open <= 0) AS BIGINT) FROM f
+""")
+def ohlc_ingest_metrics(t: MarketTables) -> DataFrame:
+    """Fetched, inserted and quarantined rows of each fetch batch."""
+    _, _, counts = _ingest(t)
+    first, second = (c.select(F.lit(i + 1).alias("batch"), "metric", "value") for i, c in enumerate(counts))
+    return first.unionByName(second)
+
+
+LATER = "2024-02-01 01:00:00"
+_TICKER_SQL = """symbol_id, data_source, price, bid, ask, CASE WHEN volume_24h <> 0 THEN volume_24h END AS volume_24h,
+       price - (price - change_24h) AS change_24h,
+       CASE WHEN price - change_24h > 0 THEN (price - (price - change_24h)) / (price - change_24h) * 100 END AS change_percent_24h"""
+
+
+@query("ticker_ingest", f"""
+WITH a AS (SELECT {_TICKER_SQL} FROM prices_t WHERE symbol_id % 2 = 0),
+b AS (SELECT {_TICKER_SQL} FROM (SELECT * REPLACE (price + 1 AS price) FROM prices_t) WHERE symbol_id % 3 <> 0 AND symbol_id % 5 <> 0),
+j AS (SELECT coalesce(a.symbol_id, b.symbol_id) AS s, coalesce(a.data_source, b.data_source) AS d, a.symbol_id IS NOT NULL AS old,
+             b.symbol_id IS NOT NULL AS hit, {", ".join(f"CASE WHEN b.symbol_id IS NOT NULL THEN b.{c} ELSE a.{c} END AS {c}" for c in M.PRICE_FIELDS[:-1])}
+      FROM a FULL JOIN b ON a.symbol_id = b.symbol_id AND a.data_source = b.data_source)
+SELECT {_OHLC_PAIR_SQL.replace("symbol_id", "s").replace("data_source", "d")} AS db_symbol, price, bid, ask, volume_24h, change_24h, change_percent_24h,
+       'kraken' AS data_source, CASE WHEN hit THEN TIMESTAMP '{LATER}' ELSE TIMESTAMP '{NOW}' END AS last_updated,
+       CASE WHEN old THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{LATER}' END AS created_at,
+       CASE WHEN NOT old THEN 'insert' WHEN hit THEN 'update' ELSE 'keep' END AS action, 1 AS rows_of_id
+FROM j
+""")
+def ticker_ingest(t: MarketTables) -> DataFrame:
+    """The stored price table after two batches of ticker documents: decoded, validated
+    (the second holds negative prices), symbols got or created, upserted with ids."""
+    from ..session import fresh_path
+
+    docs = lambda p: PL.decode_ticker(SP.ticker_payloads(p, _ohlc_pair()).select("value")).drop("value")
+    later = t.prices.filter(F.pmod("symbol_id", F.lit(3)) != 0)
+    later = later.withColumn("price", F.when(F.pmod("symbol_id", F.lit(5)) == 0, -F.col("price")).otherwise(F.col("price") + 1.0))
+    empty = t.spark.createDataFrame([], S.REAL_TIME_PRICES)
+    syms, _, prices = M.ingest_tickers(docs(t.prices.filter(F.pmod("symbol_id", F.lit(2)) == 0)), t.symbols, empty, _now())
+    path = M.publish(prices.drop("action"), fresh_path(t.spark, "real_time_prices"))
+    stored = t.spark.read.schema(S.REAL_TIME_PRICES).parquet(path)
+    syms, _, prices = M.ingest_tickers(docs(later), syms, stored, F.lit(LATER).cast("timestamp"))
+    path = M.publish(prices, fresh_path(t.spark, "real_time_prices"))
+    prices = t.spark.read.parquet(path)
+    ids = prices.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("rows_of_id"))
+    names = syms.select(F.col("id").alias("symbol_id"), F.col("symbol").alias("db_symbol"))
+    return prices.join(names, "symbol_id").join(ids, "id").select(
+        "db_symbol", *M.PRICE_FIELDS[:-1], "data_source", "last_updated", "created_at", "action", "rows_of_id")
+
+
+@query("payload_quarantine", """
+WITH k AS (SELECT DISTINCT symbol_id, data_source, strftime(t_stamp, '%Y-%m') AS ym FROM candles_t),
+d AS (SELECT (symbol_id + CAST(substr(ym, 6, 2) AS INTEGER)) % 7 AS k FROM k)
+SELECT CASE WHEN k < 3 THEN 'document' ELSE 'record' END AS level,
+       CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'error' WHEN 2 THEN 'no_result' WHEN 3 THEN 'short_record'
+              WHEN 4 THEN 'bad_volume' ELSE 'bad_time' END AS reason, count(*) AS rejected
+FROM d WHERE k < 6 GROUP BY ALL
+""")
+def payload_quarantine(t: MarketTables) -> DataFrame:
+    """What the decoder sets aside, by reason. Six of seven documents are spoilt, each in
+    one way: cut off, an error list, no result, a short record, a volume beyond BIGINT, a bad time."""
+    docs = SP.ohlc_payloads(t.candles, _ohlc_pair())
+    k = F.pmod(F.regexp_extract("pair", r"^S(\d+)-", 1).cast("int") + F.substring("ym", 6, 2).cast("int"), F.lit(7))
+    more = lambda rec: F.replace("value", F.lit(']],"last"'), F.lit(f'],{rec}],"last"'))
+    value = (F.when(k == 0, F.substring(F.col("value"), F.lit(1), F.length("value") - 3))
+             .when(k == 1, '{"error":["EService:Busy"],"result":{}}').when(k == 2, '{"error":[]}')
+             .when(k == 3, more('[1,"2","3"]')).when(k == 4, more('[1,"1","1","1","1","1","1e30",1]'))
+             .when(k == 5, more('["x","1","1","1","1","1","1",1]')).otherwise(F.col("value")))
+    out = PL.ohlc_rejects(docs.select(value.alias("value")))
+    return out.groupBy("level", "reason").agg(F.count(F.lit(1)).alias("rejected"))
 
 
 _SEED_VALUES = ", ".join(
@@ -302,19 +410,19 @@ def related_write(t: MarketTables) -> DataFrame:
 
 @query("sync_metrics", f"""
 WITH syms AS (SELECT symbol, is_active FROM symbols_t UNION ALL SELECT pair, true FROM pairs_t WHERE length(pair) % 2 = 0),
-m AS (SELECT pair, {_MAP_SQL} AS db_symbol FROM pairs_t),
+m AS (SELECT pair, {_MAP_SQL} AS db_symbol FROM (SELECT pair FROM pairs_t UNION ALL SELECT 'OLD' || pair FROM pairs_t WHERE length(pair) > 8)),
 plan AS (
   SELECT CASE WHEN s.symbol IS NULL THEN 'create'
               WHEN s.is_active IS NOT DISTINCT FROM coalesce(p.status = 'online', false) THEN 'none'
               ELSE 'update' END AS action
   FROM m JOIN pairs_t p ON p.pair = m.pair LEFT JOIN syms s ON s.symbol = m.db_symbol)
 SELECT CAST(count_if(action = 'create') AS BIGINT) AS created, CAST(count_if(action = 'update') AS BIGINT) AS updated,
-       count(*) AS total_pairs
+       (SELECT count(*) FROM m) AS total_pairs
 FROM plan
 """)
 def sync_metrics(t: MarketTables) -> DataFrame:
-    """A5: created / updated / total counts of a symbol sync, one pass over its plan."""
-    plan = symbols_sync(t)
-    return plan.agg(F.count_if(F.col("action") == "create").alias("created"),
-                    F.count_if(F.col("action") == "update").alias("updated"),
-                    F.count(F.lit(1)).alias("total_pairs"))
+    """A5: created / updated counts of a symbol sync, and the pairs of the whole map (offered or not)."""
+    done = symbols_sync(t).agg(F.count_if(F.col("action") == "create").alias("created"),
+                               F.count_if(F.col("action") == "update").alias("updated"))
+    whole = _sync_mapping(t).agg(F.count(F.lit(1)).alias("total_pairs"))
+    return done.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -27,12 +27,19 @@ def _search_sql(term: str) -> str:
                              for t in search_terms(term) for c in SEARCH_COLUMNS) + ")"
 
 
+_DETAIL = (f"pair, {_DISPLAY} AS name, coalesce(altname, pair) AS altname, coalesce(base, '') AS base, "
+           "coalesce(quote, '') AS quote, coalesce(status, 'unknown') AS status")
+
+
 def _pair_detail(df: DataFrame) -> DataFrame:
-    return df.select("pair", FP.display_name().alias("name"), "altname", "base", "quote", "status")
+    """A listed pair; what the metadata lacks gets the listing's defaults."""
+    return df.select("pair", FP.display_name().alias("name"), F.coalesce("altname", "pair").alias("altname"),
+                     F.coalesce("base", F.lit("")).alias("base"), F.coalesce("quote", F.lit("")).alias("quote"),
+                     F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 @query("pairs_search", f"""
-SELECT pair, {_DISPLAY} AS name, altname, base, quote, status FROM pairs_t
+SELECT {_DETAIL} FROM pairs_t
 WHERE status = 'online' AND {_search_sql(SEARCH)}
 """)
 def pairs_search(t: MarketTables) -> DataFrame:
@@ -40,8 +47,16 @@ def pairs_search(t: MarketTables) -> DataFrame:
     return _pair_detail(t.pairs.filter(FP.status_filter("online") & FP.matches_search(SEARCH)))
 
 
+@query("pairs_search_alias", f"""
+SELECT {_DETAIL} FROM pairs_t WHERE {_search_sql('btc')}
+""")
+def pairs_search_alias(t: MarketTables) -> DataFrame:
+    """A term with an exchange alias (btc also finds xbt), any status."""
+    return _pair_detail(t.pairs.filter(FP.status_filter("all") & FP.matches_search("btc")))
+
+
 @query("pairs_page", f"""
-SELECT pair, {_DISPLAY} AS name, altname, base, quote, status FROM pairs_t
+SELECT {_DETAIL} FROM pairs_t
 ORDER BY pair LIMIT 50 OFFSET 20
 """)
 def pairs_page(t: MarketTables) -> DataFrame:
@@ -111,11 +126,16 @@ def pair_to_symbol(t: MarketTables) -> DataFrame:
 
 
 @query("pairs_mapped", f"""
-SELECT r.requested, p.pair, p.status FROM (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t) r
-JOIN pairs_t p ON p.pair = r.normalized
+WITH r AS (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t),
+alt AS (SELECT upper(altname) AS altname, min(pair) AS pair
+        FROM pairs_t WHERE altname <> '' GROUP BY upper(altname))
+SELECT r.requested, p.pair, p.status, 'pair' AS matched_by FROM r JOIN pairs_t p ON p.pair = r.normalized
+UNION ALL
+SELECT r.requested, p.pair, p.status, 'altname' FROM r JOIN alt a ON a.altname = r.normalized JOIN pairs_t p ON p.pair = a.pair
+WHERE r.normalized NOT IN (SELECT pair FROM pairs_t)
 """)
 def pairs_mapped(t: MarketTables) -> DataFrame:
-    """Requests whose normalised key is offered by the exchange."""
+    """Requests that the exchange offers, by the pair key, else by the alternative name."""
     from ..operators.pairs import requests_offered
 
     return requests_offered(t.pair_requests, t.pairs)
@@ -210,7 +230,7 @@ SELECT pair, wsname, altname, base, quote, status FROM pairs_t
 """)
 def pairs_explode(t: MarketTables) -> DataFrame:
     """AssetPairs documents (<= 100 pairs each) exploded to one row per pair."""
-    doc = F.floor(F.regexp_extract("pair", r"(\d+)$", 1).cast("bigint") / SP.PAIRS_PER_DOC)
+    doc = F.floor(F.coalesce(F.regexp_extract("pair", r"(\d+)$", 1).try_cast("bigint"), F.lit(0)) / SP.PAIRS_PER_DOC)
     raw = SP.pair_payloads(t.pairs, doc).select("value")
     return PL.decode_pairs(raw)
 

@@ -12,20 +12,52 @@ from ..sources.catalog import MarketTables
 from .registry import query
 
 
+STATUS_NOW = "2024-02-01 00:00:00"
+# Rows that break each rule, by key, so that every check has something to find.
+_BAD_CANDLES_SQL = """(SELECT * REPLACE (CASE WHEN symbol_id % 7 = 0 THEN -open ELSE open END AS open, CASE WHEN symbol_id % 11 = 0 THEN 0 ELSE high END AS high,
+  CASE WHEN symbol_id % 13 = 0 THEN NULL ELSE low END AS low, CASE WHEN symbol_id % 17 = 0 THEN -1.0 ELSE close END AS close,
+  CASE WHEN symbol_id % 19 = 0 THEN -1 ELSE volume END AS volume, CASE WHEN symbol_id % 23 = 0 THEN '2d' ELSE time_frame END AS time_frame) FROM candles_t)"""
+_BAD_PRICES_SQL = "(SELECT * REPLACE (CASE symbol_id % 3 WHEN 0 THEN NULL WHEN 1 THEN -price ELSE price END AS price) FROM prices_t)"
+_BAD_SYMBOLS_SQL = ("(SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN NULL ELSE exchange END AS exchange, "
+                    "CASE WHEN id % 8 = 0 THEN repeat(name, 20) ELSE name END AS name) FROM symbols_t)")
+
+
+def _bad_candles(t: MarketTables) -> DataFrame:
+    at = lambda n: F.pmod("symbol_id", F.lit(n)) == 0
+    return t.candles.withColumns({
+        "open": F.when(at(7), -F.col("open")).otherwise(F.col("open")), "high": F.when(at(11), 0.0).otherwise(F.col("high")),
+        "low": F.when(~at(13), F.col("low")), "close": F.when(at(17), -1.0).otherwise(F.col("close")),
+        "volume": F.when(at(19), -1).otherwise(F.col("volume")), "time_frame": F.when(at(23), "2d").otherwise(F.col("time_frame"))})
+
+
+def _bad_prices(t: MarketTables) -> DataFrame:
+    k = F.pmod("symbol_id", F.lit(3))
+    return t.prices.withColumn("price", F.when(k == 1, -F.col("price")).when(k == 2, F.col("price")))
+
+
+def _bad_symbols(t: MarketTables) -> DataFrame:
+    return t.symbols.withColumns({"exchange": F.when(F.pmod("id", F.lit(6)) != 0, F.col("exchange")),
+                                  "name": F.when(F.pmod("id", F.lit(8)) == 0, F.repeat("name", 20)).otherwise(F.col("name"))})
+
+
+def _twice(df: DataFrame, key: str) -> DataFrame:
+    return df.unionByName(df.filter(F.pmod(key, F.lit(5)) == 0))
+
+
 def _nulls_sql(table: str, cte: str, cols: list[str]) -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM {cte}"
         for c in cols)
 
 
-@query("dq_nulls", _nulls_sql("symbols", "symbols_t", S.NOT_NULL["symbols"]) + "\nUNION ALL "
-       + _nulls_sql("market_data", "candles_t", S.NOT_NULL["market_data"]) + "\nUNION ALL "
-       + _nulls_sql("real_time_prices", "prices_t", S.NOT_NULL["real_time_prices"]))
+@query("dq_nulls", _nulls_sql("symbols", _BAD_SYMBOLS_SQL, S.NOT_NULL["symbols"]) + "\nUNION ALL "
+       + _nulls_sql("market_data", _BAD_CANDLES_SQL, S.NOT_NULL["market_data"]) + "\nUNION ALL "
+       + _nulls_sql("real_time_prices", _BAD_PRICES_SQL, S.NOT_NULL["real_time_prices"]))
 def dq_nulls(t: MarketTables) -> DataFrame:
     """Q1: NULL counts of every NOT NULL column."""
-    return Q.union_all([Q.null_counts(t.symbols, "symbols", S.NOT_NULL["symbols"]),
-                        Q.null_counts(t.candles, "market_data", S.NOT_NULL["market_data"]),
-                        Q.null_counts(t.prices, "real_time_prices", S.NOT_NULL["real_time_prices"])])
+    return Q.union_all([Q.null_counts(_bad_symbols(t), "symbols", S.NOT_NULL["symbols"]),
+                        Q.null_counts(_bad_candles(t), "market_data", S.NOT_NULL["market_data"]),
+                        Q.null_counts(_bad_prices(t), "real_time_prices", S.NOT_NULL["real_time_prices"])])
 
 
 def _dup_sql(table: str, cte: str, key: list[str]) -> str:
@@ -35,15 +67,17 @@ def _dup_sql(table: str, cte: str, key: list[str]) -> str:
             f"FROM (SELECT {k}, count(*) AS n FROM {cte} GROUP BY {k} HAVING count(*) > 1)")
 
 
+_TWICE = {cte: f"(SELECT * FROM {cte} UNION ALL SELECT * FROM {cte} WHERE {key} % 5 = 0)"
+          for cte, key in [("symbols_t", "id"), ("candles_t", "symbol_id"), ("prices_t", "symbol_id")]}
 _DUPS = [("symbols", "symbols_t", ["id"]), ("symbols", "symbols_t", ["symbol"]),
          ("market_data", "candles_t", S.KEYS["market_data"][0]),
          ("real_time_prices", "prices_t", S.KEYS["real_time_prices"][0])]
 
 
-@query("dq_unique", "\nUNION ALL ".join(_dup_sql(*d) for d in _DUPS))
+@query("dq_unique", "\nUNION ALL ".join(_dup_sql(name, _TWICE[cte], key) for name, cte, key in _DUPS))
 def dq_unique(t: MarketTables) -> DataFrame:
     """Q2: duplicate keys per declared UNIQUE/PRIMARY KEY."""
-    tables = {"symbols_t": t.symbols, "candles_t": t.candles, "prices_t": t.prices}
+    tables = {"symbols_t": _twice(t.symbols, "id"), "candles_t": _twice(t.candles, "symbol_id"), "prices_t": _twice(t.prices, "symbol_id")}
     return Q.union_all([Q.key_duplicates(tables[cte], name, key) for name, cte, key in _DUPS])
 
 
@@ -60,37 +94,41 @@ def dq_orphans(t: MarketTables) -> DataFrame:
 
 
 @query("dq_ranges", f"""
-SELECT 'market_data' AS table_name, 'open_not_positive' AS rule, CAST(count_if(NOT coalesce(open > 0, false)) AS BIGINT) AS violations FROM candles_t
-UNION ALL SELECT 'market_data', 'high_not_positive', CAST(count_if(NOT coalesce(high > 0, false)) AS BIGINT) FROM candles_t
-UNION ALL SELECT 'market_data', 'low_not_positive', CAST(count_if(NOT coalesce(low > 0, false)) AS BIGINT) FROM candles_t
-UNION ALL SELECT 'market_data', 'close_not_positive', CAST(count_if(NOT coalesce(close > 0, false)) AS BIGINT) FROM candles_t
-UNION ALL SELECT 'market_data', 'volume_negative', CAST(count_if(NOT coalesce(volume >= 0, false)) AS BIGINT) FROM candles_t
-UNION ALL SELECT 'market_data', 'bad_time_frame', CAST(count_if(NOT coalesce(regexp_full_match(time_frame, '{S.TIMEFRAME_PATTERN[1:-1]}'), false)) AS BIGINT) FROM candles_t
-UNION ALL SELECT 'real_time_prices', 'price_not_positive', CAST(count_if(NOT coalesce(price > 0, false)) AS BIGINT) FROM prices_t
+SELECT 'market_data' AS table_name, 'open_not_positive' AS rule, CAST(count_if(NOT coalesce(open > 0, false)) AS BIGINT) AS violations FROM {_BAD_CANDLES_SQL}
+UNION ALL SELECT 'market_data', 'high_not_positive', CAST(count_if(NOT coalesce(high > 0, false)) AS BIGINT) FROM {_BAD_CANDLES_SQL}
+UNION ALL SELECT 'market_data', 'low_not_positive', CAST(count_if(NOT coalesce(low > 0, false)) AS BIGINT) FROM {_BAD_CANDLES_SQL}
+UNION ALL SELECT 'market_data', 'close_not_positive', CAST(count_if(NOT coalesce(close > 0, false)) AS BIGINT) FROM {_BAD_CANDLES_SQL}
+UNION ALL SELECT 'market_data', 'volume_negative', CAST(count_if(NOT coalesce(volume >= 0, false)) AS BIGINT) FROM {_BAD_CANDLES_SQL}
+UNION ALL SELECT 'market_data', 'bad_time_frame', CAST(count_if(NOT coalesce(regexp_full_match(time_frame, '{S.TIMEFRAME_PATTERN[1:-1]}'), false)) AS BIGINT) FROM {_BAD_CANDLES_SQL}
+UNION ALL SELECT 'real_time_prices', 'price_not_positive', CAST(count_if(NOT coalesce(price > 0, false)) AS BIGINT) FROM {_BAD_PRICES_SQL}
 """)
 def dq_ranges(t: MarketTables) -> DataFrame:
     """Value-rule violations per rule."""
-    return Q.range_violations(t.candles, t.prices)
+    return Q.range_violations(_bad_candles(t), _bad_prices(t))
 
 
 @query("dq_lengths", "\nUNION ALL ".join(
-    f"SELECT 'symbols' AS table_name, '{c}' AS column_name, {n} AS max_length, CAST(count_if(length({c}) > {n}) AS BIGINT) AS too_long FROM symbols_t"
+    f"SELECT 'symbols' AS table_name, '{c}' AS column_name, {n} AS max_length, CAST(count_if(length({c}) > {n}) AS BIGINT) AS too_long FROM {_BAD_SYMBOLS_SQL}"
     for c, n in S.SYMBOL_LENGTHS.items()))
 def dq_lengths(t: MarketTables) -> DataFrame:
     """Q5: VARCHAR(n) limits of the symbols table."""
-    return Q.length_violations(t.symbols)
+    return Q.length_violations(_bad_symbols(t))
 
 
 @query("dq_gaps", """
-SELECT symbol_id, data_source, time_frame, min(t_stamp) AS first_ts, max(t_stamp) AS last_ts,
-       CAST(floor((epoch(max(t_stamp)) - epoch(min(t_stamp))) / (1440 * 60)) + 1 AS BIGINT) AS expected,
-       count(DISTINCT t_stamp) AS present,
-       CAST(floor((epoch(max(t_stamp)) - epoch(min(t_stamp))) / (1440 * 60)) + 1 - count(DISTINCT t_stamp) AS BIGINT) AS missing
-FROM candles_t GROUP BY symbol_id, data_source, time_frame
+WITH c AS (SELECT symbol_id, data_source, time_frame, t_stamp FROM candles_t
+           UNION ALL SELECT symbol_id, data_source, '1M', date_trunc('month', t_stamp) FROM candles_t WHERE month(t_stamp) % 3 <> 0),
+g AS (SELECT symbol_id, data_source, time_frame, min(t_stamp) AS first_ts, max(t_stamp) AS last_ts, count(DISTINCT t_stamp) AS present
+      FROM c GROUP BY symbol_id, data_source, time_frame),
+e AS (SELECT *, CASE WHEN time_frame = '1M' THEN date_diff('month', first_ts, last_ts)
+                     ELSE CAST(floor((epoch(last_ts) - epoch(first_ts)) / (1440 * 60)) AS BIGINT) END + 1 AS expected FROM g)
+SELECT symbol_id, data_source, time_frame, first_ts, last_ts, expected, present, expected - present AS missing FROM e
 """)
 def dq_gaps(t: MarketTables) -> DataFrame:
     """Q7: expected vs present bars per series."""
-    return Q.gap_summary(t.candles)
+    monthly = (t.candles.filter(F.pmod(F.month("t_stamp"), F.lit(3)) != 0)
+               .withColumn("t_stamp", F.date_trunc("month", "t_stamp")).withColumn("time_frame", F.lit("1M")))
+    return Q.gap_summary(t.candles.unionByName(monthly))
 
 
 _SOD = "(hour({x}) * 3600 + minute({x}) * 60 + second({x}))"
@@ -143,3 +181,38 @@ ORDER BY exchange
 def market_status(t: MarketTables) -> DataFrame:
     """Each exchange's status as of its latest tick, ordered by exchange."""
     return SS.market_status(t.ticks, t.symbols, t.sessions)
+
+
+_SEED_STATUS_SQL = ", ".join(f"('{e}', {str(o).lower()}, {'NULL' if h is None else h * 60}, {'NULL' if h is None else (h + w) * 60})"
+                             for e, o, h, w in S.SEED_MARKET_STATUS)
+_STORED_STATUS = f"""
+WITH derived AS (SELECT exchange, is_open, next_open, next_close, as_of AS last_updated FROM ({_status_sql(
+    "SELECT s.exchange, max(tk.ts) AS as_of FROM ticks_t tk JOIN symbols_t s ON tk.symbol_id = s.id WHERE s.id % 7 <> 0 GROUP BY s.exchange")})),
+seeds AS (SELECT exchange, is_open, TIMESTAMP '{STATUS_NOW}' + to_minutes(CAST(o AS BIGINT)) AS next_open,
+                 TIMESTAMP '{STATUS_NOW}' + to_minutes(CAST(c AS BIGINT)) AS next_close, TIMESTAMP '{STATUS_NOW}' AS last_updated
+          FROM (VALUES {_SEED_STATUS_SQL}) AS v(exchange, is_open, o, c))
+SELECT * FROM (SELECT * FROM derived UNION ALL SELECT * FROM seeds WHERE exchange NOT IN (SELECT exchange FROM derived))"""
+
+
+def _stored_status(t: MarketTables) -> DataFrame:
+    """The market_status table: statuses known from ticks, then the seed rows where there is none."""
+    from ..operators import merge as M
+    from ..session import fresh_path
+    from ..sources.tables import seed_market_status
+
+    known = SS.market_status(t.ticks, t.symbols.filter(F.pmod("id", F.lit(7)) != 0), t.sessions)
+    seeds = seed_market_status(t.spark, F.lit(STATUS_NOW).cast("timestamp"))
+    path = M.publish(M.insert_ignore_table(known, seeds, ["exchange"], ["exchange"]), fresh_path(t.spark, "market_status"))
+    return t.spark.read.schema(S.MARKET_STATUS).parquet(path)
+
+
+@query("market_status_stored", _STORED_STATUS)
+def market_status_stored(t: MarketTables) -> DataFrame:
+    """Scan of the stored market_status table, ordered by exchange."""
+    return _stored_status(t).orderBy("exchange")
+
+
+@query("market_status_exchange", _STORED_STATUS + " WHERE exchange = 'XETRA'")
+def market_status_exchange(t: MarketTables) -> DataFrame:
+    """One exchange of the stored market_status table."""
+    return _stored_status(t).filter(F.col("exchange") == "XETRA")

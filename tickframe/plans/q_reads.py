@@ -14,6 +14,12 @@ from .oracle import CANDLE_COLS, PRICE_COLS, SYMBOL_COLS, VIEW_CANDLE
 from .registry import RANGE_HI, RANGE_LO, SYMBOL, TIME_FRAME, query
 
 
+def _symbol_id(t: MarketTables) -> int:
+    """The id of the point reads' symbol (one scalar), -1 if there is none."""
+    sid = R.symbol_id_of(t.symbols, SYMBOL)
+    return -1 if sid is None else sid
+
+
 @query("symbols_page", f"""
 SELECT {SYMBOL_COLS} FROM symbols_t ORDER BY symbol, id LIMIT 25 OFFSET 10
 """)
@@ -38,6 +44,30 @@ def symbols_filtered(t: MarketTables) -> DataFrame:
     return R.symbols_filtered(t.symbols, is_active=True, asset_type="crypto")
 
 
+@query("symbols_of_exchange", f"""
+SELECT {SYMBOL_COLS} FROM symbols_t WHERE exchange = 'LSE'
+""")
+def symbols_of_exchange(t: MarketTables) -> DataFrame:
+    """Symbols of one exchange, active or not."""
+    return R.symbols_filtered(t.symbols, is_active=None, exchange="LSE")
+
+
+@query("page_count", """
+SELECT count(*) AS returned FROM (SELECT id FROM symbols_t WHERE is_active ORDER BY symbol, id LIMIT 100 OFFSET 50)
+""")
+def page_count(t: MarketTables) -> DataFrame:
+    """The ``count`` of the rows that a page returns."""
+    return R.symbols_filtered(t.symbols, is_active=True, limit=100, offset=50).agg(F.count(F.lit(1)).alias("returned"))
+
+
+@query("symbols_after", f"""
+SELECT {SYMBOL_COLS} FROM symbols_t WHERE symbol > '{SYMBOL}' ORDER BY symbol, id LIMIT 25
+""")
+def symbols_after(t: MarketTables) -> DataFrame:
+    """L1 by key: the page after a symbol; its cost does not grow with the page's depth."""
+    return R.symbols_after(t.symbols, SYMBOL, limit=25)
+
+
 @query("page_overlap", """
 (SELECT id, symbol FROM symbols_t ORDER BY symbol, id LIMIT 5 OFFSET 0)
 INTERSECT
@@ -58,7 +88,7 @@ ORDER BY md.t_stamp DESC, md.data_source, md.id DESC LIMIT 100
 """)
 def candles_latest(t: MarketTables) -> DataFrame:
     """Latest 100 daily candles of one symbol."""
-    return R.candles_latest(t.candles, t.symbols, SYMBOL, TIME_FRAME, limit=100)
+    return R.candles_latest(t.candles_of(_symbol_id(t)), t.symbols, SYMBOL, TIME_FRAME, limit=100)
 
 
 @query("candles_range", f"""
@@ -93,7 +123,7 @@ def candles_latest_per_symbol(t: MarketTables) -> DataFrame:
 
 
 @query("prices_latest", f"""
-SELECT p.{PRICE_COLS.replace(', ', ', p.')}, s.symbol, s.name
+SELECT p.{PRICE_COLS.replace(', ', ', p.')}, s.symbol, s.name, s.exchange, s.asset_type
 FROM prices_t p JOIN symbols_t s ON p.symbol_id = s.id
 ORDER BY p.last_updated DESC, p.id DESC LIMIT 50
 """)
@@ -103,14 +133,12 @@ def prices_latest(t: MarketTables) -> DataFrame:
 
 
 @query("prices_by_symbol", f"""
-SELECT p.{PRICE_COLS.replace(', ', ', p.')}, s.symbol, s.name
+SELECT p.{PRICE_COLS.replace(', ', ', p.')}, s.symbol, s.name, s.exchange, s.asset_type
 FROM prices_t p JOIN symbols_t s ON p.symbol_id = s.id WHERE s.symbol = '{SYMBOL}'
 """)
 def prices_by_symbol(t: MarketTables) -> DataFrame:
     """Prices of one symbol, all sources (id looked up first, so the filter reaches the scan)."""
-    sid = R.symbol_id_of(t.symbols, SYMBOL)
-    p = t.prices.filter(F.col("symbol_id") == F.lit(sid if sid is not None else -1).cast("int"))
-    return J.prices_with_symbols(p, t.symbols).filter(F.col("symbol") == SYMBOL)
+    return J.prices_with_symbols(t.prices_of(_symbol_id(t)), t.symbols).filter(F.col("symbol") == SYMBOL)
 
 
 @query("prices_nullified", f"""
@@ -148,13 +176,14 @@ def latest_prices_top(t: MarketTables) -> DataFrame:
 
 @query("symbols_left_prices", """
 SELECT s.symbol, s.name, s.exchange, p.price, p.last_updated
-FROM symbols_t s LEFT JOIN prices_t p ON s.id = p.symbol_id
+FROM symbols_t s LEFT JOIN (SELECT * FROM prices_t WHERE symbol_id % 4 <> 0) p ON s.id = p.symbol_id
 WHERE s.is_active
 ORDER BY p.last_updated DESC NULLS FIRST, s.symbol, p.data_source LIMIT 10
 """)
 def symbols_left_prices(t: MarketTables) -> DataFrame:
-    """Active symbols left-join prices, newest first with NULLs first, top 10."""
-    j = J.symbols_left_prices(t.symbols, t.prices)
+    """Active symbols left-join prices, newest first with NULLs first, top 10. Prices of
+    every fourth symbol are left out, so some symbols have none."""
+    j = J.symbols_left_prices(t.symbols, t.prices.filter(F.pmod("symbol_id", F.lit(4)) != 0))
     return (j.orderBy(F.col("last_updated").desc_nulls_first(), "symbol", "data_source").limit(10)
             .select("symbol", "name", "exchange", "price", "last_updated"))
 
@@ -227,12 +256,15 @@ def cascade_delete(t: MarketTables) -> DataFrame:
 
 @query("timeframes_by_symbol", """
 SELECT DISTINCT s.symbol, c.time_frame
-FROM candles_t c JOIN symbols_t s ON c.symbol_id = s.id
+FROM (SELECT symbol_id, CASE month(t_stamp) % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '1w' ELSE time_frame END AS time_frame
+      FROM candles_t) c JOIN symbols_t s ON c.symbol_id = s.id
 WHERE c.time_frame IS NOT NULL AND c.time_frame <> ''
 """)
 def timeframes_by_symbol(t: MarketTables) -> DataFrame:
     """Distinct time frames per symbol."""
-    return R.timeframes_by_symbol(t.candles, t.symbols)
+    k = F.pmod(F.month("t_stamp"), F.lit(4))
+    frames = F.when(k == 1, "").when(k == 2, "1w").when(k == 3, F.col("time_frame"))  # k = 0: NULL
+    return R.timeframes_by_symbol(t.candles.withColumn("time_frame", frames), t.symbols)
 
 
 @query("candles_stored_range", f"""

@@ -16,12 +16,14 @@ from .registry import query
 
 TICK_CHUNKS = 6
 BAR_CHUNKS = 7
+#: Files of a delivery; a trigger reads them all, each in its own task.
+FILES = 2
 
 
 def _tick_landing(t: MarketTables, extra: DataFrame | None = None) -> str:
     path = fresh_path(t.spark, "landing-ticks")
     src = t.ticks if extra is None else t.ticks.unionByName(extra)
-    return ST.land_in_order(src, "ts", path, TICK_CHUNKS)
+    return ST.land_in_order(src, "ts", path, TICK_CHUNKS, files=FILES)
 
 
 def _late_copy(t: MarketTables, id_shift: int = 0) -> DataFrame:
@@ -39,7 +41,7 @@ def stream_prices(t: MarketTables) -> DataFrame:
     """Tick stream -> latest price per (symbol, source), upserted per micro-batch."""
     land = _tick_landing(t)
     sink = ST.VersionedUpsert(t.spark, fresh_path(t.spark, "stream-prices"), ["symbol_id", "data_source"], ["ts", "id"])
-    ST.run_foreach_batch(ST.latest_prices_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-prices", sink)
+    ST.run_foreach_batch(ST.latest_prices_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES)), "stream-prices", sink)
     return t.spark.read.parquet(sink.current).select("symbol_id", "data_source", "id", "ts", "price", "size")
 
 
@@ -55,7 +57,7 @@ HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks_t)
 def stream_candles(t: MarketTables) -> DataFrame:
     """Hourly candles with a 10-minute watermark; only closed windows are emitted."""
     land = _tick_landing(t)
-    sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-candles")
+    sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES)), "stream-candles")
     return t.spark.read.parquet(sink)
 
 
@@ -69,7 +71,7 @@ def stream_dedup(t: MarketTables) -> DataFrame:
     _late_copy(t).coalesce(1).write.mode("append").parquet(land)
     root = fresh_path(t.spark, "stream-dedup")
     sink = ST.InsertIgnoreSink(t.spark, root, ["id"], "ts", 3600)
-    ST.run_foreach_batch(ST.dedup_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA), ["id"]),
+    ST.run_foreach_batch(ST.dedup_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES), ["id"]),
                          "stream-dedup", sink, mode="append")
     return t.spark.read.parquet(root).drop("epoch")
 
@@ -87,8 +89,9 @@ def stream_late(t: MarketTables) -> DataFrame:
     partition; the late re-send here is one file, i.e. one group per window."""
     land = _tick_landing(t)
     _late_copy(t, 10 ** 12).coalesce(1).write.mode("append").parquet(land)
-    sink, q = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-late")
-    dropped = ST.dropped_by_watermark(q)
+    drops = ST.WatermarkDrops(t.spark)
+    sink, q = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES)), "stream-late")
+    dropped = drops.total(q)
     emitted = t.spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("value"))
     return (emitted.select(F.lit("windows_emitted").alias("metric"), "value")
             .unionByName(t.spark.createDataFrame([("late_groups_dropped", dropped)], "metric string, value bigint")))
@@ -107,7 +110,7 @@ HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM ticks_t) - INTERV
 def stream_24h(t: MarketTables) -> DataFrame:
     """T5: 24 h volume and price change per symbol, sliding hourly, closed windows only."""
     land = _tick_landing(t)
-    sink, _ = ST.run_to_files(ST.rolling_24h_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA)), "stream-24h")
+    sink, _ = ST.run_to_files(ST.rolling_24h_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES)), "stream-24h")
     return t.spark.read.parquet(sink)
 
 
@@ -125,8 +128,8 @@ def stream_ema(t: MarketTables) -> DataFrame:
     bars are released in event-time order once the watermark passes them."""
     bars = I.series_bars(t.candles).select("symbol_id", "time_frame", "t_stamp", "close")
     land = fresh_path(t.spark, "landing-bars")
-    ST.land_in_order(bars, "t_stamp", land, BAR_CHUNKS)
-    stream = ST.read_landing(t.spark, land, "symbol_id int, time_frame string, t_stamp timestamp, close double")
+    ST.land_in_order(bars, "t_stamp", land, BAR_CHUNKS, files=FILES)
+    stream = ST.read_landing(t.spark, land, "symbol_id int, time_frame string, t_stamp timestamp, close double", FILES)
     sink, _ = ST.run_to_files(ST.ema_stream(stream), "stream-ema")
     return t.spark.read.parquet(sink)
 
@@ -148,9 +151,9 @@ def stream_ohlc_ingest(t: MarketTables) -> DataFrame:
     docs = docs.withColumn("doc_ts", F.to_timestamp(F.concat("ym", F.lit("-01"))))
     resent = docs.filter(F.substring("ym", 6, 2).cast("int") % 2 == 1)
     land = fresh_path(t.spark, "landing-ohlc")
-    ST.land_in_order(docs.unionByName(resent), "doc_ts", land, BAR_CHUNKS, fmt="text")
+    ST.land_in_order(docs.unionByName(resent), "doc_ts", land, BAR_CHUNKS, fmt="text", files=FILES)
     root = fresh_path(t.spark, "stream-ohlc")
     key = ["pair", "t_stamp", "time_frame", "data_source"]
     sink = ST.InsertIgnoreSink(t.spark, root, key, "t_stamp", 62 * 86400)
-    ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d"), "stream-ohlc", sink, mode="append")
+    ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d", FILES), "stream-ohlc", sink, mode="append")
     return t.spark.read.parquet(root).drop("epoch")

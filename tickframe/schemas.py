@@ -182,6 +182,19 @@ SEED_SESSIONS = [
 ]
 SESSION_EXCHANGES = [s[0] for s in SEED_SESSIONS]
 
+# Seed rows: market statuses (exchange, open, hours until the next open, trading hours after it).
+SEED_MARKET_STATUS = [
+    ("NYSE", False, 24.0, 6.5),
+    ("NASDAQ", False, 24.0, 6.5),
+    ("LSE", False, 24.0, 8.5),
+    ("TSE", False, 24.0, 6.0),
+    ("HKEX", False, 24.0, 6.5),
+    ("XETRA", False, 24.0, 8.0),
+    ("EPA", False, 24.0, 8.0),
+    ("BINANCE", True, None, None),
+    ("COINBASE", True, None, None),
+]
+
 # Seed rows: symbols (symbol, name, exchange, asset type, currency, sector, industry, market cap).
 SEED_SYMBOLS = [
     ("AAPL", "Apple Inc.", "NASDAQ", "stock", "USD", "Technology", "Consumer Electronics", 3000000000000),

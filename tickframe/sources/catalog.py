@@ -24,6 +24,14 @@ class MarketTables:
     def candles(self) -> DataFrame:
         return TB.market_data(self.spark, self.sf_dir)
 
+    def candles_of(self, symbol_id: int) -> DataFrame:
+        """One symbol's candles, filtered at the scan."""
+        return TB.market_data(self.spark, self.sf_dir, symbol_id)
+
+    def prices_of(self, symbol_id: int) -> DataFrame:
+        """One symbol's latest prices, filtered at the scan."""
+        return TB.real_time_prices(self.spark, self.sf_dir, self.symbols, symbol_id)
+
     @cached_property
     def ticks(self) -> DataFrame:
         return TB.ticks(self.spark, self.sf_dir)

@@ -68,8 +68,10 @@ def _bar_order() -> Column:
     return F.struct("l_orderkey", "l_linenumber", "l_partkey", "px")
 
 
-def market_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily candles: one bar per (supplier, ship date, feed). Feed = return flag.
+def market_data(spark: SparkSession, sf_dir: str, symbol_id: int | None = None) -> DataFrame:
+    """Daily candles: one bar per (supplier, ship date, feed). Feed = return flag. With
+    ``symbol_id`` only that symbol's, filtered at the scan (the id is a narrowing cast of the key,
+    which a filter above it cannot pass).
 
     A single partial-aggregable groupBy (min_by/max_by/min/max/sum combine map-side), so a
     hot supplier is pre-aggregated before the shuffle.
@@ -77,6 +79,8 @@ def market_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate")
+    if symbol_id is not None:
+        li = li.filter(F.col("l_suppkey") == symbol_id)
     li = li.withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
     bars = li.groupBy("l_suppkey", "l_shipdate", "l_returnflag").agg(
         F.min_by("px", _bar_order()).alias("open"),
@@ -102,9 +106,11 @@ def market_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- ticks / prices
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade ticks: id, symbol_id, ts, price, size, data_source."""
+def ticks(spark: SparkSession, sf_dir: str, symbol_id: int | None = None) -> DataFrame:
+    """Trade ticks: id, symbol_id, ts, price, size, data_source (of one symbol if given)."""
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    if symbol_id is not None:
+        ev = ev.filter(F.col("user_id") == symbol_id)
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("user_id").cast("int").alias("symbol_id"),
@@ -120,13 +126,12 @@ def tick_symbol_text(c: Column) -> Column:
     return F.concat(F.lit("Supplier#"), F.lpad(c.cast("string"), 9, "0"))
 
 
-def real_time_prices(spark: SparkSession, sf_dir: str, syms: DataFrame | None = None) -> DataFrame:
+def real_time_prices(spark: SparkSession, sf_dir: str, syms: DataFrame | None = None, symbol_id: int | None = None) -> DataFrame:
     """Latest-price snapshot: newest tick per (symbol, source) of known symbols."""
-    from ..operators.joins import sized_broadcast
 
     syms = syms if syms is not None else symbols(spark, sf_dir)
-    tk = ticks(spark, sf_dir)
-    known = tk.join(sized_broadcast(syms.select(F.col("id").alias("symbol_id"))), "symbol_id", "left_semi")
+    tk = ticks(spark, sf_dir, symbol_id)
+    known = tk.join(syms.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
     order = F.struct("ts", "id")
     g = known.groupBy("symbol_id", "data_source").agg(
         F.max_by("id", order).alias("id"),
@@ -151,30 +156,43 @@ def real_time_prices(spark: SparkSession, sf_dir: str, syms: DataFrame | None =
 
 # --------------------------------------------------------------------------- pair metadata
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exchange pair metadata: pair, wsname, altname, base, quote, status."""
+    """Exchange pair metadata: pair, wsname, altname, base, quote, status. The first parts carry
+    the mapped pairs' own keys; every text but the key may be missing."""
+    real = F.array(*[F.lit(x) for x in S.PAIR_SYMBOL_MAP])
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     base = F.upper(F.substring_index("p_name", " ", 1))
     quote3 = F.upper(F.substring("p_type", 1, 3))
     statuses = F.array(*[F.lit(x) for x in S.PAIR_STATUSES])
     return p.select(
-        F.concat(base, quote3, F.col("p_partkey").cast("string")).alias("pair"),
+        F.coalesce(F.get(real, (F.col("p_partkey") - 1).cast("int")),
+                   F.concat(base, quote3, F.col("p_partkey").cast("string"))).alias("pair"),
         F.when(F.pmod("p_partkey", F.lit(7)) == 0, F.lit(None).cast("string"))
          .otherwise(F.concat_ws("/", base, quote3)).alias("wsname"),
-        F.when(F.pmod("p_partkey", F.lit(11)) == 0, F.lit("")).otherwise(F.col("p_brand")).alias("altname"),
-        base.alias("base"),
+        F.when(F.pmod("p_partkey", F.lit(13)) == 0, F.lit(None).cast("string"))
+         .when(F.pmod("p_partkey", F.lit(11)) == 0, F.lit("")).otherwise(F.col("p_brand")).alias("altname"),
+        F.when(F.pmod("p_partkey", F.lit(17)) != 0, base).alias("base"),
         F.col("p_type").alias("quote"),
-        F.element_at(statuses, (F.pmod("p_size", F.lit(4)) + 1).cast("int")).alias("status"),
+        F.when(F.pmod("p_partkey", F.lit(19)) != 0,
+               F.element_at(statuses, (F.pmod("p_size", F.lit(4)) + 1).cast("int"))).alias("status"),
     )
 
 
+#: Requests that reach the replacement map, the XBT rule, each quote suffix and the altname step.
+TYPED_PAIRS = ["btc/usd", "BTC-USDT", "xbt-usdt", "doge-eur", "eth/usd", "maticeur", "BTC", "ada-usdt", "linkgbp", "brand/#12"]
+
+
 def pair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair names as users type them: slashed lower-case, dashed, and unknown names."""
+    """Pair names as users type them: slashed lower-case, dashed, unknown names, and for some
+    parts one of a few well-known pairs or a brand name (so these repeat)."""
     k = F.col("pair")
     form = F.pmod(F.length(k), F.lit(3))
     raw = (F.when(form == 0, F.lower(F.concat(F.substring(k, 1, 3), F.lit("/"), F.substring(k, 4, 1000))))
            .when(form == 1, F.concat(F.substring(k, 1, 2), F.lit("-"), F.substring(k, 3, 1000)))
            .otherwise(F.concat(k, F.lit("-z"))))
-    return pairs(spark, sf_dir).select(raw.alias("requested"))
+    part = read(spark, sf_dir, "part").select("p_partkey").filter(F.pmod("p_partkey", F.lit(25)) == 0)
+    typed = F.array(*[F.lit(x) for x in TYPED_PAIRS])
+    again = part.select(F.element_at(typed, (F.pmod(F.col("p_partkey") / 25, F.lit(len(TYPED_PAIRS))) + 1).cast("int")).alias("requested"))
+    return pairs(spark, sf_dir).select(raw.alias("requested")).unionByName(again)
 
 
 # --------------------------------------------------------------------------- seeds
@@ -188,6 +206,14 @@ def market_sessions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, S.MARKET_SESSIONS)
 
 
+def seed_market_status(spark: SparkSession, now: Column) -> DataFrame:
+    """Reference seed statuses (F16): next open and close as ``now`` plus intervals."""
+    rows = spark.createDataFrame(S.SEED_MARKET_STATUS, "exchange string, is_open boolean, open_hours double, trading_hours double")
+    after = lambda h: now + F.make_dt_interval(F.lit(0), F.lit(0), F.round(h * 60).cast("int"))
+    return rows.select("exchange", "is_open", after(F.col("open_hours")).alias("next_open"),
+                       after(F.col("open_hours") + F.col("trading_hours")).alias("next_close"), now.alias("last_updated"))
+
+
 def seed_symbols(spark: SparkSession) -> DataFrame:
     """Reference seed symbols as incoming rows (is_active left to the default)."""
     schema = ("symbol string, name string, exchange string, asset_type string, currency string, "

@@ -10,16 +10,20 @@ transactional, and ``foreachBatch`` writers publish each epoch to its own versio
 from __future__ import annotations
 
 import sys
+import threading
 import warnings
 
+from collections import defaultdict
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import merge as M
@@ -33,12 +37,12 @@ TICK_SCHEMA = "id bigint, symbol_id int, ts timestamp, price double, size bigint
 
 
 # --------------------------------------------------------------------------- landing / running
-def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str = "parquet") -> str:
-    """Producer for tests and backfills: deliver ``df`` as ``chunks`` files in event-time order.
+def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str = "parquet", files: int = 1) -> str:
+    """Producer for tests and backfills: deliver ``df`` as ``chunks`` deliveries in event-time order.
 
-    The time range is cut into equal spans and each span is written by its own job, so
-    file arrival order follows event time (as a live feed would). ``chunks`` is small and
-    fixed; each job reads only its span (pushed-down range filter).
+    The time range is cut into equal spans and each span is written by its own job as ``files``
+    files (tasks), so arrival order follows event time as in a live feed. A stream that reads
+    ``files`` files per trigger takes one delivery at a time, each file in its own task.
     """
     src = df.persist(StorageLevel.MEMORY_AND_DISK)  # computed once, re-read per chunk
     lo, hi = src.agg(F.min(ts_col), F.max(ts_col)).first()
@@ -56,9 +60,9 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str =
             cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
         part = src.filter(cond)
         if fmt == "text":
-            part.select("value").coalesce(1).write.mode("append").text(path)
+            part.select("value").repartition(files).write.mode("append").text(path)
         else:
-            part.coalesce(1).write.mode("append").parquet(path)
+            part.repartition(files).write.mode("append").parquet(path)
     src.unpersist()
     return path
 
@@ -67,30 +71,31 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int =
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
 
 
-def _start(spark: SparkSession, writer):
-    """Start a new query with at most one state partition per core.
-
-    A stream fixes its state-partition count from ``spark.sql.shuffle.partitions`` when it
-    first starts (the query clones the session conf at start), so the value is capped at the
-    cluster's parallelism just for the start and then restored. Every micro-batch runs one
-    task per state partition, so more partitions than cores only add per-batch overhead.
-    """
-    key = "spark.sql.shuffle.partitions"
-    prev = spark.conf.get(key)
-    n = max(1, min(int(prev), spark.sparkContext.defaultParallelism))
-    spark.conf.set(key, str(n))
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been written yet. Any other failure to
+    read is raised: taking it for an empty table would drop what is stored."""
     try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, prev)
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _rocksdb(spark: SparkSession) -> None:
+    """Keep state off the JVM heap also on a session that the library did not build."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(key, ""):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> tuple[str, object]:
     """Run a stream over everything available now into a Parquet sink; return (path, query)."""
     spark = stream.sparkSession
+    _rocksdb(spark)
     sink, ckpt = fresh_path(spark, f"{name}-out"), fresh_path(spark, f"{name}-ckpt")
-    q = _start(spark, stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-               .outputMode(mode).trigger(availableNow=True))
+    q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+         .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return sink, q
 
@@ -98,9 +103,10 @@ def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> tuple[st
 def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
                       mode: str = "update") -> object:
     spark = stream.sparkSession
+    _rocksdb(spark)
     ckpt = fresh_path(spark, f"{name}-ckpt")
-    q = _start(spark, stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
-               .outputMode(mode).trigger(availableNow=True))
+    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
+         .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
@@ -117,9 +123,8 @@ class VersionedUpsert:
         self.current: str | None = None
 
     def _previous(self, epoch_id: int) -> DataFrame | None:
-        try:
-            versions = self.spark.read.parquet(self.root)
-        except Exception:  # noqa: BLE001  (no version published yet)
+        versions = existing(self.spark, self.root)
+        if versions is None:
             return None
         prev = versions.filter(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
         if prev is None:
@@ -167,14 +172,35 @@ def rolling_24h_stream(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame
                     (F.col("last_price") - F.col("first_price")).alias("change_24h"), "trades")
 
 
-def dropped_by_watermark(query) -> int:
-    """T4: rows dropped as too late, summed over the query's progress reports."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else (p.stateOperators or []):
-            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += int(v or 0)
-    return total
+class WatermarkDrops(StreamingQueryListener):
+    """T4: rows that stateful operators dropped as too late, added up over every micro-batch of
+    each query (a query's own progress list keeps only the last hundred)."""
+
+    def __init__(self, spark: SparkSession):
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+        self.spark = spark
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[str(p.runId)] = self.dropped.get(str(p.runId), 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def total(self, query, timeout: float = 60.0) -> int:
+        """The count of an ended query, once all its events have arrived."""
+        if not self.ended[str(query.runId)].wait(timeout):
+            raise TimeoutError("the query's last event has not arrived")
+        self.spark.streams.removeListener(self)
+        return self.dropped.get(str(query.runId), 0)
 
 
 # --------------------------------------------------------------------------- T3 dedup
@@ -197,10 +223,7 @@ class InsertIgnoreSink:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fresh = M.first_per_key(batch, self.key, [self.ts_col])
-            try:
-                table = self.spark.read.parquet(self.root)
-            except Exception:  # noqa: BLE001  (first epoch: no table yet)
-                table = None
+            table = existing(self.spark, self.root)
             if table is not None:
                 b = batch.agg(F.min(self.ts_col).alias("lo"), F.max(self.ts_col).alias("hi")).first()
                 if b["lo"] is not None:
