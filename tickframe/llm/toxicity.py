@@ -37,8 +37,8 @@ from .common import byte_pieces, small_batches
 
 #: Runs of letters, digits, symbols that stand in for letters, and bytes beyond ASCII.
 WORDS = re.compile(rb"[0-9a-z@$*_\x80-\xff]+").findall
-OPTIONS = {"buckets": 1 << 20, "dim": 8, "shortest": 3, "longest": 6, "per_class": 2500, "train_bytes": 200_000, "min_texts": 5,
-           "epochs": 12, "rate": 0.02, "decay": 1e-4, "seed": 5}
+OPTIONS = {"buckets": 1 << 20, "dim": 8, "shortest": 3, "longest": 6, "per_class": 1500, "train_bytes": 200_000, "min_texts": 5,
+           "updates": 1000, "rate": 0.02, "decay": 1e-4, "seed": 5}
 #: A mean over hundreds of subwords is small; the softmax sees it enlarged.
 SCALE = 100.0
 CACHED, CACHED_BYTES = 400_000, 48
@@ -77,7 +77,7 @@ class Model:
 
     def __init__(self, subwords: int, dim: int, seed: int):
         self.rng = np.random.default_rng(seed)
-        self.E = self.rng.normal(0, 0.1, (subwords, dim))
+        self.E = self.rng.normal(0, 0.1, (subwords, dim)).astype(np.float32)
         self.d = self.rng.normal(0, 0.1, dim)
         self.b = np.zeros(1)
 
@@ -85,26 +85,27 @@ class Model:
         s = self.E @ self.d * SCALE
         return np.array([share @ s[at] for at, share in bags]) + self.b[0]
 
-    def fit(self, bags: list, y: np.ndarray, epochs: int, rate: float, decay: float, batch: int = 64) -> None:
-        """Adam on the cross-entropy, both classes weighing the same."""
+    def fit(self, bags: list, y: np.ndarray, updates: int, rate: float, decay: float, batch: int = 64) -> None:
+        """Adam on the cross-entropy, both classes weighing the same; the rate falls to zero over the updates."""
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in (self.E, self.d, self.b)]
-        t = 0
-        for epoch in range(epochs):
-            order, now = self.rng.permutation(len(y)), rate * (1 - epoch / epochs)
-            for k in range(0, len(y), batch):
-                some, t = order[k:k + batch], t + 1
-                at = np.concatenate([bags[i][0] for i in some])
-                share = np.concatenate([bags[i][1] for i in some]) * SCALE
-                text = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
-                z = np.bincount(text, share * (self.E @ self.d)[at], len(some)) + self.b[0]
-                g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[some]) * weight[some] / len(some)
-                G = np.bincount(at, share * g[text], len(self.E))
-                grads = (np.outer(G, self.d) + decay * self.E, self.E.T @ G, g.sum(keepdims=True))
-                for x, dx, (m, v) in zip((self.E, self.d, self.b), grads, state):
-                    m += 0.1 * (dx - m)
-                    v += 0.001 * (dx * dx - v)
-                    x -= now * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        order = np.empty(0, np.int64)
+        for t in range(1, updates + 1):
+            if not order.size:
+                order = self.rng.permutation(len(y))
+            some, order = order[:batch], order[batch:]
+            at = np.concatenate([bags[i][0] for i in some])
+            share = np.concatenate([bags[i][1] for i in some]) * SCALE
+            text = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
+            z = np.bincount(text, share * (self.E @ self.d)[at], len(some)) + self.b[0]
+            g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[some]) * weight[some] / len(some)
+            G = np.bincount(at, share * g[text], len(self.E)).astype(np.float32)
+            grads = (np.outer(G, self.d.astype(np.float32)) + np.float32(decay) * self.E, self.E.T @ G, g.sum(keepdims=True))
+            now = rate * (1 - t / updates) / (1 - 0.9 ** t)
+            for x, dx, (m, v) in zip((self.E, self.d, self.b), grads, state):
+                m += 0.1 * (dx - m)
+                v += 0.001 * (dx * dx - v)
+                x -= now * m / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
 
 
 def calibration(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -146,24 +147,28 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> tuple[np.ndarray, fl
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([a.astype("<u4").tobytes() for a, _ in bags], pa.binary()),
                                               pa.array([s.astype("<f4").tobytes() for _, s in bags], pa.binary())], ["doc_id", "at", "share"])
 
-    rows = (docs.select("doc_id", "text").mapInArrow(run, "doc_id long, at binary, share binary").dropDuplicates(["doc_id"])
-            .orderBy(F.xxhash64("doc_id"), "doc_id").toArrow())
-    y = np.array([chosen[d] for d in rows["doc_id"].to_pylist()], float)
+    bags = {}
+    for b in docs.select("doc_id", "text").mapInArrow(run, "doc_id long, at binary, share binary").toArrow().to_batches():
+        for doc_id, a, share in zip(*(c.to_pylist() for c in b.columns)):
+            bags[doc_id] = min((a, share), bags.get(doc_id, (a, share)))  # of rows of one doc_id always the same
+    order = sorted(bags, key=lambda d: crc32(b"%d" % d))
+    y = np.array([chosen[d] for d in order], float)
     share = totals[1] / (totals[0] + totals[1])
     if len(set(y)) < 2:
         return np.zeros(o["buckets"]), math.log(share / (1 - share))
-    at = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["at"].to_pylist()]
-    texts = np.bincount(np.concatenate(at), minlength=o["buckets"])
+    bags = [(np.frombuffer(a, "<u4"), np.frombuffer(s, "<f4")) for a, s in (bags.pop(d) for d in order)]
+    texts = np.zeros(o["buckets"], np.int64)
+    for a, _ in bags:
+        texts[a] += 1
     used = np.flatnonzero(texts >= min(o["min_texts"], max(1, len(y) // 10)))
-    place = np.full(o["buckets"], -1)
+    place = np.full(o["buckets"], -1, np.int32)
     place[used] = np.arange(len(used))
-    bags = []
-    for a, raw in zip(at, rows["share"].to_pylist()):
+    for i, (a, s) in enumerate(bags):
         known = place[a] >= 0
-        bags.append((place[a[known]], np.frombuffer(raw, "<f4")[known].astype(float)))
+        bags[i] = place[a[known]], s[known]
     left_out = np.arange(len(y)) % 6 == 0
     model = Model(len(used), o["dim"], o["seed"])
-    model.fit([bags[i] for i in np.flatnonzero(~left_out)], y[~left_out], o["epochs"], o["rate"], o["decay"])
+    model.fit([bags[i] for i in np.flatnonzero(~left_out)], y[~left_out], o["updates"], o["rate"], o["decay"])
     slope, shift = calibration(model.logits([bags[i] for i in np.flatnonzero(left_out)]), y[left_out], share)
     parts = np.zeros(o["buckets"])
     parts[used] = model.E @ model.d * SCALE * slope
