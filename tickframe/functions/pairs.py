@@ -29,13 +29,8 @@ def infer_symbol(normalized: Column) -> Column:
     """XBT... -> BTC... (every XBT replaced); then, when there is no "/" and the text is
     longer than 6 chars, split off the first matching quote suffix (USD, USDT, EUR, GBP)."""
     s = F.when(normalized.startswith("XBT"), F.replace(normalized, F.lit("XBT"), F.lit("BTC"))).otherwise(normalized)
-    splittable = ~s.contains("/") & (F.length(s) > 6)
-    out = None
-    for q in S.SYMBOL_QUOTES:
-        cond = splittable & s.endswith(q)
-        val = F.concat(F.substring(s, F.lit(1), F.length(s) - len(q)), F.lit("/" + q))
-        out = F.when(cond, val) if out is None else out.when(cond, val)
-    return out.otherwise(s)
+    quoted = F.regexp_replace(s, "(" + "|".join(S.SYMBOL_QUOTES) + ")$", "/$1")  # no text ends with two of them
+    return F.when(s.contains("/") | (F.length(s) <= 6), s).otherwise(quoted)
 
 
 def currency_of(symbol: Column) -> Column:

@@ -329,13 +329,15 @@ def add_pairs_plan(requests: DataFrame, pairs: DataFrame, symbols: DataFrame, co
     given = F.col("db_symbol") if "db_symbol" in requests.columns else F.lit(None).cast("string")
     r = (requests.select(col, given.alias("_given")).groupBy(col, normalize_pair(F.col(col)).alias("normalized"), "_given")
          .agg(F.count(F.lit(1)).alias("_n")))
-    r = r.withColumn("db_symbol", F.coalesce("_given", infer_symbol(F.col("normalized"))))
+    # grouped again (no further shuffle), so that the joins below see a column, not the expression
+    r = (r.withColumn("db_symbol", F.coalesce("_given", infer_symbol(F.col("normalized"))))
+         .groupBy(col, "normalized", "_given", "db_symbol").agg(F.sum("_n").alias("_n")))
     p = pairs.select(F.col("pair").alias("normalized"), "altname", "status", F.lit(True).alias("_offered"))
     s = symbols.select(F.col("symbol").alias("db_symbol"), F.lit(True).alias("_exists"))
     j = r.join(p, "normalized", "left").join(s, "db_symbol", "left")
     firsts = (j.filter(F.col("_offered") & F.col("_exists").isNull()).groupBy("db_symbol")
               .agg(F.min(F.struct(col, "normalized")).alias("_first")))  # one row per (request, given symbol)
-    j = j.join(firsts, "db_symbol", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    j = j.join(firsts, "db_symbol", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
     first = (F.struct(col, "normalized") == F.col("_first")) & (F.col("_copy") == 1)
     action = (F.when(F.col("_offered").isNull(), F.lit("not_found"))
               .when(F.col("_exists").isNotNull(), F.lit("exists"))

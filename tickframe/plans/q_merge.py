@@ -15,6 +15,7 @@ from .. import schemas as S
 from ..functions import pairs as FP
 from ..functions import payload as PL
 from ..operators import merge as M
+from ..session import fresh_path
 from ..sources import payloads as SP
 from ..sources.catalog import MarketTables
 from .oracle import CANDLE_COLS, PRICE_COLS
@@ -231,7 +232,9 @@ FROM j
 def pairs_add(t: MarketTables) -> DataFrame:
     """Add-pair requests -> not_found / exists / create plan."""
     known = t.pairs.filter(F.col("pair").isin("XBTUSDT", "ADAUSDT")).select(FP.pair_to_symbol(F.col("pair")).alias("symbol"))
-    return M.add_pairs_plan(t.pair_requests, t.pairs, t.symbols.select("symbol").unionByName(known))
+    path = M.publish(t.pair_requests, fresh_path(t.spark, "pair-requests"))  # a batch arrives as a file
+    requests = t.spark.read.schema("requested string").parquet(path)
+    return M.add_pairs_plan(requests, t.pairs, t.symbols.select("symbol").unionByName(known))
 
 
 INGEST_CUT = "2000-01-01 00:00:00"
@@ -242,8 +245,6 @@ _INGEST_BARS = "SELECT * REPLACE (CASE WHEN symbol_id % 11 = 0 THEN -open ELSE o
 def _ingest(t: MarketTables) -> tuple[str, DataFrame, list[DataFrame]]:
     """Two fetch batches of OHLC documents (the second re-sends the first) into a new stored table:
     its path, the symbols afterwards and the counts of each batch."""
-    from ..session import fresh_path
-
     bars = t.candles.withColumn("open", F.when(F.pmod("symbol_id", F.lit(11)) == 0, -F.col("open")).otherwise(F.col("open")))
     raw = SP.ohlc_payloads(bars, _ohlc_pair()).select("value")
     decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(raw)[0]), "1d").drop("value", "last")
@@ -313,8 +314,6 @@ FROM j
 def ticker_ingest(t: MarketTables) -> DataFrame:
     """The stored price table after two batches of ticker documents: decoded, validated
     (the second holds negative prices), symbols got or created, upserted with ids."""
-    from ..session import fresh_path
-
     docs = lambda p: PL.decode_ticker(SP.ticker_payloads(p, _ohlc_pair()).select("value")).drop("value")
     later = t.prices.filter(F.pmod("symbol_id", F.lit(3)) != 0)
     later = later.withColumn("price", F.when(F.pmod("symbol_id", F.lit(5)) == 0, -F.col("price")).otherwise(F.col("price") + 1.0))
