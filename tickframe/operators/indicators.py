@@ -200,21 +200,29 @@ def _adx(h: list, l: list, tr: list, n: int = 14) -> list:
 RECURRENCE_COLUMNS = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "rsi_14", "atr_14", "adx"]
 
 
-def series_recurrences(pdf: pd.DataFrame) -> pd.DataFrame:
-    """I2, I3, I4, I7, I10 for one series (pandas in, pandas out)."""
+def series_recurrences(pdf: pd.DataFrame, columns: tuple[str, ...] = tuple(RECURRENCE_COLUMNS)) -> pd.DataFrame:
+    """I2, I3, I4, I7, I10 for one series (pandas in, pandas out); only what ``columns`` need is computed."""
     pdf = pdf.sort_values("t_stamp", kind="mergesort").reset_index(drop=True)
     h, l, c = pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist()
-    e12, e26 = _ema(c, 12), _ema(c, 26)
-    macd = [a - b for a, b in zip(e12, e26)]
-    sig = _ema(macd, 9)
-    tr = _true_range(h, l, c)
-    out = {
-        "ema_12": e12, "ema_26": e26, "macd": macd, "macd_signal": sig,
-        "macd_histogram": [m - s for m, s in zip(macd, sig)],
-        "rsi_14": _rsi(c, 14), "atr_14": _wilder(tr, 14, 0), "adx": _adx(h, l, tr, 14),
-    }
-    for k, v in out.items():
-        pdf[k] = pd.array(v, dtype="Float64").astype("float64") if v else pd.Series([], dtype="float64")
+    want = set(columns)
+    out: dict[str, list] = {}
+    if want & {"ema_12", "ema_26", "macd", "macd_signal", "macd_histogram"}:
+        out["ema_12"], out["ema_26"] = _ema(c, 12), _ema(c, 26)
+        if want & {"macd", "macd_signal", "macd_histogram"}:
+            out["macd"] = [a - b for a, b in zip(out["ema_12"], out["ema_26"])]
+            if want & {"macd_signal", "macd_histogram"}:
+                out["macd_signal"] = _ema(out["macd"], 9)
+                out["macd_histogram"] = [m - s for m, s in zip(out["macd"], out["macd_signal"])]
+    if "rsi_14" in want:
+        out["rsi_14"] = _rsi(c, 14)
+    if want & {"atr_14", "adx"}:
+        tr = _true_range(h, l, c)
+        if "atr_14" in want:
+            out["atr_14"] = _wilder(tr, 14, 0)
+        if "adx" in want:
+            out["adx"] = _adx(h, l, tr, 14)
+    for k in columns:
+        pdf[k] = pd.array(out[k], dtype="Float64").astype("float64") if out[k] else pd.Series([], dtype="float64")
     return pdf
 
 
@@ -222,25 +230,25 @@ BAR_COLUMNS = [SERIES_KEY, "symbol_id", "time_frame", "t_stamp", "data_source",
                "volume"]
 
 
-def recurrence_indicators(bars: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Grouped map per series; the bar columns (plus ``extra`` columns) pass through and the
-    recurrence columns are added. Grouping by series is satisfied by the symbol_id
-    partitioning of ``series_bars``, so this adds no shuffle."""
+def recurrence_indicators(bars: DataFrame, extra: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Grouped map per series; the bar columns (plus ``extra`` columns) pass through and the asked
+    recurrence ``columns`` (default: all) are added. Grouping by series is satisfied by the
+    partitioning that the windows below it need, so with windows this adds no shuffle."""
+    asked = tuple(c for c in RECURRENCE_COLUMNS if columns is None or c in columns)
     df = bars.select(*BAR_COLUMNS, *(extra or []))
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType(), True)
-                                                     for c in RECURRENCE_COLUMNS])
-    return df.groupBy(SERIES_KEY).applyInPandas(series_recurrences, schema)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType(), True) for c in asked])
+    return df.groupBy(SERIES_KEY).applyInPandas(lambda pdf: series_recurrences(pdf, asked), schema)
 
 
 WINDOW_COLUMNS = ["sma_5", "sma_10", "sma_20", "sma_50", "sma_200", "bollinger_upper", "bollinger_middle",
                   "bollinger_lower", "stoch_k", "stoch_d", "williams_r", "volume_sma_20", "obv", "cci"]
 
 
-def all_indicators(bars: DataFrame, window_cols: list[str] | None = None) -> DataFrame:
-    """Window frames, then the grouped map over their output: both run on the single
-    symbol_id partitioning of ``series_bars`` (Python-UDF output is not known to Spark to
-    keep a partitioning, so the grouped map goes last)."""
-    return recurrence_indicators(window_indicators(bars), window_cols if window_cols is not None else WINDOW_COLUMNS)
+def all_indicators(bars: DataFrame, window_cols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Window frames, then the grouped map over their output: both run on one partitioning by
+    series (Python-UDF output is not known to Spark to keep a partitioning, so the grouped map
+    goes last). ``columns`` names the recurrence columns to compute."""
+    return recurrence_indicators(window_indicators(bars), window_cols if window_cols is not None else WINDOW_COLUMNS, columns)
 
 
 # --------------------------------------------------------------------------- assembly

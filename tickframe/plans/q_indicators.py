@@ -157,9 +157,9 @@ def _spark(t: MarketTables, cols: list[str], recursive: bool) -> DataFrame:
     if not recursive:
         df = I.window_indicators(bars)
     elif win:
-        df = I.all_indicators(bars, win)
+        df = I.all_indicators(bars, win, cols)
     else:
-        df = I.recurrence_indicators(bars)
+        df = I.recurrence_indicators(bars, columns=cols)
     return df.select("symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame", *cols)
 
 
@@ -207,7 +207,7 @@ def indicators_with_symbols(t: MarketTables) -> DataFrame:
 def candles_left_indicators(t: MarketTables) -> DataFrame:
     """Symbols x candles left-join indicators on (symbol, time, time_frame); every feed's
     bar gets the indicator row of its (symbol, time, time frame)."""
-    ind = I.all_indicators(I.series_bars(t.candles), ["sma_20"]).select(
+    ind = I.all_indicators(I.series_bars(t.candles), ["sma_20"], ["rsi_14", "macd"]).select(
         "symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame", "sma_20", "rsi_14", "macd")
     return J.candles_left_indicators(t.candles, t.symbols, ind, columns=["sma_20", "rsi_14", "macd"])
 

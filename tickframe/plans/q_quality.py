@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import indicators as I
 from ..operators import quality as Q
 from ..operators import sessions as SS
 from ..sources.catalog import MarketTables
@@ -71,13 +72,16 @@ _TWICE = {cte: f"(SELECT * FROM {cte} UNION ALL SELECT * FROM {cte} WHERE {key}
           for cte, key in [("symbols_t", "id"), ("candles_t", "symbol_id"), ("prices_t", "symbol_id")]}
 _DUPS = [("symbols", "symbols_t", ["id"]), ("symbols", "symbols_t", ["symbol"]),
          ("market_data", "candles_t", S.KEYS["market_data"][0]),
-         ("real_time_prices", "prices_t", S.KEYS["real_time_prices"][0])]
+         ("real_time_prices", "prices_t", S.KEYS["real_time_prices"][0]),
+         ("technical_indicators", "indicators_t", S.KEYS["technical_indicators"][0])]
+_TWICE["indicators_t"] = "(SELECT DISTINCT symbol_id, t_stamp AS timestamp, time_frame FROM candles_t)"
 
 
 @query("dq_unique", "\nUNION ALL ".join(_dup_sql(name, _TWICE[cte], key) for name, cte, key in _DUPS))
 def dq_unique(t: MarketTables) -> DataFrame:
     """Q2: duplicate keys per declared UNIQUE/PRIMARY KEY."""
-    tables = {"symbols_t": _twice(t.symbols, "id"), "candles_t": _twice(t.candles, "symbol_id"), "prices_t": _twice(t.prices, "symbol_id")}
+    tables = {"symbols_t": _twice(t.symbols, "id"), "candles_t": _twice(t.candles, "symbol_id"), "prices_t": _twice(t.prices, "symbol_id"),
+              "indicators_t": I.window_indicators(I.series_bars(t.candles)).withColumnRenamed("t_stamp", "timestamp")}
     return Q.union_all([Q.key_duplicates(tables[cte], name, key) for name, cte, key in _DUPS])
 
 
@@ -85,12 +89,17 @@ def dq_unique(t: MarketTables) -> DataFrame:
 SELECT 'market_data' AS table_name, count(*) AS orphan_rows FROM candles_t WHERE symbol_id NOT IN (SELECT id FROM symbols_t)
 UNION ALL SELECT 'real_time_prices', count(*) FROM prices_t WHERE symbol_id NOT IN (SELECT id FROM symbols_t)
 UNION ALL SELECT 'ticks', count(*) FROM ticks_t WHERE symbol_id NOT IN (SELECT id FROM symbols_t)
+UNION ALL SELECT 'technical_indicators', count(DISTINCT (symbol_id, t_stamp, time_frame)) FROM candles_t
+          WHERE symbol_id NOT IN (SELECT id FROM symbols_t WHERE id % 4 <> 0)
 """)
 def dq_orphans(t: MarketTables) -> DataFrame:
     """Q3: rows referencing a missing symbol (foreign keys)."""
     return Q.union_all([Q.orphans(t.candles, "market_data", t.symbols),
                         Q.orphans(t.prices, "real_time_prices", t.symbols),
-                        Q.orphans(t.ticks, "ticks", t.symbols)])
+                        Q.orphans(t.ticks, "ticks", t.symbols),
+                        # against a symbols table that lacks every fourth symbol
+                        Q.orphans(I.window_indicators(I.series_bars(t.candles)), "technical_indicators",
+                                  t.symbols.filter(F.pmod("id", F.lit(4)) != 0))])
 
 
 @query("dq_ranges", f"""

@@ -244,14 +244,18 @@ WITH gone AS (SELECT id FROM symbols_t WHERE exchange = 'TSE')
 SELECT 'symbols' AS table_name, count(*) AS row_count FROM symbols_t WHERE id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'market_data', count(*) FROM candles_t WHERE symbol_id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'real_time_prices', count(*) FROM prices_t WHERE symbol_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'technical_indicators', count(DISTINCT (symbol_id, t_stamp, time_frame)) FROM candles_t WHERE symbol_id NOT IN (SELECT id FROM gone)
 """)
 def cascade_delete(t: MarketTables) -> DataFrame:
     """Delete the symbols of one exchange; children follow (ON DELETE CASCADE)."""
     from ..operators import merge as M
 
-    tables = M.delete_symbols(t.symbols, F.col("exchange") == "TSE", candles=t.candles, prices=t.prices)
+    from ..operators import indicators as I
+
+    tables = M.delete_symbols(t.symbols, F.col("exchange") == "TSE", candles=t.candles, prices=t.prices,
+                              indicators=I.window_indicators(I.series_bars(t.candles)))
     return A.table_counts({"symbols": tables["symbols"], "market_data": tables["candles"],
-                           "real_time_prices": tables["prices"]})
+                           "real_time_prices": tables["prices"], "technical_indicators": tables["indicators"]})
 
 
 @query("timeframes_by_symbol", """
