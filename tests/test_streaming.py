@@ -44,11 +44,11 @@ def test_versioned_upsert_epoch_retry_and_restart(spark):
     sink = ST.VersionedUpsert(spark, root, ["symbol_id", "data_source"], ["ts", "id"])
     sink(batch, 0)
     sink(batch.filter(F.col("symbol_id") < 5), 1)
-    v1 = spark.read.parquet(sink.current).orderBy("symbol_id", "data_source").collect()
+    v1 = sink.table().orderBy("symbol_id", "data_source").collect()
     sink(batch.filter(F.col("symbol_id") < 5), 1)            # retry of epoch 1
     again = ST.VersionedUpsert(spark, root, ["symbol_id", "data_source"], ["ts", "id"])
     again(batch.filter(F.col("symbol_id") < 5), 1)           # restarted driver, same epoch
-    v1b = spark.read.parquet(again.current).orderBy("symbol_id", "data_source").collect()
+    v1b = again.table().orderBy("symbol_id", "data_source").collect()
     assert v1 == v1b and len(v1) == batch.count()
 
 
@@ -63,7 +63,7 @@ def test_a_failing_read_is_raised_not_taken_for_an_empty_table(spark, monkeypatc
     import pytest
 
     batch = ST.latest_prices_stream(ticks(spark, SF))
-    sink = ST.VersionedUpsert(spark, fresh_path(spark, "t-fail"), ["symbol_id", "data_source"], ["ts", "id"])
+    sink = ST.VersionedUpsert(spark, fresh_path(spark, "t-fail"), ["symbol_id", "data_source"], ["ts", "id"], compact_every=1)
     sink(batch, 0)
 
     def broken(*a, **k):
@@ -72,7 +72,7 @@ def test_a_failing_read_is_raised_not_taken_for_an_empty_table(spark, monkeypatc
     with pytest.raises(OSError):
         sink(batch.filter(F.col("symbol_id") < 5), 1)
     monkeypatch.undo()
-    assert spark.read.parquet(sink.current).count() == batch.count()
+    assert sink.table().count() == batch.count()
 
 
 def test_late_rows_are_added_up_over_all_batches(spark):
@@ -94,3 +94,16 @@ def test_deliveries_of_several_files_give_the_same_candles(spark):
         sink, _ = ST.run_to_files(ST.candles_stream(ST.read_landing(spark, land, ST.TICK_SCHEMA, files)), "t-files")
         out.append(spark.read.parquet(sink))
     assert out[0].exceptAll(out[1]).count() == 0 == out[1].exceptAll(out[0]).count() and out[0].count() > 0
+
+
+def test_compacted_and_changed_epochs_read_alike(spark):
+    batch = ST.latest_prices_stream(ticks(spark, SF)).cache()
+    tables = []
+    for every in (1, 3, 100):
+        sink = ST.VersionedUpsert(spark, fresh_path(spark, "t-compact"), ["symbol_id", "data_source"], ["ts", "id"], compact_every=every)
+        for epoch in range(7):
+            part = batch.filter(F.pmod("symbol_id", F.lit(7)) == epoch).unionByName(
+                batch.filter(F.pmod("symbol_id", F.lit(7)) == 0).withColumn("id", F.col("id") + epoch).withColumn("price", F.lit(float(epoch))))
+            sink(ST.M.first_per_key(part, ["symbol_id", "data_source"], ["ts", "id"], newest=True), epoch)
+        tables.append(sorted(map(tuple, sink.table().select("symbol_id", "data_source", "id", "price").collect())))
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == batch.count()

@@ -42,7 +42,7 @@ def stream_prices(t: MarketTables) -> DataFrame:
     land = _tick_landing(t)
     sink = ST.VersionedUpsert(t.spark, fresh_path(t.spark, "stream-prices"), ["symbol_id", "data_source"], ["ts", "id"])
     ST.run_foreach_batch(ST.latest_prices_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES)), "stream-prices", sink)
-    return t.spark.read.parquet(sink.current).select("symbol_id", "data_source", "id", "ts", "price", "size")
+    return sink.table().select("symbol_id", "data_source", "id", "ts", "price", "size")
 
 
 _CLOSED_1H = """
@@ -73,7 +73,7 @@ def stream_dedup(t: MarketTables) -> DataFrame:
     sink = ST.InsertIgnoreSink(t.spark, root, ["id"], "ts", 3600)
     ST.run_foreach_batch(ST.dedup_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES), ["id"]),
                          "stream-dedup", sink, mode="append")
-    return t.spark.read.parquet(root).drop("epoch")
+    return sink.table()
 
 
 @query("stream_late", f"""
@@ -156,4 +156,4 @@ def stream_ohlc_ingest(t: MarketTables) -> DataFrame:
     key = ["pair", "t_stamp", "time_frame", "data_source"]
     sink = ST.InsertIgnoreSink(t.spark, root, key, "t_stamp", 62 * 86400)
     ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d", FILES), "stream-ohlc", sink, mode="append")
-    return t.spark.read.parquet(root).drop("epoch")
+    return sink.table()

@@ -15,6 +15,7 @@ import warnings
 
 from collections import defaultdict
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -113,30 +114,31 @@ def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int
 
 # --------------------------------------------------------------------------- T1 latest prices
 class VersionedUpsert:
-    """foreachBatch sink: merge each micro-batch into the table and publish epoch ``n`` as
-    the version folder ``epoch=n``. The previous version is found in storage (the highest
-    committed epoch below ``n``), not in driver memory, so a retried epoch or a restarted
-    driver rebuilds the same version; nothing is overwritten while it is read."""
-
-    def __init__(self, spark: SparkSession, root: str, key: list[str], order: list[str]):
-        self.spark, self.root, self.key, self.order = spark, root, key, order
-        self.current: str | None = None
-
-    def _previous(self, epoch_id: int) -> DataFrame | None:
-        versions = existing(self.spark, self.root)
-        if versions is None:
+    """foreachBatch sink: an upserted table kept as one folder per epoch. An epoch stores the keys
+    that it changed; every ``compact_every``-th epoch stores the whole table, so a read merges a
+    bounded number of epochs. The table is found in storage, not in driver memory, and an epoch
+    writes nothing but its own folder: a retried epoch or a restarted driver rebuilds the same."""
+
+    def __init__(self, spark: SparkSession, root: str, key: list[str], order: list[str], compact_every: int = 20):
+        self.spark, self.root, self.key, self.order, self.compact_every = spark, root, key, order, compact_every
+
+    def table(self, before: int | None = None) -> DataFrame | None:
+        """The newest row per key (of the epochs before ``before``); None where nothing is stored."""
+        rows = existing(self.spark, self.root)
+        if rows is None:
             return None
-        prev = versions.filter(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
-        if prev is None:
-            return None
-        return self.spark.read.parquet(f"{self.root}/epoch={prev}")
+        if before is not None:
+            rows = rows.filter(F.col("epoch") < before)
+        whole = rows.filter("kind = 'whole'").agg(F.max("epoch")).first()[0]
+        if whole is not None:
+            rows = rows.filter(F.col("epoch") >= whole)
+        return M.first_per_key(rows.drop("epoch", "kind"), self.key, self.order, newest=True)
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        path = f"{self.root}/epoch={epoch_id}"
-        prev = self._previous(epoch_id)
-        merged = batch if prev is None else M.first_per_key(prev.unionByName(batch), self.key, self.order, newest=True)
-        merged.write.mode("overwrite").parquet(path)
-        self.current = path
+        compact = epoch_id % self.compact_every == 0
+        prev = self.table(before=epoch_id) if compact else None
+        rows = batch if prev is None else M.first_per_key(prev.unionByName(batch), self.key, self.order, newest=True)
+        rows.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch_id}/kind={'whole' if compact else 'changed'}")
 
 
 def latest_prices_stream(ticks: DataFrame) -> DataFrame:
@@ -212,11 +214,15 @@ def dedup_stream(ticks: DataFrame, key: list[str], delay: str = "1 hour") -> Dat
 class InsertIgnoreSink:
     """foreachBatch: append only keys not yet in the table (U1), checking the table only in
     the batch's event-time range widened by the watermark delay (re-deliveries older than
-    that were already dropped by the stream as late)."""
+    that were already dropped by the stream as late). Each epoch is partitioned by month, so the
+    check opens only the months in that range."""
 
     def __init__(self, spark: SparkSession, root: str, key: list[str], ts_col: str, delay_seconds: int):
         self.spark, self.root, self.key, self.ts_col, self.delay = spark, root, key, ts_col, delay_seconds
 
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(self.root).drop("epoch", "_month")
+
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         path = f"{self.root}/epoch={epoch_id}"
         # two actions read the batch (its time bounds, then the write): compute it once
@@ -229,9 +235,11 @@ class InsertIgnoreSink:
                 if b["lo"] is not None:
                     near = table.filter((F.col(self.ts_col) >= F.lit(b["lo"]) - F.expr(f"INTERVAL {self.delay} SECONDS"))
                                         & (F.col(self.ts_col) <= F.lit(b["hi"])))
-                    near = near.filter(F.col("epoch") != epoch_id) if "epoch" in table.columns else near
+                    near = near.filter((F.col("epoch") != epoch_id) & F.col("_month").between(
+                        int((b["lo"] - timedelta(seconds=self.delay)).strftime("%Y%m")), int(b["hi"].strftime("%Y%m"))))
                     fresh = fresh.join(near.select(*self.key), self.key, "left_anti")
-            fresh.write.mode("overwrite").parquet(path)
+            (fresh.withColumn("_month", F.date_format(self.ts_col, "yyyyMM").cast("int"))
+             .write.mode("overwrite").partitionBy("_month").parquet(path))
         finally:
             batch.unpersist()
 
