@@ -38,10 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, packed ids, and hashes of the ids and of the text they decode to."""
-    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary())
-    kept = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                      F.col("ids").alias("token_ids"), "ids")
-    return bpe.decode(kept, vocabulary()).select("doc_id", "n_tokens", "token_ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs.select("doc_id", "text"), vocabulary()).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.col("ids").alias("token_ids"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [

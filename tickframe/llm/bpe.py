@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 from .common import small_batches
 
 # Fixed value: the published pre-token pattern of byte-level BPE, white space as Unicode has it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"""
 #: Characters encoded at a time; words kept in a worker's cache; longest word that is kept.
-CHUNK, CACHED, CACHED_CHARS = 1 << 20, 300_000, 48
+CHUNK, CACHED, CACHED_CHARS = 1 << 20, 150_000, 48
 COMPATIBLE = 1_000_000
 
 
@@ -193,38 +194,42 @@ def bpe(spec: str) -> Bpe:
     return Bpe(spec)
 
 
-def _mapped(df: DataFrame, vocabulary: str, column: str, out: str, kind: str, each: Callable) -> DataFrame:
-    """``df`` with ``out`` = each(Bpe, column) in place of ``column`` and any column named ``out``."""
+def _mapped(df: DataFrame, vocabulary: str, column: str, out: dict[str, DataType], each: Callable[[Bpe, object], tuple]) -> DataFrame:
+    """``df`` with the columns ``out`` = each(Bpe, column) in place of ``column`` and any of their names."""
     small_batches(df.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
-    carried = [c for c in df.columns if c not in (column, out)]
-    schema = [df.schema[c] for c in carried]
+    carried = [c for c in df.columns if c != column and c not in out]
+    kinds = [pa.binary() if isinstance(t, BinaryType) else pa.string() for t in out.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(spec.value)
         for b in batches:
-            made = pa.array((each(model, x.as_py()) for x in b.column(column)), pa.binary() if kind == "binary" else pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), made], [*carried, out])
+            made = [each(model, x.as_py()) for x in b.column(column)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))],
+                                             [*carried, *out])
 
-    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
-    made = StructField(out, BinaryType() if kind == "binary" else StringType())
-    return df.select(*[F.col(f"`{c}`") for c in [*carried, column]]).mapInArrow(run, StructType([*schema, made]))
+    schema = StructType([*(df.schema[c] for c in carried), *(StructField(c, t) for c, t in out.items())])
+    return df.select(*[F.col(f"`{c}`") for c in [*carried, column]]).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``docs`` with the packed token ids ``ids`` in place of ``text``."""
-    return _mapped(docs, vocabulary, "text", "ids", "binary", lambda m, t: m.encode(t))
+    return _mapped(docs, vocabulary, "text", {"ids": BinaryType()}, lambda m, t: (m.encode(t),))
 
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     """``rows`` with the decoded ``text`` in place of the packed ``ids``."""
-    return _mapped(rows, vocabulary, "ids", "text", "string", lambda m, i: m.decode(i))
+    return _mapped(rows, vocabulary, "ids", {"text": StringType()}, lambda m, i: (m.decode(i),))
+
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``docs`` with ``ids`` and the ``text`` that they decode to, in one pass (one set of workers)."""
+    return _mapped(docs, vocabulary, "text", {"ids": BinaryType(), "text": StringType()}, lambda m, t: ((i := m.encode(t)), m.decode(i)))
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The registered form: token count and hashes of the ids and of the text they decode to."""
-    ids = encode(docs.select("doc_id", "text"), vocabulary)
-    hashed = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(hashed, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return round_trip(docs.select("doc_id", "text"), vocabulary).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))

@@ -30,7 +30,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, mb: int = 16) -> None:
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound an Arrow batch by bytes: a batch of very long texts must fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
