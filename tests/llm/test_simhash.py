@@ -51,11 +51,9 @@ def test_fingerprint_equals_plain():
     assert [simhash.text_fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
 
 
-def test_step_does_not_matter(monkeypatch):
-    text = " ".join(f"w{i % 97}" for i in range(500))
-    whole = simhash.text_fingerprint(text)
-    monkeypatch.setattr(simhash, "STEP", 7)
-    assert simhash.text_fingerprint(text) == whole == plain_fingerprint(text)
+def test_pieces_do_not_matter():
+    for text in (" ".join(f"w{i % 97}" for i in range(500)), "a b", "a  b\tc d", " x" * 40):
+        assert {simhash.text_fingerprint(text, 3, k) for k in (1, 2, 7, 50, 1 << 20)} == {plain_fingerprint(text)}
 
 
 def test_every_close_pair_shares_an_anchor(spark):

@@ -64,25 +64,26 @@ def class_counts(text: str) -> np.ndarray:
     return out
 
 
-def word_list(text: str) -> list[bytes]:
-    return [w for p in byte_pieces(text.encode()) for w in p.split()]
+def word_ids(text: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """The text's distinct words, numbered, and its words as these numbers."""
+    index: dict[bytes, int] = {}
+    parts = [np.fromiter((index.setdefault(w, len(index)) for w in p.split()), np.int64) for p in byte_pieces(text.encode())]
+    return index, np.concatenate(parts)
 
 
-def repeated_words(words: list[bytes]) -> int:
+def repeated_words(ids: np.ndarray, distinct: int) -> int:
     """Words in 3-word windows that are found twice or more."""
-    if len(words) < 4:
+    if len(ids) < 4:
         return 0
-    index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    pair = ids[:-1] * len(index) + ids[1:]
-    if len(index) > 1 << 20:  # three such numbers would not fit 64 bits
+    pair = ids[:-1] * distinct + ids[1:]
+    if distinct > 1 << 20:  # three such numbers would not fit 64 bits
         pair = np.unique(pair, return_inverse=True)[1]
-    key = pair[:-1] * len(index) + ids[2:]
+    key = pair[:-1] * distinct + ids[2:]
     _, of, times = np.unique(key, return_inverse=True, return_counts=True)
     again = times[of] > 1
-    inside = np.zeros(len(words), bool)
+    inside = np.zeros(len(ids), bool)
     for k in range(3):
-        inside[k:len(words) - 2 + k] |= again
+        inside[k:len(ids) - 2 + k] |= again
     return int(inside.sum())
 
 
@@ -118,10 +119,11 @@ def corpus_counts(docs: DataFrame, min_words: int) -> DataFrame:
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                words = word_list(text or "")
-                if len(words) >= min_words:
+                raw = (text or "").encode()
+                if len(raw.split(None, min_words)) >= min_words:
                     c = counts.setdefault(lang or ALL, Counter())
-                    c.update(words)
+                    for piece in byte_pieces(raw):
+                        c.update(piece.split())
                     shares = class_counts(text)
                     c.update(b"\n%d:%d" % (k, s) for k, s in enumerate(np.rint(shares * (STEPS / shares.sum())).astype(int).tolist()))
                     if sum(map(len, counts.values())) > HELD:
@@ -172,9 +174,9 @@ def judge(text: str | None, lang: str | None, refs: dict[str, dict], min_words:
           word_limit: float, word_spread: float) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept."""
     text = text or ""
-    words = word_list(text)
-    n = len(words)
-    repeat = repeated_words(words)
+    index, ids = word_ids(text)
+    n = len(ids)
+    repeat = repeated_words(ids, len(index))
     failed = n < min_words or 100 * repeat > 50 * n
     ref = refs.get(lang or ALL, refs.get(ALL))
     js_chars = js_words = None
@@ -182,10 +184,9 @@ def judge(text: str | None, lang: str | None, refs: dict[str, dict], min_words:
         shares = class_counts(text)
         js_chars = js_distance(shares / shares.sum(), ref["classes"])
     if ref and n >= min_words:
-        index, other = ref["words"], len(ref["words"])
-        bins = np.zeros(other + 1)
-        for w, times in Counter(words).items():
-            bins[index.get(w, other)] += times
+        times = np.bincount(ids)
+        bins = np.array([times[index[w]] if w in index else 0 for w in ref["words"]] + [0], float)
+        bins[-1] = n - bins.sum()
         js_words = js_distance(bins / n, ref["shares"])
     kept = not failed and (js_chars is None or js_chars <= char_limit) and (
         js_words is None or js_words <= word_limit + word_spread / math.sqrt(n))

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, staged
+from .common import byte_pieces, small_batches, staged
 
 OPTIONS = {"buckets": 1 << 14, "smoothing": 0.5, "text_weight": 1 / 3, "strength": 5.0}
 TAG = re.compile(r"<([^<>]*)>")
@@ -72,9 +72,8 @@ def declared(page: str | None) -> str:
 
 def trigrams(text: str, buckets: int) -> Iterator[np.ndarray]:
     """Buckets of the byte trigrams of the lower-cased text, white space as one space."""
-    raw = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    for k in range(0, len(raw) - 2, STEP):
-        a = raw[k:k + STEP + 2]
+    for piece in byte_pieces(text.lower().encode("utf-8", "replace")):
+        a = np.frombuffer(b" " + b" ".join(piece.split()) + b" ", np.uint8).astype(np.uint32)
         code = a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]
         yield ((code * np.uint32(2654435761)) >> np.uint32(32 - int(math.log2(buckets)))).astype(np.int64)
 

@@ -33,29 +33,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, staged
+from .common import byte_pieces, small_batches, staged
 from .components import components
 
 CODE_BITS = 63
-#: Shingles are counted in steps of so many, so that a very long text needs no more memory.
-STEP = 1 << 16
-
-
-def text_fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 hashes (seed 42) of the word shingles."""
-    words = (text or "").encode().lower().split()  # bytes: ASCII white space and A-Z only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1:].tolist()
-    view, digest, ones = memoryview(joined), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, n, STEP):
-        hashes = np.array([digest(view[a:b], 42) for a, b in zip(starts[k:k + STEP], ends[k:k + STEP])], "<u8")
+
+
+def text_fingerprint(text: str | None, shingle: int = 3, piece: int = 1 << 20) -> int:
+    """Bit i is 1 if it is set in over half of the XXH64 hashes (seed 42) of the word shingles.
+
+    The text is taken in pieces of about ``piece`` bytes, so a very long one needs no more memory.
+    """
+    digest, ones, n, words = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for part in byte_pieces((text or "").encode().lower(), piece):  # bytes: ASCII white space and A-Z only
+        words = words[len(words) - min(len(words), shingle - 1):] + part.split()
+        if len(words) < shingle:
+            continue
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        view = memoryview(b" ".join(words))
+        hashes = np.array([digest(view[a:b], 42) for a, b in zip((ends - sizes).tolist(), ends[shingle - 1:].tolist())], "<u8")
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    if not n and words:
+        return digest(b" ".join(words), 42)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
