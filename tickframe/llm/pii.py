@@ -84,26 +84,27 @@ def _byte(seed: Column, i: Column) -> Column:
     return F.conv(F.substring(block, (2 * (i % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
-def _draw(letters: str, byte: Column) -> Column:
-    return F.substring(F.lit(letters), (byte % len(letters) + 1).cast("int"), F.lit(1))
+def _alphabet(c: Column, i: Column, spoken: Column) -> Column:
+    """The letters or digits that may stand for character ``c``; "" for any other character."""
+    out = F.when(c.rlike("[0-9]"), F.lit("0123456789"))
+    for script, (has, letters) in SCRIPTS.items():
+        vowels = VOWELS.get(script, "")
+        rest = "".join(x for x in letters if x not in vowels)
+        pick = F.lit(letters) if not vowels else F.when(spoken, F.when(i % 2 == 1, vowels).otherwise(rest)).otherwise(letters)
+        out = out.when(c.rlike(has), pick)
+    return out.otherwise("")
 
 
-def _letters(text: Column, seed: Column, spoken: bool = False) -> Column:
-    """``text`` with every letter and digit replaced by one of its kind."""
-    def one(i: Column) -> Column:
-        c, b = F.substring(text, (i + 1).cast("int"), F.lit(1)), _byte(seed, i)
-        out = F.when(c.rlike("[0-9]"), _draw("0123456789", b))
-        for script, (has, letters) in SCRIPTS.items():
-            pick = _draw(letters, b)
-            if spoken and script in VOWELS:
-                pick = F.when(i % 2 == 1, _draw(VOWELS[script], b)).otherwise(_draw("".join(x for x in letters if x not in VOWELS[script]), b))
-            out = out.when(c.rlike(has), pick)
-        return out.otherwise(c)
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), ""))
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _digits(n: Column, seed: Column) -> Column:
-    return F.when(n < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _draw("0123456789", _byte(seed, i))), ""))
+def _letters(text: Column, seed: Column, spoken: Column) -> Column:
+    """``text`` with every letter and digit replaced by one of its kind."""
+    def one(c: Column, i: Column) -> Column:
+        return F.get(F.transform(F.array(_alphabet(c, i, spoken)), lambda a: F.when(a == "", c).otherwise(
+            F.substring(a, (_byte(seed, i) % F.length(a) + 1).cast("int"), F.lit(1)))), 0)
+    return F.array_join(F.transform(_characters(text), one), "")
 
 
 def mentions(text: Column) -> Column:
@@ -127,33 +128,40 @@ def classify(found: DataFrame) -> DataFrame:
     return found.withColumn("kind", kind).withColumn("canonical", canonical)
 
 
-def candidate(kind: Column, canonical: Column, attempt: int, key: str) -> Column:
-    """The surrogate of an entity, in canonical form, at an attempt."""
-    seed = F.sha2(F.concat_ws("\x00", F.lit(key), kind, canonical, F.lit(str(attempt))), 256)
+def with_candidates(entities: DataFrame, attempt: int, key: str) -> DataFrame:
+    """``entities`` with ``surrogate``, in canonical form, of an attempt.
+
+    Built in steps (what stays, what is drawn, the whole), so that no expression holds another one
+    many times over.
+    """
+    kind, canonical, more = F.col("kind"), F.col("canonical"), F.lit("a" * (attempt // 3))
     domain = F.element_at(F.split(canonical, "@"), -1)
-    shared = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("domain"), domain), 256)
-    more = "a" * (attempt // 3)
-    email = F.concat(_letters(F.concat(F.element_at(F.split(canonical, "@"), 1), F.lit(more)), seed), F.lit("@"),
-                     _letters(F.regexp_replace(domain, r"[^.]*$", ""), shared), F.regexp_extract(domain, r"[^.]*$", 0))
-    body = F.concat(F.substring(canonical, 1, 1), _digits(F.length(canonical) - 2, seed))
-    card = F.concat(body, F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")),
-                                         lambda d: _luhn(F.concat(body, d))), 0))
+    seed = lambda *of: F.sha2(F.concat_ws("\x00", F.lit(key), *of), 256)
     code = F.regexp_extract(canonical, r"^(\d*\+)?", 0)
-    phone = F.concat(code, _digits(F.length(canonical) - F.length(code), seed))
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(seed, i) % 254 + 1).cast("string")), ".")
-    named = _letters(F.concat(canonical, F.when(F.lit(bool(more)), F.lit(more)).otherwise("")), seed, spoken=True)
-    first = F.regexp_extract(named, r"^\S*", 0)
+    drawn = (F.when(kind == "email", F.concat(F.element_at(F.split(canonical, "@"), 1), more))
+             .when(kind == "phone", F.substring(canonical, F.length(code) + 1, F.length(canonical)))
+             .when(kind == "card", F.substring(canonical, F.lit(2), F.length(canonical) - 2))
+             .when(kind == "ssn", canonical).when(kind == "ip", "").otherwise(F.concat(canonical, more)))
+    parts = F.array(F.struct(drawn.alias("t"), seed(kind, canonical, F.lit(str(attempt))).alias("s"), kind.startswith("person").alias("v")),
+                    F.struct(F.when(kind == "email", F.regexp_replace(domain, r"[^.]*$", "")).otherwise("").alias("t"),
+                             seed(F.lit("domain"), domain).alias("s"), F.lit(False).alias("v")))
+    rows = entities.withColumn("__parts", parts)
+    rows = rows.withColumn("__made", F.transform("__parts", lambda p: _letters(p["t"], p["s"], p["v"])))
+    body, seeded = F.get("__made", 0), F.get("__parts", 0)["s"]
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(seeded, i) % 254 + 1).cast("string")), ".")
+    digit = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")),
+                           lambda d: _luhn(F.concat(F.substring(canonical, 1, 1), body, d))), 0)
+    first = F.regexp_extract(body, r"^\S*", 0)
     last = F.substring(first, F.length(first), F.lit(1))
-    person = named
+    end = F.lit(None).cast("string")
     for gender, endings in ENDINGS.items():
-        end = last
         for script, letter in endings.items():
-            end = F.when(last.rlike(SCRIPTS[script][0]), F.lit(letter)).otherwise(end)
-        person = F.when(kind == "person" + gender, F.concat(F.substring(first, F.lit(1), F.length(first) - 1), end,
-                                                           F.substring(named, F.length(first) + 1, F.length(named)))).otherwise(person)
-    secret = _letters(F.concat(canonical, F.lit(more)), seed)
-    return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip)
-            .when(kind == "ssn", _digits(F.length(canonical), seed)).when(kind == "secret", secret).otherwise(person))
+            end = F.when((kind == "person" + gender) & last.rlike(SCRIPTS[script][0]), F.lit(letter)).otherwise(end)
+    named = F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.coalesce(end, last), F.substring(body, F.length(first) + 1, F.length(body)))
+    out = (F.when(kind == "email", F.concat(body, F.lit("@"), F.get("__made", 1), F.regexp_extract(domain, r"[^.]*$", 0)))
+           .when(kind == "card", F.concat(F.substring(canonical, 1, 1), body, digit)).when(kind == "phone", F.concat(code, body))
+           .when(kind == "ip", octets).when(kind.startswith("person"), named).otherwise(body))
+    return rows.withColumn("surrogate", out).drop("__parts", "__made")
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = 100) -> DataFrame:
@@ -161,7 +169,7 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 100) -> DataFrame:
     and none is the canonical form of an entity."""
     done, pending, attempt = None, entities, 0
     while True:
-        made = staged(pending.withColumn("surrogate", candidate(F.col("kind"), F.col("canonical"), attempt, key)), "surrogates")
+        made = staged(with_candidates(pending, attempt, key), "surrogates")
         won = (made.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
                .join(entities.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_anti"))
         if done is not None:
@@ -177,21 +185,16 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 100) -> DataFrame:
 
 
 def render(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's format."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), (i + 1).cast("int")), r"\D", ""))
-    at = lambda x, i: F.substring(x, (i + 1).cast("int"), F.lit(1))
+    """The surrogate in the mention's format: its separators around the digits, its upper and lower case."""
     digits = F.regexp_replace(surrogate, r"\D", "")
-    numbers = F.array_join(F.transform(F.sequence(F.lit(0), F.length(mention) - 1), lambda i: F.when(
-        at(mention, i).rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(at(mention, i))), "")
-
-    def cased(own: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.length(surrogate) - 1), lambda i: F.when(
-            at(own, i).rlike(r"\p{Lu}"), F.upper(at(surrogate, i))).otherwise(at(surrogate, i))), "")
-
-    title = F.regexp_extract(mention, "^" + _TITLE, 0)
-    name = F.substring(mention, F.length(title) + 1, F.length(mention))
-    return (F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "ip", surrogate)
-            .when(kind.startswith("person"), F.concat(title, cased(name))).otherwise(cased(mention)))
+    before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), (i + 1).cast("int")), r"\D", ""))
+    numbers = F.array_join(F.transform(_characters(mention), lambda c, i: F.when(
+        c.rlike("[0-9]"), F.substring(digits, before(i), F.lit(1))).otherwise(c)), "")
+    title = F.when(kind.startswith("person"), F.regexp_extract(mention, "^" + _TITLE, 0)).otherwise("")
+    own = F.substring(mention, F.length(title) + 1, F.length(mention))
+    cased = F.array_join(F.transform(_characters(surrogate), lambda c, i: F.when(
+        F.substring(own, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "ip", surrogate).otherwise(F.concat(title, cased))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
