@@ -178,7 +178,8 @@ def page_languages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:
     domains = _shares(rows, "domain", "d", n)
     suffixes = _shares(rows, "suffix", "s", n)
     kinds = suffixes.count()
-    hosts = hosts.join(domains, "domain").join(suffixes, "suffix").drop("domain", "suffix")
+    # written, so that the join below has two plain shuffles, of which Spark splits a hot host's
+    hosts = staged(hosts.join(domains, "domain").join(suffixes, "suffix").drop("domain", "suffix"), "hosts")
 
     s = o["strength"]
     joined = rows.join(hosts, "host")
