@@ -146,8 +146,11 @@ def references(docs: DataFrame, common: int = 50, min_words: int = 50) -> dict[s
     own = named.filter(F.col("lang").isin([k for k in totals if k != ALL]))
     pooled = named.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
     counts = own.unionByName(pooled)
-    top = (counts.filter(~is_class).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-           .filter(F.col("r") <= common).orderBy("lang", "r").collect())
+    # first within 64 hash classes of words, so that no task sees more than 64 * common rows of a language
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))
+    some = (counts.filter(~is_class).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
+            .withColumn("r", best("lang", "salt")).filter(F.col("r") <= common))
+    top = some.withColumn("r", best("lang")).filter(F.col("r") <= common).orderBy("lang", "r").collect()
     sums = {r.lang: r.n for r in counts.filter(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     steps: dict[tuple[str, int], list] = {}
     for r in counts.filter(is_class).collect():
