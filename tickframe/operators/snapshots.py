@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
@@ -24,6 +24,14 @@ def freshness(events: DataFrame, source_col: str, ts_col: str, max_age_seconds:
                     (F.col("fetched_at") < as_of - F.expr(f"INTERVAL {max_age_seconds} SECONDS")).alias("is_stale"))
 
 
+def newest_snapshot(snapshots: DataFrame, as_of: Column, max_age_seconds: int, refresh: bool = False) -> DataFrame:
+    """Rows of the newest snapshot (``fetched_at``) at ``as_of``. ``from_cache`` tells whether it
+    may still be served: it is younger than the cache lifetime and no refresh was asked for."""
+    last = snapshots.filter(F.col("fetched_at") <= as_of).agg(F.max("fetched_at").alias("fetched_at"))
+    age = F.unix_seconds(as_of) - F.unix_seconds("fetched_at")
+    return snapshots.join(last, "fetched_at").withColumn("from_cache", (age < max_age_seconds) & F.lit(not refresh))
+
+
 PARTITIONS = {"market_data": ["time_frame", "year_month"]}
 
 

@@ -390,6 +390,47 @@ def snapshot_freshness(t: MarketTables) -> DataFrame:
     return freshness(t.ticks, "data_source", "ts", S.PAIR_CACHE_SECONDS)
 
 
+CHECKS = ["2024-02-01 00:40:00", "2024-02-01 01:20:00", "2024-02-01 03:30:00"]  # before, within and past a snapshot's hour
+
+
+@query("pairs_cached", f"""
+WITH snap AS (SELECT pair, status, TIMESTAMP '2024-02-01 00:00:00' AS fetched_at FROM pairs_t WHERE length(pair) % 2 = 0
+              UNION ALL SELECT pair, status, TIMESTAMP '2024-02-01 01:00:00' FROM pairs_t),
+c AS (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in CHECKS)}]) AS checked_at),
+n AS (SELECT checked_at, max(fetched_at) AS fetched_at FROM c JOIN (SELECT DISTINCT fetched_at FROM snap) s ON s.fetched_at <= c.checked_at GROUP BY checked_at)
+SELECT n.checked_at, s.pair, s.status, s.fetched_at, epoch(n.checked_at) - epoch(s.fetched_at) < {S.PAIR_CACHE_SECONDS} AS from_cache
+FROM n JOIN snap s ON s.fetched_at = n.fetched_at
+""")
+def pairs_cached(t: MarketTables) -> DataFrame:
+    """The pair snapshot that would be served at three instants, and whether from cache."""
+    from ..operators.snapshots import newest_snapshot
+
+    at = lambda x: F.lit(x).cast("timestamp")
+    pairs = t.pairs.select("pair", "status")
+    snaps = (pairs.filter(F.pmod(F.length("pair"), F.lit(2)) == 0).withColumn("fetched_at", at(CHECKS[0][:11] + "00:00:00"))
+             .unionByName(pairs.withColumn("fetched_at", at(CHECKS[0][:11] + "01:00:00"))))
+    parts = [newest_snapshot(snaps, at(x), S.PAIR_CACHE_SECONDS).select(at(x).alias("checked_at"), "pair", "status", "fetched_at", "from_cache")
+             for x in CHECKS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("symbols_synced", f"""
+WITH base AS (SELECT symbol, name, exchange, is_active FROM symbols_t UNION ALL SELECT pair, pair, 'Kraken', true FROM pairs_t WHERE length(pair) % 2 = 0),
+m AS (SELECT pair, {_MAP_SQL} AS db_symbol, coalesce(altname, {_MAP_SQL}) AS name, coalesce(status = 'online', false) AS online FROM pairs_t)
+SELECT b.symbol, b.name, b.exchange, coalesce(m.online, b.is_active) AS is_active FROM base b LEFT JOIN m ON m.db_symbol = b.symbol
+UNION ALL SELECT db_symbol, name, 'Kraken', online FROM m WHERE db_symbol NOT IN (SELECT symbol FROM base)
+""")
+def symbols_synced(t: MarketTables) -> DataFrame:
+    """The symbols table after a sync over the pair map is applied (created, switched, unchanged)."""
+    known = t.pairs.filter(F.pmod(F.length("pair"), F.lit(2)) == 0).select(
+        F.col("pair").alias("symbol"), F.col("pair").alias("name"), F.lit(S.EXCHANGE_NAME).alias("exchange"),
+        F.lit("crypto").alias("asset_type"), F.lit("USD").alias("currency"), F.lit(True).alias("is_active"))
+    created, _ = M.create_symbols(t.symbols, known, _now())
+    path = M.publish(t.symbols.unionByName(created), fresh_path(t.spark, "symbols"))
+    symbols = t.spark.read.schema(S.SYMBOLS).parquet(path)
+    return M.apply_sync(M.sync_plan(_sync_mapping(t), t.pairs, symbols), symbols, _now()).select("symbol", "name", "exchange", "is_active")
+
+
 @query("related_write", """
 SELECT 'symbols' AS table_name, count(*) AS row_count FROM symbols_t
 UNION ALL SELECT 'market_data', count(*) FROM candles_t
