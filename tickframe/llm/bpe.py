@@ -22,6 +22,8 @@ and an input column named like a result column is replaced.
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -37,8 +39,10 @@ from .common import small_batches
 # Fixed value: the published pre-token pattern of byte-level BPE, white space as Unicode has it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"""
 #: Characters encoded at a time; words kept in a worker's cache; longest word that is kept.
-CHUNK, CACHED, CACHED_CHARS = 1 << 20, 150_000, 48
-COMPATIBLE = 1_000_000
+CHUNK, CACHED, CACHED_CHARS = 1 << 20, 250_000, 48
+COMPATIBLE = 500_000
+#: Texts whose characters all lie below this one are split by ``re`` with the classes spelled out.
+NARROW = "\u0250"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,6 +52,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def narrow_pattern() -> str:
+    """``PRETOKEN`` for characters below ``NARROW``."""
+    def span(has: Callable[[str], object]) -> str:
+        return "".join(f"\\u{c:04x}" for c in range(ord(NARROW)) if has(chr(c)))
+
+    letter, number = (span(regex.compile(rf"\p{{{k}}}").match) for k in "LN")
+    white = span(regex.compile(r"\p{White_Space}").match)
+    return (PRETOKEN.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{white}{letter}{number}]").replace(r"[^\p{White_Space}]", f"[^{white}]")
+            .replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"\p{White_Space}", f"[{white}]"))
+
+
 class Bpe:
     """One vocabulary: ``encode`` texts to ids and ``decode`` ids to texts."""
 
@@ -79,7 +94,10 @@ class Bpe:
         for t, i in ids.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t) - 1, i))
         self.automaton.make_automaton()
+        self.size = [len(t) for t in self.text]
         self.pretokens = regex.compile(PRETOKEN).findall
+        self.narrow_pretokens = re.compile(narrow_pattern()).findall
+        self.wide = re.compile(f"[^\u0000-{chr(ord(NARROW) - 1)}]").search
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.safe_cut = regex.compile(r"(?<=[^\p{White_Space}])\p{White_Space}").search
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -119,30 +137,40 @@ class Bpe:
         longest = [-1] * n
         for end, (back, token) in self.automaton.iter(raw):
             longest[end - back] = token  # ends ascend, so the longest stays
-        dead = bytearray(n + 1)
+        size, shorter, known = self.size, self.shorter, self.pairs
+        dead: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last, token = 0, -1, longest[0]
         while at < n:
             while token >= 0:
-                end = at + len(self.text[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + size[token]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    fits = known.get((last, token))
+                    if self.compatible(last, token) if fits is None else fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                last, at = token, end
                 token = longest[at] if at < n else -1
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()  # the first byte alone always fits at 0, so there is a last token
-                at -= len(self.text[token])
-                token = self.shorter[token]
-        return np.array(out, "<u4").tobytes()
+                at -= size[token]
+                last, token = out[-1] if out else -1, shorter[token]
+        return self.pack(len(out), out)
+
+    @staticmethod
+    def pack(n: int, ids: list[int]) -> bytes:
+        return struct.pack(f"<{n}I", *ids)
 
     def _plain(self, text: str) -> Iterator[bytes]:
         cache = self.cache
+        split = self.pretokens if self.wide(text) else self.narrow_pretokens
         for start, stop in self._chunks(text):
-            words = self.pretokens(text, start, stop)
+            words = split(text, start, stop)
             new = set(words).difference(cache)
             if len(cache) + len(new) > CACHED:
                 cache.clear()
