@@ -107,3 +107,22 @@ def test_compacted_and_changed_epochs_read_alike(spark):
             sink(ST.M.first_per_key(part, ["symbol_id", "data_source"], ["ts", "id"], newest=True), epoch)
         tables.append(sorted(map(tuple, sink.table().select("symbol_id", "data_source", "id", "price").collect())))
     assert tables[0] == tables[1] == tables[2] and len(tables[0]) == batch.count()
+
+
+def test_late_bars_are_dropped_and_counted(spark):
+    import datetime as dt
+
+    schema = "symbol_id int, time_frame string, t_stamp timestamp, close double"
+    day = lambda d, c=1.0: (1, "1d", dt.datetime(2024, 1, d), c)
+    land, sink, ckpt = (fresh_path(spark, f"t-ema-{x}") for x in ("land", "sink", "ckpt"))
+    late = []
+    for rows in ([day(1), day(2), day(3)], [day(4), day(5)], [day(2, 9.0), day(6)], [day(7)]):  # the second bar comes again, too late
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+        drops = ST.WatermarkDrops(spark)
+        q = (ST.ema_stream(ST.read_landing(spark, land, schema)).writeStream.format("parquet").option("path", sink)
+             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        late.append(drops.total(q))
+    out = spark.read.parquet(sink).orderBy("t_stamp").collect()
+    assert [r.t_stamp.day for r in out][:5] == [1, 2, 3, 4, 5] and {r.ema_12 for r in out} == {1.0}
+    assert late == [0, 0, 1, 0]

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import sys
 import threading
-import warnings
 
 from collections import defaultdict
 from collections.abc import Callable
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import merge as M
 from ..session import fresh_path
@@ -259,13 +258,9 @@ def ohlc_document_stream(spark: SparkSession, landing: str, time_frame: str, fil
 
 
 # --------------------------------------------------------------------------- T6 incremental EMA / RSI
-EMA_STATE = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("last_ms", T.LongType()),
-    T.StructField("e12", T.DoubleType()), T.StructField("e26", T.DoubleType()),
-    T.StructField("prev", T.DoubleType()), T.StructField("gs", T.DoubleType()), T.StructField("ls", T.DoubleType()),
-    T.StructField("ag", T.DoubleType()), T.StructField("al", T.DoubleType()),
-    T.StructField("pend_ms", T.ArrayType(T.LongType())), T.StructField("pend_close", T.ArrayType(T.DoubleType())),
-])
+EMA_STATE = ("n long, last_ms long, e12 double, e26 double, prev double, gs double, ls double, ag double, al double, "
+             "pend_ms array<long>, pend_close array<double>")
+EMA_FIELDS = [f.split()[0] for f in EMA_STATE.split(", ")]
 EMA_OUT = "symbol_id int, time_frame string, t_stamp timestamp, ema_12 double, ema_26 double, rsi_14 double"
 
 
@@ -299,42 +294,50 @@ def _ema_step(st: dict, close: float) -> tuple[float, float, float | None]:
     return st["e12"], st["e26"], rsi
 
 
-def ema_state_fn(key, pdfs, state: GroupState):
-    """Per series: buffer bars, release those at or below the watermark in time order."""
-    # warm-up rows carry an all-NULL rsi_14; pandas warns when the worker concatenates them
-    warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation", category=FutureWarning)
-    if state.exists:
-        (n, last_ms, e12, e26, prev, gs, ls, ag, al, pend_ms, pend_close) = state.get
-        st = dict(n=n, e12=e12, e26=e26, prev=prev, gs=gs, ls=ls, ag=ag, al=al)
-        pend = dict(zip(pend_ms or [], pend_close or []))
-    else:
-        st = dict(n=0, e12=None, e26=None, prev=None, gs=0.0, ls=0.0, ag=None, al=None)
-        last_ms, pend = None, {}
-    if not state.hasTimedOut:
+class EmaProcessor(StatefulProcessor):
+    """Per series: bars wait until the watermark passes them and are then released in time order.
+    Running values and waiting bars (those of one watermark delay) are one state row, read and
+    written once per series and batch. Bars at or below the watermark never reach it: Spark drops
+    them and counts them (``WatermarkDrops``)."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.values = handle.getValueState("values", EMA_STATE)
+
+    def close(self) -> None:
+        pass
+
+    def _run(self, key, pdfs, watermark: int):
+        got = self.values.get()
+        st = dict(zip(EMA_FIELDS, got)) if got is not None else dict(
+            n=0, last_ms=None, e12=None, e26=None, prev=None, gs=0.0, ls=0.0, ag=None, al=None, pend_ms=[], pend_close=[])
+        waiting = dict(zip(st["pend_ms"], st["pend_close"]))
         for pdf in pdfs:
-            ms = (pdf["t_stamp"].astype("int64") // 1_000_000 if str(pdf["t_stamp"].dtype).startswith("datetime64[ns")
-                  else pdf["t_stamp"].astype("int64"))
-            for m, c in zip(ms.tolist(), pdf["close"].tolist()):
-                if last_ms is None or m > last_ms:
-                    pend[m] = c
-    wm = state.getCurrentWatermarkMs()
-    ready = sorted(m for m in pend if m <= wm)
-    rows = []
-    for m in ready:
-        e12, e26, rsi = _ema_step(st, pend.pop(m))
-        rows.append((key[0], key[1], pd.Timestamp(m, unit="ms"), e12, e26, rsi))
-        last_ms = m
-    rest = sorted(pend)
-    state.update((st["n"], last_ms, st["e12"], st["e26"], st["prev"], st["gs"], st["ls"], st["ag"], st["al"],
-                  rest, [pend[m] for m in rest]))
-    if rest:
-        state.setTimeoutTimestamp(max(rest[0], wm + 1))
-    if rows:
-        yield pd.DataFrame(rows, columns=["symbol_id", "time_frame", "t_stamp", "ema_12", "ema_26", "rsi_14"])
+            for m, c in zip(pdf["t_stamp"].astype("datetime64[ms]").astype("int64").tolist(), pdf["close"].tolist()):
+                if st["last_ms"] is None or m > st["last_ms"]:
+                    waiting[m] = c
+        rows = []
+        for m in sorted(m for m in waiting if m <= watermark):
+            rows.append((key[0], key[1], pd.Timestamp(m, unit="ms"), *_ema_step(st, waiting.pop(m))))
+            st["last_ms"] = m
+        st["pend_ms"] = sorted(waiting)
+        st["pend_close"] = [waiting[m] for m in st["pend_ms"]]
+        self.values.update(tuple(st[f] for f in EMA_FIELDS))
+        if waiting:
+            self.handle.registerTimer(max(st["pend_ms"][0], watermark + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["symbol_id", "time_frame", "t_stamp", "ema_12", "ema_26", "rsi_14"]).astype(
+                {"ema_12": "float64", "ema_26": "float64", "rsi_14": "float64"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        yield from self._run(key, rows, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._run(key, (), timerValues.getCurrentWatermarkInMs())
 
 
 def ema_stream(bars: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Incremental EMA/RSI per series with state (applyInPandasWithState, event-time)."""
-    return (bars.withWatermark("t_stamp", delay)
-            .groupBy("symbol_id", "time_frame")
-            .applyInPandasWithState(ema_state_fn, EMA_OUT, EMA_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    """Incremental EMA/RSI per series with state (transformWithStateInPandas, event-time timers)."""
+    _rocksdb(bars.sparkSession)
+    return (bars.withWatermark("t_stamp", delay).groupBy("symbol_id", "time_frame")
+            .transformWithStateInPandas(EmaProcessor(), EMA_OUT, "Append", "EventTime"))
