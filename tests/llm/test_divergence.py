@@ -97,3 +97,17 @@ def test_edge_rows(spark):
     by = sorted(((r.doc_id or 0, *r[1:7]) for r in got))
     assert by == sorted((d or 0, *base(t)) for d, t, _ in rows)
     assert D.quality_rules(df.limit(0)).count() == 0
+
+
+def test_a_small_language_has_its_own_reference(spark, monkeypatch):
+    big = [(i, "the cat and the dog of a house in " * 120, "en") for i in range(200)]
+    small = [(1000 + i, " ".join(f"mot{(i + k) % 20}" for k in range(60)), "xx") for i in range(3)]
+    df = spark.createDataFrame(big + small + [(2000, "mot1 " * 60, None)], "doc_id long, text string, lang string")
+    refs = D.references(df)
+    assert 180 * 1000 < sum(len(t.split()) for _, t, _ in big) and refs.keys() == {"", "en", "xx"}
+    assert {w.decode() for w in refs["xx"]["words"]} == {f"mot{k}" for k in range(20)}
+    want = sorted(tuple(r) for r in D.quality_rules(df).filter("doc_id >= 1000").collect())
+    assert [r[8] < 0.05 for r in want] == [True] * 3 + [False]
+    monkeypatch.setattr(D, "BLOCK", 1)
+    assert sorted(tuple(r) for r in D.quality_rules(df).filter("doc_id >= 1000").collect()) == want
+    assert D.quality_rules(df).count() == 204

@@ -12,9 +12,11 @@ windows) and neither distance exceeds its limit:
 References come from all texts of at least ``min_words`` words. The words' histogram is the
 language's total counts of its ``common`` most frequent words, with one bin for all others. The
 classes' histogram holds the median share of each class over the texts (in steps of 0.001), which
-junk of less than half the texts does not move. Languages with less than a thousandth of all
-words, and texts without a language, use the reference of all texts together; so there are at
-most 1001 references, whatever the input, and they are small enough to ship to every task.
+junk of less than half the texts does not move. Every language has a reference of its own, however
+small its share; texts without a language use the reference of all texts together. A language of
+very few texts is therefore compared mostly with itself. The references are a table with a row for
+each language (``common`` words and the classes' medians). It is shipped to the tasks in blocks of
+at most about ``BLOCK`` languages; each text is judged once, with the block of its language.
 
 Null and empty texts have no words and are not kept. Repeated rows are judged each; an empty table
 gives an empty result.
@@ -39,6 +41,8 @@ CLASSES = ("lower", "upper", "letter", "digit", "space", "line", "stop", "cry",
 OPTIONS = {"min_words": 50, "min_chars": 200, "char_limit": 0.30, "word_limit": 0.26, "word_spread": 1.3}
 #: Distinct words a task counts before it hands them on.
 HELD = 200_000
+#: Languages whose references are shipped together, about 10 KB each.
+BLOCK = 2000
 ALL = ""
 STEPS = 1000
 
@@ -135,41 +139,40 @@ def corpus_counts(docs: DataFrame, min_words: int) -> DataFrame:
     return staged(one, "corpus-counts")
 
 
-def references(docs: DataFrame, common: int = 50, min_words: int = 50) -> dict[str, dict]:
-    """By language (and ``ALL``): the common words, their shares with the rest's, and the classes' shares."""
+def reference_table(docs: DataFrame, common: int = 50, min_words: int = 50) -> DataFrame:
+    """(lang, n, top, classes) of every language and ``ALL``: words, the common ones, the classes' median steps."""
     named = corpus_counts(docs, min_words)
     is_class = F.substring("word", 1, 1) == F.lit(b"\n")
-    totals = {r.lang: r.n for r in named.filter(~is_class).groupBy("lang").agg(F.sum("n").alias("n"))
-              .withColumn("all", F.sum("n").over(Window.partitionBy())).filter("n * 1000 >= all").collect()}
-    if not totals:
-        return {}
-    own = named.filter(F.col("lang").isin([k for k in totals if k != ALL]))
     pooled = named.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
-    counts = own.unionByName(pooled)
-    top = (counts.filter(~is_class).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-           .filter(F.col("r") <= common).orderBy("lang", "r").collect())
-    sums = {r.lang: r.n for r in counts.filter(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    steps: dict[tuple[str, int], list] = {}
-    for r in counts.filter(is_class).collect():
-        k, s = bytes(r.word)[1:].split(b":")
-        steps.setdefault((r.lang, int(k)), []).append((int(s), r.n))
+    counts = named.filter(F.col("lang") != ALL).unionByName(pooled)
+    words = counts.filter(~is_class)
+    top = (words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+           .filter(F.col("r") <= common).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top")))
+    parts = F.split(F.col("word").cast("string"), ":")
+    steps = counts.filter(is_class).select("lang", F.substring(parts[0], 2, 9).cast("int").alias("k"), parts[1].cast("int").alias("s"), "n")
+    by = Window.partitionBy("lang", "k")
+    middle = (steps.withColumn("seen", F.sum("n").over(by.orderBy("s"))).withColumn("all", F.sum("n").over(by))
+              .filter("2 * seen >= all").groupBy("lang", "k").agg(F.min("s").alias("s"))
+              .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("classes")))
+    return staged(words.groupBy("lang").agg(F.sum("n").alias("n")).join(top, "lang").join(middle, "lang"), "references")
+
+
+def loaded(table: DataFrame) -> dict[str, dict]:
+    """By language: the common words, their shares with the rest's, and the classes' shares."""
     out = {}
-    for lang in sums:
-        words = {bytes(r.word): i for i, r in enumerate(x for x in top if x.lang == lang)}
-        n = [r.n for r in top if r.lang == lang]
-        shares = np.array([*n, sums[lang] - sum(n)], float) / sums[lang]
-        middle = np.zeros(len(CLASSES))
-        for k in range(len(CLASSES)):
-            seen, half = 0, sum(n for _, n in steps[lang, k]) / 2
-            for s, n in sorted(steps[lang, k]):
-                seen += n
-                if seen >= half:
-                    middle[k] = s / STEPS
-                    break
-        out[lang] = {"words": words, "shares": shares, "classes": middle / max(middle.sum(), 1e-9)}
+    for r in table.collect():
+        n = [x.n for x in r.top]
+        middle = np.array([x.s for x in r.classes], float) / STEPS
+        out[r.lang] = {"words": {bytes(x.word): i for i, x in enumerate(r.top)}, "shares": np.array([*n, r.n - sum(n)], float) / r.n,
+                       "classes": middle / max(middle.sum(), 1e-9)}
     return out
 
 
+def references(docs: DataFrame, common: int = 50, min_words: int = 50) -> dict[str, dict]:
+    """The references of every language and ``ALL``."""
+    return loaded(reference_table(docs, common, min_words))
+
+
 def judge(text: str | None, lang: str | None, refs: dict[str, dict], min_words: int, min_chars: int, char_limit: float,
           word_limit: float, word_spread: float) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept."""
@@ -201,15 +204,25 @@ COLUMNS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def quality_rules(docs: DataFrame, common: int = 50, **options) -> DataFrame:
     """doc_id with the counts, both distances and the verdict of every text."""
     given = {**OPTIONS, **options}
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs, common, given["min_words"]))
+    table = reference_table(docs, common, given["min_words"])
+    pooled = loaded(table.filter(F.col("lang") == ALL))
+    blocks = -(-table.count() // BLOCK) or 1
+    block_of = lambda lang: F.pmod(F.xxhash64(lang), F.lit(blocks))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-        for b in batches:
-            rows = [judge(t, k, refs.value, **given) for t, k in zip(b.column("text").to_pylist(), b.column("lang").to_pylist())]
-            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], ["doc_id", *names])
-
-    return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    out = None
+    for k in range(blocks):
+        refs = docs.sparkSession.sparkContext.broadcast({**loaded(table.filter(block_of(F.col("lang")) == k)), **pooled})
+
+        def run(batches: Iterator[pa.RecordBatch], refs=refs) -> Iterator[pa.RecordBatch]:
+            types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+            for b in batches:
+                rows = [judge(t, k, refs.value, **given) for t, k in zip(b.column("text").to_pylist(), b.column("lang").to_pylist())]
+                made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], ["doc_id", *names])
+
+        mine = docs if blocks == 1 else docs.filter(block_of(F.coalesce("lang", F.lit(ALL))) == k)
+        part = mine.mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+        out = part if out is None else out.unionByName(part)
+    return out
