@@ -95,3 +95,20 @@ def test_edge_rows(spark):
     assert L.page_languages(pages.limit(0), docs).count() == 0
     none = L.page_languages(pages, docs.limit(0))
     assert none.columns == L.page_languages(pages, docs).columns and none.filter("lang IS NULL").count() == 5
+
+
+def test_a_small_language_stays(spark, monkeypatch):
+    docs = [("en", "the cat and the dog of a house " * 2000), ("de", "der hund und die katze " * 2000), ("xx", "zyqo wuxi kezo")]
+    pages = [(i, f"http://a{i % 3}.site.com/", '<html lang="en"><p>the dog and a cat of the house') for i in range(20)]
+    pages += [(100, "http://q.zz/", '<html lang="xx"><p>zyqo wuxi kezo zyqo wuxi'), (101, "http://q.zz/1", "<p>kezo kezo wuxi"), (102, None, None)]
+    size = {k: sum(len(g) for g in L.trigrams(t, 1 << 14)) for k, t in docs}
+    assert size["xx"] * 1000 < sum(size.values())
+    want = plain([(i, u, p) for i, u, p in pages], docs)
+    args = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "lang string, text string")
+    for block, held in ((256, 1 << 20), (1, 4)):
+        monkeypatch.setattr(L, "BLOCK", block)
+        monkeypatch.setattr(L, "HELD", held)
+        got = {r.page_id: tuple(r)[1:] for r in L.page_languages(*args).collect()}
+        assert got.keys() == want.keys() and got[100][3] == got[101][3] == "xx"
+        for k, r in got.items():
+            assert r[:4] == want[k][:4] and abs(r[4] - want[k][4]) < 1e-6, (k, r, want[k])

@@ -13,10 +13,12 @@ The posterior of a page's language multiplies, in logarithms:
 
 The tables of markup, suffix, host and domain come from the pages themselves: sums of the text-only
 posteriors, by grouped aggregation over all pages. Nothing of them goes through the driver but the
-totals by language. Hosts that hold very many pages are summed where the rows lie, and joined with a
+table of markup (at most languages + 2 rows) and the totals by language. Hosts that hold very many pages are summed where the rows lie, and joined with a
 join that Spark splits.
 
-Languages are those of at least a thousandth of the documents' trigrams (so at most 1000).
+Languages are all of the labelled documents'. The model of the text is shipped in blocks of ``BLOCK``
+languages, each held against all pages (with their html written once more for each further block);
+the posterior is taken over all languages afterwards. Sums by key hold the languages that are not 0.
 Null or empty html has no text and declares nothing; a null or odd address has host, domain and suffix
 "". Repeated pages are judged each. Without any labelled document there is no language to choose: the
 language is null and the probability 0. An empty table gives an empty result.
@@ -41,6 +43,10 @@ NAME = re.compile(r"\s*(/?)([a-zA-Z][a-zA-Z0-9]*)")
 DECLARED = re.compile(r"""<html\b[^<>]*\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 HIDDEN = frozenset(["script", "style", "noscript", "template", "nav", "title"])
 STEP = 1 << 20
+#: Languages whose models are shipped together, 128 KB each.
+BLOCK = 256
+#: Sums a task holds before it hands them on.
+HELD = 1 << 20
 
 
 def visible_text(page: str | None) -> str:
@@ -78,8 +84,8 @@ def trigrams(text: str, buckets: int) -> Iterator[np.ndarray]:
         yield ((code * np.uint32(2654435761)) >> np.uint32(32 - int(math.log2(buckets)))).astype(np.int64)
 
 
-def text_model(docs: DataFrame, buckets: int, smoothing: float) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability (language, bucket) of their trigrams."""
+def trigram_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(lang, bucket, n) over the labelled documents."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,34 +107,44 @@ def text_model(docs: DataFrame, buckets: int, smoothing: float) -> tuple[list[st
                         yield out()
         yield out()
 
-    named = staged(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, bucket int, n long")
-                   .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    every = named.agg(F.sum("n")).first()[0] or 0
-    langs = sorted(r.lang for r in named.groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("n") * 1000 >= every).collect())
-    table = np.zeros((len(langs), buckets))
+    return staged(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, bucket int, n long")
+                  .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+
+
+def text_model(named: DataFrame, langs: list[str], buckets: int, smoothing: float) -> np.ndarray:
+    """The log probability (language, bucket) of the trigrams of ``langs``."""
+    row = {k: i for i, k in enumerate(langs)}
+    table = np.full((len(langs), buckets), smoothing)
     for r in named.filter(F.col("lang").isin(langs)).toLocalIterator():
-        table[langs.index(r.lang), r.bucket] = r.n
-    table += smoothing
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+        table[row[r.lang], r.bucket] += r.n
+    return np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def text_evidence(pages: DataFrame, model: np.ndarray, text_weight: float) -> DataFrame:
+def text_evidence(pages: DataFrame, named: DataFrame, langs: list[str], buckets: int, smoothing: float, text_weight: float) -> DataFrame:
     """(page_id, url, declared, ll): ll holds the weighted log likelihood of the text by language."""
     small_batches(pages.sparkSession)
-    spread = pages.sparkSession.sparkContext.broadcast(model)
     kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spread.value
-        for b in batches:
-            source = b.column("html").to_pylist()
-            ll = [[float(x) * text_weight for x in sum((table[:, g].sum(axis=1) for g in trigrams(visible_text(s), table.shape[1])), np.zeros(len(table)))]
-                  for s in source]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(map(declared, source), pa.string()),
-                                              pa.array(ll, pa.list_(pa.float64()))], ["page_id", "url", "declared", "ll"])
-
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html").mapInArrow(
-        run, f"page_id {kind}, url string, declared string, ll array<double>")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", F.expr("cast(array() AS array<double>)").alias("ll"))
+    for k in range(0, len(langs), BLOCK):
+        spread = pages.sparkSession.sparkContext.broadcast(text_model(named, langs[k:k + BLOCK], buckets, smoothing))
+        last = k + BLOCK >= len(langs)
+
+        def run(batches: Iterator[pa.RecordBatch], spread=spread, last=last) -> Iterator[pa.RecordBatch]:
+            table = spread.value
+            for b in batches:
+                source = b.column("html").to_pylist()
+                ll = []
+                for s, before in zip(source, b.column("ll").to_pylist()):
+                    times = sum((np.bincount(g, minlength=buckets) for g in trigrams(visible_text(s), buckets)), np.zeros(buckets, np.int64))
+                    seen = np.flatnonzero(times)
+                    ll.append(before + (table[:, seen] @ times[seen] * text_weight).tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("page_id"), b.column("url"), pa.array(map(declared, source), pa.string()) if last else b.column("html"),
+                     pa.array(ll, pa.list_(pa.float64()))], ["page_id", "url", "declared" if last else "html", "ll"])
+
+        rows = rows.mapInArrow(run, f"page_id {kind}, url string, {'declared' if last else 'html'} string, ll array<double>")
+        rows = rows if last else staged(rows, "page-blocks")
+    return rows
 
 
 def host_of(url: Column) -> Column:
@@ -137,62 +153,115 @@ def host_of(url: Column) -> Column:
     return F.rtrim(host, F.lit("."))
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    total = sum((F.exp(x - top) for x in logs), F.lit(0.0))
-    return [F.exp(x - top) / total for x in logs]
+def _domain_of(host: Column) -> Column:
+    labels = F.split(host, r"\.")
+    return F.when(F.size(labels) > 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host)
+
 
+def _suffix_of(host: Column) -> Column:
+    return F.element_at(F.split(host, r"\."), -1)
 
-def _shares(rows: DataFrame, key: str, name: str, n: int) -> DataFrame:
-    """Sums of the text-only posteriors by ``key``."""
-    return rows.groupBy(key).agg(*[F.sum(f"p{i}").alias(f"{name}{i}") for i in range(n)])
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _dense(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _sparse(column: pa.Array, n: int) -> np.ndarray:
+    """(row, language) of a column of lists of (i, v)."""
+    out = np.zeros((len(column), n))
+    i, v = column.flatten().flatten()
+    owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    out[owner, i.to_numpy(zero_copy_only=False)] = v.to_numpy(zero_copy_only=False)
+    return out
+
+
+def posterior_sums(rows: DataFrame, levels: dict[str, str], n: int) -> DataFrame:
+    """(level, key, i, v): sums of the text-only posteriors by the columns of ``levels``; summed where the rows lie first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], np.ndarray] = {}
+
+        def out():
+            seen = [(k, np.flatnonzero(v), v) for k, v in held.items()]
+            arrays = [pa.array([k[0] for k, i, _ in seen for _ in i], pa.string()), pa.array([k[1] for k, i, _ in seen for _ in i], pa.string()),
+                      pa.array(np.concatenate([i for _, i, _ in seen] or [np.empty(0)]).astype(np.int32)),
+                      pa.array(np.concatenate([v[i] for _, i, v in seen] or [np.empty(0)]).astype(float))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["level", "key", "i", "v"])
+
+        for b in batches:
+            p = _softmax(_dense(b.column("ll"), n)) if b.num_rows else ()
+            keys = {level: b.column(c).to_pylist() for level, c in levels.items()}
+            for level, names in keys.items():
+                for k, x in zip(names, p):
+                    if (level, k) in held:
+                        held[level, k] += x
+                    else:
+                        held[level, k] = x.copy()
+                        if len(held) * n > HELD:
+                            yield out()
+        yield out()
+
+    return staged(rows.select(*levels.values(), "ll").mapInArrow(run, "level string, key string, i int, v double")
+                  .groupBy("level", "key", "i").agg(F.sum("v").alias("v")), "posterior-sums")
 
 
 def page_languages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:
     """(page_id, host, declared, text_lang, lang, probability) of every page."""
     o = {**OPTIONS, **options}
-    langs, model = text_model(docs, o["buckets"], o["smoothing"])
-    n, a = len(langs), o["smoothing"]
+    named = trigram_counts(docs, o["buckets"])
+    langs = sorted(r.lang for r in named.select("lang").distinct().collect())
+    n, a, s = len(langs), o["smoothing"], o["strength"]
     if not langs:
         return pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), F.lit("").alias("declared"),
                             F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"))
-    rows = text_evidence(pages, model, o["text_weight"])
-    ll = [F.get("ll", i) for i in range(n)]
-    labels = F.split("host", r"\.")
-    rows = rows.withColumn("host", host_of(F.col("url"))).select(
-        "page_id", "host", F.when(F.size(labels) > 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("host")).alias("domain"),
-        F.element_at(labels, -1).alias("suffix"), "declared",
+    rows = text_evidence(pages, named, langs, o["buckets"], a, o["text_weight"]).withColumn("host", host_of(F.col("url")))
+    rows = staged(rows.select(
+        "page_id", "host", _domain_of(F.col("host")).alias("domain"), _suffix_of(F.col("host")).alias("suffix"), "declared",
         F.when(F.col("declared").isin(langs), F.col("declared")).otherwise(F.when(F.col("declared") == "", "").otherwise("?")).alias("said"),
-        *[x.alias(f"l{i}") for i, x in enumerate(ll)])
-    rows = staged(rows.select("*", *[p.alias(f"p{i}") for i, p in enumerate(_softmax([F.col(f"l{i}") for i in range(n)]))]), "page-text")
-
-    all_pages = rows.agg(*[F.sum(f"p{i}") for i in range(n)], F.count("*")).first()
-    total, pages_n = [float(x or 0.0) for x in all_pages[:n]], all_pages[n]
-    said = {r.said: r for r in _shares(rows, "said", "c", n).collect()}  # at most languages + 2 rows
-    likely = lambda i: F.coalesce(*[F.when(F.col("said") == k, math.log((r[f"c{i}"] + a) / (total[i] + a * (n + 2)))) for k, r in said.items()],
-                                  F.lit(0.0))
-    top = [(t + 1.0) / (sum(total) + n) for t in total]
-
-    hosts = (_shares(rows.withColumn("pages", F.lit(1)), "host", "h", n)
-             .join(rows.groupBy("host").agg(F.first("domain").alias("domain"), F.first("suffix").alias("suffix")), "host"))
-    domains = _shares(rows, "domain", "d", n)
-    suffixes = _shares(rows, "suffix", "s", n)
-    kinds = suffixes.count()
+        "ll"), "page-text")
+
+    sums = posterior_sums(rows, {"h": "host", "d": "domain", "s": "suffix", "c": "said"}, n)
+    kinds = sums.filter("level = 's'").select("key").distinct().count()
+    said: dict[str, np.ndarray] = {}
+    for batch in sums.filter("level = 'c'").select("key", "i", "v").toArrow().to_batches():  # at most languages + 2 keys
+        for k, i, v in zip(*(c.to_pylist() for c in batch.columns)):
+            said.setdefault(k, np.zeros(n))[i] = v
+    total = sum(said.values(), np.zeros(n))
+    likely = {k: np.log((v + a) / (total + a * (n + 2))) for k, v in said.items()}
+    top = (total + 1.0) / (total.sum() + n)
+
+    def shares(level: str, key: str) -> DataFrame:
+        return (sums.filter(F.col("level") == level).groupBy(F.col("key").alias(key))
+                .agg(F.collect_list(F.struct("i", "v")).alias(f"of_{key}")))
+
+    hosts = shares("h", "host").withColumn("domain", _domain_of(F.col("host"))).withColumn("suffix", _suffix_of(F.col("host")))
     # written, so that the join below has two plain shuffles, of which Spark splits a hot host's
-    hosts = staged(hosts.join(domains, "domain").join(suffixes, "suffix").drop("domain", "suffix"), "hosts")
-
-    s = o["strength"]
-    joined = rows.join(hosts, "host")
-    own = [F.col(f"p{i}") for i in range(n)]
-    domain_n = sum((F.col(f"d{i}") for i in range(n)), F.lit(0.0)) - 1
-    host_n = sum((F.col(f"h{i}") for i in range(n)), F.lit(0.0)) - 1
-    # sums less the page itself; a sum of shares may fall short of 0 by rounding
-    at_domain = [(F.greatest(F.col(f"d{i}") - own[i], F.lit(0.0)) + s * top[i]) / (F.greatest(domain_n, F.lit(0.0)) + s) for i in range(n)]
-    prior = [(F.greatest(F.col(f"h{i}") - own[i], F.lit(0.0)) + s * at_domain[i]) / (F.greatest(host_n, F.lit(0.0)) + s) for i in range(n)]
-    logs = [F.col(f"l{i}") + likely(i) + F.log((F.col(f"s{i}") + a) / (total[i] + a * kinds)) + F.log(prior[i]) for i in range(n)]
-    fused = joined.select("page_id", "host", "declared", *[f"l{i}" for i in range(n)], *[x.alias(f"f{i}") for i, x in enumerate(logs)])
-    best = lambda c: F.get(F.array(*[F.lit(k) for k in langs]), F.array_position(
-        F.array(*[f"{c}{i}" for i in range(n)]), F.array_max(F.array(*[f"{c}{i}" for i in range(n)]))).cast("int") - 1)
-    sure = _softmax([F.col(f"f{i}") for i in range(n)])
-    return fused.select("page_id", "host", "declared", best("l").alias("text_lang"), best("f").alias("lang"),
-                        (F.greatest(*sure) if n > 1 else F.lit(1.0)).alias("probability"))
+    hosts = staged(hosts.join(shares("d", "domain"), "domain").join(shares("s", "suffix"), "suffix").drop("domain", "suffix"), "hosts")
+    spread = pages.sparkSession.sparkContext.broadcast((langs, total, top, likely))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, total, top, likely = spread.value
+        names = pa.array(langs, pa.string())
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ll = _dense(b.column("ll"), n)
+            own, h, d, x = _softmax(ll), *(_sparse(b.column(f"of_{k}"), n) for k in ("host", "domain", "suffix"))
+            # sums less the page itself; a sum of shares may fall short of 0 by rounding
+            less = lambda t: np.maximum(t.sum(axis=1, keepdims=True) - 1, 0.0) + s
+            at_domain = (np.maximum(d - own, 0.0) + s * top) / less(d)
+            prior = (np.maximum(h - own, 0.0) + s * at_domain) / less(h)
+            logs = ll + np.stack([likely[k] for k in b.column("said").to_pylist()]) + np.log((x + a) / (total + a * kinds)) + np.log(prior)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("host"), b.column("declared"), names.take(pa.array(ll.argmax(axis=1))),
+                 names.take(pa.array(logs.argmax(axis=1))), pa.array(_softmax(logs).max(axis=1))],
+                ["page_id", "host", "declared", "text_lang", "lang", "probability"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return (rows.join(hosts, "host").select("page_id", "host", "declared", "said", "ll", "of_host", "of_domain", "of_suffix")
+            .mapInArrow(fuse, f"page_id {kind}, host string, declared string, text_lang string, lang string, probability double"))
