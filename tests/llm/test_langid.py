@@ -112,3 +112,10 @@ def test_a_small_language_stays(spark, monkeypatch):
         assert got.keys() == want.keys() and got[100][3] == got[101][3] == "xx"
         for k, r in got.items():
             assert r[:4] == want[k][:4] and abs(r[4] - want[k][4]) < 1e-6, (k, r, want[k])
+
+
+def test_a_late_tag_is_declared():
+    for before in ("<!-- " + "x " * 600_000 + "-->", "<script>" + "if(a<b){}" * 200_000 + "</script>", " " * 1_200_000):
+        assert L.declared(before + '<HTML class=a lang="de-AT">') == "de"
+    for odd in ("<html " * 300_000, "<html lang" + " " * 1_200_000, "<html" + " lang" * 300_000, "<html lang=" + " " * 1_200_000 + "x"):
+        assert L.declared(odd) == "" and L.declared(odd + '><html lang="fr">') == "fr"

@@ -42,7 +42,6 @@ TAG = re.compile(r"<([^<>]*)>")
 NAME = re.compile(r"\s*(/?)([a-zA-Z][a-zA-Z0-9]*)")
 DECLARED = re.compile(r"""<html\b[^<>]*\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 HIDDEN = frozenset(["script", "style", "noscript", "template", "nav", "title"])
-STEP = 1 << 20
 #: Languages whose models are shipped together, 128 KB each.
 BLOCK = 256
 #: Sums a task holds before it hands them on.
@@ -72,7 +71,7 @@ def visible_text(page: str | None) -> str:
 
 
 def declared(page: str | None) -> str:
-    m = DECLARED.search((page or "")[:STEP])
+    m = DECLARED.search(page or "")  # linear: a tag's search ends at the next < or >
     return m[1].lower() if m else ""
 
 
