@@ -114,3 +114,14 @@ def test_edge_rows(spark):
     assert mail != "a@b.de" and sorted(by[3]) == sorted([(f"to {mail}", 1)] * 2 + [(mail, 1)])
     assert by[4][0][1] in (0, 1) and len(by[4][0][0]) == len(rows[6][1])
     assert pii.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+def test_a_person_is_one_under_all_titles(spark):
+    names = [chr(65 + i // 8) + chr(97 + i % 8) for i in range(24)]
+    titles = ["Mr.", "Mrs.", "Dr."]
+    got = run(spark, [f"{titles[i % 3]} {n} x" for i, n in enumerate(names)] + ["Dr. Maria Weber, Mrs. Maria Weber", "Mr. Kim Lee, Mrs. Kim Lee, Prof. Kim Lee"])
+    new = [got[i].text.split()[1].lower() for i in range(24)]
+    assert len(set(new)) == 24 and not set(new) & {n.lower() for n in names}
+    m = regex.fullmatch(r"Dr\. (\w+ \w+), Mrs\. \1", got[24].text)
+    assert m and m[1].split()[0].endswith("a") and m[1] != "Maria Weber"
+    assert regex.fullmatch(r"Mr\. (\w+ \w+), Mrs\. \1, Prof\. \1", got[25].text)

@@ -5,13 +5,14 @@ code), payment cards (13 to 19 digits with a right check digit), social security
 (a quoted value of 16 or more characters with a letter after ``=`` or ``:``, and access keys), and
 names of one to three words after a title in English, German, French, Spanish or Russian.
 
-Every entity (type and canonical form: lower case, digits only, single spaces) gets one surrogate
+Every entity (type and canonical form: lower case, digits only, single spaces; a person is one entity
+under all titles, with a gender where all its titles that tell one agree) gets one surrogate
 made from a keyed SHA-256, so all its mentions in all documents are replaced alike, and nobody
 without the key can tell from which entity. A surrogate keeps type and format: the same length and
 separators, letters for letters of the same script, digits for digits, each mention's own upper and
 lower case. Cards keep their first digit and have a right check digit, phones keep their country
 code, e-mails keep their last label and share a domain where the entities do, octets stay in 1 to
-254, names alternate consonants and vowels and, after a title with a gender, end the way given names
+254, names alternate consonants and vowels and, for a person with a gender, end the way given names
 of that gender often do in that script.
 
 Collision checks keep surrogates distinct: in each round the candidates are grouped; one entity
@@ -112,20 +113,20 @@ def mentions(text: Column) -> Column:
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """``found`` (mention) with ``kind`` (null: not an entity after all) and ``canonical``."""
+    """``found`` (mention) with ``kind`` (null: not an entity after all), ``canonical`` and the ``gender`` its title tells."""
     m = F.col("mention")
     whole = lambda kind: m.rlike("^(?:" + KINDS[kind] + ")$")
     digits = F.regexp_replace(m, r"\D", "")
     name = F.regexp_replace(m, "^" + _TITLE, "")
-    gender = F.when(m.rlike(r"^(?i:" + TITLES["f"] + r")\.?\s"), "f").when(m.rlike(r"^(?i:" + TITLES["m"] + r")\.?\s"), "m").otherwise("")
-    kind = (F.when(m.contains("@"), "email").when(whole("person"), F.concat(F.lit("person"), gender)).when(whole("ip"), "ip")
+    gender = F.when(m.rlike(r"^(?i:" + TITLES["f"] + r")\.?\s"), "f").when(m.rlike(r"^(?i:" + TITLES["m"] + r")\.?\s"), "m")
+    kind = (F.when(m.contains("@"), "email").when(whole("person"), "person").when(whole("ip"), "ip")
             .when(whole("ssn"), "ssn").when(whole("phone"), "phone")
             .when(whole("card"), F.when(_luhn(digits), "card")).otherwise("secret"))
     plus = F.when(m.startswith("+"), F.concat(F.regexp_extract(m, r"^\+(\d{1,3})", 1), F.lit("+"))).otherwise("")
     national = F.when(m.startswith("+"), F.regexp_replace(F.regexp_replace(m, r"^\+\d{1,3}", ""), r"\D", "")).otherwise(digits)
     canonical = (F.when(F.col("kind").isin("ssn", "card"), digits).when(F.col("kind") == "phone", F.concat(plus, national))
-                 .when(F.col("kind").startswith("person"), F.lower(F.regexp_replace(name, r"\s+", " "))).otherwise(F.lower(m)))
-    return found.withColumn("kind", kind).withColumn("canonical", canonical)
+                 .when(F.col("kind") == "person", F.lower(F.regexp_replace(name, r"\s+", " "))).otherwise(F.lower(m)))
+    return found.withColumn("kind", kind).withColumn("canonical", canonical).withColumn("gender", F.when(F.col("kind") == "person", gender))
 
 
 def with_candidates(entities: DataFrame, attempt: int, key: str) -> DataFrame:
@@ -142,7 +143,7 @@ def with_candidates(entities: DataFrame, attempt: int, key: str) -> DataFrame:
              .when(kind == "phone", F.substring(canonical, F.length(code) + 1, F.length(canonical)))
              .when(kind == "card", F.substring(canonical, F.lit(2), F.length(canonical) - 2))
              .when(kind == "ssn", canonical).when(kind == "ip", "").otherwise(F.concat(canonical, more)))
-    parts = F.array(F.struct(drawn.alias("t"), seed(kind, canonical, F.lit(str(attempt))).alias("s"), kind.startswith("person").alias("v")),
+    parts = F.array(F.struct(drawn.alias("t"), seed(kind, canonical, F.lit(str(attempt))).alias("s"), (kind == "person").alias("v")),
                     F.struct(F.when(kind == "email", F.regexp_replace(domain, r"[^.]*$", "")).otherwise("").alias("t"),
                              seed(F.lit("domain"), domain).alias("s"), F.lit(False).alias("v")))
     rows = entities.withColumn("__parts", parts)
@@ -156,16 +157,16 @@ def with_candidates(entities: DataFrame, attempt: int, key: str) -> DataFrame:
     end = F.lit(None).cast("string")
     for gender, endings in ENDINGS.items():
         for script, letter in endings.items():
-            end = F.when((kind == "person" + gender) & last.rlike(SCRIPTS[script][0]), F.lit(letter)).otherwise(end)
+            end = F.when((F.col("gender") == gender) & last.rlike(SCRIPTS[script][0]), F.lit(letter)).otherwise(end)
     named = F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.coalesce(end, last), F.substring(body, F.length(first) + 1, F.length(body)))
     out = (F.when(kind == "email", F.concat(body, F.lit("@"), F.get("__made", 1), F.regexp_extract(domain, r"[^.]*$", 0)))
            .when(kind == "card", F.concat(F.substring(canonical, 1, 1), body, digit)).when(kind == "phone", F.concat(code, body))
-           .when(kind == "ip", octets).when(kind.startswith("person"), named).otherwise(body))
+           .when(kind == "ip", octets).when(kind == "person", named).otherwise(body))
     return rows.withColumn("surrogate", out).drop("__parts", "__made")
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = 100) -> DataFrame:
-    """(kind, canonical, surrogate) of distinct ``entities`` (kind, canonical); surrogates are distinct
+    """(kind, canonical, surrogate) of distinct ``entities`` (kind, canonical, gender); surrogates are distinct
     and none is the canonical form of an entity."""
     done, pending, attempt = None, entities, 0
     while True:
@@ -190,7 +191,7 @@ def render(mention: Column, kind: Column, surrogate: Column) -> Column:
     before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), (i + 1).cast("int")), r"\D", ""))
     numbers = F.array_join(F.transform(_characters(mention), lambda c, i: F.when(
         c.rlike("[0-9]"), F.substring(digits, before(i), F.lit(1))).otherwise(c)), "")
-    title = F.when(kind.startswith("person"), F.regexp_extract(mention, "^" + _TITLE, 0)).otherwise("")
+    title = F.when(kind == "person", F.regexp_extract(mention, "^" + _TITLE, 0)).otherwise("")
     own = F.substring(mention, F.length(title) + 1, F.length(mention))
     cased = F.array_join(F.transform(_characters(surrogate), lambda c, i: F.when(
         F.substring(own, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
@@ -204,7 +205,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     mark = F.xxhash64("text").alias("__text")
     found = staged(classify(
         docs.select("doc_id", mark, F.posexplode(mentions(F.col("text"))).alias("pos", "mention")).distinct()), "mentions")
-    made = surrogates(found.filter("kind IS NOT NULL").select("kind", "canonical").distinct(), key)
+    entities = found.filter("kind IS NOT NULL").groupBy("kind", "canonical").agg(
+        F.when(F.min("gender") == F.max("gender"), F.min("gender")).alias("gender"))
+    made = surrogates(entities, key)
     new = (found.join(made, ["kind", "canonical"], "left")
            .withColumn("new", F.coalesce(render(F.col("mention"), F.col("kind"), F.col("surrogate")), "mention"))
            .groupBy("doc_id", "__text").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__new"),
