@@ -94,3 +94,16 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 6]
     assert D.find_leaks(df.limit(0), items).count() == 0
     assert D.find_leaks(df, items.limit(0)).count() == 0 and D.drop_leaks(df, items.limit(0)).count() == 7
+
+
+def test_unspaced_scripts_and_short_items(spark):
+    han = "一家商店以每公斤八元的价格卖出苹果，上午卖了十二公斤，下午卖了九公斤；一共收入多少元？"
+    thai = "ร้านค้าขายแอปเปิลกิโลกรัมละแปดบาทตอนเช้าขายได้สิบสองกิโลกรัม"
+    items = spark.createDataFrame([(1, han), (2, thai), (3, "Quokka naps twice"), (4, "？！")], "item_id long, text string")
+    near = han.replace("苹果", "香梨").replace("，", ",")
+    docs = [(1, "前言。" + han + "结束。"), (2, "前言" + near + "结束"), (3, "ก" * 40 + thai + "ข"), (4, "a “quokka” naps\u2003twice—daily"),
+            (5, "a quokka naps once"), (6, han[:20] + "？！")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in D.find_leaks(df, items).collect())
+    assert got == [(1, 1, 0), (2, 1, 2), (3, 2, 0), (4, 3, 0)]
+    assert sorted(r.doc_id for r in D.drop_leaks(df, items).collect()) == [5, 6]

@@ -2,7 +2,9 @@
 
 A document is contaminated by a benchmark item when some stretch of it turns into the item with
 at most ``floor((1 - similarity) * words)`` word edits (insertions, deletions, substitutions).
-Words are compared lower-cased, with ASCII punctuation as a separator.
+Words are compared lower-cased, with ASCII punctuation, Unicode punctuation and white space as
+separators. Each letter of a script written without spaces (Han, kana, Thai, Khmer ...) is a word, with
+the marks on it.
 
 For each item-sized window of a document (as many words as the item has):
 
@@ -23,8 +25,8 @@ The benchmark is taken in blocks of at most ``block_words`` words, each broadcas
 held against all documents, so its size is bounded whatever the benchmark's. Documents are read
 once per block, in Arrow batches, without any shuffle.
 
-Items of fewer than ``min_words`` words (also null and empty ones) match nothing: they cannot be
-told from chance. Null and empty texts match nothing. Repeated items each report, repeated rows
+Items of fewer than ``min_words`` words are found where all their words stand unedited; null, empty and
+other items without a word match nothing. Null and empty texts match nothing. Repeated items each report, repeated rows
 of a document are each judged. Empty tables give empty results. Other columns are carried where
 documents are returned.
 """
@@ -32,6 +34,8 @@ documents are returned.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,8 +50,33 @@ SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 
 
+#: Scripts written without spaces.
+UNSPACED = ((0xE01, 0xE5B), (0xE81, 0xEDF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAD), (0x3005, 0x3007),
+            (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF),
+            (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Separators other than ASCII, and letters of unspaced scripts with their marks."""
+    kind = {c: unicodedata.category(chr(c))[0] for c in range(128, 0x20000)}
+    apart = {c for c, k in kind.items() if k in "PZ" or chr(c).isspace()}
+    own = [c for a, b in UNSPACED[:-1] for c in range(a, b + 1) if c not in apart]
+    some = lambda codes: "".join(re.escape(chr(c)) for c in codes)
+    letter = some(c for c in own if kind[c] != "M") + chr(UNSPACED[-1][0]) + "-" + chr(UNSPACED[-1][1])
+    return re.compile(f"[{some(sorted(apart))}]"), re.compile(f"[{letter}][{some(c for c in own if kind[c] == 'M')}]*")
+
+
 def normal(text: str | None) -> bytes:
-    return (text or "").lower().encode().translate(TO_SPACE)
+    text = (text or "").lower()
+    if not text.isascii():
+        apart, letter = _patterns()
+        distinct = "".join(set(text))
+        for c in apart.findall(distinct):
+            text = text.replace(c, " ")
+        if letter.search(distinct):
+            text = letter.sub(r" \g<0> ", text)
+    return text.encode().translate(TO_SPACE)
 
 
 class _Vocabulary(dict):
@@ -70,14 +99,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], similarity: float, min_words: int,
                  repetitions: int, sampled: int, seed: int):
         words = [(i, normal(t).split()) for i, t in items]
-        words = [(i, w) for i, w in words if len(w) >= min_words]
+        words = [(i, w) for i, w in words if w]
         self.item_ids = [i for i, _ in words]
         self.symbol = _Vocabulary()
         for _, w in words:
             for x in w:
                 self.symbol.setdefault(x, len(self.symbol) + 1)
         self.n = np.array([len(w) for _, w in words], np.int64)
-        self.edits = np.floor((1 - similarity) * self.n + 1e-9).astype(np.int64)
+        self.edits = np.where(self.n < min_words, 0, np.floor((1 - similarity) * self.n + 1e-9)).astype(np.int64)
         self.widest = int(self.n.max()) if words else 0
         self.sequences = np.zeros((len(words), self.widest), np.int64)
         for k, (_, w) in enumerate(words):
