@@ -18,15 +18,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, *parted: str) -> DataFrame:
     """``df`` written once as Parquet under the shared checkpoint folder and read back.
 
     Cuts the lineage with files that outlive any executor; later jobs read the columns they
-    need and nothing above is computed again.
+    need and nothing above is computed again. ``parted`` names columns to have a folder each.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*parted).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, kd_shards, langid, line_dedup, pii, resample, simhash, toxicity
+from . import bpe, decontaminate, divergence, kd_shards, langid, line_dedup, periodic, pii, resample, simhash, toxicity
 from .common import read
 
 
@@ -90,6 +90,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents (some get a periodic tail), and the texts without the repeats."""
+    return periodic.runs_digest(read(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
