@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, kd_shards, langid, line_dedup, periodic, pii, resample, simhash, toxicity
+from . import bpe, conversations, decontaminate, divergence, kd_shards, langid, line_dedup, periodic, pii, resample, simhash, token_counts, toxicity
 from .common import read
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed public vocabulary lies."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,12 +90,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a hash of its turns: faults, and the cheapest repair by the role grammar."""
+    return conversations.conversation_digest(read(spark, sf_dir, "conversations"))
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents (some get a periodic tail), and the texts without the repeats."""
     return periodic.runs_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents with a public BPE vocabulary with word ends."""
+    return token_counts.token_digest(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
