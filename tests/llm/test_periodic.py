@@ -28,8 +28,8 @@ def plain_runs(words, min_length=12):
 
 def tiled_runs(words, min_length=12):
     """Tiles and stitching without Spark."""
-    ids = periodic.word_ids(" ".join(words).encode())
-    pieces = sorted({(q, at + s, at + e) for p, at, part, b in periodic.tiles(ids, min_length) for q, s, e in periodic.solve(p, part, b)})
+    _, tiles = periodic.tiles(" ".join(words).encode(), min_length)
+    pieces = sorted({(q, at + s, at + e) for p, at, part, b in tiles for q, s, e in periodic.solve(p, part, b)})
     runs = []
     for q, s, e in pieces:
         if runs and runs[-1][0] == q and s <= runs[-1][2] - q:
@@ -74,10 +74,18 @@ def test_long_periods_and_random_text():
 
 def test_tiles_are_spared():
     r = random.Random(2)
-    ids = np.array([r.randrange(40) for _ in range(20_000)], np.int32)
-    assert sum(len(part) for _, _, part, _ in periodic.tiles(ids)) < 200_000
-    one = np.zeros(50_000, np.int32)  # a single run: only the octaves' edges are looked at
-    assert sum(len(b) for *_, b in periodic.tiles(one)) < 60_000
+    few = " ".join(str(r.randrange(40)) for _ in range(20_000)).encode()
+    assert sum(len(part) for _, _, part, _ in periodic.tiles(few)[1]) < 200_000
+    one = b"a " * 50_000  # a single run: only the octaves' edges are looked at
+    assert sum(len(b) for *_, b in periodic.tiles(one)[1]) < 60_000
+
+
+def test_window_hashes():
+    x = np.array([hash(str(i % 7)) & (2 ** 63 - 1) for i in range(60)], np.uint64)
+    for k in range(1, 20):
+        h = periodic.window_hashes(x, k)
+        assert len(h) == 61 - k
+        assert all((h[i] == h[j]) == ((x[i:i + k] == x[j:j + k]).all()) for i in range(len(h)) for j in range(0, len(h), 5))
 
 
 def test_z_function():

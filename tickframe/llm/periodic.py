@@ -58,6 +58,12 @@ def word_ids(raw: bytes) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words: equal for equal words, and quicker than their numbers."""
+    parts = [np.fromiter(map(hash, words), np.int64, len(words)) for words in (p.split() for p in byte_pieces(raw))]
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts)).view(np.uint64)
+
+
 def kept_words(raw: bytes, runs: list[Run], n: int) -> np.ndarray:
     """Which words stay: those that no run holds after its first period."""
     step = np.zeros(n + 1, np.int64)
@@ -79,21 +85,38 @@ def collapse(raw: bytes, runs: list[Run], n: int) -> Iterator[bytes]:
 
 
 # --------------------------------------------------------------------------- tiles
-def next_same(ids: np.ndarray, k: int) -> np.ndarray:
-    """For each window of k words the distance to the next equal one (by hash), else a huge number.
+def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` words in a row, put together from those of powers of two."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    out, done, part, size = None, 0, x, 1
+    while True:
+        if k & size:
+            m = len(x) - done - size + 1
+            out = part[:m].copy() if out is None else out[:m] * odd + part[done:done + m]
+            done += size
+        if done == k:
+            return out
+        m = len(x) - 2 * size + 1
+        part = part[:m] * (odd ^ np.uint64(size << 8)) + part[size:size + m]
+        size *= 2
+
+
+def next_same(x: np.ndarray, k: int) -> np.ndarray | None:
+    """For each window of k words (given by hashes) the distance to the next equal one, else a huge
+    number; None where no window comes twice.
 
     Different windows of one hash would at worst keep a tile that holds no run.
     """
-    m = len(ids) - k + 1
-    gap = np.full(max(m, 0), np.iinfo(np.int64).max)
-    if m > 1:
-        wide, h = ids.astype(np.uint64) + np.uint64(1), np.zeros(m, np.uint64)
-        for i in range(k):
-            h = (h ^ wide[i:i + m]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        gap[order[:-1][same]] = order[1:][same] - order[:-1][same]
+    if len(x) <= k:
+        return None
+    h = window_hashes(x, k)
+    ranked = np.sort(h)
+    if not (ranked[1:] == ranked[:-1]).any():
+        return None
+    gap = np.full(len(h), np.iinfo(np.int64).max)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    gap[order[:-1][same]] = order[1:][same] - order[:-1][same]
     return gap
 
 
@@ -118,13 +141,15 @@ def boundaries(ids: np.ndarray, gap: np.ndarray, p: int, min_length: int, k: int
     return out
 
 
-def tiles(ids: np.ndarray, min_length: int = 12) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
-    """(P, first word, words, boundaries counted from the first word) of every tile that is needed."""
-    n, k = len(ids), max(1, min_length // 2)
-    gap = next_same(ids, k)
-    if not len(gap) or gap.min() >= n:
-        return
-    p = 1
+def tiles(raw: bytes, min_length: int = 12) -> tuple[int, Iterator[tuple[int, int, np.ndarray, list[int]]]]:
+    """The number of words, and (P, first word, words, boundaries counted from the first word) of every tile that is needed."""
+    x, k = word_hashes(raw), max(1, min_length // 2)
+    gap = next_same(x, k)
+    return len(x), iter(()) if gap is None else _cut(word_ids(raw), gap, min_length, k)
+
+
+def _cut(ids: np.ndarray, gap: np.ndarray, min_length: int, k: int) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
+    n, p = len(ids), 1
     while 2 * p <= n:
         found = boundaries(ids, gap, p, min_length, k)
         wide, i = max(TILE_BOUNDARIES * p, TILE_WORDS), 0
@@ -170,22 +195,32 @@ def prime_factors(n: int) -> list[int]:
     return out + [n] if n > 1 else out
 
 
-def solve(p: int, ids: np.ndarray, bounds: list[int]) -> Iterator[tuple[int, int, int]]:
+def stretch(ids: np.ndarray, q: int, start: int, stop: int) -> tuple[int, int]:
+    """A piece of period q carried on to both sides as far as the tile goes."""
+    ahead, behind = ids[stop:] != ids[stop - q:len(ids) - q], ids[:start] != ids[q:start + q]
+    return (int(start - np.argmax(behind[::-1])) if behind.any() else 0), (int(stop + np.argmax(ahead)) if ahead.any() else len(ids))
+
+
+def solve(p: int, ids: np.ndarray, bounds: list[int]) -> list[tuple[int, int, int]]:
     """(period, start, stop) of the pieces with smallest periods in [p, 2p) that the tile sees at its boundaries."""
-    words, n = ids.tolist(), len(ids)
+    words, n, found, last = ids.tolist(), len(ids), [], {}
     for b in bounds:
         lo, hi, end = max(0, b - 2 * p), min(n, b + 4 * p), min(n, b + 2 * p)
         ahead = z_function(words[b:hi], 2 * p)
+        ahead.append(0)
         before = words[lo:b][::-1]
         behind = z_function(before + [-1] + words[lo:end][::-1], len(before) + 2 + max(0, end - b - p))
         base = len(before) + 1 + end - b
         for q in range(p, min(2 * p - 1, hi - b) + 1):
-            forth = ahead[q] if q < len(ahead) else 0
             back = behind[base - q]
-            if forth + back >= q:
-                start, stop = b - back, b + q + forth
-                if not any(np.array_equal(ids[start:stop - d], ids[start + d:stop]) for d in (q // r for r in prime_factors(q))):
-                    yield q, start, stop
+            if ahead[q] + back >= q:
+                start, stop = b - back, b + q + ahead[q]
+                if q in last and last[q][0] <= start and stop <= last[q][1]:
+                    continue  # a run that an earlier boundary has met (one of a smaller period, too)
+                last[q] = stretch(ids, q, start, stop)
+                if all((ids[start:stop - d] != ids[start + d:stop]).any() for d in (q // r for r in prime_factors(q))):
+                    found.append((q, *last[q]))
+    return found
 
 
 # --------------------------------------------------------------------------- Spark
@@ -231,9 +266,9 @@ def map_runs(docs: DataFrame, finish: Finish, columns: str, min_length: int = 12
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                     raw = text.as_py() or b""
                     raw = prepare(doc_id, raw) if prepare else raw
-                    ids = word_ids(raw)
-                    n, key, some = len(ids), key + 1, False
-                    for p, at, part, bounds in tiles(ids, min_length):
+                    n, needed = tiles(raw, min_length)
+                    key, some = key + 1, False
+                    for p, at, part, bounds in needed:
                         some = True
                         yield (2, key, None, None, p, at, part.tobytes(), np.array(bounds, np.int32).tobytes(), None, *blank)
                     if some:
@@ -248,7 +283,7 @@ def map_runs(docs: DataFrame, finish: Finish, columns: str, min_length: int = 12
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for key, p, at, ids, bounds in zip(*(c.to_pylist() for c in b.columns)):
-                    for q, start, stop in dict.fromkeys(solve(p, np.frombuffer(ids, np.int32), np.frombuffer(bounds, np.int32).tolist())):
+                    for q, start, stop in solve(p, np.frombuffer(ids, np.int32), np.frombuffer(bounds, np.int32).tolist()):
                         yield key, q, at + start, at + stop
         return _batches(rows(), shape[PIECE])
 
