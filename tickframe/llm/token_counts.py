@@ -43,7 +43,7 @@ from .bpe import byte_alphabet
 from .common import small_batches, staged
 
 #: States kept by a worker, characters between two looks at their number, and checked token pairs kept.
-STATES, STEP, COMPATIBLE = 100_000, 1 << 15, 500_000
+STATES, STEP, COMPATIBLE = 250_000, 1 << 15, 500_000
 #: Characters of a text that is cut into chunks, and of a chunk.
 LONG, CHUNK = 1 << 20, 1 << 18
 # Fixed value: the split pattern of the published vocabulary; ``Transducer.follow`` is its automaton.
