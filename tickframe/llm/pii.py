@@ -2,8 +2,9 @@
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers (international, or with a bracketed area
 code), payment cards (13 to 19 digits with a right check digit), social security numbers, secrets
-(a quoted value of 16 or more characters with a letter after ``=`` or ``:``, and access keys), and
-names of one to three words after a title in English, German, French, Spanish or Russian.
+(a quoted value of 16 or more characters, a letter and a digit among them, after ``=`` or ``:`` and a
+name that tells of a secret, and access keys), and
+names of any number of words after a title in English, German, French, Spanish or Russian.
 
 Every entity (type and canonical form: lower case, digits only, single spaces; a person is one entity
 under all titles, with a gender where all its titles that tell one agree) gets one surrogate
@@ -18,7 +19,8 @@ of that gender often do in that script.
 Collision checks keep surrogates distinct: in each round the candidates are grouped; one entity
 keeps each candidate, unless an earlier one has it or it is the canonical form of any entity found.
 The others try again with the next attempt's hash (names, e-mails and secrets also grow by a letter
-every third attempt). Which of two colliding entities tries again depends on the entities found.
+every third attempt, numbers by a digit every tenth). What finds no place in ``attempts`` rounds, as its
+format is all but used up, gets its kind and a hash in brackets. Which of two colliding entities tries again depends on the entities found.
 
 Texts without a mention pass straight through; only texts with one are joined with their
 replacements. An entity that a third of all documents mention is one row once distinct (reduced
@@ -35,20 +37,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import staged
 
-# Titles by the gender they tell.
-TITLES = {"f": "mrs|ms|miss|frau|madame|mme|mademoiselle|mlle|señora|sra|doña|г-жа", "m": "mr|herrn|herr|monsieur|señor|sr|don|г-н",
-          "": "dr|prof"}
-_TITLE = "(?i:" + "|".join(TITLES.values()) + r")\.?\s"
+# Titles by the gender they tell ("Don" and "Sr" are words of other uses without their
+# small letter and dot, as is "Miss" in the names of contests), small words inside names, names of secrets.
+TITLES = {"f": r"(?i:mrs|ms|frau|madame|mme|mademoiselle|mlle|señora|sra|г-жа)\.?|(?i:miss)(?!\s(?:America|Universe|World)(?!\p{L}))|doña",
+          "m": r"(?i:mr|herrn|herr|monsieur|señor|г-н)\.?|(?i:sr)\.|don", "": r"(?i:dr|prof)\.?"}
+PARTICLES = "van|von|vom|zu|zum|zur|der|den|dem|ten|ter|de|del|della|di|da|do|dos|das|du|des|la|le|los|las|el|al|bin|ibn|ben|y|e"
+SECRET_NAMES = "key|token|secret|passw|pwd|auth|credential"
+_TITLE = "(?:" + "|".join(TITLES.values()) + r")\s"
+_NAME = rf"(?!{_TITLE}\p{{Lu}})(?:(?:{PARTICLES})[ \t])*+\p{{Lu}}[\p{{L}}'’-]*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+# Groups that repeat without a bound are possessive ones: these Java steps in a loop, others call themselves once
+# for each repetition. Where a possessive run takes too much, ``classify`` cuts it.
 KINDS = {
-    "email": r"(?<![.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "person": _TITLE + r"\p{Lu}[\p{L}'’-]*+(?:[ \t]\p{Lu}[\p{L}'’-]*+){0,2}",
-    "secret": r"(?<=[=:]\s?[\"'])(?=[^\"'\s]*[A-Za-z])[A-Za-z0-9_+/=-]{16,}+(?=[\"'])|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "email": r"(?<![.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
+    "person": _TITLE + _NAME + rf"(?:[ \t]{_NAME})*+",
+    "secret": r"(?<=[\"'])(?<=(?i:" + SECRET_NAMES + r")[\w-]{0,32}[\"']?\s{0,2}[=:]\s{0,2}[\"'])(?=[^\"'\s]*+[\"'])(?=[^\"'\s\d]*+\d)"
+              r"(?=[^\"'\sA-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+(?=[\"'])|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "ip": r"(?<!\d\.)" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\d])(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{2,4}(?![\w])|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?![\w])",
     "card": r"\d{13,19}(?![\w])|\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,4}(?![\w])",
 }
+#: What of an e-mail's run of labels is its domain: up to the last label of letters that ends one.
+DOMAIN = r"^[A-Za-z0-9.-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 #: A mention starts where no letter or digit goes before it.
 PATTERN = r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}(+])(?:" + "|".join(KINDS.values()) + ")"
 
@@ -115,18 +126,22 @@ def mentions(text: Column) -> Column:
 def classify(found: DataFrame) -> DataFrame:
     """``found`` (mention) with ``kind`` (null: not an entity after all), ``canonical`` and the ``gender`` its title tells."""
     m = F.col("mention")
+    domain = F.regexp_extract(F.substring_index(m, "@", -1), DOMAIN, 0)
+    proper = (domain != "") & ~domain.contains("..")
+    body = F.when(m.contains("@") & proper, F.concat(F.substring_index(m, "@", 1), F.lit("@"), domain)).otherwise(m)
+    found, m = found.withColumn("body", body), F.col("body")
     whole = lambda kind: m.rlike("^(?:" + KINDS[kind] + ")$")
     digits = F.regexp_replace(m, r"\D", "")
     name = F.regexp_replace(m, "^" + _TITLE, "")
-    gender = F.when(m.rlike(r"^(?i:" + TITLES["f"] + r")\.?\s"), "f").when(m.rlike(r"^(?i:" + TITLES["m"] + r")\.?\s"), "m")
-    kind = (F.when(m.contains("@"), "email").when(whole("person"), "person").when(whole("ip"), "ip")
+    gender = F.when(m.rlike("^(?:" + TITLES["f"] + r")\s"), "f").when(m.rlike("^(?:" + TITLES["m"] + r")\s"), "m")
+    kind = (F.when(m.contains("@"), F.when(proper, "email")).when(whole("person"), "person").when(whole("ip"), "ip")
             .when(whole("ssn"), "ssn").when(whole("phone"), "phone")
             .when(whole("card"), F.when(_luhn(digits), "card")).otherwise("secret"))
     plus = F.when(m.startswith("+"), F.concat(F.regexp_extract(m, r"^\+(\d{1,3})", 1), F.lit("+"))).otherwise("")
     national = F.when(m.startswith("+"), F.regexp_replace(F.regexp_replace(m, r"^\+\d{1,3}", ""), r"\D", "")).otherwise(digits)
     canonical = (F.when(F.col("kind").isin("ssn", "card"), digits).when(F.col("kind") == "phone", F.concat(plus, national))
                  .when(F.col("kind") == "person", F.lower(F.regexp_replace(name, r"\s+", " "))).otherwise(F.lower(m)))
-    return found.withColumn("kind", kind).withColumn("canonical", canonical).withColumn("gender", F.when(F.col("kind") == "person", gender))
+    return found.withColumn("kind", kind).withColumn("canonical", canonical).withColumn("gender", F.when(F.col("kind") == "person", gender)).drop("body")
 
 
 def with_candidates(entities: DataFrame, attempt: int, key: str) -> DataFrame:
@@ -135,14 +150,14 @@ def with_candidates(entities: DataFrame, attempt: int, key: str) -> DataFrame:
     Built in steps (what stays, what is drawn, the whole), so that no expression holds another one
     many times over.
     """
-    kind, canonical, more = F.col("kind"), F.col("canonical"), F.lit("a" * (attempt // 3))
+    kind, canonical, more, digits = F.col("kind"), F.col("canonical"), F.lit("a" * (attempt // 3)), F.lit("0" * (attempt // 10))
     domain = F.element_at(F.split(canonical, "@"), -1)
     seed = lambda *of: F.sha2(F.concat_ws("\x00", F.lit(key), *of), 256)
     code = F.regexp_extract(canonical, r"^(\d*\+)?", 0)
     drawn = (F.when(kind == "email", F.concat(F.element_at(F.split(canonical, "@"), 1), more))
-             .when(kind == "phone", F.substring(canonical, F.length(code) + 1, F.length(canonical)))
-             .when(kind == "card", F.substring(canonical, F.lit(2), F.length(canonical) - 2))
-             .when(kind == "ssn", canonical).when(kind == "ip", "").otherwise(F.concat(canonical, more)))
+             .when(kind == "phone", F.concat(F.substring(canonical, F.length(code) + 1, F.length(canonical)), digits))
+             .when(kind == "card", F.concat(F.substring(canonical, F.lit(2), F.length(canonical) - 2), digits))
+             .when(kind == "ssn", F.concat(canonical, digits)).when(kind == "ip", "").otherwise(F.concat(canonical, more)))
     parts = F.array(F.struct(drawn.alias("t"), seed(kind, canonical, F.lit(str(attempt))).alias("s"), (kind == "person").alias("v")),
                     F.struct(F.when(kind == "email", F.regexp_replace(domain, r"[^.]*$", "")).otherwise("").alias("t"),
                              seed(F.lit("domain"), domain).alias("s"), F.lit(False).alias("v")))
@@ -182,20 +197,25 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 100) -> DataFrame:
         if pending.isEmpty():
             return done
         if attempt == attempts:
-            raise ValueError(f"no distinct surrogates of the same format after {attempts} attempts")
+            mask = F.concat(F.lit("["), "kind", F.lit(" "), F.substring(F.sha2(F.concat_ws("\x00", F.lit(key), "kind", "canonical"), 256), 1, 32), F.lit("]"))
+            return done.unionByName(pending.select("kind", "canonical", mask.alias("surrogate")))
 
 
 def render(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's format: its separators around the digits, its upper and lower case."""
+    """The surrogate in the mention's format: its separators around the digits, its upper and lower case,
+    its title, and what follows an e-mail's domain. Linear in the mention's length but for numbers, which are short."""
     digits = F.regexp_replace(surrogate, r"\D", "")
     before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), (i + 1).cast("int")), r"\D", ""))
     numbers = F.array_join(F.transform(_characters(mention), lambda c, i: F.when(
         c.rlike("[0-9]"), F.substring(digits, before(i), F.lit(1))).otherwise(c)), "")
+    grown = F.substring(digits, F.length(F.regexp_replace(mention, r"\D", "")) + 1, F.length(digits))
     title = F.when(kind == "person", F.regexp_extract(mention, "^" + _TITLE, 0)).otherwise("")
-    own = F.substring(mention, F.length(title) + 1, F.length(mention))
-    cased = F.array_join(F.transform(_characters(surrogate), lambda c, i: F.when(
-        F.substring(own, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
-    return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "ip", surrogate).otherwise(F.concat(title, cased))
+    domain = F.substring_index(mention, "@", -1)
+    tail = F.when(kind == "email", F.substring(domain, F.length(F.regexp_extract(domain, DOMAIN, 0)) + 1, F.length(domain))).otherwise("")
+    own = F.substring(mention, F.length(title) + 1, F.length(mention) - F.length(title) - F.length(tail))
+    pairs = F.zip_with(_characters(surrogate), _characters(own), lambda c, o: F.when(o.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    return (F.when(surrogate.startswith("["), F.concat(title, surrogate, tail)).when(kind.isin("phone", "card", "ssn"), F.concat(numbers, grown))
+            .when(kind == "ip", surrogate).otherwise(F.concat(title, F.array_join(pairs, ""), tail)))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
