@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from tickframe.llm import decontaminate as D
 from tickframe.llm.common import read
 
@@ -107,3 +109,32 @@ def test_unspaced_scripts_and_short_items(spark):
     got = sorted((r.doc_id, r.item_id, r.edits) for r in D.find_leaks(df, items).collect())
     assert got == [(1, 1, 0), (2, 1, 2), (3, 2, 0), (4, 3, 0)]
     assert sorted(r.doc_id for r in D.drop_leaks(df, items).collect()) == [5, 6]
+
+
+def test_lsh_alone_selects(spark):
+    """Recall of the bit sampling alone at the most edits allowed, and how few unrelated windows it lets through."""
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n in (8, 20, 40, 60):
+        items = [" ".join(r.choice(vocabulary) for _ in range(n)) for _ in range(40)]
+        index = D.Index(list(enumerate(items)), *D.OPTIONS.values())
+        near = [edited(r, t.split(), int(0.2 * n + 1e-9), vocabulary) for t in items]
+        found, wrong, pairs = 0, 0, 0
+        for i, w in enumerate(near):
+            symbols = np.concatenate([index.symbols(" ".join(w)), np.zeros(2 * n, np.int64)])
+            starts = np.arange(-2, 3)
+            _, item = index.candidates(symbols, starts, np.full(len(starts), n))
+            found += i in item
+            other = index.symbols(" ".join(r.choice(vocabulary) for _ in range(n)))  # words of the items, in no order of theirs
+            _, item = index.candidates(other, np.zeros(1, np.int64), np.array([n]))
+            wrong, pairs = wrong + len(item), pairs + len(items)
+        assert found >= 0.9 * len(items), (n, found)
+        assert wrong <= 0.02 * pairs, (n, wrong, pairs)
+
+
+def test_items_without_id_are_dropped_too(spark):
+    item = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(None, item), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + item), (2, "other"), (None, item), (1, "other")], "doc_id long, text string")
+    assert sorted(map(tuple, D.drop_leaks(docs, items).collect())) == [(1, "other"), (2, "other")]
+    assert D.find_leaks(docs, items).count() == 0

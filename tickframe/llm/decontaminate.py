@@ -12,8 +12,10 @@ For each item-sized window of a document (as many words as the item has):
    the current word and moves on by a random bit that depends on j and that word. Two sequences
    that are close in edit distance walk back into step, so their outputs are close in Hamming
    distance. Each of ``repetitions`` uses its own random bits.
-2. Each repetition samples ``sampled`` coordinates of the 3n steps; windows that agree with an
-   item on all of them in any repetition are candidates (repeated bit-sampling LSH).
+2. Each repetition samples ``sampled`` coordinates of the first 1.5n steps (a walk takes about 2n to
+   end; for items under ``SURE`` words the first n, in which none can end); windows that agree with an
+   item on all of them in any repetition are candidates (repeated bit-sampling LSH). A coordinate at
+   which a walk has ended agrees with nothing.
 3. Candidates are verified by the exact edit distance between the item and the best stretch
    around the window.
 
@@ -25,9 +27,10 @@ The benchmark is taken in blocks of at most ``block_words`` words, each broadcas
 held against all documents, so its size is bounded whatever the benchmark's. Documents are read
 once per block, in Arrow batches, without any shuffle.
 
-Items of fewer than ``min_words`` words are found where all their words stand unedited; null, empty and
-other items without a word match nothing. Null and empty texts match nothing. Repeated items each report, repeated rows
-of a document are each judged. Empty tables give empty results. Other columns are carried where
+Items of fewer than ``min_words`` words are found where all their words stand unedited (at a similarity
+of 0.8 no edit is allowed to them anyway); null, empty and other items without a word match nothing. Null
+and empty texts match nothing. Items without item_id have nothing to report but take part in ``drop_leaks``.
+Repeated items each report, repeated rows of a document are each judged. Empty tables give empty results. Other columns are carried where
 documents are returned.
 """
 
@@ -79,6 +82,10 @@ def normal(text: str | None) -> bytes:
     return text.encode().translate(TO_SPACE)
 
 
+#: Items of fewer words sample only steps that no walk can have ended before.
+SURE = 8
+
+
 class _Vocabulary(dict):
     """Word -> symbol from 1; other words are 0."""
 
@@ -117,6 +124,7 @@ class Index:
         self.step = odd(3 * self.widest, repetitions)
         self.sample = np.sort(rng.random((repetitions, sampled)), axis=1)
         self.mix = odd(sampled + 1)
+        self.ended = odd(2)  # what an ended walk writes: one for items, one for windows
         self.gram = odd(self.widest + 1)
         # the pieces of which one survives any allowed edits: key -> item and offset, by length
         pieces: dict[int, list[tuple[int, int, int]]] = {}
@@ -128,7 +136,7 @@ class Index:
         for q, p in pieces.items():
             key, item, offset = zip(*sorted(p))
             self.pieces[q] = np.array(key, np.uint64), np.array(item), np.array(offset)
-        keys = self.embed(self.sequences, self.n) if words else np.zeros((repetitions, 0), np.uint64)
+        keys = self.embed(self.sequences, self.n, 0) if words else np.zeros((repetitions, 0), np.uint64)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
@@ -137,11 +145,11 @@ class Index:
         h, n = self.hash[symbols], len(symbols) - q + 1
         return sum((h[i:n + i] * self.gram[i] for i in range(1, q)), h[:n] * self.gram[0])
 
-    def embed(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Keys (repetition, window) of the sampled coordinates of the walks over ``windows``."""
+    def embed(self, windows: np.ndarray, n: np.ndarray, side: int) -> np.ndarray:
+        """Keys (repetition, window) of the sampled coordinates of the walks over ``windows`` (side 1) or items (side 0)."""
         rows = np.arange(len(n))
         at = np.zeros((len(self.sample), len(n)), np.int64)
-        wanted = (self.sample[:, :, None] * (3 * n)).astype(np.int64)  # repetition, sample, window
+        wanted = (self.sample[:, :, None] * np.where(n < SURE, n, 1.5 * n)).astype(np.int64)  # repetition, sample, window
         key = np.broadcast_to(n.astype(np.uint64) * self.mix[-1], at.shape).copy()
         seen = self.hash[windows]
         for j in range(int(wanted.max()) + 1 if n.size else 0):
@@ -150,7 +158,7 @@ class Index:
             for s in range(self.sample.shape[1]):
                 hit = wanted[:, s] == j
                 if hit.any():
-                    key += np.where(hit, h * self.mix[s] + np.uint64(s), np.uint64(0))
+                    key += np.where(hit, np.where(ended, self.ended[side], h) * self.mix[s] + np.uint64(s), np.uint64(0))
             at += ((h * self.step[j][:, None]) >> np.uint64(63)).astype(np.int64)
         return key
 
@@ -181,7 +189,7 @@ class Index:
         inside = (places >= 0) & (places < len(symbols)) & (np.arange(self.widest) < n[:, None])
         windows = np.where(inside, symbols[np.clip(places, 0, len(symbols) - 1)], 0)
         found = []
-        for keys, known, order in zip(self.embed(windows, n), self.keys, self.order):
+        for keys, known, order in zip(self.embed(windows, n, 1), self.keys, self.order):
             owner, k = _ranges(np.searchsorted(known, keys), np.searchsorted(known, keys, "right"))
             found.append(np.stack([start[owner], order[k]]))
         both = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -241,23 +249,23 @@ def _index(spec: str) -> Index:
 
 
 def _blocks(items: DataFrame, block_words: int, *options) -> Iterator:
-    """Broadcasts of the benchmark's blocks (item_id, text), each of about ``block_words`` words."""
-    sized = items.select("item_id", "text").filter(F.col("item_id").isNotNull())
+    """Broadcasts of the benchmark's blocks (item_id, text), each of about ``block_words`` words; equal rows once."""
+    sized = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
     words = sized.agg(F.sum(F.octet_length("text") / 4)).first()[0] or 0
     n = int(words // block_words) + 1
     for b in range(n):
-        block = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()
+        block = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
         yield items.sparkSession.sparkContext.broadcast(json.dumps([[tuple(r) for r in block], *options]))
 
 
-OPTIONS = {"similarity": 0.8, "min_words": 5, "repetitions": 96, "sampled": 2, "seed": 7}
+OPTIONS = {"similarity": 0.8, "min_words": 5, "repetitions": 128, "sampled": 4, "seed": 7}
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, block_words: int = 200_000, **options) -> DataFrame:
     """(doc_id, item_id, edits, item_words, first_word): each document and item found in it."""
     small_batches(docs.sparkSession)
     given = {**OPTIONS, **options}
-    out = None
+    items, out = items.filter(F.col("item_id").isNotNull()), None
     kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, item_words int, first_word long"
     for spec in _blocks(items, block_words, *given.values()):
@@ -276,9 +284,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_words: int = 200_000, **
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, block_words: int = 200_000, **options) -> DataFrame:
-    """``docs`` without the documents in which any item is found."""
+    """``docs`` without the documents in which any item is found, with or without an item_id."""
     small_batches(docs.sparkSession)
     given = {**OPTIONS, **options}
+    items = items.select(F.lit(None).cast("long").alias("item_id"), "text")
     for spec in _blocks(items, block_words, *given.values()):
         def run(batches: Iterator[pa.RecordBatch], spec=spec) -> Iterator[pa.RecordBatch]:
             index = _index(spec.value)
