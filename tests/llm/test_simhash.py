@@ -109,3 +109,10 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 3]
     assert simhash.simhash_digest(df.limit(0)).count() == 0
+
+
+def test_one_id_with_two_texts_and_rows_without_id(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "quite another text about something else entirely here"
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a), (None, b), (None, "a third one of no id at all but many words"), (None, None)], "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.keep_one_per_group(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, "a third one of no id at all but many words"), (None, None)], key=str)

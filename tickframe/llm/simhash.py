@@ -171,8 +171,12 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of the smallest doc_id.
 
-    Repeated rows of a kept document are reduced to one row; rows without doc_id all stay.
+    A document is a doc_id (null counts as a value, above all others) and a text, so two texts of one
+    doc_id are two documents; repeated rows of a kept document are reduced to one row.
     """
-    keep = (near_duplicates(docs, shingle, max_distance).filter("doc_id = component_id").select("doc_id").distinct())
-    named = docs.join(keep, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    groups = near_duplicates(docs.select(own.alias("doc_id"), "text"), shingle, max_distance)
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.text").alias("__text")).distinct()
+    named = docs.withColumn("__mark", own["text"])
+    kept = named.join(keep, named["doc_id"].eqNullSafe(keep["__id"]) & (named["__mark"] == keep["__text"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
