@@ -82,3 +82,12 @@ def test_edge_rows(spark):
     assert R.select_documents(df, labels, keep=0.0).count() == 0
     assert R.select_documents(df, labels.limit(0)).count() == 6
     assert R.resample(df.limit(0), labels).count() == 0
+
+
+def test_one_id_with_two_texts_is_two_documents(spark):
+    good, bad = "plain clean words of a useful text " * 6, "zzzz qqqq xxxx #### " * 8
+    rows = [(i, good) for i in range(20)] + [(100 + i, bad) for i in range(20)] + [(3, bad), (None, good), (None, bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)] + [(100 + i, 0) for i in range(10)], "doc_id long, quality int")
+    kept = [tuple(r) for r in R.select_documents(df, labels, keep=22 / 43).collect()]
+    assert (3, good) in kept and (3, bad) not in kept and (None, good) in kept and (None, bad) not in kept

@@ -84,7 +84,7 @@ def log_ratios(counts: np.ndarray, smoothing: float) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(doc_id, log_weight, n_grams) of every document."""
+    """(doc_id, text_hash, log_weight, n_grams) of every document."""
     small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(ratios)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -94,10 +94,11 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         for b in batches:
             sums = [[(float(r[g].sum()), len(g)) for g in ngrams(t, len(r))] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([math.fsum(x for x, _ in s) for s in sums], pa.float64()),
-                 pa.array([sum(n for _, n in s) for s in sums], pa.int64())], ["doc_id", "log_weight", "n_grams"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array([math.fsum(x for x, _ in s) for s in sums], pa.float64()),
+                 pa.array([sum(n for _, n in s) for s in sums], pa.int64())], ["doc_id", "text_hash", "log_weight", "n_grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double, n_grams long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, f"doc_id {kind}, text_hash long, log_weight double, n_grams long")
 
 
 def gumbel(seed: int):
@@ -115,6 +116,11 @@ def good_share(labels: DataFrame, margin: float) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 11, margin: float = 2.0, **options) -> DataFrame:
     """(doc_id, log_weight, n_grams, gumbel_key, selected) of every document."""
+    return judged(docs, labels, keep, seed, margin, **options).drop("text_hash")
+
+
+def judged(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 11, margin: float = 2.0, **options) -> DataFrame:
+    """``resample`` with the ``text_hash`` that tells a row's text."""
     given = {**OPTIONS, **options}
     counts = bucket_counts(docs, target_sample(labels, given["target_rows"]), given["buckets"])
     scored = staged(log_weights(docs, log_ratios(counts, given["smoothing"]))
@@ -124,6 +130,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not selected."""
-    gone = resample(docs, labels, **options).filter("NOT selected").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` without the documents that are not selected; a document is a doc_id (null counts as a
+    value) and a text, so no other text of the same doc_id goes with it."""
+    gone = judged(docs, labels, **options).filter("NOT selected").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
