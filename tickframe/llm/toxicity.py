@@ -148,9 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> tuple[np.ndarray, fl
                                               pa.array([s.astype("<f4").tobytes() for _, s in bags], pa.binary())], ["doc_id", "at", "share"])
 
     bags = {}
-    for b in docs.select("doc_id", "text").mapInArrow(run, "doc_id long, at binary, share binary").toArrow().to_batches():
-        for doc_id, a, share in zip(*(c.to_pylist() for c in b.columns)):
-            bags[doc_id] = min((a, share), bags.get(doc_id, (a, share)))  # of rows of one doc_id always the same
+    packed = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, at binary, share binary")
+    # of the rows of one doc_id always the same one, picked before anything comes to the driver
+    one = packed.groupBy("doc_id").agg(F.min(F.struct("at", "share")).alias("bag")).select("doc_id", "bag.at", "bag.share")
+    for b in one.toArrow().to_batches():
+        bags |= {doc_id: (a, s) for doc_id, a, s in zip(*(c.to_pylist() for c in b.columns))}
     order = sorted(bags, key=lambda d: crc32(b"%d" % d))
     y = np.array([chosen[d] for d in order], float)
     share = totals[1] / (totals[0] + totals[1])
