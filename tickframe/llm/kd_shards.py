@@ -12,8 +12,8 @@ Rows that share it are split at the median of a hash of doc_id in the same way,
 that a third of all rows share is divided too. Only metadata is written and read again; texts
 are read once and never shuffled.
 
-Dimensions are normalised to their range over all rows; strings count as the number made by
-their first six UTF-8 bytes, which keeps their order. Null texts weigh the fixed cost alone,
+Dimensions are normalised to their range over all rows; strings count as their rank among the
+distinct values, which are sorted by ranges over all tasks and joined to the rows. Null texts weigh the fixed cost alone,
 null dimensions lie below all others, rows without doc_id share one hash, repeated rows stay
 together. With fewer documents than shards some shards stay empty; an empty table gives an
 empty result.
@@ -23,15 +23,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import staged
 from .select import TIE, pick, tie_hash, weighted_cut
 
 
-def string_number(c: str) -> Column:
-    head = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def with_rank(rows: DataFrame, c: str) -> DataFrame:
+    """``rows`` with the text column ``c`` replaced by its rank among the distinct values, from 1 as a double; null is -1.
+
+    The values are numbered within ranges of them; each range adds what the ranges before it hold.
+    """
+    values = rows.select(F.col(c).alias("__value")).filter(F.col("__value").isNotNull()).distinct()
+    at = staged(values.repartitionByRange("__value").sortWithinPartitions("__value").select("__value", F.spark_partition_id().alias("__part")), "kd-values")
+    sizes = at.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("__value"))
+    ranks = at.join(before, "__part").select("__value", (nth + F.col("__before")).cast("double").alias("__rank"))
+    return (rows.join(ranks, rows[c] == ranks["__value"], "left").withColumn(c, F.coalesce("__rank", F.lit(-1.0))).drop("__value", "__rank"))
 
 
 def kd_tree(meta: DataFrame, dims: list[str], shards: int, bins: int = 512) -> DataFrame:
@@ -85,9 +94,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bins:
     meta = staged(docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        string_number("source").alias("__source"), string_number("lang").alias("__lang"),
+        F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"),
         tie_hash("doc_id").alias(TIE),
     ).withColumn("__size", F.log2(F.col("size").cast("double"))), "kd-meta")
+    meta = staged(with_rank(with_rank(meta, "__source"), "__lang"), "kd-ranked")
     rows = kd_tree(meta, ["__source", "__lang", "__size"], shards, bins)
 
     blocks = max(8, meta.count() // (shards * 100_000))
