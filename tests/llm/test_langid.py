@@ -7,12 +7,37 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from html.parser import HTMLParser
+
 from tickframe.llm import langid as L
 from tickframe.llm.common import read
 
 SF = "/root/testdata/sf0.001"
 
 
+class FirstTag(HTMLParser):
+    """The language of the first <html> tag, by the standard library's parser."""
+
+    lang = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "html" and self.lang is None:
+            m = re.match(r"\s*([A-Za-z]{2,3})(?![A-Za-z0-9])", next((v or "" for k, v in attrs if k == "lang"), ""))
+            self.lang = m[1].lower() if m else ""
+
+
+def first_tag(page):
+    p = FirstTag()
+    p.feed(page or "")
+    return p.lang or ""
+
+
+def registered(host):
+    labels = host.split(".")
+    n = 3 if len(labels) > 1 and len(labels[-1]) == 2 and labels[-2] in L.SECOND_LABELS else 2
+    return ".".join(labels[-n:]) if len(labels) > n else host
+
+
 def plain(pages, docs, buckets=1 << 14, a=0.5, strength=5.0):
     count = defaultdict(Counter)
     for lang, text in docs:
@@ -29,7 +54,7 @@ def plain(pages, docs, buckets=1 << 14, a=0.5, strength=5.0):
         m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", (url or "").lower())
         host = m[1].rstrip(".") if m else ""
         labels = host.split(".")
-        rows.append((page_id, host, ".".join(labels[-2:]) if len(labels) > 2 else host, labels[-1], L.declared(page), ll, soft(ll)))
+        rows.append((page_id, host, registered(host), labels[-1], first_tag(page), ll, soft(ll)))
     said = lambda d: d if d in langs or not d else "?"
     sums = [defaultdict(lambda: [0.0] * n) for _ in range(4)]
     total = [0.0] * n
@@ -119,3 +144,19 @@ def test_a_late_tag_is_declared():
         assert L.declared(before + '<HTML class=a lang="de-AT">') == "de"
     for odd in ("<html " * 300_000, "<html lang" + " " * 1_200_000, "<html" + " lang" * 300_000, "<html lang=" + " " * 1_200_000 + "x"):
         assert L.declared(odd) == "" and L.declared(odd + '><html lang="fr">') == "fr"
+
+
+def test_the_first_tags_own_attribute_counts():
+    for page, want in [('<html lang="en" xml:lang="de">', "en"), ('<html lang="en" data-lang="fr">', "en"), ('<html xml:lang="de">', ""),
+                       ('<!-- <html lang="de"> --><html class="a>b" lang=fr>', "fr"), ("<HTML\nLANG = 'es-MX'>", "es"), ('<!doctype html><html><html lang="en">', ""),
+                       ('<html lang="">', ""), ('<html lang=x>', ""), ('<html data-x=\'lang="de"\' lang="en">', "en"), ("<htmlx lang=de>", ""),
+                       ("<!-- <html lang=de>", ""), ("", ""), ('<html lang="en" lang="de">', "en"), ('<html lang="deutsch">', "")]:
+        assert L.declared(page) == want, page
+    assert L.declared("<!-- " + "x" * 2_000_000 + ' --><html lang="de">') == "de" and L.declared("<html " + "a=b " * 300_000 + "lang=de>") == "de"
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.example.com", "www.shop.co.uk", "shop.co.uk", "co.uk", "x.y.com.br", "uk", "", "a.co.com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", L._domain_of(F.col("h")).alias("d"))
+    assert {r.h: r.d for r in df.collect()} == {"a.b.example.com": "example.com", "www.shop.co.uk": "shop.co.uk", "shop.co.uk": "shop.co.uk", "co.uk": "co.uk",
+                                              "x.y.com.br": "y.com.br", "uk": "uk", "": "", "a.co.com": "co.com"}

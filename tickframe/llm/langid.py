@@ -40,7 +40,11 @@ from .common import byte_pieces, small_batches, staged
 OPTIONS = {"buckets": 1 << 14, "smoothing": 0.5, "text_weight": 1 / 3, "strength": 5.0}
 TAG = re.compile(r"<([^<>]*)>")
 NAME = re.compile(r"\s*(/?)([a-zA-Z][a-zA-Z0-9]*)")
-DECLARED = re.compile(r"""<html\b[^<>]*\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
+OPENING = re.compile(r"<!--|<html(?=[\s/>])", re.I)
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+LANGUAGE = re.compile(r"\s*([A-Za-z]{2,3})(?![A-Za-z0-9])")
+# Fixed value: second labels under which countries register names.
+SECOND_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "ne", "net", "nom", "or", "org", "plc", "sch"]
 HIDDEN = frozenset(["script", "style", "noscript", "template", "nav", "title"])
 #: Languages whose models are shipped together, 128 KB each.
 BLOCK = 256
@@ -71,8 +75,24 @@ def visible_text(page: str | None) -> str:
 
 
 def declared(page: str | None) -> str:
-    m = DECLARED.search(page or "")  # linear: a tag's search ends at the next < or >
-    return m[1].lower() if m else ""
+    """The language that the first <html> tag outside comments gives in its own ``lang`` attribute (the
+    first one, if it is repeated); "" where there is none. Linear in the page."""
+    page, at = page or "", 0
+    while m := OPENING.search(page, at):
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            if end < 0:
+                return ""
+            at = end + 3
+            continue
+        at = m.end()
+        while (a := ATTRIBUTE.match(page, at)) and a.end() > at:
+            if a[1].lower() == "lang":
+                value = LANGUAGE.match(a[2] or a[3] or a[4] or "")
+                return value[1].lower() if value else ""
+            at = a.end()
+        return ""
+    return ""
 
 
 def trigrams(text: str, buckets: int) -> Iterator[np.ndarray]:
@@ -153,8 +173,11 @@ def host_of(url: Column) -> Column:
 
 
 def _domain_of(host: Column) -> Column:
+    """The registered domain: the last two labels, or three under a country's second label (co.uk, com.br)."""
     labels = F.split(host, r"\.")
-    return F.when(F.size(labels) > 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host)
+    second = (F.length(F.element_at(labels, -1)) == 2) & F.when(F.size(labels) > 1, F.element_at(labels, -2)).isin(SECOND_LABELS)
+    n = F.when(F.coalesce(second, F.lit(False)), 3).otherwise(2)
+    return F.when(F.size(labels) > n, F.concat_ws(".", F.slice(labels, -n, n))).otherwise(host)
 
 
 def _suffix_of(host: Column) -> Column:
