@@ -59,3 +59,9 @@ def test_empty_table(spark):
 def test_query_matches_sql(spark):
     assert "op10_line_dedup" in E.oracle_sql()
     assert compare(spark, SF, ["op10_line_dedup"], verbose=False) == []
+
+
+def test_no_run_stays_in_the_catalog(spark):
+    got = line_dedup.dedup_lines(spark.createDataFrame(ROWS, "doc_id long, text string"), batches=3)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    assert got.count() == len(ROWS)

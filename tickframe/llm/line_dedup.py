@@ -40,6 +40,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = []
+        self.names: list[str] = []
 
     def _write(self, rows: DataFrame, level: int) -> str:
         path = fresh_path(self.spark, f"line-run-l{level}")
@@ -49,8 +50,15 @@ class LineRuns:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
+        self.names.append(name)
         return name
 
+    def close(self) -> None:
+        """Take the runs' names out of the catalog; frames that read a run have its files and go on."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+
     def add(self, lines: DataFrame) -> DataFrame:
         """Take a batch of (h1, h2, doc_id); return its new keys with their first document."""
         new = lines.groupBy(*HASH).agg(F.min("doc_id").alias("doc_id"))
@@ -101,6 +109,7 @@ def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, buckets:
         part = lines.filter(F.col("__batch") == b).drop("__batch")
         firsts = runs.add(part.select(*HASH, "doc_id"))
         dropped.append(part.join(firsts, [*HASH, "doc_id"], "left_anti").select("doc_id", "__text", "__pos"))
+    runs.close()
     gone = dropped[0]
     for d in dropped[1:]:
         gone = gone.unionByName(d)
