@@ -124,3 +124,59 @@ def F_id():
     from pyspark.sql import functions as F
 
     return F.col("id").cast("bigint")
+
+
+def _wave(spark, series, n):
+    rows = [(sid, "1d", dt.datetime(2020, 1, 1) + dt.timedelta(days=i + i // 40 * 3), "s", c, c + 1 + i % 3, c - 1 - i % 5, c, 100 + i * sid % 17)
+            for sid in series for i in range(n + sid) for c in [100 + 7 * math.sin(i / (3 + sid)) + (i * i * sid) % 11]]
+    df = spark.createDataFrame(rows, "symbol_id int, time_frame string, t_stamp timestamp, data_source string, "
+                                     "open double, high double, low double, close double, volume bigint").repartition(5)
+    return I.series_bars(df)
+
+
+def test_fifty_chunks_equal_one(spark):
+    bars = _wave(spark, [1, 2], 500)
+    key = lambda r: (r.symbol_id, r.t_stamp)
+    whole = sorted(I.all_indicators(bars).collect(), key=key)
+    assert len(whole) == 1003
+    for chunk_bars in (10, 64, 300):
+        parts = sorted(I.all_indicators(bars, chunk_bars=chunk_bars).collect(), key=key)
+        assert len(parts) == len(whole)
+        for a, b in zip(whole, parts):
+            for c in I.WINDOW_COLUMNS + I.RECURRENCE_COLUMNS + ["t_stamp", "close"]:
+                x, y = a[c], b[c]
+                assert x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)), (chunk_bars, key(a), c, x, y)
+    some = sorted(I.recurrence_indicators(bars, ["adx", "macd_signal"], chunk_bars=10).collect(), key=key)
+    assert all(math.isclose(a.adx, b.adx, abs_tol=1e-9) for a, b in zip(whole, some) if a.adx is not None)
+    assert [r.adx is None for r in some] == [r.adx is None for r in whole]
+
+
+def test_chunks_of_a_hot_series_lie_in_many_tasks(spark):
+    b = I.numbered(_wave(spark, [1], 800), chunk_bars=100)
+    own = b.own(b.rows)
+    assert sorted(r.rn for r in own.select("rn").collect()) == list(range(1, 802))
+    assert {r[0] for r in own.select(I.CHUNK).distinct().collect()} == set(range(9))
+    halo = b.rows.filter(I.HALO_ROW).groupBy(I.CHUNK).agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("lo"), F.max("rn").alias("hi")).collect()
+    assert all((r.n, r.lo, r.hi) == (min(I.HALO, 100 * r[I.CHUNK]), max(1, 100 * r[I.CHUNK] - I.HALO + 1), 100 * r[I.CHUNK]) for r in halo if r[I.CHUNK] <= 8)
+    spread = own.repartition(8, I.SERIES_KEY, I.CHUNK).groupBy(F.spark_partition_id()).count().count()
+    assert spread >= 4
+
+
+def test_block_steps_are_sequential_steps(spark):
+    """The numpy block gives bit for bit what a plain loop over the bars gives."""
+    import numpy as np
+
+    x = np.array([100 + math.sin(i) * 9 for i in range(700)])
+    number, opens = np.concatenate([np.arange(1, 401), np.arange(1, 301)]), np.zeros(700, bool)
+    opens[[0, 400]] = True
+    rounds = {"e": ("x", "ema", 12, 1), "w": ("x", "wilder", 14, 2)}
+    e, w = I.smooth_block(rounds, number, opens, [x, x], [np.zeros(700)] * 2)
+    for lo, hi in ((0, 400), (400, 700)):
+        ema, total, y = x[lo], 0.0, None
+        assert e[lo] == ema and np.isnan(w[lo:lo + 14]).all()
+        for k in range(1, hi - lo):
+            v = x[lo + k]
+            ema = 2.0 / 13 * v + (1.0 - 2.0 / 13) * ema
+            total = total + v if k <= 14 else total
+            y = total / 14 if k == 14 else (y * 13 + v) / 14 if k > 14 else None
+            assert e[lo + k] == ema and (y is None or w[lo + k] == y)

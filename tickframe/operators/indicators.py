@@ -3,16 +3,20 @@
 The reference declares the columns but ships no formula, so the standard definitions are
 fixed here (see README). A series is one (symbol_id, time_frame); bars are ordered by time.
 
-* Sliding-window indicators (SMA, Bollinger, stochastic, Williams %R, volume SMA, OBV, CCI)
-  are Spark window frames over ``Window.partitionBy(symbol_id, time_frame).orderBy(t_stamp)``.
-* True recurrences (EMA, MACD signal, Wilder-smoothed RSI/ATR/ADX) depend on the previous
-  output, which no window frame expresses; they run in one grouped-map pass per series
-  (``applyInPandas``) over the bar columns only. Its output stays hash-partitioned by
-  series, so the window frames computed after it add no shuffle.
+A series is cut into chunks of ``CHUNK_BARS`` bars by its bars' numbers, so that one hot series is
+worked on by many tasks. Bars are numbered without bringing a series together: rows are counted per
+stretch of time, the counts are added up over the stretches, and each stretch numbers its own bars.
 
-Group size: a series holds at most one bar per period of its time frame, so its length is
-bounded by history span / bar width (about 0.5M bars for 1m over a year), independent of
-how many symbols or rows the table holds.
+* Sliding-window indicators (SMA, Bollinger, stochastic, Williams %R, volume SMA, CCI) are Spark
+  window frames over (series, chunk); a chunk carries copies of the ``HALO`` bars before it, which
+  are dropped afterwards. On-balance volume adds a running offset of the chunks before.
+* Recurrences (EMA, Wilder smoothing) are affine: y -> a*y + b. The map of a whole chunk is one
+  weighted sum over its bars (a Spark aggregate that combines map-side); the maps are composed
+  along the chunks of a series, and each chunk starts from the value so carried to it. Within
+  chunks numpy steps all chunks of a task's block at once, one bar of each at a time, left to right
+  as a sequential run would.
+
+Where no series is longer than a chunk there is one chunk each, and nothing is carried.
 
 Warm-up: a value is NULL until its look-back is full. Wilder(n) = mean of the first n inputs,
 then (prev*(n-1) + x)/n. Sums are accumulated left to right so results are reproducible.
@@ -20,23 +24,27 @@ then (prev*(n-1) + x)/n. Sums are accumulated left to right so results are repro
 
 from __future__ import annotations
 
+import math
 import sys
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import fresh_path
 
-# The grouped-map / stateful functions below run in Python workers; ship this module's code
+# The functions below that step recurrences run in Python workers; ship this module's code
 # with the task (pickle by value) so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SERIES = ["symbol_id", "time_frame"]
-# One real column naming a series: partitioning, windows and the grouped map all key on it,
-# so they share one exchange (a constant time_frame cannot be folded out of it).
+# One real column naming a series: partitioning and windows key on it, so they share one
+# exchange (a constant time_frame cannot be folded out of it).
 SERIES_KEY = "_series"
 SMA_PERIODS = [5, 10, 20, 50, 200]
 
@@ -46,10 +54,8 @@ def series_bars(candles: DataFrame) -> DataFrame:
     """One bar per (symbol, time frame, time): the indicator key has no data_source, so the
     bar of the lowest-ranked source (name order) is used. Partial-aggregable (min_by)."""
     bar = F.struct("data_source", "open", "high", "low", "close", "volume")
-    # The feeds of a bar are reduced where the rows lie (partial min_by), then the bars are
-    # partitioned by the series column once: the windows and the grouped map reuse that exchange,
-    # and the time frames of one symbol spread over tasks. The column spells out both key parts,
-    # so any two time frames (a NULL one included) are different series.
+    # The feeds of a bar are reduced where the rows lie (partial min_by). The series column spells
+    # out both key parts, so any two time frames (a NULL one included) are different series.
     series = F.concat_ws(":", F.col("symbol_id").cast("string"), F.coalesce("time_frame", F.lit("-")))
     g = candles.withColumn(SERIES_KEY, series).groupBy(SERIES_KEY, "symbol_id", "time_frame", "t_stamp").agg(
         F.min_by(bar, F.col("data_source")).alias("b"))
@@ -57,40 +63,84 @@ def series_bars(candles: DataFrame) -> DataFrame:
                     "b.low", "b.close", "b.volume")
 
 
-def _w() -> Window:
-    return Window.partitionBy(SERIES_KEY).orderBy("t_stamp")
+# --------------------------------------------------------------------------- chunks
+HALO = max(SMA_PERIODS) - 1
+CHUNK_BARS = 4096
+CHUNK, HALO_ROW = "_chunk", "_halo"
+
+
+class Bars:
+    """Numbered bars: ``rn`` (from 1 in each series), the chunk, and whether a row is a copy from the chunk before."""
+
+    def __init__(self, rows: DataFrame, chunk_bars: int | None):
+        self.rows, self.chunk_bars = rows, chunk_bars
+
+    def window(self) -> Window:
+        """A chunk in time order; without chunks a whole series."""
+        if self.chunk_bars is None:
+            return Window.partitionBy(SERIES_KEY).orderBy("t_stamp")
+        return Window.partitionBy(SERIES_KEY, CHUNK).orderBy("t_stamp")
+
+    def own(self, df: DataFrame) -> DataFrame:
+        """Without the copies."""
+        return df if self.chunk_bars is None else df.filter(~F.col(HALO_ROW))
 
 
-def _frame(n: int) -> Window:
-    return _w().rowsBetween(-(n - 1), 0)
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(bars: DataFrame, chunk_bars: int = CHUNK_BARS) -> Bars:
+    """The bars of every series numbered by time and dealt to chunks of ``chunk_bars`` bars.
+
+    The bars are written once, as their number per series decides on the chunks.
+    """
+    bars = _staged(bars, "bars")
+    longest = bars.groupBy(SERIES_KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= chunk_bars:
+        w = Window.partitionBy(SERIES_KEY).orderBy("t_stamp")
+        return Bars(bars.withColumn("rn", F.row_number().over(w)), None)
+    # a stretch of time holds about a chunk of the series' bars at most: as long as so many bar widths
+    minutes = F.create_map(*[F.lit(x) for kv in S.TIMEFRAME_MINUTES.items() for x in kv])
+    width = F.coalesce(F.try_element_at(minutes, F.col("time_frame")), F.lit(1)) * (60 * chunk_bars)
+    bars = bars.withColumn("_stretch", F.floor(F.unix_seconds("t_stamp") / width))
+    stretches = bars.groupBy(SERIES_KEY, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(SERIES_KEY).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = stretches.select(SERIES_KEY, "_stretch", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    rn = F.row_number().over(Window.partitionBy(SERIES_KEY, "_stretch").orderBy("t_stamp")) + F.col("_before")
+    rows = bars.join(before, [SERIES_KEY, "_stretch"]).withColumn("rn", rn).drop("_stretch", "_before")
+    own = F.floor((F.col("rn") - 1) / chunk_bars)
+    rows = (rows.withColumn("_own", own).withColumn(CHUNK, F.explode(F.sequence("_own", F.floor((F.col("rn") - 1 + HALO) / chunk_bars))))
+            .withColumn(HALO_ROW, F.col(CHUNK) > F.col("_own")).drop("_own"))
+    return Bars(rows, chunk_bars)
+
+
+# --------------------------------------------------------------------------- window indicators
 def _list_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
-# --------------------------------------------------------------------------- window indicators
-def window_indicators(bars: DataFrame) -> DataFrame:
-    """I1, I5, I6, I8, I9, I11, I12 as window frames (one sort per series)."""
-    rn = F.row_number().over(_w())
-    df = bars.withColumn("rn", rn)
-    cols = {}
+def _windows(b: Bars) -> DataFrame:
+    """The window columns, and what the recurrences read (the bar before: _pc, _ph, _pl)."""
+    w = b.window()
+    frame = lambda n: w.rowsBetween(-(n - 1), 0)
+    cols = {"_pc": F.lag("close").over(w), "_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w)}
     for n in SMA_PERIODS:
-        cols[f"sma_{n}"] = F.when(F.col("rn") >= n, F.avg("close").over(_frame(n)))
+        cols[f"sma_{n}"] = F.when(F.col("rn") >= n, F.avg("close").over(frame(n)))
     # I6 Bollinger: SMA20 +- 2 population std-dev (two-pass over the 20-bar frame)
-    c20 = F.collect_list("close").over(_frame(20))
-    cols["_c20"] = c20
+    cols["_c20"] = F.collect_list("close").over(frame(20))
     # I5/I12 stochastic and Williams %R over 14 bars
-    cols["_ll14"] = F.min("low").over(_frame(14))
-    cols["_hh14"] = F.max("high").over(_frame(14))
+    cols["_ll14"] = F.min("low").over(frame(14))
+    cols["_hh14"] = F.max("high").over(frame(14))
     # I8 volume SMA, I9 on-balance volume
-    cols["volume_sma_20"] = F.when(F.col("rn") >= 20, F.rint(F.avg("volume").over(_frame(20)))).cast("bigint")
-    step = F.signum(F.col("close") - F.lag("close").over(_w()))
+    cols["volume_sma_20"] = F.when(F.col("rn") >= 20, F.rint(F.avg("volume").over(frame(20)))).cast("bigint")
+    step = F.signum(F.col("close") - F.lag("close").over(w))
     cols["_obv_step"] = F.coalesce(step, F.lit(0.0)) * F.col("volume")
     # I11 CCI on the typical price
-    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    df = df.withColumn("_tp", tp)
-    cols["_tp20"] = F.collect_list("_tp").over(_frame(20))
+    df = b.rows.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    cols["_tp20"] = F.collect_list("_tp").over(frame(20))
     df = df.select("*", *[v.alias(k) for k, v in cols.items()])
 
     mid = F.col("sma_20")
@@ -101,154 +151,246 @@ def window_indicators(bars: DataFrame) -> DataFrame:
     stoch_k = F.when(full14, (F.col("close") - F.col("_ll14")) * 100 / rng)
     tp_sma = _list_sum(F.col("_tp20")) / 20
     md = _list_sum(F.transform("_tp20", lambda x: F.abs(x - tp_sma))) / 20
+    # a copy's own step belongs to the chunk before
+    own_step = F.col("_obv_step") if b.chunk_bars is None else F.when(F.col(HALO_ROW), F.lit(0.0)).otherwise(F.col("_obv_step"))
+    gone = {"_c20", "_ll14", "_hh14", "_tp", "_tp20", "_obv_step"}
     df = df.select(
-        *[c for c in df.columns if not c.startswith("_") or c == SERIES_KEY],
+        *[c for c in df.columns if c not in gone],
         F.when(F.col("rn") >= 20, mid + sd * 2).alias("bollinger_upper"),
         mid.alias("bollinger_middle"),
         F.when(F.col("rn") >= 20, mid - sd * 2).alias("bollinger_lower"),
         stoch_k.alias("stoch_k"),
         F.when(full14, (F.col("_hh14") - F.col("close")) * -100 / rng).alias("williams_r"),
-        F.sum("_obv_step").over(_w().rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
+        F.sum(own_step).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
         F.when((F.col("rn") >= 20) & (md != 0), (F.col("_tp") - tp_sma) / (md * 0.015)).alias("cci"),
     )
-    k3 = _frame(3)
-    return df.withColumn("stoch_d", F.when(F.count("stoch_k").over(k3) == 3, F.avg("stoch_k").over(k3)))
+    k3 = frame(3)
+    return b.own(df.withColumn("stoch_d", F.when(F.count("stoch_k").over(k3) == 3, F.avg("stoch_k").over(k3))))
 
 
-# --------------------------------------------------------------------------- recurrences
-def _ema(xs: list[float], n: int) -> list[float]:
-    a = 2.0 / (n + 1)
-    b = 1.0 - a
-    if not xs:
-        return []
-    e = xs[0]
-    out = [e]
-    append = out.append
-    for x in xs[1:]:
-        e = a * x + b * e
-        append(e)
-    return out
+def _obv_carried(df: DataFrame) -> DataFrame:
+    """``obv`` of chunks plus what the chunks before add up to (their last value is the greatest row's)."""
+    last = df.groupBy(SERIES_KEY, CHUNK).agg(F.max_by("obv", "rn").alias("_sum"))
+    along = Window.partitionBy(SERIES_KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offset = last.select(SERIES_KEY, CHUNK, F.coalesce(F.sum("_sum").over(along), F.lit(0.0)).alias("_offset"))
+    return df.join(offset, [SERIES_KEY, CHUNK]).withColumn("obv", F.col("obv") + F.col("_offset")).drop("_offset")
 
 
-def _wilder(xs: list, n: int, first: int) -> list:
-    """Wilder smoothing of ``xs[first:]``: mean of the first n, then (prev*(n-1)+x)/n."""
-    out: list = [None] * len(xs)
-    s = 0.0
-    prev = None
-    for i in range(first, len(xs)):
-        x = xs[i]
-        k = i - first + 1
-        if k < n:
-            s += x
-        elif k == n:
-            s += x
-            prev = s / n
-            out[i] = prev
-        else:
-            prev = (prev * (n - 1) + x) / n
-            out[i] = prev
-    return out
+def window_indicators(bars: DataFrame, chunk_bars: int = CHUNK_BARS) -> DataFrame:
+    """I1, I5, I6, I8, I9, I11, I12 as window frames."""
+    b = numbered(bars, chunk_bars)
+    df = _windows(b)
+    if b.chunk_bars is not None:
+        df = _obv_carried(_staged(df, "indicator-windows"))
+    return df.select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS)
 
 
-def _true_range(h: list, l: list, c: list) -> list:
-    tr = [h[0] - l[0]] if h else []
-    for i in range(1, len(h)):
-        tr.append(max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])))
-    return tr
-
-
-def _rsi(c: list, n: int = 14) -> list:
-    gains = [0.0] * len(c)
-    losses = [0.0] * len(c)
-    for i in range(1, len(c)):
-        d = c[i] - c[i - 1]
-        gains[i] = d if d > 0 else 0.0
-        losses[i] = -d if d < 0 else 0.0
-    ag, al = _wilder(gains, n, 1), _wilder(losses, n, 1)
-    out = []
-    for g, lo in zip(ag, al):
-        if g is None:
-            out.append(None)
-        elif lo == 0:
-            out.append(100.0)
+# --------------------------------------------------------------------------- recurrences
+#: name -> (input, smoothing, n, number of the series' first input bar). Those of the second round
+#: read values of the first.
+FIRST_ROUND = {"ema_12": ("close", "ema", 12, 1), "ema_26": ("close", "ema", 26, 1), "_gain": ("_up", "wilder", 14, 2),
+               "_loss": ("_down", "wilder", 14, 2), "atr_14": ("_tr", "wilder", 14, 1), "_plus": ("_pdm", "wilder", 14, 2),
+               "_minus": ("_mdm", "wilder", 14, 2), "_range": ("_tr", "wilder", 14, 2)}
+SECOND_ROUND = {"macd_signal": ("macd", "ema", 9, 1), "adx": ("_dx", "wilder", 14, 15)}
+#: asked column -> first and second round names that it needs
+NEEDS = {"ema_12": ["ema_12"], "ema_26": ["ema_26"], "macd": ["ema_12", "ema_26"], "macd_signal": ["ema_12", "ema_26", "macd_signal"],
+         "macd_histogram": ["ema_12", "ema_26", "macd_signal"], "rsi_14": ["_gain", "_loss"], "atr_14": ["atr_14"],
+         "adx": ["_plus", "_minus", "_range", "adx"]}
+RECURRENCE_COLUMNS = list(NEEDS)
+#: Bars that a task steps together.
+BLOCK_BARS = 200_000
+
+
+def _inputs(df: DataFrame) -> DataFrame:
+    """Gains, losses, directional moves and true ranges against the bar before (0 and high - low for a first bar)."""
+    zero, later = F.lit(0.0), F.col("rn") > 1
+    move, up, down = F.col("close") - F.col("_pc"), F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low")
+    span = F.col("high") - F.col("low")
+    return df.withColumns({
+        "_up": F.when(later & (move > 0), move).otherwise(zero), "_down": F.when(later & (move < 0), -move).otherwise(zero),
+        "_pdm": F.when(later & (up > down) & (up > 0), up).otherwise(zero), "_mdm": F.when(later & (down > up) & (down > 0), down).otherwise(zero),
+        "_tr": F.when(later, F.greatest(span, F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))).otherwise(span)})
+
+
+def _decay(kind: str, n: int) -> float:
+    return 1.0 - 2.0 / (n + 1) if kind == "ema" else (n - 1) / n
+
+
+def _step(rounds: dict, y: np.ndarray, x: np.ndarray, k: int) -> None:
+    """One bar of all chunks: ``y`` (smoothings x chunks) after inputs ``x``; ``k`` is the bar's number in its series.
+
+    During a Wilder warm-up y holds the sum so far.
+    """
+    for i, (_, kind, n, first) in enumerate(rounds.values()):
+        at = k - first + 1
+        if at < 1:
+            continue
+        if kind == "ema":
+            a = 2.0 / (n + 1)
+            y[i] = x[i] if at == 1 else a * x[i] + (1.0 - a) * y[i]
+        elif at < n:
+            y[i] = y[i] + x[i]
+        elif at == n:
+            y[i] = (y[i] + x[i]) / n
         else:
-            out.append(100.0 - 100.0 / (1.0 + g / lo))
+            y[i] = (y[i] * (n - 1) + x[i]) / n
+
+
+def smooth_block(rounds: dict, number: np.ndarray, opens: np.ndarray, inputs: list[np.ndarray], carried: list[np.ndarray]) -> list[np.ndarray]:
+    """Smoothed values of a block of whole chunks, one after the other in bar order.
+
+    ``number``: the bars' numbers in their series; ``opens``: where a chunk begins; ``carried``: for
+    each smoothing the value that the chunk starts from, given in the chunk's first bar.
+    """
+    out = [np.full(len(number), np.nan) for _ in rounds]
+    start = np.flatnonzero(opens)
+    size = np.diff(np.append(start, len(number)))
+    warm = max(first + n for _, _, n, first in rounds.values())
+    begin = np.where(number[start] > warm, warm + 1, number[start])  # all bars past the warm-up are stepped alike
+    for b in np.unique(begin):
+        order = np.flatnonzero(begin == b)
+        order = order[np.argsort(-size[order], kind="stable")]
+        rows, sizes = start[order], size[order]
+        y = np.stack([c[rows] for c in carried]) if b > 1 else np.zeros((len(rounds), len(rows)))
+        for i, (_, kind, n, first) in enumerate(rounds.values()):
+            if kind == "wilder" and 1 < b <= first + n - 1:
+                y[i] *= n  # carried as a share of the mean, stepped as a sum
+        alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+        for t, m in enumerate(alive.tolist()):
+            at = rows[:m] + t
+            now = y[:, :m]
+            _step(rounds, now, np.stack([x[at] for x in inputs]), int(b) + t)
+            for i, (_, kind, n, first) in enumerate(rounds.values()):
+                if kind == "ema" or int(b) + t >= first + n - 1:
+                    out[i][at] = now[i]
     return out
 
 
-def _adx(h: list, l: list, tr: list, n: int = 14) -> list:
-    m = len(h)
-    pdm = [0.0] * m
-    mdm = [0.0] * m
-    for i in range(1, m):
-        up = h[i] - h[i - 1]
-        dn = l[i - 1] - l[i]
-        pdm[i] = up if (up > dn and up > 0) else 0.0
-        mdm[i] = dn if (dn > up and dn > 0) else 0.0
-    sp, sm, st = _wilder(pdm, n, 1), _wilder(mdm, n, 1), _wilder(tr, n, 1)
-    dx: list = [None] * m
-    for i in range(m):
-        if st[i] is None:
-            continue
-        pdi = 100.0 * sp[i] / st[i] if st[i] != 0 else 0.0
-        mdi = 100.0 * sm[i] / st[i] if st[i] != 0 else 0.0
-        dx[i] = 100.0 * abs(pdi - mdi) / (pdi + mdi) if (pdi + mdi) != 0 else 0.0
-    first = next((i for i, v in enumerate(dx) if v is not None), m)
-    return _wilder(dx, n, first) if first < m else [None] * m
-
-
-RECURRENCE_COLUMNS = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "rsi_14", "atr_14", "adx"]
-
-
-def series_recurrences(pdf: pd.DataFrame, columns: tuple[str, ...] = tuple(RECURRENCE_COLUMNS)) -> pd.DataFrame:
-    """I2, I3, I4, I7, I10 for one series (pandas in, pandas out); only what ``columns`` need is computed."""
-    pdf = pdf.sort_values("t_stamp", kind="mergesort").reset_index(drop=True)
-    h, l, c = pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist()
-    want = set(columns)
-    out: dict[str, list] = {}
-    if want & {"ema_12", "ema_26", "macd", "macd_signal", "macd_histogram"}:
-        out["ema_12"], out["ema_26"] = _ema(c, 12), _ema(c, 26)
-        if want & {"macd", "macd_signal", "macd_histogram"}:
-            out["macd"] = [a - b for a, b in zip(out["ema_12"], out["ema_26"])]
-            if want & {"macd_signal", "macd_histogram"}:
-                out["macd_signal"] = _ema(out["macd"], 9)
-                out["macd_histogram"] = [m - s for m, s in zip(out["macd"], out["macd_signal"])]
-    if "rsi_14" in want:
-        out["rsi_14"] = _rsi(c, 14)
-    if want & {"atr_14", "adx"}:
-        tr = _true_range(h, l, c)
-        if "atr_14" in want:
-            out["atr_14"] = _wilder(tr, 14, 0)
-        if "adx" in want:
-            out["adx"] = _adx(h, l, tr, 14)
-    for k in columns:
-        pdf[k] = pd.array(out[k], dtype="Float64").astype("float64") if out[k] else pd.Series([], dtype="float64")
-    return pdf
+def _chunk_maps(df: DataFrame, rounds: dict, chunk_bars: int) -> DataFrame:
+    """(series, chunk, value that each smoothing carries into it): a chunk's affine map y -> a*y + b has
+    b as a weighted sum over its bars and a known from the bars' numbers. Of the chunks before only
+    those that still weigh anything in a double are composed."""
+    last = (F.col(CHUNK) + 1) * chunk_bars
+    sums = []
+    for name, (x, kind, n, first) in rounds.items():
+        r, k = _decay(kind, n), F.col("rn") - first + 1
+        if kind == "ema":
+            weight = F.pow(F.lit(r), last - F.col("rn")) * F.when(k == 1, F.lit(1.0)).otherwise(F.lit(1.0 - r))
+        else:
+            weight = F.when(k >= 1, F.pow(F.lit(r), F.least(last - F.col("rn"), F.greatest(F.lit(0), last - (first + n - 1)))) / n).otherwise(F.lit(0.0))
+        sums.append(F.sum(weight * F.coalesce(x, F.lit(0.0))).alias(name))
+    maps = df.groupBy(SERIES_KEY, CHUNK).agg(*sums)
+    reach = max(math.ceil((math.log(1e40) / -math.log(_decay(kind, n)) + first + n) / chunk_bars) for _, kind, n, first in rounds.values()) + 1
+    along = Window.partitionBy(SERIES_KEY).orderBy(CHUNK).rowsBetween(-reach, -1)
+    carried = []
+    for name, (_, kind, n, first) in rounds.items():
+        # bars of a chunk that shrink what is carried: all, or those after the warm-up
+        start = F.col(CHUNK) * chunk_bars
+        shrinks = F.lit(chunk_bars) if kind == "ema" else F.least(F.lit(chunk_bars), F.greatest(F.lit(0), last - (first + n - 1)))
+        a = F.when((start == 0) & F.lit(kind == "ema"), F.lit(0.0)).otherwise(F.pow(F.lit(_decay(kind, n)), shrinks))
+        listed = F.collect_list(F.struct(a.alias("a"), F.col(name).alias("b"))).over(along)
+        carried.append(F.aggregate(listed, F.lit(0.0), lambda y, m: m["a"] * y + m["b"]).alias(f"_in_{name}"))
+    return maps.select(SERIES_KEY, CHUNK, *carried)
+
+
+def _smoothed(df: DataFrame, rounds: dict, chunk_bars: int | None, stepped: bool = False) -> DataFrame:
+    """``df`` with a column for each smoothing of ``rounds``. Without chunks its rows stand in the order
+    of the windows, or (``stepped``) of an earlier round, which keeps it without Spark's knowing."""
+    if not rounds:
+        return df
+    if chunk_bars is None:
+        df = df if stepped else df.sortWithinPartitions(SERIES_KEY, "t_stamp")  # as the windows left it: no sort is added
+        opens, carried = F.col("rn") == 1, {f"_in_{name}": F.lit(0.0) for name in rounds}
+    else:
+        df = _staged(df, "indicator-round")
+        df = (df.join(_chunk_maps(df, rounds, chunk_bars), [SERIES_KEY, CHUNK])
+              .repartition(SERIES_KEY, CHUNK).sortWithinPartitions(SERIES_KEY, CHUNK, "t_stamp"))
+        opens, carried = F.pmod(F.col("rn") - 1, F.lit(chunk_bars)) == 0, {f"_in_{name}": F.col(f"_in_{name}") for name in rounds}
+    names, inputs, into = [c for c in df.columns if c not in carried], [x for x, *_ in rounds.values()], list(carried)
+    df = df.select(*names, opens.alias("_opens"), *[c.alias(k) for k, c in carried.items()])
+    schema = T.StructType([*(df.schema[c] for c in names), *(T.StructField(c, T.DoubleType(), True) for c in rounds)])
+
+    def floats(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy().astype(np.float64)
+
+    def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        made = smooth_block(rounds, table.column("rn").to_numpy(), table.column("_opens").to_numpy().astype(bool),
+                            [floats(table, x) for x in inputs], [floats(table, k) for k in into])
+        out = table.select(names)
+        for name, values in zip(rounds, made):
+            out = out.append_column(name, pa.array(values, mask=np.isnan(values)))
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index("_opens")).to_numpy(zero_copy_only=False))
+            if size >= BLOCK_BARS and len(starts):
+                cut = int(starts[-1])  # chunks up to here are whole
+                held.append(batch.slice(0, cut))
+                yield from block(pa.Table.from_batches(held))
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield from block(pa.Table.from_batches(held))
+
+    return df.mapInArrow(run, schema)
+
+
+def _recurrences(df: DataFrame, columns: list[str], chunk_bars: int | None) -> DataFrame:
+    """``df`` (with _pc, _ph, _pl) with the asked recurrence columns."""
+    needed = {x for c in columns for x in NEEDS[c]}
+    kept = [c for c in df.columns if c not in ("_pc", "_ph", "_pl")]
+    first = {k: v for k, v in FIRST_ROUND.items() if k in needed}
+    second = {k: v for k, v in SECOND_ROUND.items() if k in needed}
+    df = _smoothed(_inputs(df).select(*kept, *dict.fromkeys(x for x, *_ in first.values() if x != "close")), first, chunk_bars)
+    made = {}
+    if "ema_26" in needed and "ema_12" in needed:
+        made["macd"] = F.col("ema_12") - F.col("ema_26")
+    if "adx" in needed:
+        share = lambda c: F.when(F.col("_range") != 0, F.col(c) * 100.0 / F.col("_range")).otherwise(F.lit(0.0))
+        both = share("_plus") + share("_minus")
+        dx = F.when(both != 0, F.abs(share("_plus") - share("_minus")) * 100.0 / both).otherwise(F.lit(0.0))
+        made["_dx"] = F.when(F.col("_range").isNotNull(), dx)
+    df = _smoothed(df.withColumns(made) if made else df, second, chunk_bars, bool(first))
+    last = {"macd_histogram": lambda: F.col("macd") - F.col("macd_signal"),
+            "rsi_14": lambda: F.when(F.col("_gain").isNull(), None).when(F.col("_loss") == 0, F.lit(100.0))
+            .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("_gain") / F.col("_loss")))}
+    return df.select(*kept, *[last[c]().alias(c) if c in last else F.col(c) for c in columns])
 
 
 BAR_COLUMNS = [SERIES_KEY, "symbol_id", "time_frame", "t_stamp", "data_source", "open", "high", "low", "close",
                "volume"]
+WINDOW_COLUMNS = ["sma_5", "sma_10", "sma_20", "sma_50", "sma_200", "bollinger_upper", "bollinger_middle",
+                  "bollinger_lower", "stoch_k", "stoch_d", "williams_r", "volume_sma_20", "obv", "cci"]
 
 
-def recurrence_indicators(bars: DataFrame, extra: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Grouped map per series; the bar columns (plus ``extra`` columns) pass through and the asked
-    recurrence ``columns`` (default: all) are added. Grouping by series is satisfied by the
-    partitioning that the windows below it need, so with windows this adds no shuffle."""
-    asked = tuple(c for c in RECURRENCE_COLUMNS if columns is None or c in columns)
-    df = bars.select(*BAR_COLUMNS, *(extra or []))
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType(), True) for c in asked])
-    return df.groupBy(SERIES_KEY).applyInPandas(lambda pdf: series_recurrences(pdf, asked), schema)
+def _asked(columns: list[str] | None) -> list[str]:
+    return [c for c in RECURRENCE_COLUMNS if columns is None or c in columns]
 
 
-WINDOW_COLUMNS = ["sma_5", "sma_10", "sma_20", "sma_50", "sma_200", "bollinger_upper", "bollinger_middle",
-                  "bollinger_lower", "stoch_k", "stoch_d", "williams_r", "volume_sma_20", "obv", "cci"]
+def recurrence_indicators(bars: DataFrame, columns: list[str] | None = None, chunk_bars: int = CHUNK_BARS) -> DataFrame:
+    """The bars with the asked recurrence ``columns`` (default: all)."""
+    b = numbered(bars, chunk_bars)
+    w = b.window()
+    df = b.rows.withColumns({"_pc": F.lag("close").over(w), "_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w)})
+    out = _recurrences(b.own(df), _asked(columns), b.chunk_bars)
+    return out.select(*BAR_COLUMNS, *_asked(columns))
 
 
-def all_indicators(bars: DataFrame, window_cols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Window frames, then the grouped map over their output: both run on one partitioning by
-    series (Python-UDF output is not known to Spark to keep a partitioning, so the grouped map
-    goes last). ``columns`` names the recurrence columns to compute."""
-    return recurrence_indicators(window_indicators(bars), window_cols if window_cols is not None else WINDOW_COLUMNS, columns)
+def all_indicators(bars: DataFrame, window_cols: list[str] | None = None, columns: list[str] | None = None,
+                   chunk_bars: int = CHUNK_BARS) -> DataFrame:
+    """Window frames, then the recurrences over their output, on one partitioning. ``columns`` names
+    the recurrence columns to compute, ``window_cols`` the window columns to keep."""
+    b = numbered(bars, chunk_bars)
+    asked = WINDOW_COLUMNS if window_cols is None else window_cols
+    more = [] if b.chunk_bars is None else [CHUNK]
+    df = _windows(b).select(*BAR_COLUMNS, "rn", *more, "_pc", "_ph", "_pl", *asked)
+    if b.chunk_bars is not None and "obv" in asked:
+        df = _obv_carried(_staged(df, "indicator-windows"))
+    return _recurrences(df, _asked(columns), b.chunk_bars).select(*BAR_COLUMNS, *asked, *_asked(columns))
 
 
 # --------------------------------------------------------------------------- assembly

@@ -183,33 +183,76 @@ _register("ind_adx", ["adx"], True, "I10: average directional index.")
 _register("indicators_all", list(S.INDICATOR_COLUMNS), True, "I13: all 22 indicator columns per bar.")
 
 
+def _stored(c: str) -> str:
+    """A column as the stored table has it."""
+    return c if c == "volume_sma_20" else f"CAST({c} AS DECIMAL({'10, 4' if c in S.INDICATOR_D10_4 else '20, 8'})) AS {c}"
+
+
 _IND_SYM_COLS = ", ".join(f"i.{c}" for c in S.INDICATOR_COLUMNS)
 
 
 @query("indicators_with_symbols", indicator_sql(list(S.INDICATOR_COLUMNS), True).replace(
     "\nSELECT symbol_id, t_stamp AS timestamp, time_frame, " + ", ".join(S.INDICATOR_COLUMNS)
     + " FROM wd JOIN ri USING (symbol_id, time_frame, rn)",
-    ",\nind AS (SELECT symbol_id, t_stamp AS timestamp, time_frame, " + ", ".join(S.INDICATOR_COLUMNS)
+    ",\nind AS (SELECT symbol_id, t_stamp AS timestamp, time_frame, " + ", ".join(map(_stored, S.INDICATOR_COLUMNS))
     + " FROM wd JOIN ri USING (symbol_id, time_frame, rn))\n"
     + f"SELECT s.symbol, s.name, s.exchange, i.timestamp, i.time_frame, {_IND_SYM_COLS}, "
     + "TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM ind i JOIN symbols_t s ON i.symbol_id = s.id WHERE s.is_active"))
 def indicators_with_symbols(t: MarketTables) -> DataFrame:
-    """technical_indicators_with_symbols view over the computed indicator table."""
-    return J.indicators_with_symbols(I.technical_indicators(t.candles), t.symbols)
+    """technical_indicators_with_symbols view over the stored indicator table."""
+    return J.indicators_with_symbols(t.indicators, t.symbols)
 
 
-@query("candles_left_indicators", indicator_sql(["sma_20", "rsi_14", "macd"], True).replace(
-    "\nSELECT symbol_id, t_stamp AS timestamp, time_frame, sma_20, rsi_14, macd FROM wd JOIN ri USING (symbol_id, time_frame, rn)",
-    ",\nind AS (SELECT symbol_id, t_stamp, time_frame, sma_20, rsi_14, macd FROM wd JOIN ri USING (symbol_id, time_frame, rn))\n"
+_LEFT_SQL = (
+    ",\nind AS (SELECT symbol_id, t_stamp, time_frame, " + ", ".join(map(_stored, ["sma_20", "rsi_14", "macd"]))
+    + " FROM wd JOIN ri USING (symbol_id, time_frame, rn)),\n"
+    "every AS (SELECT *, time_frame AS stored_frame FROM ind{more})\n"
     "SELECT s.symbol, c.symbol_id, c.t_stamp AS timestamp, c.time_frame, c.data_source, c.close, i.sma_20, i.rsi_14, i.macd "
     "FROM candles_t c JOIN symbols_t s ON c.symbol_id = s.id "
-    "LEFT JOIN ind i ON i.symbol_id = c.symbol_id AND i.t_stamp = c.t_stamp AND i.time_frame = c.time_frame"))
+    "LEFT JOIN every i ON i.symbol_id = c.symbol_id AND i.t_stamp = c.t_stamp{same}")
+
+
+def _left_sql(more: str, same: str) -> str:
+    return indicator_sql(["sma_20", "rsi_14", "macd"], True).replace(
+        "\nSELECT symbol_id, t_stamp AS timestamp, time_frame, sma_20, rsi_14, macd FROM wd JOIN ri USING (symbol_id, time_frame, rn)",
+        _LEFT_SQL.format(more=more, same=same))
+
+
+@query("candles_left_indicators", _left_sql("", " AND i.stored_frame = c.time_frame"))
 def candles_left_indicators(t: MarketTables) -> DataFrame:
-    """Symbols x candles left-join indicators on (symbol, time, time_frame); every feed's
+    """Symbols x candles left-join the stored indicators on (symbol, time, time_frame); every feed's
     bar gets the indicator row of its (symbol, time, time frame)."""
-    ind = I.all_indicators(I.series_bars(t.candles), ["sma_20"], ["rsi_14", "macd"]).select(
-        "symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame", "sma_20", "rsi_14", "macd")
-    return J.candles_left_indicators(t.candles, t.symbols, ind, columns=["sma_20", "rsi_14", "macd"])
+    return J.candles_left_indicators(t.candles, t.symbols, t.indicators, columns=["sma_20", "rsi_14", "macd"])
+
+
+@query("candles_left_indicators_all", _left_sql(" UNION ALL SELECT * REPLACE ('1w' AS time_frame), '1w' AS stored_frame FROM ind WHERE dayofweek(t_stamp) = 1", ""))
+def candles_left_indicators_all(t: MarketTables) -> DataFrame:
+    """J4 in its documented form, without the time frame: a Monday's bar meets the indicator rows of both
+    time frames (the weekly ones stand for Mondays here) and fans out."""
+    weekly = t.indicators.filter(F.dayofweek("timestamp") == 2).withColumn("time_frame", F.lit("1w"))
+    return J.candles_left_indicators(t.candles, t.symbols, t.indicators.unionByName(weekly), match_time_frame=False,
+                                     columns=["sma_20", "rsi_14", "macd"])
+
+
+HOT_CHUNK = 256
+_HOT_COLS = ["sma_200", "bollinger_upper", "stoch_d", "volume_sma_20", "obv", "cci", "ema_26", "macd_histogram", "rsi_14", "atr_14", "adx"]
+
+
+# Values that pass from chunk to chunk may differ in a double's last digit from those of one pass: four decimals are compared.
+@query("ind_hot_series", "SELECT symbol_id, timestamp, time_frame, " + ", ".join(f"round({c}, 4) AS {c}" for c in _HOT_COLS) + " FROM ("
+       + indicator_sql(_HOT_COLS, True).replace("FROM candles_t)", """FROM (
+      SELECT 0 AS symbol_id, '1d' AS time_frame, t_stamp, 'all' AS data_source, arg_min(open, (symbol_id, data_source)) AS open, max(high) AS high,
+             min(low) AS low, arg_max(close, (symbol_id, data_source)) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM candles_t GROUP BY t_stamp))""") + ")")
+def ind_hot_series(t: MarketTables) -> DataFrame:
+    """I1-I13 on one hot series, the daily bars of the whole market: its chunks are worked on by many tasks."""
+    order = F.struct("symbol_id", "data_source")
+    day = t.candles.groupBy("t_stamp").agg(
+        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"),
+        F.sum("volume").alias("volume"))
+    bars = I.series_bars(day.select(F.lit(0).alias("symbol_id"), F.lit("1d").alias("time_frame"), "t_stamp", F.lit("all").alias("data_source"),
+                                    "open", "high", "low", "close", "volume"))
+    out = I.all_indicators(bars, [c for c in _HOT_COLS if c in I.WINDOW_COLUMNS], [c for c in _HOT_COLS if c in I.RECURRENCE_COLUMNS], chunk_bars=HOT_CHUNK)
+    return out.select("symbol_id", F.col("t_stamp").alias("timestamp"), "time_frame", *[F.round(c, 4).alias(c) for c in _HOT_COLS])
 
 
 @query("prices_latest_tick", """

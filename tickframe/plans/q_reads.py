@@ -250,10 +250,8 @@ def cascade_delete(t: MarketTables) -> DataFrame:
     """Delete the symbols of one exchange; children follow (ON DELETE CASCADE)."""
     from ..operators import merge as M
 
-    from ..operators import indicators as I
-
     tables = M.delete_symbols(t.symbols, F.col("exchange") == "TSE", candles=t.candles, prices=t.prices,
-                              indicators=I.window_indicators(I.series_bars(t.candles)))
+                              indicators=t.indicators)
     return A.table_counts({"symbols": tables["symbols"], "market_data": tables["candles"],
                            "real_time_prices": tables["prices"], "technical_indicators": tables["indicators"]})
 

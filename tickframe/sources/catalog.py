@@ -6,8 +6,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import schemas as S
 from . import tables as TB
 
+#: Where this application has written a derived table, by (application, input folder).
+WRITTEN: dict[tuple[str, str], str] = {}
+
 
 class MarketTables:
     """Lazily derived market tables over one input directory (all plans, no actions)."""
@@ -48,6 +52,20 @@ class MarketTables:
     def pair_requests(self) -> DataFrame:
         return TB.pair_requests(self.spark, self.sf_dir)
 
+    @property
+    def indicators(self) -> DataFrame:
+        """The technical_indicators table as stored (declared decimals): computed and written once per
+        application and input folder, scanned by every reader after that."""
+        from ..operators import indicators as I
+        from ..operators import merge as M
+        from ..session import fresh_path
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in WRITTEN:
+            rows = M.to_storage(I.technical_indicators(self.candles), "technical_indicators")
+            WRITTEN[key] = M.publish(rows.select(*S.TECHNICAL_INDICATORS.fieldNames()), fresh_path(self.spark, "technical_indicators"))
+        return self.spark.read.schema(M.stored_schema("technical_indicators")).parquet(WRITTEN[key])
+
     @cached_property
     def sessions(self) -> DataFrame:
         return TB.market_sessions(self.spark)
