@@ -264,3 +264,102 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_root(Session())
+
+
+def _ohlc(spark, path, bars):
+    """One delivery: a document for each list of (day, close)."""
+    docs = ['{"error":[],"result":{"XBTUSD":[%s],"last":1}}' % ",".join(f'[{1704067200 + 86400 * d},"1","99","0.5","{c}","1","1",1]' for d, c in bar) for bar in bars]
+    spark.createDataFrame([(d,) for d in docs], "value string").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_first_arrival_is_stored_however_files_are_named(spark):
+    import glob
+    import os
+    import shutil
+
+    from tickframe.functions import payload as PL
+    from tickframe.session import fresh_path
+    from tickframe.sources import payloads as SP
+
+    landed = fresh_path(spark, "t-arrivals")
+    for bars in ([[(0, 9.0), (1, 5.0), (1, 4.0)]], [[(0, 1.0)], [(2, 8.0)], [(2, 7.0)]], [[(0, 2.0), (1, 1.0), (2, 1.0)]]):
+        _ohlc(spark, landed, bars)
+    files = sorted(glob.glob(f"{landed}/*.parquet"), key=os.path.getmtime)
+    for names in ("abc", "cba", "bca"):  # the same deliveries under other names
+        folder = fresh_path(spark, "t-renamed")
+        os.makedirs(folder)
+        for i, (f, n) in enumerate(zip(files, names)):
+            shutil.copy(f, f"{folder}/part-{n}.parquet")
+            os.utime(f"{folder}/part-{n}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+        docs = PL.landed_documents(SP.read_arrivals(spark, folder)).drop("value")
+        decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(docs)[0]), "1d").drop("last")
+        path = fresh_path(spark, "t-stored")
+        M.ingest_ohlc(decoded.repartition(3), _symbols(spark), path, _now())
+        assert [float(r.close) for r in M.read_candles(spark, path).orderBy("t_stamp").collect()] == [9.0, 5.0, 8.0]
+
+
+def test_ids_are_reserved_without_a_scan(spark, monkeypatch):
+    from tickframe.session import fresh_path
+
+    path = fresh_path(spark, "t-ids")
+    assert M.reserve_ids(spark, path, 5) == 0 and M.reserve_ids(spark, path, 0) == 5 and M.reserve_ids(spark, path, 2) == 5
+    asked = []
+    real = M.existing
+    monkeypatch.setattr(M, "existing", lambda s, p, schema: asked.append(p) or real(s, p, schema))
+    assert M.reserve_ids(spark, path, 1) == 7 and asked == [path + "_ids"]
+    other = fresh_path(spark, "t-old")  # a table written by other means
+    spark.createDataFrame([(41,), (12,)], "id bigint").write.parquet(other)
+    assert M.reserve_ids(spark, other, 3) == 41 and M.reserve_ids(spark, other, 1) == 44
+
+
+def test_add_pairs_creates_and_seeds_once(spark):
+    pairs = spark.createDataFrame([("XBTEUR", "XBT/EUR", "online"), ("DOGEUSD", "D", "cancel_only"), ("ETHUSD", None, "online")], "pair string, altname string, status string")
+    req = spark.createDataFrame([("xbt/eur",), ("DOGEUSD",), ("dogeusd",), ("ETHUSD",), ("none",)], "requested string")
+    tick = lambda p, v: (p, v, 1.0, 2.0, 3, 0.5, None, "kraken")
+    tickers = spark.createDataFrame([tick("XBTEUR", 10.5), tick("DOGEUSD", -1.0)],
+                                    "pair string, price double, bid double, ask double, volume_24h bigint, change_24h double, change_percent_24h double, data_source string")
+    empty = spark.createDataFrame([], S.REAL_TIME_PRICES)
+    plan, symbols, prices = M.add_pairs(req, pairs, _symbols(spark), tickers, empty, _now())
+    assert sorted((r.requested, r.action) for r in plan.collect()) == [
+        ("DOGEUSD", "create"), ("ETHUSD", "create"), ("dogeusd", "duplicate_in_batch"), ("none", "not_found"), ("xbt/eur", "create")]
+    got = {r.symbol: r for r in symbols.collect()}
+    assert set(got) == {"AAA", "BBB", "BTCEUR", "DOGE/USD", "ETHUSD"} or "BTCEUR" in got or "BTC/EUR" in got
+    assert got["DOGE/USD"].is_active is False and got["ETHUSD"].name == "ETHUSD"
+    assert [(r.price, r.action) for r in prices.collect()] == [(10.5, "insert")]  # no price where the ticker has none that is valid
+    plan2, symbols2, prices2 = M.add_pairs(req, pairs, symbols, tickers, prices.drop("action"), _now())
+    assert {r.action for r in plan2.collect()} <= {"exists", "not_found"}
+    assert symbols2.count() == symbols.count() and [r.action for r in prices2.collect()] == ["keep"]
+
+
+def test_constraints_are_measured_by_the_writing_job(spark):
+    from tickframe.operators import quality as Q
+    from tickframe.session import fresh_path
+
+    rows = _candles(spark, [(1, 1, 1, -1.0, 1.0, 1.0, 1.0, 1, "1d", "x"), (2, 1, 1, 1.0, 1.0, 1.0, 1.0, 1, "1d", "x"), (3, 1, 3, 1.0, 1.0, 0.0, 1.0, -1, "2d", "x")])
+    paths = {}
+
+    def write(name, df):
+        paths[name] = fresh_path(spark, name)
+        df.write.parquet(paths[name])
+    got = {(r.table_name, r.rule): r.violations for r in Q.write_checked(spark, {"market_data": rows}, write).collect()}
+    assert got["market_data", "open_not_positive"] == 1 and got["market_data", "low_not_positive"] == 1 and got["market_data", "bad_time_frame"] == 1
+    assert got["market_data", "volume_negative"] == 1 and got["market_data", "symbol_id_missing"] == 0
+    assert got["market_data", "duplicate_keys_dropped"] == 1 and spark.read.parquet(paths["market_data"]).count() == 2
+
+
+def test_ticker_and_pair_documents_get_reasons(spark):
+    import json
+
+    from tickframe.functions import payload as PL
+
+    raw = lambda docs: spark.createDataFrame([(d if isinstance(d, str) else json.dumps(d),) for d in docs], "value string")
+    good = {"c": ["1", "1"]}
+    docs = ["x", {"error": ["E"], "result": {"P": good}}, {"error": []}, {"error": [], "result": {}},
+            {"error": [], "result": {"A": good, "B": good, "C": 5, "D": {"c": ["n"]}, "E": {"c": ["1"], "b": ["?"]}, "F": {"c": ["1"], "v": ["1", "x"]}}}]
+    out = sorted((r.level, r.reason) for r in PL.ticker_rejects(raw(docs)).collect())
+    assert out == [("document", "error"), ("document", "malformed"), ("document", "no_pair"), ("document", "no_result"),
+                   ("record", "bad_price"), ("record", "bad_quote"), ("record", "bad_ticker"), ("record", "bad_volume")]
+    assert sorted(r.pair for r in PL.decode_ticker(raw(docs)).collect()) == ["A", "B"]
+    docs = ["x", {"error": ["E"]}, {"error": [], "result": {"A": {"altname": "a"}, "B": 7}}]
+    assert sorted((r.level, r.reason) for r in PL.pair_rejects(raw(docs)).collect()) == [("document", "error"), ("document", "malformed"), ("record", "bad_info")]
+    assert [(r.pair, r.altname) for r in PL.decode_pairs(raw(docs)).collect()] == [("A", "a")]

@@ -10,11 +10,11 @@ overwritten in place while it is being read.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..session import checkpoint_root
+from ..session import fresh_path
 
 CANDLE_KEY = ["symbol_id", "t_stamp", "time_frame", "data_source"]
 PRICE_KEY = ["symbol_id", "data_source"]
@@ -252,6 +252,15 @@ def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> str
     return publish(to_storage(with_year_month(candles), "market_data"), path, ["time_frame", "year_month"], mode)
 
 
+def write_bucketed(candles: DataFrame, table: str, path: str, buckets: int = 16) -> DataFrame:
+    """The candle table as a catalog table, partitioned by time frame and month, and in each partition
+    bucketed and sorted by symbol: joins and groupings by ``symbol_id`` of what it scans shuffle nothing."""
+    rows = to_storage(with_year_month(candles), "market_data")
+    (rows.repartition(buckets, "symbol_id").write.mode("overwrite").option("path", path).partitionBy("time_frame", "year_month")
+     .bucketBy(buckets, "symbol_id").sortBy("symbol_id", "t_stamp").saveAsTable(table))
+    return candles.sparkSession.table(table)
+
+
 def stored_schema(table: str):
     """Storage schema (declared decimals, partition columns as strings) of a stored table."""
     from pyspark.sql import types as T
@@ -271,16 +280,47 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(stored_schema("market_data")).parquet(path)
 
 
-def existing_candles(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored candle table at ``path``, or None where nothing has been written. Any other
-    failure to read is raised."""
+def existing(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at ``path`` read with its declared schema (no footer is opened for it), or None where
+    nothing has been written. Any other failure to read is raised."""
     try:
-        spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return read_candles(spark, path)
+
+
+def existing_candles(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored candle table at ``path``, or None where nothing has been written."""
+    return existing(spark, path, stored_schema("market_data"))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later steps neither compute it again nor
+    depend on an executor."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# --------------------------------------------------------------------------- ids of a stored table
+def reserve_ids(spark: SparkSession, path: str, n: int, id_col: str = "id") -> int:
+    """The greatest id handed out so far for the table at ``path``; the next ``n`` are taken.
+
+    The ids handed out are written down beside the table before any row is, so a batch neither reads
+    the ids of stored rows nor, after a crash between the two writes, hands an id out twice. A table
+    without such a record (written by other means) is asked for its greatest id once.
+    """
+    record = f"{path.rstrip('/')}_ids"
+    known = existing(spark, record, "high bigint")
+    high = known.agg(F.max("high")).first()[0] if known is not None else None
+    if high is None:
+        table = existing(spark, path, f"{id_col} bigint")
+        high = (table.agg(F.max(id_col)).first()[0] if table is not None else None) or 0
+    if n:
+        spark.range(1).select(F.lit(high + n).cast("bigint").alias("high")).coalesce(1).write.mode("append").parquet(record)
+    return high
 
 
 # --------------------------------------------------------------------------- U6 / U7 / U9 pair-driven writes
@@ -349,17 +389,40 @@ def add_pairs_plan(requests: DataFrame, pairs: DataFrame, symbols: DataFrame, co
                     is_online(F.col("status")).alias("is_active"))
 
 
-def get_or_create_symbols(texts: DataFrame, symbols: DataFrame, now: Column | None = None) -> DataFrame:
-    """The symbols table with a new row for each ``symbol`` of ``texts`` that it lacks.
+def add_pairs(requests: DataFrame, pairs: DataFrame, symbols: DataFrame, tickers: DataFrame, prices: DataFrame,
+              now: Column | None = None, col: str = "requested") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The add-pair plan carried out: its symbols are created, and each gets the price of its pair's
+    ticker (decoded, keyed by ``pair``) where there is a valid one.
 
-    Written once to the shared folder, so that ids are decided once.
+    Returns (plan, symbols table, price table with an ``action`` column). The plan is written once, so that
+    symbols and prices rest on the same decisions; requests that create nothing change nothing.
     """
+    from .reads import validate_prices
+
+    now = now if now is not None else F.current_timestamp()
+    plan = staged(add_pairs_plan(requests, pairs, symbols, col), "add-pairs")
+    wanted = plan.filter(F.col("action") == "create").select(
+        F.col("db_symbol").alias("symbol"), "name", F.lit(S.EXCHANGE_NAME).alias("exchange"),
+        F.lit("crypto").alias("asset_type"), "currency", "is_active")
+    created = staged(create_symbols(symbols, wanted, now)[0], "new-symbols")
+    seeds = (validate_prices(tickers)[0].join(plan.filter(F.col("action") == "create").select(F.col("normalized").alias("pair"), "db_symbol"), "pair")
+             .join(created.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol"))
+    rows = seeds.select(F.lit(None).cast("bigint").alias("id"), "symbol_id", *[c for c in PRICE_FIELDS if c != "market_cap"],
+                        F.lit(None).cast("bigint").alias("market_cap"), "data_source", now.alias("last_updated"), now.alias("created_at"))
+    return plan, symbols.unionByName(created), upsert_prices(prices, rows, assign_missing=True)
+
+
+def new_symbols(texts: DataFrame, symbols: DataFrame, now: Column | None = None) -> DataFrame:
+    """A new symbols row for each ``symbol`` of ``texts`` that ``symbols`` lacks."""
     lacking = texts.select("symbol").distinct().join(symbols.select("symbol"), "symbol", "left_anti").select(
         "symbol", F.col("symbol").alias("name"), F.lit(S.EXCHANGE_NAME).alias("exchange"),
         F.lit("crypto").alias("asset_type"), F.lit("USD").alias("currency"), F.lit(True).alias("is_active"))
-    created, _ = create_symbols(symbols, lacking, now)
-    checkpoint_root(texts.sparkSession)
-    return symbols.unionByName(created).checkpoint(eager=True)
+    return create_symbols(symbols, lacking, now)[0]
+
+
+def get_or_create_symbols(texts: DataFrame, symbols: DataFrame, now: Column | None = None) -> DataFrame:
+    """The symbols table with the new rows; these alone are written, so that their ids are decided once."""
+    return symbols.unionByName(staged(new_symbols(texts, symbols, now), "new-symbols"))
 
 
 def touched(table: DataFrame, batch: DataFrame) -> DataFrame:
@@ -371,35 +434,45 @@ def touched(table: DataFrame, batch: DataFrame) -> DataFrame:
     return table.join(months, ["time_frame", "year_month"], "left_semi")
 
 
+#: Columns that order the copies of a candle key by arrival, where a batch carries them.
+ARRIVAL = ["arrival", "slot"]
+
+
 def ingest_ohlc(decoded: DataFrame, symbols: DataFrame, path: str, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decoded candles -> validation -> mapped symbol (F2) -> get-or-create symbols ->
     insert-ignore into the stored candle table at ``path``.
 
-    Appended rows get ids and created_at; volume defaults to 0. Only the partitions that the
-    batch touches are read back. Returns (symbols with the created ones, quarantined rows with
-    reasons, counts as metric and value: fetched, inserted, quarantined). A rerun appends nothing.
+    Of several rows of one key in the batch the first to arrive is stored: by ``arrival`` (a delivery's
+    time, file and row, see ``read_arrivals``) and ``slot`` (place in a document); a batch without these
+    columns has no arrival order, there the least by value is taken. Appended rows get ids and
+    created_at; volume defaults to 0. The batch is decoded and checked once; only the partitions that
+    it touches are read back. Returns (symbols with the created ones, quarantined rows with reasons,
+    counts as metric and value: fetched, inserted, quarantined). A rerun appends nothing.
     """
     from ..functions.pairs import pair_to_symbol
-    from .reads import validate_candles
+    from .reads import candle_violations
 
     now = now if now is not None else F.current_timestamp()
     spark = decoded.sparkSession
-    defaults = decoded.withColumn("volume", F.coalesce("volume", F.lit(0).cast("bigint")))
-    valid, bad = validate_candles(defaults.withColumn("db_symbol", pair_to_symbol(F.col("pair"))))
+    tagged = (decoded.withColumn("volume", F.coalesce("volume", F.lit(0).cast("bigint")))
+              .withColumn("db_symbol", pair_to_symbol(F.col("pair"))).withColumn("violations", candle_violations()))
+    seen, added = Observation(), Observation()
+    batch = staged(tagged.observe(seen, F.count(F.lit(1)).alias("fetched"), F.count_if(F.size("violations") > 0).alias("quarantined")), "ohlc-batch")
+    bad, valid = batch.filter(F.size("violations") > 0), batch.filter(F.size("violations") == 0)
     allsym = get_or_create_symbols(valid.select(F.col("db_symbol").alias("symbol")), symbols, now)
     rows = with_year_month(valid.join(allsym.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol"))
+    order = [c for c in ARRIVAL if c in decoded.columns]
     rows = rows.select("symbol_id", "t_stamp", "open", "high", "low", "close", "volume", "adjusted_close", "time_frame",
-                       "data_source", "year_month")
+                       "data_source", "year_month", *order)
     stored = existing_candles(spark, path)
-    fresh = first_per_key(rows, CANDLE_KEY, ["open", "high", "low", "close", "volume"])
+    fresh = first_per_key(rows, CANDLE_KEY, order or ["open", "high", "low", "close", "volume"])
     if stored is not None:
         fresh = fresh.join(touched(stored, rows).select(*CANDLE_KEY), CANDLE_KEY, "left_anti")
-    base = max_id(stored) if stored is not None else F.lit(0)
-    fresh = assign_ids(fresh, CANDLE_KEY, base=base).withColumn("created_at", now).checkpoint(eager=True)
+    fresh = staged(fresh.drop(*order).observe(added, F.count(F.lit(1)).alias("inserted")), "ohlc-fresh")
+    counts = {**seen.get, **added.get}
+    fresh = assign_ids(fresh, CANDLE_KEY, base=reserve_ids(spark, path, counts["inserted"])).withColumn("created_at", now)
     write_candles(fresh.select(*S.MARKET_DATA.fieldNames()), path, mode="append")
-    counts = [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("metric"), "value")
-              for n, df in (("fetched", defaults), ("inserted", fresh), ("quarantined", bad))]
-    return allsym, bad, counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return allsym, bad, spark.createDataFrame([(m, counts[m]) for m in ("fetched", "inserted", "quarantined")], "metric string, value bigint")
 
 
 def ingest_tickers(decoded: DataFrame, symbols: DataFrame, prices: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

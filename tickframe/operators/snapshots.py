@@ -1,16 +1,10 @@
-"""Snapshot freshness (S14) and versioned multi-table publishing."""
+"""Snapshot freshness and the cached snapshot."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
-from . import merge as M
-
 
 def freshness(events: DataFrame, source_col: str, ts_col: str, max_age_seconds: int) -> DataFrame:
     """Newest snapshot time per source, its age against the newest overall, stale flag.
@@ -30,32 +24,3 @@ def newest_snapshot(snapshots: DataFrame, as_of: Column, max_age_seconds: int, r
     last = snapshots.filter(F.col("fetched_at") <= as_of).agg(F.max("fetched_at").alias("fetched_at"))
     age = F.unix_seconds(as_of) - F.unix_seconds("fetched_at")
     return snapshots.join(last, "fetched_at").withColumn("from_cache", (age < max_age_seconds) & F.lit(not refresh))
-
-
-PARTITIONS = {"market_data": ["time_frame", "year_month"]}
-
-
-def publish_version(spark: SparkSession, tables: dict[str, DataFrame], root: str | None = None) -> str:
-    """Write every table of a batch into a new version folder, then its manifest.
-
-    Readers only follow versions that have a manifest, so a batch becomes visible as a
-    whole; a failed or retried job leaves an unreferenced folder, never a half-published
-    table. Candles are written partitioned by (time_frame, year_month).
-    """
-    root = (root or checkpoint_root(spark)).rstrip("/")
-    version = f"{root}/tables/v-{uuid.uuid4().hex[:12]}"
-    for name, df in tables.items():
-        path = f"{version}/{name}"
-        if name == "market_data":
-            M.write_candles(df, path)
-        else:
-            M.publish(df, path)
-    manifest = json.dumps({"version": version, "tables": sorted(tables)})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{version}/_manifest")
-    return version
-
-
-def read_version(spark: SparkSession, version: str) -> dict[str, DataFrame]:
-    man = json.loads(spark.read.text(f"{version}/_manifest").first()[0])
-    return {name: (M.read_candles(spark, f"{version}/{name}") if name == "market_data"
-                   else spark.read.parquet(f"{version}/{name}")) for name in man["tables"]}

@@ -246,11 +246,10 @@ def _ingest(t: MarketTables) -> tuple[str, DataFrame, list[DataFrame]]:
     """Two fetch batches of OHLC documents (the second re-sends the first) into a new stored table:
     its path, the symbols afterwards and the counts of each batch."""
     bars = t.candles.withColumn("open", F.when(F.pmod("symbol_id", F.lit(11)) == 0, -F.col("open")).otherwise(F.col("open")))
-    raw = SP.ohlc_payloads(bars, _ohlc_pair()).select("value")
-    decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(raw)[0]), "1d").drop("value", "last")
-    landed = fresh_path(t.spark, "ohlc-decoded")  # both fetch batches read it
-    decoded.write.parquet(landed)
-    decoded = t.spark.read.parquet(landed)
+    landed = fresh_path(t.spark, "ohlc-landed")
+    SP.ohlc_payloads(bars, _ohlc_pair()).select("value").write.parquet(landed)
+    docs = PL.landed_documents(SP.read_arrivals(t.spark, landed)).drop("value")  # both fetch batches read it
+    decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(docs)[0]), "1d").drop("last")
     path = fresh_path(t.spark, "market_data")
     batch1 = decoded.filter(F.col("t_stamp") < F.lit(INGEST_CUT).cast("timestamp"))
     syms, _, counts1 = M.ingest_ohlc(batch1, t.symbols, path, _now())
@@ -293,6 +292,28 @@ def ohlc_ingest_metrics(t: MarketTables) -> DataFrame:
     return first.unionByName(second)
 
 
+@query("ohlc_first_arrival", f"""
+SELECT {_MAP_SQL.replace('pair', 'p')} AS db_symbol, t_stamp, CAST(close AS DECIMAL(20, 8)) AS close, data_source
+FROM (SELECT {_OHLC_PAIR_SQL} AS p, t_stamp, CASE WHEN symbol_id % 2 = 0 THEN close ELSE close + 1 END AS close, 'kraken' AS data_source
+      FROM candles_t)
+""")
+def ohlc_first_arrival(t: MarketTables) -> DataFrame:
+    """Two deliveries of every bar in one batch, for odd symbols the corrected one first: the first
+    to arrive is stored, whatever its values."""
+    landed = fresh_path(t.spark, "ohlc-conflicts")
+    bars = M.staged(t.candles, "bars")
+    odd = F.pmod("symbol_id", F.lit(2)) == 1
+    for corrected in (odd, ~odd):
+        part = bars.withColumn("close", F.when(corrected, F.col("close") + 1).otherwise(F.col("close")))
+        SP.ohlc_payloads(part, _ohlc_pair()).select("value").write.mode("append").parquet(landed)
+    docs = PL.landed_documents(SP.read_arrivals(t.spark, landed)).drop("value")
+    decoded = PL.decode_ohlc(PL.ohlc_records(PL.split_errors(docs)[0]), "1d").drop("last")
+    path = fresh_path(t.spark, "market_data")
+    syms, _, _ = M.ingest_ohlc(decoded, t.symbols, path, _now())
+    names = syms.select(F.col("id").alias("symbol_id"), F.col("symbol").alias("db_symbol"))
+    return M.read_candles(t.spark, path).join(names, "symbol_id").select("db_symbol", "t_stamp", "close", "data_source")
+
+
 LATER = "2024-02-01 01:00:00"
 _TICKER_SQL = """symbol_id, data_source, price, bid, ask, CASE WHEN volume_24h <> 0 THEN volume_24h END AS volume_24h,
        price - (price - change_24h) AS change_24h,
@@ -314,7 +335,7 @@ FROM j
 def ticker_ingest(t: MarketTables) -> DataFrame:
     """The stored price table after two batches of ticker documents: decoded, validated
     (the second holds negative prices), symbols got or created, upserted with ids."""
-    docs = lambda p: PL.decode_ticker(SP.ticker_payloads(p, _ohlc_pair()).select("value")).drop("value")
+    docs = lambda p: PL.decode_ticker(PL.landed_documents(SP.ticker_payloads(p, _ohlc_pair()).select("value"))).drop("value")
     later = t.prices.filter(F.pmod("symbol_id", F.lit(3)) != 0)
     later = later.withColumn("price", F.when(F.pmod("symbol_id", F.lit(5)) == 0, -F.col("price")).otherwise(F.col("price") + 1.0))
     empty = t.spark.createDataFrame([], S.REAL_TIME_PRICES)
@@ -332,15 +353,25 @@ def ticker_ingest(t: MarketTables) -> DataFrame:
 
 @query("payload_quarantine", """
 WITH k AS (SELECT DISTINCT symbol_id, data_source, strftime(t_stamp, '%Y-%m') AS ym FROM candles_t),
-d AS (SELECT (symbol_id + CAST(substr(ym, 6, 2) AS INTEGER)) % 7 AS k FROM k)
-SELECT CASE WHEN k < 3 THEN 'document' ELSE 'record' END AS level,
+d AS (SELECT (symbol_id + CAST(substr(ym, 6, 2) AS INTEGER)) % 7 AS k FROM k),
+t AS (SELECT symbol_id % 8 AS k FROM prices_t),
+p AS (SELECT length(pair) % 2 = 0 AS spoilt, CAST(coalesce(TRY_CAST(regexp_extract(pair, '(\\d+)$', 1) AS BIGINT), 0) // 100 AS BIGINT) AS doc FROM pairs_t)
+SELECT 'ohlc' AS kind, CASE WHEN k < 3 THEN 'document' ELSE 'record' END AS level,
        CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'error' WHEN 2 THEN 'no_result' WHEN 3 THEN 'short_record'
               WHEN 4 THEN 'bad_volume' ELSE 'bad_time' END AS reason, count(*) AS rejected
 FROM d WHERE k < 6 GROUP BY ALL
+UNION ALL
+SELECT 'ticker', CASE WHEN k < 3 THEN 'document' ELSE 'record' END,
+       CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'error' WHEN 2 THEN 'no_pair' WHEN 3 THEN 'bad_ticker' WHEN 4 THEN 'bad_price'
+              WHEN 5 THEN 'bad_quote' ELSE 'bad_volume' END, count(*)
+FROM t WHERE k < 7 GROUP BY ALL
+UNION ALL SELECT 'pairs', 'document', 'error', count(DISTINCT doc) FROM p WHERE doc % 3 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'pairs', 'record', 'bad_info', count(*) FROM p WHERE doc % 3 <> 1 AND spoilt HAVING count(*) > 0
 """)
 def payload_quarantine(t: MarketTables) -> DataFrame:
-    """What the decoder sets aside, by reason. Six of seven documents are spoilt, each in
-    one way: cut off, an error list, no result, a short record, a volume beyond BIGINT, a bad time."""
+    """What the decoders set aside, by reason. Six of seven OHLC and seven of eight ticker
+    documents are spoilt, each in one way; every third metadata document is an error, and in the
+    others the entries of pairs of even length are no objects."""
     docs = SP.ohlc_payloads(t.candles, _ohlc_pair())
     k = F.pmod(F.regexp_extract("pair", r"^S(\d+)-", 1).cast("int") + F.substring("ym", 6, 2).cast("int"), F.lit(7))
     more = lambda rec: F.replace("value", F.lit(']],"last"'), F.lit(f'],{rec}],"last"'))
@@ -348,8 +379,24 @@ def payload_quarantine(t: MarketTables) -> DataFrame:
              .when(k == 1, '{"error":["EService:Busy"],"result":{}}').when(k == 2, '{"error":[]}')
              .when(k == 3, more('[1,"2","3"]')).when(k == 4, more('[1,"1","1","1","1","1","1e30",1]'))
              .when(k == 5, more('["x","1","1","1","1","1","1",1]')).otherwise(F.col("value")))
-    out = PL.ohlc_rejects(docs.select(value.alias("value")))
-    return out.groupBy("level", "reason").agg(F.count(F.lit(1)).alias("rejected"))
+    prices = SP.ticker_payloads(t.prices, _ohlc_pair())
+    n = F.pmod("symbol_id", F.lit(8))
+    one = lambda ticker: F.lit('{"error":[],"result":{"P":' + ticker + '}}')
+    spoilt = (F.when(n == 0, F.substring(F.col("value"), F.lit(1), F.length("value") - 2)).when(n == 1, '{"error":["EQuery:Unknown"],"result":{}}')
+              .when(n == 2, '{"error":[],"result":{}}').when(n == 3, one('"closed"')).when(n == 4, one('{"c":["n/a","1"]}'))
+              .when(n == 5, one('{"c":["1","1"],"a":["?"]}')).when(n == 6, one('{"c":["1","1"],"v":["1","x"]}')).otherwise(F.col("value")))
+    doc = F.floor(F.coalesce(F.regexp_extract("pair", r"(\d+)$", 1).try_cast("bigint"), F.lit(0)) / SP.PAIRS_PER_DOC)
+    even = F.pmod(F.length("pair"), F.lit(2)) == 0
+    infos = SP.pair_payloads(t.pairs.filter(~even), doc).select("doc", "value")
+    names = t.pairs.filter(even).groupBy(doc.alias("doc")).agg(F.array_join(F.transform(F.collect_list("pair"), lambda x: F.concat(F.lit('"'), x, F.lit('":7'))), ",").alias("bad"))
+    infos = infos.join(names, "doc", "full_outer").select(
+        F.when(F.pmod("doc", F.lit(3)) == 1, '{"error":["EGeneral:Down"]}').when(F.col("value").isNull(), F.concat(F.lit('{"error":[],"result":{'), "bad", F.lit("}}")))
+        .when(F.col("bad").isNull(), F.col("value")).otherwise(F.concat(F.expr("substring(value, 1, length(value) - 2)"), F.lit(","), "bad", F.lit("}}"))).alias("value"))
+    out = [(kind, reject(PL.landed_documents(raw))) for kind, raw, reject in (
+        ("ohlc", docs.select(value.alias("value")), PL.ohlc_rejects), ("ticker", prices.select(spoilt.alias("value")), PL.ticker_rejects),
+        ("pairs", infos, PL.pair_rejects))]
+    parts = [df.groupBy("level", "reason").agg(F.count(F.lit(1)).alias("rejected")).select(F.lit(kind).alias("kind"), "level", "reason", "rejected") for kind, df in out]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _SEED_VALUES = ", ".join(
@@ -432,20 +479,98 @@ def symbols_synced(t: MarketTables) -> DataFrame:
 
 
 @query("related_write", """
-SELECT 'symbols' AS table_name, count(*) AS row_count FROM symbols_t
-UNION ALL SELECT 'market_data', count(*) FROM candles_t
-UNION ALL SELECT 'real_time_prices', count(*) FROM prices_t
+WITH s AS (SELECT id, symbol FROM symbols_t WHERE id % 3 = 0)
+SELECT 'N' || s.symbol AS symbol, (SELECT count(*) FROM candles_t c WHERE c.symbol_id = s.id) AS bars,
+       (SELECT count(*) FROM prices_t p WHERE p.symbol_id = s.id) AS prices, false AS after_clean_up
+FROM s
+UNION ALL SELECT s.symbol, (SELECT count(*) FROM candles_t c WHERE c.symbol_id = s.id), (SELECT count(*) FROM prices_t p WHERE p.symbol_id = s.id), true
+FROM symbols_t s
 """)
 def related_write(t: MarketTables) -> DataFrame:
-    """Stage symbols, candles (partitioned by time_frame, year_month) and prices as
-    one version under the shared checkpoint folder, publish it, and read it back."""
-    from ..operators import stats as A
-    from ..operators.snapshots import publish_version, read_version
-
-    version = publish_version(t.spark, {"symbols": t.symbols, "market_data": t.candles,
-                                         "real_time_prices": t.prices})
-    tables = read_version(t.spark, version)
-    return A.table_counts({k: tables[k] for k in ["symbols", "market_data", "real_time_prices"]})
+    """New symbols with their candles and prices are written, read back by their join, and cleaned up:
+    deleting the symbols takes the related rows with them and leaves the others."""
+    third = t.symbols.filter(F.pmod("id", F.lit(3)) == 0)
+    incoming = third.select(F.concat(F.lit("N"), "symbol").alias("symbol"), "name", "exchange", "asset_type", "currency", "is_active")
+    created = M.staged(M.create_symbols(t.symbols, incoming, _now())[0], "related-symbols")
+    ids = created.join(third.select(F.col("id").alias("old"), F.concat(F.lit("N"), "symbol").alias("symbol")), "symbol").select("id", "old")
+    copies = lambda df: df.join(ids.select(F.col("old").alias("symbol_id"), F.col("id").alias("_new")), "symbol_id").withColumn(
+        "symbol_id", F.col("_new").cast("int")).select(*df.columns)
+    candles = M.write_candles(t.candles.unionByName(copies(t.candles)), fresh_path(t.spark, "related-candles"))
+    prices = M.publish(t.prices.unionByName(copies(t.prices)), fresh_path(t.spark, "related-prices"))
+    tables = {"symbols": t.symbols.unionByName(created), "candles": M.read_candles(t.spark, candles),
+              "prices": t.spark.read.schema(S.REAL_TIME_PRICES).parquet(prices)}
+
+    def related(x: dict[str, DataFrame], which: DataFrame, cleaned: bool) -> DataFrame:
+        n = {name: x[name].groupBy(F.col("symbol_id").alias("id")).agg(F.count(F.lit(1)).alias(out)) for name, out in (("candles", "bars"), ("prices", "prices"))}
+        return which.join(n["candles"], "id", "left").join(n["prices"], "id", "left").select(
+            "symbol", F.coalesce("bars", F.lit(0)).alias("bars"), F.coalesce("prices", F.lit(0)).alias("prices"), F.lit(cleaned).alias("after_clean_up"))
+
+    gone = M.delete_symbols(tables["symbols"], F.col("symbol").startswith("N") & (F.col("created_at") == _now()), candles=tables["candles"], prices=tables["prices"])
+    return related(tables, tables["symbols"].join(created.select("id"), "id", "left_semi"), False).unionByName(related(gone, gone["symbols"], True))
+
+
+_ADDED = f"""
+WITH r AS (SELECT requested, {_NORM_SQL} AS normalized FROM requests_t),
+r2 AS (SELECT *, {_infer_sql('normalized')} AS db_symbol FROM r),
+offered AS (SELECT r2.*, p.altname, p.status FROM r2 JOIN pairs_t p ON p.pair = r2.normalized
+            WHERE r2.db_symbol NOT IN (SELECT symbol FROM symbols_t)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_symbol ORDER BY requested, normalized) AS rn FROM offered) WHERE rn = 1)
+SELECT db_symbol AS symbol, coalesce(altname, db_symbol) AS name, CASE WHEN contains(db_symbol, 'USD') THEN 'USD' ELSE 'EUR' END AS currency,
+       coalesce(status = 'online', false) AS is_active, CAST(CASE WHEN length(normalized) % 5 <> 0 THEN length(normalized) * 1.5 END AS DOUBLE) AS price, 1 AS rows_of_symbol
+FROM one WHERE length(db_symbol) <= {S.SYMBOL_LENGTHS['symbol']}
+UNION ALL SELECT symbol, name, currency, is_active, NULL, 1 FROM symbols_t"""
+
+
+@query("pairs_added", _ADDED)
+def pairs_added(t: MarketTables) -> DataFrame:
+    """A batch of add-pair requests carried out: the stored symbols afterwards with the prices
+    seeded from tickers (pairs of some lengths have none). The batch is run twice; the rerun changes nothing."""
+    path = M.publish(t.pair_requests, fresh_path(t.spark, "pair-requests"))
+    requests = t.spark.read.schema("requested string").parquet(path)
+    n = F.length("pair") * F.lit(1.5)
+    quoted = t.pairs.filter(F.pmod(F.length("pair"), F.lit(5)) != 0).select(
+        "pair", F.lit(0).alias("symbol_id"), F.lit("kraken").alias("data_source"), n.alias("price"), n.alias("ask"), n.alias("bid"),
+        F.lit(7).alias("volume_24h"), F.lit(0.0).alias("change_24h"))
+    docs = PL.landed_documents(SP.ticker_payloads(quoted, F.col("pair")).select("value"))
+    symbols, prices = t.symbols, t.spark.createDataFrame([], S.REAL_TIME_PRICES)
+    for _ in range(2):
+        _, symbols, priced = M.add_pairs(requests, t.pairs, symbols, PL.decode_ticker(docs), prices, _now())
+        prices = t.spark.read.schema(S.REAL_TIME_PRICES).parquet(M.publish(priced.drop("action"), fresh_path(t.spark, "pair-prices")))
+    counts = symbols.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("rows_of_symbol"))
+    return (symbols.join(prices.select(F.col("symbol_id").alias("id"), "price"), "id", "left").join(counts, "symbol")
+            .select("symbol", "name", "currency", "is_active", "price", "rows_of_symbol"))
+
+
+_SOURCES_SQL = ", ".join("('{}', '{}')".format(*r[:2]) for r in S.SEED_DATA_SOURCES)
+_SESSIONS_SQL = ", ".join("('{}', '{}', '{}')".format(*r[:3]) for r in S.SEED_SESSIONS)
+
+
+@query("seed_small_tables", f"""
+WITH src AS (SELECT DISTINCT data_source AS k FROM candles_t UNION SELECT 'binance'),
+ses AS (SELECT DISTINCT exchange, 'Regular Trading' AS session_name FROM symbols_t WHERE id % 4 = 0)
+SELECT 'data_sources' AS table_name, k AS key, 'https://stored' AS value FROM src
+UNION ALL SELECT 'data_sources', v.n, v.u FROM (VALUES {_SOURCES_SQL}) AS v(n, u) WHERE v.n NOT IN (SELECT k FROM src)
+UNION ALL SELECT 'market_sessions', exchange || '/' || session_name, 'stored' FROM ses
+UNION ALL SELECT 'market_sessions', v.e || '/' || v.s, v.z FROM (VALUES {_SESSIONS_SQL}) AS v(e, s, z)
+          WHERE (v.e, v.s) NOT IN (SELECT (exchange, session_name) FROM ses)
+""")
+def seed_small_tables(t: MarketTables) -> DataFrame:
+    """The seed data sources and sessions loaded twice by insert-ignore into tables that hold some of them."""
+    from ..sources.tables import data_sources, market_sessions
+
+    names = t.candles.select(F.col("data_source").alias("name")).distinct().unionByName(t.spark.range(1).select(F.lit("binance").alias("name")))
+    sources = names.select("name", F.lit("https://stored").alias("base_url"))
+    sessions = t.symbols.filter(F.pmod("id", F.lit(4)) == 0).select("exchange").distinct().select(
+        "exchange", F.lit("Regular Trading").alias("session_name"), F.lit("stored").alias("timezone"))
+    for _ in range(2):
+        for key, seeds in (("name", data_sources(t.spark)), ("exchange", market_sessions(t.spark))):
+            table = sources if key == "name" else sessions
+            keys = ["name"] if key == "name" else ["exchange", "session_name"]
+            new = M.staged(M.insert_ignore_table(table, seeds.select(*table.columns), keys, table.columns), f"seeded-{key}")
+            sources, sessions = (new, sessions) if key == "name" else (sources, new)
+    return (sources.select(F.lit("data_sources").alias("table_name"), F.col("name").alias("key"), F.col("base_url").alias("value"))
+            .unionByName(sessions.select(F.lit("market_sessions").alias("table_name"), F.concat_ws("/", "exchange", "session_name").alias("key"),
+                                         F.col("timezone").alias("value"))))
 
 
 @query("sync_metrics", f"""

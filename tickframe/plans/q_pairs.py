@@ -161,9 +161,9 @@ _OHLC_PAIR_SQL = "'S' || CAST(symbol_id AS VARCHAR) || '-' || data_source"
 
 
 def _decoded_candles(t: MarketTables) -> DataFrame:
-    raw = SP.ohlc_payloads(t.candles, _ohlc_pair()).select("value")
-    ok, _ = PL.split_errors(raw)
-    return PL.decode_ohlc(PL.ohlc_records(ok), "1d").drop("value")
+    docs = PL.landed_documents(SP.ohlc_payloads(t.candles, _ohlc_pair()).select("value")).drop("value")
+    ok, _ = PL.split_errors(docs)
+    return PL.decode_ohlc(PL.ohlc_records(ok), "1d").drop("slot")
 
 
 @query("ohlc_decode", f"""
@@ -220,19 +220,56 @@ FROM prices_t
 """)
 def ticker_decode(t: MarketTables) -> DataFrame:
     """Render prices as ticker documents, decode them back."""
-    raw = SP.ticker_payloads(t.prices, _ohlc_pair()).select("value")
-    return PL.decode_ticker(raw).select("pair", "price", "bid", "ask", "volume_24h", "change_24h",
+    docs = PL.landed_documents(SP.ticker_payloads(t.prices, _ohlc_pair()).select("value"))
+    return PL.decode_ticker(docs).select("pair", "price", "bid", "ask", "volume_24h", "change_24h",
                                         "change_percent_24h", "data_source")
 
 
+@query("ticker_branches", f"""
+WITH k AS (SELECT *, symbol_id % 8 AS k, {_OHLC_PAIR_SQL} AS pair FROM prices_t)
+SELECT pair, CASE WHEN k = 0 THEN 0.0 ELSE price END AS price, CASE k WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE bid END AS bid,
+       CASE k WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE ask END AS ask,
+       CAST(CASE k WHEN 3 THEN NULL WHEN 4 THEN 0 WHEN 5 THEN NULL ELSE 7 END AS BIGINT) AS volume_24h,
+       CASE WHEN k IN (0, 5, 6) THEN NULL WHEN k = 7 THEN price - 0.0 ELSE price - 4.0 END AS change_24h,
+       CASE WHEN k IN (0, 5, 6, 7) THEN NULL ELSE (price - 4.0) / 4.0 * 100 END AS change_percent_24h
+FROM k
+""")
+def ticker_branches(t: MarketTables) -> DataFrame:
+    """tickers by each branch: no last trade and no open, quotes absent or empty, volume zero, under
+    one or missing, open empty text with a missing volume, numeric zero or zero as text."""
+    q = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    last, volume, open_ = F.concat(F.lit('"c":['), q("price"), F.lit(',"1"],')), F.lit('"v":["1","7.5"],'), F.lit('"o":"4"')
+    quotes = F.concat(F.lit('"a":['), q("ask"), F.lit(',"1","1"],"b":['), q("bid"), F.lit(',"1","1"],'))
+    k = F.pmod("symbol_id", F.lit(8))
+    body = (F.when(k == 0, F.concat(quotes, F.lit('"v":["1","7.5"]')))
+            .when(k == 1, F.concat(last, volume, open_)).when(k == 2, F.concat(last, F.lit('"a":[],"b":[],'), volume, open_))
+            .when(k == 3, F.concat(last, quotes, F.lit('"v":["1","0"],'), open_)).when(k == 4, F.concat(last, quotes, F.lit('"v":["1","0.9"],'), open_))
+            .when(k == 5, F.concat(last, quotes, F.lit('"v":["1"],"o":""'))).when(k == 6, F.concat(last, quotes, volume, F.lit('"o":0')))
+            .otherwise(F.concat(last, quotes, volume, F.lit('"o":"0"'))))
+    raw = t.prices.select(F.concat(F.lit('{"error":[],"result":{"'), _ohlc_pair(), F.lit('":{'), body, F.lit("}}}")).alias("value"))
+    return PL.decode_ticker(PL.landed_documents(raw)).select("pair", "price", "bid", "ask", "volume_24h", "change_24h", "change_percent_24h")
+
+
+@query("iso_forms", """
+SELECT id, ts AS parsed FROM ticks_t WHERE id % 5 <> 4 UNION ALL SELECT id, NULL FROM ticks_t WHERE id % 5 = 4
+""")
+def iso_forms(t: MarketTables) -> DataFrame:
+    """times written with Z, with an offset, without one, with a blank instead of T; bad text gives none."""
+    k = F.pmod("id", F.lit(5))
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    east = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = (F.when(k == 0, F.concat(plain, F.lit("Z"))).when(k == 1, F.concat(east, F.lit("+02:00"))).when(k == 2, plain)
+            .when(k == 3, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise(F.lit("yesterday")))
+    return t.ticks.select("id", FT.parse_iso(text).alias("parsed"))
+
+
 @query("pairs_explode", """
 SELECT pair, wsname, altname, base, quote, status FROM pairs_t
 """)
 def pairs_explode(t: MarketTables) -> DataFrame:
     """AssetPairs documents (<= 100 pairs each) exploded to one row per pair."""
     doc = F.floor(F.coalesce(F.regexp_extract("pair", r"(\d+)$", 1).try_cast("bigint"), F.lit(0)) / SP.PAIRS_PER_DOC)
-    raw = SP.pair_payloads(t.pairs, doc).select("value")
-    return PL.decode_pairs(raw)
+    return PL.decode_pairs(PL.landed_documents(SP.pair_payloads(t.pairs, doc).select("value")))
 
 
 @query("iso_roundtrip", """
