@@ -126,3 +126,72 @@ def test_late_bars_are_dropped_and_counted(spark):
     out = spark.read.parquet(sink).orderBy("t_stamp").collect()
     assert [r.t_stamp.day for r in out][:5] == [1, 2, 3, 4, 5] and {r.ema_12 for r in out} == {1.0}
     assert late == [0, 0, 1, 0]
+
+
+def test_late_rows_do_not_depend_on_files(spark):
+    from tickframe.plans.q_stream import late_candles
+    from tickframe.sources.catalog import MarketTables
+
+    t = MarketTables(spark, SF)
+    first = t.ticks.agg(F.min("ts")).first()[0]
+    late = t.ticks.filter(F.col("ts") < F.lit(first) + F.expr("INTERVAL 1 DAY")).count()
+    got = [late_candles(t, files)[:2] for files in (1, 4, 13)]
+    assert got == [(t.ticks.count() + late, late)] * 3 and late > 0
+
+
+def test_rolling_windows_are_two_stateful_steps(spark):
+    import datetime as dt
+
+    rows = [(i, 1, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * i), float(i), 2, "x") for i in range(200)]
+    land = ST.land_in_order(spark.createDataFrame(rows, ST.TICK_SCHEMA), "ts", fresh_path(spark, "t-24h"), 3)
+    sink, q = ST.run_to_files(ST.rolling_24h_stream(ST.read_landing(spark, land, ST.TICK_SCHEMA)), "t-24h")
+    ops = q.lastProgress["stateOperators"] if isinstance(q.lastProgress, dict) else q.lastProgress.stateOperators
+    assert len(ops) == 2
+    w = {r.window_start: r for r in spark.read.parquet(sink).collect()}[dt.datetime(2024, 1, 1, 5)]
+    assert (w.trades, w.volume_24h, w.first_price, w.last_price, w.change_24h) == (72, 144, 15.0, 86.0, 71.0)
+
+
+def test_sink_keeps_the_first_to_arrive(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    schema = "k int, ts timestamp, v double, arrival int, slot int"
+    for order in (1, -1):
+        rows = [(1, t, 9.0, 1, 0), (1, t, 1.0, 2, 0), (2, t, 5.0, 1, 3), (2, t, 4.0, 1, 4), (2, t, 3.0, 2, 0)][::order]
+        sink = ST.InsertIgnoreSink(spark, fresh_path(spark, "t-first"), ["k"], "ts", 60, order=["arrival", "slot"])
+        for epoch in (0, 0, 1):  # a retry, and a re-send
+            sink(spark.createDataFrame(rows, schema).repartition(3), epoch)
+        assert sorted((r.k, r.v) for r in sink.table().collect()) == [(1, 9.0), (2, 5.0)]
+        assert sink.table().columns == ["k", "ts", "v"]
+
+
+def test_two_bars_of_one_time_give_one_ema(spark):
+    import datetime as dt
+
+    schema = "symbol_id int, time_frame string, t_stamp timestamp, close double"
+    bar = lambda d, c: (1, "1d", dt.datetime(2024, 1, d), c)
+    out = []
+    for rows in ([bar(1, 5.0), bar(1, 3.0), bar(2, 4.0)], [bar(2, 4.0), bar(1, 3.0), bar(1, 5.0)]):
+        land = fresh_path(spark, "t-two")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(land)
+        spark.createDataFrame([bar(9, 1.0)], schema).coalesce(1).write.mode("append").parquet(land)
+        sink, _ = ST.run_to_files(ST.ema_stream(ST.read_landing(spark, land, schema)), "t-two")
+        out.append(sorted((r.t_stamp, r.ema_12) for r in spark.read.parquet(sink).collect()))
+    assert out[0] == out[1] and out[0][0][1] == 3.0
+
+
+def test_streamed_tickers_retry_gives_the_same_ids(spark):
+    import datetime as dt
+
+    from tickframe import schemas as S
+
+    doc = lambda pair, price: f'{{"error":[],"result":{{"{pair}":{{"c":["{price}","1"]}}}}}}'
+    symbols = spark.createDataFrame([(4, "AAA", "A", "NYSE", "stock", "USD", None, None, None, True, None, None)], S.SYMBOLS)
+    batch = lambda n, *docs: spark.createDataFrame([(d, n) for d in docs], "value string, arrival int")
+    sink = ST.TickerSink(spark, fresh_path(spark, "t-tick"), symbols, F.lit(dt.datetime(2024, 1, 1)))
+    sink(batch(0, doc("AAA", 1), doc("BBB", 2), "no json", doc("CCC", "n/a"), doc("DDD", -1)), 0)
+    sink(batch(1, doc("BBB", 3), doc("EEE", 4)), 1)
+    once = sorted((r.symbol_id, r.price) for r in sink.table().collect())
+    sink(batch(1, doc("EEE", 4), doc("BBB", 3)), 1)
+    assert sorted((r.symbol_id, r.price) for r in sink.table().collect()) == once == [(4, 1.0), (5, 3.0), (6, 4.0)]
+    assert {r.symbol: r.id for r in sink.known().collect()} == {"AAA": 4, "BBB": 5, "EEE": 6}

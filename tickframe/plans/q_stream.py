@@ -12,6 +12,7 @@ from ..session import fresh_path
 from ..sources.catalog import MarketTables
 from ..streaming import streams as ST
 from .q_indicators import indicator_sql
+from .q_pairs import _OHLC_PAIR_SQL
 from .registry import query
 
 TICK_CHUNKS = 6
@@ -76,25 +77,31 @@ def stream_dedup(t: MarketTables) -> DataFrame:
     return sink.table()
 
 
+#: Files of the late re-send: the count of late rows doesn't depend on them.
+LATE_FILES = 4
+
+
 @query("stream_late", f"""
-SELECT 'late_groups_dropped' AS metric, count(DISTINCT (symbol_id, data_source, date_trunc('hour', ts))) AS value
-FROM ticks_t WHERE ts < (SELECT min(ts) FROM ticks_t) + INTERVAL 1 DAY
+SELECT 'late_rows' AS metric, count(*) AS value FROM ticks_t WHERE ts < (SELECT min(ts) FROM ticks_t) + INTERVAL 1 DAY
 UNION ALL SELECT 'windows_emitted', count(*) FROM ({_CLOSED_1H})
+UNION ALL SELECT 'rows_read', (SELECT count(*) FROM ticks_t) + (SELECT count(*) FROM ticks_t WHERE ts < (SELECT min(ts) FROM ticks_t) + INTERVAL 1 DAY)
 """)
 def stream_late(t: MarketTables) -> DataFrame:
-    """T4: a late re-send of the first day is dropped past the watermark and counted.
+    """T4: a late re-send of the first day is dropped past the watermark and its rows are counted: those
+    read, less those in closed windows and in windows still open."""
+    read, late, emitted = late_candles(t, LATE_FILES)
+    return (emitted.agg(F.count(F.lit(1)).alias("value")).select(F.lit("windows_emitted").alias("metric"), "value")
+            .unionByName(t.spark.createDataFrame([("late_rows", late), ("rows_read", read)], "metric string, value bigint")))
+
 
-    Spark counts drops at the stateful operator, after map-side partial aggregation, so
-    the metric is the number of (symbol, source, window) groups of late rows per input
-    partition; the late re-send here is one file, i.e. one group per window."""
+def late_candles(t: MarketTables, files: int) -> tuple[int, int, DataFrame]:
+    """(rows read, rows too late, closed windows) of the hourly candles when the first day comes again in ``files`` files."""
     land = _tick_landing(t)
-    _late_copy(t, 10 ** 12).coalesce(1).write.mode("append").parquet(land)
-    drops = ST.WatermarkDrops(t.spark)
-    sink, q = ST.run_to_files(ST.candles_stream(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES)), "stream-late")
-    dropped = drops.total(q)
-    emitted = t.spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("value"))
-    return (emitted.select(F.lit("windows_emitted").alias("metric"), "value")
-            .unionByName(t.spark.createDataFrame([("late_groups_dropped", dropped)], "metric string, value bigint")))
+    _late_copy(t, 10 ** 12).repartition(files).write.mode("append").parquet(land)
+    seen = ST.WatermarkDrops(t.spark)
+    sink, q, checkpoint = ST.run_to_files(ST.candles_stream(ST.counted(ST.read_landing(t.spark, land, ST.TICK_SCHEMA, FILES))), "stream-late", keep=True)
+    read, closed = seen.rows(q), t.spark.read.parquet(sink)
+    return read, ST.late_rows(t.spark, read, closed, checkpoint), closed
 
 
 @query("stream_24h", """
@@ -153,7 +160,44 @@ def stream_ohlc_ingest(t: MarketTables) -> DataFrame:
     land = fresh_path(t.spark, "landing-ohlc")
     ST.land_in_order(docs.unionByName(resent), "doc_ts", land, BAR_CHUNKS, fmt="text", files=FILES)
     root = fresh_path(t.spark, "stream-ohlc")
-    key = ["pair", "t_stamp", "time_frame", "data_source"]
-    sink = ST.InsertIgnoreSink(t.spark, root, key, "t_stamp", 62 * 86400)
+    sink = ST.InsertIgnoreSink(t.spark, root, ST.OHLC_KEY, "t_stamp", 62 * 86400, order=["arrival", "slot"])
     ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d", FILES), "stream-ohlc", sink, mode="append")
     return sink.table()
+
+
+_STREAM_TICKER_NOW = "2024-02-01 00:00:00"
+
+
+@query("stream_tickers", f"""
+WITH p AS (SELECT *, {_OHLC_PAIR_SQL} AS pair FROM prices_t)
+SELECT pair AS db_symbol, 'kraken' AS data_source, symbol_id % 3 = 2 AS in_third_epoch,
+       CASE WHEN symbol_id % 3 = 0 THEN price + 2 WHEN symbol_id % 3 = 1 THEN price + 1 ELSE price + 3 END AS price, 1 AS rows_of_symbol
+FROM p
+""")
+def stream_tickers(t: MarketTables) -> DataFrame:
+    """Streamed ticker documents -> latest prices, symbols created as they appear. Deliveries:
+    all but every third symbol, one third again, then the symbols that weren't there before; the second
+    and third epoch are run twice, as after a lost driver."""
+    from ..sources import payloads as SP
+    from .q_pairs import _ohlc_pair
+
+    part = F.pmod("symbol_id", F.lit(3))
+    prices = t.prices.withColumn("change_24h", F.lit(None).cast("double"))
+    land = fresh_path(t.spark, "landing-tickers")
+    for which, plus in ((part < 2, 1.0), (part == 0, 2.0), (part == 2, 3.0)):
+        some = prices.filter(which).withColumn("price", F.col("price") + plus)
+        SP.ticker_payloads(some, _ohlc_pair()).select("value").coalesce(1).write.mode("append").text(land)
+    root = fresh_path(t.spark, "stream-tickers")
+    sink = ST.TickerSink(t.spark, root, t.symbols, F.lit(_STREAM_TICKER_NOW).cast("timestamp"))
+
+    def twice(batch: DataFrame, epoch: int) -> None:
+        sink(batch, epoch)
+        if epoch:
+            sink(batch, epoch)
+
+    ST.run_foreach_batch(ST.ticker_document_stream(t.spark, land, 1), "stream-tickers", twice, mode="append")
+    names = sink.known().select(F.col("id").alias("symbol_id"), F.col("symbol").alias("db_symbol"))
+    made = t.spark.read.parquet(f"{root}/symbols").select(F.col("symbol").alias("db_symbol"), (F.col("epoch") == 2).alias("in_third_epoch"))
+    counts = names.groupBy("db_symbol").agg(F.count(F.lit(1)).cast("int").alias("rows_of_symbol"))
+    return (sink.table().join(names, "symbol_id").join(made, "db_symbol").join(counts, "db_symbol")
+            .select("db_symbol", "data_source", "in_third_epoch", "price", "rows_of_symbol"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -89,15 +89,16 @@ def _rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> tuple[str, object]:
-    """Run a stream over everything available now into a Parquet sink; return (path, query)."""
+def run_to_files(stream: DataFrame, name: str, mode: str = "append", keep: bool = False) -> tuple:
+    """Run a stream over everything available now into a Parquet sink; return (path, query), with
+    ``keep`` also the checkpoint's path."""
     spark = stream.sparkSession
     _rocksdb(spark)
     sink, ckpt = fresh_path(spark, f"{name}-out"), fresh_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return sink, q
+    return (sink, q, ckpt) if keep else (sink, q)
 
 
 def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
@@ -162,23 +163,51 @@ def candles_stream(ticks: DataFrame, width: str = "1 hour", delay: str = "10 min
 
 
 def rolling_24h_stream(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """T5: 24 h windows sliding every hour: volume, first/last price, change."""
-    order = F.struct("ts", "id")
-    g = (ticks.withWatermark("ts", delay)
-         .groupBy("symbol_id", F.window("ts", "24 hours", "1 hour").alias("w"))
-         .agg(F.sum("size").alias("volume_24h"), F.min_by("price", order).alias("first_price"),
-              F.max_by("price", order).alias("last_price"), F.count(F.lit(1)).alias("trades")))
+    """T5: 24 h windows sliding every hour: volume, first/last price, change.
+
+    Two stateful steps in one query: hourly totals (one row per symbol and hour leaves the first), then
+    24 h windows over these rows' ``window_time``. A tick belongs to one hour and is shuffled once.
+    """
+    tick = F.struct("ts", "id", "price")
+    hourly = (ticks.withWatermark("ts", delay).groupBy("symbol_id", F.window("ts", "1 hour").alias("h"))
+              .agg(F.sum("size").alias("size"), F.min(tick).alias("first"), F.max(tick).alias("last"), F.count(F.lit(1)).alias("n"))
+              .select("symbol_id", F.window_time("h").alias("t"), "size", "first", "last", "n"))
+    g = (hourly.groupBy("symbol_id", F.window("t", "24 hours", "1 hour").alias("w"))
+         .agg(F.sum("size").alias("volume_24h"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("trades")))
     return g.select("symbol_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "volume_24h", "first_price", "last_price",
-                    (F.col("last_price") - F.col("first_price")).alias("change_24h"), "trades")
+                    "volume_24h", F.col("first.price").alias("first_price"), F.col("last.price").alias("last_price"),
+                    (F.col("last.price") - F.col("first.price")).alias("change_24h"), "trades")
+
+
+#: Name of the observed metric that counts a stream's input rows.
+READ = "rows_read"
+
+
+def counted(stream: DataFrame) -> DataFrame:
+    """The stream with its rows counted as they are read, before any aggregation."""
+    return stream.observe(READ, F.count(F.lit(1)).alias("rows"))
+
+
+def late_rows(spark: SparkSession, read: int, closed: DataFrame, checkpoint: str) -> int:
+    """T4: how many of the ``read`` rows of a ``candles_stream`` came too late: those that are neither in
+    a closed window (``closed``, with ``trades``) nor in one that is still open in the state store.
+
+    Spark's own metric counts what reaches the stateful operator, which is one partial group per
+    input partition and window; this is the number of rows, however they lay in files and tasks.
+    """
+    inside = closed.agg(F.coalesce(F.sum("trades"), F.lit(0))).first()[0]
+    state = spark.read.format("statestore").load(checkpoint)
+    still = state.agg(F.coalesce(F.sum(F.col("value.count")), F.lit(0))).first()[0]
+    return read - inside - still
 
 
 class WatermarkDrops(StreamingQueryListener):
-    """T4: rows that stateful operators dropped as too late, added up over every micro-batch of
-    each query (a query's own progress list keeps only the last hundred)."""
+    """What progress events tell, added up over every micro-batch of each query (a query's own progress
+    list keeps only the last hundred): groups dropped as too late, and rows read."""
 
     def __init__(self, spark: SparkSession):
         self.dropped: dict[str, int] = {}
+        self.observed: dict[str, int] = {}
         self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
         self.spark = spark
         spark.streams.addListener(self)
@@ -189,6 +218,9 @@ class WatermarkDrops(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         self.dropped[str(p.runId)] = self.dropped.get(str(p.runId), 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        rows = (getattr(p, "observedMetrics", None) or {}).get(READ)
+        if rows is not None:
+            self.observed[str(p.runId)] = self.observed.get(str(p.runId), 0) + rows["rows"]
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -203,6 +235,11 @@ class WatermarkDrops(StreamingQueryListener):
         self.spark.streams.removeListener(self)
         return self.dropped.get(str(query.runId), 0)
 
+    def rows(self, query, timeout: float = 60.0) -> int:
+        """The rows that an ended query with ``counted`` input has read."""
+        self.total(query, timeout)
+        return self.observed.get(str(query.runId), 0)
+
 
 # --------------------------------------------------------------------------- T3 dedup
 def dedup_stream(ticks: DataFrame, key: list[str], delay: str = "1 hour") -> DataFrame:
@@ -214,10 +251,11 @@ class InsertIgnoreSink:
     """foreachBatch: append only keys not yet in the table (U1), checking the table only in
     the batch's event-time range widened by the watermark delay (re-deliveries older than
     that were already dropped by the stream as late). Each epoch is partitioned by month, so the
-    check opens only the months in that range."""
+    check opens only the months in that range. Of several rows of one key in a batch the first by
+    ``order`` (columns that tell the arrival) and then by the values is kept: a retried epoch keeps the same."""
 
-    def __init__(self, spark: SparkSession, root: str, key: list[str], ts_col: str, delay_seconds: int):
-        self.spark, self.root, self.key, self.ts_col, self.delay = spark, root, key, ts_col, delay_seconds
+    def __init__(self, spark: SparkSession, root: str, key: list[str], ts_col: str, delay_seconds: int, order: list[str] | None = None):
+        self.spark, self.root, self.key, self.ts_col, self.delay, self.order = spark, root, key, ts_col, delay_seconds, order
 
     def table(self) -> DataFrame:
         return self.spark.read.parquet(self.root).drop("epoch", "_month")
@@ -227,7 +265,8 @@ class InsertIgnoreSink:
         # two actions read the batch (its time bounds, then the write): compute it once
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fresh = M.first_per_key(batch, self.key, [self.ts_col])
+            order = [*(self.order or []), *(c for c in batch.columns if c not in self.key and c not in (self.order or []))]
+            fresh = M.first_per_key(batch, self.key, order).drop(*(c for c in ("arrival", "slot") if c in order))
             table = existing(self.spark, self.root)
             if table is not None:
                 b = batch.agg(F.min(self.ts_col).alias("lo"), F.max(self.ts_col).alias("hi")).first()
@@ -243,18 +282,75 @@ class InsertIgnoreSink:
             batch.unpersist()
 
 
-def ohlc_document_stream(spark: SparkSession, landing: str, time_frame: str, files_per_batch: int = 1,
-                         delay: str = "62 days") -> DataFrame:
-    """S9 + T3: landed OHLC documents (text, one per line) -> decoded candles, with re-sent
-    bars dropped on the 4-column candle key inside the watermark delay."""
-    from ..functions import payload as PL
+def documents_with_arrival(spark: SparkSession, landing: str, files_per_batch: int = 1) -> DataFrame:
+    """Landed text documents with ``arrival``: the file's time and name and the block in it (lines of one
+    block have no order that a stream knows; whoever needs one goes on by the values)."""
     from ..sources.payloads import stream_landing
 
-    raw = stream_landing(spark, landing, files_per_batch)
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    return stream_landing(spark, landing, files_per_batch).select("value", arrival.alias("arrival"))
+
+
+OHLC_KEY = ["pair", "t_stamp", "time_frame", "data_source"]
+
+
+def ohlc_document_stream(spark: SparkSession, landing: str, time_frame: str, files_per_batch: int = 1) -> DataFrame:
+    """Landed OHLC documents (text, one per line) -> decoded candles with their arrival (file time, name
+    and block; slot in the document)."""
+    from ..functions import payload as PL
+
+    raw = documents_with_arrival(spark, landing, files_per_batch)
     ok, _ = PL.split_errors(raw)
-    dec = PL.decode_ohlc(PL.ohlc_records(ok), time_frame).drop("value", "last")
-    return dec.withWatermark("t_stamp", delay).dropDuplicatesWithinWatermark(
-        ["pair", "t_stamp", "time_frame", "data_source"])
+    return PL.decode_ohlc(PL.ohlc_records(ok), time_frame).drop("value", "last")
+
+
+# --------------------------------------------------------------------------- S10 / S13 streamed tickers
+class TickerSink:
+    """foreachBatch: ticker documents -> latest prices, with symbols created as they first appear.
+
+    Each epoch parses its documents once, joins them with the symbols known before the epoch (the given
+    ones and those that earlier epochs created), writes the new symbols and then the changed prices,
+    each to the epoch's own folder. A retried epoch sees only earlier epochs' symbols, gives the
+    same ids and overwrites the same folders.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, symbols: DataFrame, now: Column):
+        self.spark, self.root, self.symbols, self.now = spark, root, symbols, now
+        self.prices = VersionedUpsert(spark, f"{root}/prices", M.PRICE_KEY, ["arrival"])
+        self.rejected = 0
+
+    def known(self, before: int | None = None) -> DataFrame:
+        """The symbols table (of the epochs before ``before``)."""
+        made = existing(self.spark, f"{self.root}/symbols")
+        if made is None:
+            return self.symbols
+        if before is not None:
+            made = made.filter(F.col("epoch") < before)
+        return self.symbols.unionByName(made.select(*self.symbols.columns))
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        from ..functions import payload as PL
+        from ..functions.pairs import pair_to_symbol
+        from ..operators.reads import validate_prices
+
+        docs = PL.landed_documents(batch)
+        valid, _ = validate_prices(PL.decode_ticker(docs).withColumn("db_symbol", pair_to_symbol(F.col("pair"))))
+        known = self.known(before=epoch_id)
+        path = f"{self.root}/symbols/epoch={epoch_id}"
+        M.new_symbols(valid.select(F.col("db_symbol").alias("symbol")), known, self.now).write.mode("overwrite").parquet(path)
+        every = known.unionByName(self.spark.read.schema(known.schema).parquet(path))
+        rows = valid.join(every.select(F.col("symbol").alias("db_symbol"), F.col("id").alias("symbol_id")), "db_symbol").select(
+            *M.PRICE_KEY, *[c for c in M.PRICE_FIELDS if c != "market_cap"], "arrival")
+        newest = M.first_per_key(rows, M.PRICE_KEY, ["arrival", *[c for c in M.PRICE_FIELDS if c != "market_cap"]], newest=True)
+        self.prices(newest, epoch_id)
+
+    def table(self) -> DataFrame | None:
+        return self.prices.table()
+
+
+def ticker_document_stream(spark: SparkSession, landing: str, files_per_batch: int = 1) -> DataFrame:
+    """Landed ticker documents with their arrival."""
+    return documents_with_arrival(spark, landing, files_per_batch)
 
 
 # --------------------------------------------------------------------------- T6 incremental EMA / RSI
@@ -312,10 +408,12 @@ class EmaProcessor(StatefulProcessor):
         st = dict(zip(EMA_FIELDS, got)) if got is not None else dict(
             n=0, last_ms=None, e12=None, e26=None, prev=None, gs=0.0, ls=0.0, ag=None, al=None, pend_ms=[], pend_close=[])
         waiting = dict(zip(st["pend_ms"], st["pend_close"]))
+        arrived: dict[int, float] = {}
         for pdf in pdfs:
             for m, c in zip(pdf["t_stamp"].astype("datetime64[ms]").astype("int64").tolist(), pdf["close"].tolist()):
-                if st["last_ms"] is None or m > st["last_ms"]:
-                    waiting[m] = c
+                if (st["last_ms"] is None or m > st["last_ms"]) and m not in waiting:
+                    arrived[m] = min(c, arrived.get(m, c))  # two bars of one time in a batch have no order: the lower close
+        waiting.update(arrived)
         rows = []
         for m in sorted(m for m in waiting if m <= watermark):
             rows.append((key[0], key[1], pd.Timestamp(m, unit="ms"), *_ema_step(st, waiting.pop(m))))
