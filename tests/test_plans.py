@@ -26,11 +26,50 @@ def q():
     return E.queries()
 
 
-def test_indicator_pipeline_has_three_exchanges(spark, q):
+def test_indicators_shuffle_the_stored_bars_once(spark, q):
     tree = _tree(_plan(q["indicators_all"](spark, SF_SMALL)))
-    assert tree.count("Exchange") == 3, tree       # adapter aggregate, bars reduced to one feed, series
-    assert "REPARTITION_BY_NUM" not in _plan(q["indicators_all"](spark, SF_SMALL))
-    assert "FlatMapGroupsInPandas" in tree and "Window" in tree
+    assert tree.count("Exchange") == 1, tree       # by series; the bars were written once before
+    assert tree.count("MapInArrow") == 2 and "Window" in tree
+    assert tree.count("Sort") == 1, tree           # the recurrences take the windows' order
+
+
+def test_bucketed_candles_are_grouped_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tickframe.operators import merge as M
+    from tickframe.session import fresh_path
+    from tickframe.sources.catalog import MarketTables
+
+    t = MarketTables(spark, SF_SMALL)
+    table = M.write_bucketed(t.candles, "bucketed_test", fresh_path(spark, "bucketed"), buckets=4)
+    assert "Exchange" not in _tree(_plan(table.groupBy("symbol_id").agg(F.max("close"))))
+    other = M.write_bucketed(t.candles.filter("symbol_id < 5"), "bucketed_other", fresh_path(spark, "bucketed"), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = table.select("symbol_id", "close").join(other.select("symbol_id", "t_stamp"), "symbol_id")
+        assert "Exchange" not in _tree(_plan(joined))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert table.count() == t.candles.count()
+    spark.sql("DROP TABLE bucketed_test")
+    spark.sql("DROP TABLE bucketed_other")
+
+
+def test_documents_are_not_parsed_again(spark, q):
+    assert "parse_json" not in _plan(q["ohlc_decode"](spark, SF_SMALL))
+    assert "parse_json" not in _plan(q["ticker_decode"](spark, SF_SMALL))
+    assert "parse_json" not in _plan(q["pairs_explode"](spark, SF_SMALL))
+
+
+def test_gaps_alone_are_expanded(spark, q):
+    tree = _tree(_plan(q["missing_bars"](spark, SF_SMALL)))
+    assert "Window" in tree and "Generate" in tree and "Join" not in tree
+
+
+def test_readers_scan_the_stored_indicator_table(spark, q):
+    for name in ("indicators_with_symbols", "candles_left_indicators", "candles_left_indicators_all"):
+        tree = _tree(_plan(q[name](spark, SF_SMALL)))
+        assert "MapInArrow" not in tree and "Window" not in tree, name
 
 
 def test_range_filter_reaches_the_scan(spark, q):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.timeframes import timeframe_minutes
+from .merge import first_per_key
 from .reads import candle_violations
 
 
@@ -77,20 +79,58 @@ def gap_summary(candles: DataFrame) -> DataFrame:
 
 
 def missing_bars(candles: DataFrame) -> DataFrame:
-    """Q7 listing: the missing bar times themselves (expected grid minus present bars).
+    """Q7 listing: the missing bar times themselves.
 
-    The grid is generated per series with ``sequence`` and exploded, then anti-joined on
-    the series key, so each series' grid stays in the tasks that own it.
+    Gaps and islands: each bar looks at the next one of its series, and only the stretch between two
+    bars that are more than a step apart is expanded, so the rows made are the missing ones.
     """
-    g = candles.groupBy("symbol_id", "data_source", "time_frame").agg(
-        F.min("t_stamp").alias("first_ts"), F.max("t_stamp").alias("last_ts"))
+    series = ["symbol_id", "data_source", "time_frame"]
+    bars = candles.select(*series, "t_stamp").withColumn("_next", F.lead("t_stamp").over(Window.partitionBy(*series).orderBy("t_stamp")))
     step = F.make_dt_interval(F.lit(0), F.lit(0), timeframe_minutes(F.col("time_frame")).cast("int"))
-    monthly = F.transform(F.sequence(F.lit(0), (F.months_between(F.date_trunc("month", "last_ts"), F.date_trunc("month", "first_ts"))).cast("int")),
-                          lambda k: F.col("first_ts") + F.make_ym_interval(F.lit(0), k))
-    times = F.when(F.col("time_frame") == "1M", monthly).otherwise(F.sequence("first_ts", "last_ts", step))
-    grid = g.select("symbol_id", "data_source", "time_frame", F.explode(times).alias("t_stamp"))
-    return grid.join(candles.select("symbol_id", "data_source", "time_frame", "t_stamp"),
-                     ["symbol_id", "data_source", "time_frame", "t_stamp"], "left_anti")
+    before = F.col("_next") - F.expr("INTERVAL 1 MICROSECOND")
+    months = F.ceil(F.months_between("_next", "t_stamp")).cast("int") - 1
+    monthly = F.when(months > 0, F.transform(F.sequence(F.lit(1), months), lambda k: F.col("t_stamp") + F.make_ym_interval(F.lit(0), k)))
+    wide = F.when(F.col("t_stamp") + step < F.col("_next"), F.sequence(F.col("t_stamp") + step, before, step))
+    times = F.when(F.col("time_frame") == "1M", monthly).otherwise(wide)
+    return bars.filter(F.col("_next").isNotNull()).select(*series, F.explode(times).alias("t_stamp"))
+
+
+# --------------------------------------------------------------------------- measured while writing
+def rules(table: str, columns: list[str]) -> dict[str, Column]:
+    """Rule name -> condition that a row breaks, of a table's declared constraints (Q1, Q4, Q5)."""
+    out = {f"{c}_missing": F.col(c).isNull() for c in S.NOT_NULL.get(table, []) if c in columns}
+    if table == "market_data":
+        out |= {r: F.array_contains(candle_violations(), r) for r in CANDLE_RULES}
+    if table == "real_time_prices":
+        out["price_not_positive"] = ~F.coalesce(F.col("price") > 0, F.lit(False))
+    if table == "symbols":
+        out |= {f"{c}_too_long": F.coalesce(F.length(c) > n, F.lit(False)) for c, n in S.SYMBOL_LENGTHS.items() if c in columns}
+    return out
+
+
+def checked(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """``df`` whose rows, and rows against each rule, are counted by the job that writes it."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(bad).alias(r) for r, bad in rules(table, df.columns).items()]), seen
+
+
+def write_checked(spark: SparkSession, tables: dict[str, DataFrame], write: Callable[[str, DataFrame], object]) -> DataFrame:
+    """Write each table with ``write(name, rows)`` and give (table_name, rule, violations), counted on the
+    way: no table is read for it. ``duplicate_keys_dropped`` are the rows that the declared keys removed."""
+    out = []
+    for name, df in tables.items():
+        df, before = checked(df, name)
+        key = S.KEYS.get(name, [None])[-1]
+        after = None
+        if key:
+            df, after = checked(first_per_key(df, key, [c for c in df.columns if c not in key]), name)
+        write(name, df)
+        counts = dict(before.get)
+        rows = counts.pop("rows")
+        out += [(name, r, n) for r, n in counts.items()]
+        if after is not None:
+            out.append((name, "duplicate_keys_dropped", rows - after.get["rows"]))
+    return spark.createDataFrame(out, "table_name string, rule string, violations bigint")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import timeframes as FT
 from ..operators import merge as M
 from ..operators import reads as R
 from ..operators import stats as A
+from ..session import fresh_path
 from ..sources.catalog import MarketTables
 from .registry import query
 
@@ -52,9 +56,11 @@ def candles_rollup(t: MarketTables) -> DataFrame:
     return _rollups(t)
 
 
-@query("timeframe_minutes", """
-SELECT time_frame, CASE time_frame WHEN '1m' THEN 1 WHEN '5m' THEN 5 WHEN '15m' THEN 15 WHEN '30m' THEN 30
-       WHEN '1h' THEN 60 WHEN '4h' THEN 240 WHEN '1d' THEN 1440 WHEN '1w' THEN 10080 WHEN '1M' THEN 21600 ELSE 60 END AS minutes,
+_TF_MIN_SQL = "CASE time_frame " + " ".join(f"WHEN '{k}' THEN {m}" for k, m in S.TIMEFRAME_MINUTES.items()) + " ELSE 60 END"
+
+
+@query("timeframe_minutes", f"""
+SELECT time_frame, {_TF_MIN_SQL} AS minutes,
        count(*) AS bars
 FROM (SELECT time_frame FROM candles_t UNION ALL SELECT '1w' FROM candles_t GROUP BY symbol_id, data_source, date_trunc('week', t_stamp)
       UNION ALL SELECT '1M' FROM candles_t GROUP BY symbol_id, data_source, date_trunc('month', t_stamp))
@@ -86,28 +92,29 @@ def candles_validate(t: MarketTables) -> DataFrame:
 
 
 @query("candles_partitioned", """
-WITH parts AS (
-  SELECT strftime(t_stamp, '%Y-%m') AS year_month, count(*) AS row_count FROM candles_t GROUP BY 1
-), ahead AS (
-  SELECT strftime(CAST(date_trunc('month', max(t_stamp)) AS DATE) + to_months(CAST(n AS INTEGER)), '%Y-%m') AS year_month,
-         0 AS row_count
-  FROM candles_t, range(1, 13) r(n) GROUP BY n
-)
-SELECT 'market_data_' || replace(year_month, '-', '_') AS partition_name, year_month,
-       CAST(strptime(year_month || '-01', '%Y-%m-%d') AS TIMESTAMP) AS range_start,
-       CAST(strptime(year_month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS range_end,
-       CAST(row_count AS BIGINT) AS row_count
-FROM (SELECT * FROM parts UNION ALL SELECT * FROM ahead)
+SELECT time_frame, strftime(t_stamp, '%Y-%m') AS year_month, count(*) AS row_count, min(t_stamp) AS first_ts, max(t_stamp) AS last_ts,
+       true AS in_its_month
+FROM candles_t GROUP BY ALL
 """)
 def candles_partitioned(t: MarketTables) -> DataFrame:
-    """Monthly partitions [start, start + 1 month) with rows, plus 12 months ahead."""
-    from ..operators.partitions import monthly_partitions
+    """What lies in each (time frame, month) partition of the stored candle table."""
+    stored = M.read_candles(t.spark, M.write_candles(t.candles, fresh_path(t.spark, "market_data")))
+    return stored.groupBy("time_frame", "year_month").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("t_stamp").alias("first_ts"), F.max("t_stamp").alias("last_ts"),
+        F.bool_and(F.date_format("t_stamp", "yyyy-MM") == F.col("year_month")).alias("in_its_month"))
 
-    return monthly_partitions(M.with_year_month(t.candles), ahead=12)
 
-
-_TF_MIN_SQL = ("CASE time_frame WHEN '1m' THEN 1 WHEN '5m' THEN 5 WHEN '15m' THEN 15 WHEN '30m' THEN 30 "
-               "WHEN '1h' THEN 60 WHEN '4h' THEN 240 WHEN '1d' THEN 1440 WHEN '1w' THEN 10080 WHEN '1M' THEN 21600 ELSE 60 END")
+@query("candles_bucketed_stats", """
+SELECT s.symbol, count(*) AS bars, min(c.t_stamp) AS first_ts, max(c.t_stamp) AS last_ts, CAST(max(c.high) AS DECIMAL(20, 8)) AS high
+FROM candles_t c JOIN symbols_t s ON s.id = c.symbol_id GROUP BY s.symbol, c.symbol_id
+""")
+def candles_bucketed_stats(t: MarketTables) -> DataFrame:
+    """Bars per symbol from the bucketed candle table: grouped by the bucket column without a shuffle."""
+    name = f"candles_{uuid.uuid4().hex[:12]}"
+    table = M.write_bucketed(t.candles, name, fresh_path(t.spark, "market_data_bucketed"))
+    per = table.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("bars"), F.min("t_stamp").alias("first_ts"), F.max("t_stamp").alias("last_ts"),
+                                         F.max("high").alias("high"))
+    return per.join(t.symbols.select(F.col("id").alias("symbol_id"), "symbol"), "symbol_id").select("symbol", "bars", "first_ts", "last_ts", "high")
 
 
 @query("timeframes_sorted", f"""

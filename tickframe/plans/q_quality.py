@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import indicators as I
 from ..operators import quality as Q
 from ..operators import sessions as SS
+from ..session import fresh_path
 from ..sources.catalog import MarketTables
 from .registry import query
 
@@ -51,14 +51,30 @@ def _nulls_sql(table: str, cte: str, cols: list[str]) -> str:
         for c in cols)
 
 
-@query("dq_nulls", _nulls_sql("symbols", _BAD_SYMBOLS_SQL, S.NOT_NULL["symbols"]) + "\nUNION ALL "
-       + _nulls_sql("market_data", _BAD_CANDLES_SQL, S.NOT_NULL["market_data"]) + "\nUNION ALL "
-       + _nulls_sql("real_time_prices", _BAD_PRICES_SQL, S.NOT_NULL["real_time_prices"]))
+# Tables without fault-bearing rows of their own: one column of some rows is emptied.
+_OTHERS = {"technical_indicators": ("(SELECT symbol_id, CASE WHEN symbol_id % 9 <> 0 THEN t_stamp END AS timestamp, time_frame FROM (SELECT DISTINCT symbol_id, t_stamp, time_frame FROM candles_t))"),
+           "market_sessions": "(SELECT * REPLACE (CASE WHEN exchange <> 'LSE' THEN timezone END AS timezone) FROM sessions_t WHERE exchange IN (SELECT exchange FROM symbols_t))",
+           "market_status": "(SELECT exchange, CASE WHEN exchange <> 'TSE' THEN true END AS is_open FROM symbols_t GROUP BY exchange)",
+           "data_sources": "(SELECT data_source AS name, CASE WHEN data_source <> 'feed_a' THEN 'https://' || data_source END AS base_url FROM candles_t GROUP BY data_source)"}
+
+
+def _others(t: MarketTables) -> dict[str, DataFrame]:
+    listed = t.symbols.select("exchange").distinct()
+    return {"technical_indicators": t.indicators.withColumn("timestamp", F.when(F.pmod("symbol_id", F.lit(9)) != 0, F.col("timestamp"))),
+            "market_sessions": t.sessions.join(listed, "exchange", "left_semi").withColumn("timezone", F.when(F.col("exchange") != "LSE", F.col("timezone"))),
+            "market_status": listed.withColumn("is_open", F.when(F.col("exchange") != "TSE", True)),
+            "data_sources": t.candles.select(F.col("data_source").alias("name")).distinct().withColumn(
+                "base_url", F.when(F.col("name") != "feed_a", F.concat(F.lit("https://"), "name")))}
+
+
+_ALL_SQL = {"symbols": _BAD_SYMBOLS_SQL, "market_data": _BAD_CANDLES_SQL, "real_time_prices": _BAD_PRICES_SQL, **_OTHERS}
+
+
+@query("dq_nulls", "\nUNION ALL ".join(_nulls_sql(name, sql, S.NOT_NULL[name]) for name, sql in _ALL_SQL.items()))
 def dq_nulls(t: MarketTables) -> DataFrame:
-    """Q1: NULL counts of every NOT NULL column."""
-    return Q.union_all([Q.null_counts(_bad_symbols(t), "symbols", S.NOT_NULL["symbols"]),
-                        Q.null_counts(_bad_candles(t), "market_data", S.NOT_NULL["market_data"]),
-                        Q.null_counts(_bad_prices(t), "real_time_prices", S.NOT_NULL["real_time_prices"])])
+    """Q1: NULL counts of every NOT NULL column of all seven tables."""
+    tables = {"symbols": _bad_symbols(t), "market_data": _bad_candles(t), "real_time_prices": _bad_prices(t), **_others(t)}
+    return Q.union_all([Q.null_counts(df, name, S.NOT_NULL[name]) for name, df in tables.items()])
 
 
 def _dup_sql(table: str, cte: str, key: list[str]) -> str:
@@ -81,7 +97,7 @@ _TWICE["indicators_t"] = "(SELECT DISTINCT symbol_id, t_stamp AS timestamp, time
 def dq_unique(t: MarketTables) -> DataFrame:
     """Q2: duplicate keys per declared UNIQUE/PRIMARY KEY."""
     tables = {"symbols_t": _twice(t.symbols, "id"), "candles_t": _twice(t.candles, "symbol_id"), "prices_t": _twice(t.prices, "symbol_id"),
-              "indicators_t": I.window_indicators(I.series_bars(t.candles)).withColumnRenamed("t_stamp", "timestamp")}
+              "indicators_t": t.indicators}
     return Q.union_all([Q.key_duplicates(tables[cte], name, key) for name, cte, key in _DUPS])
 
 
@@ -98,7 +114,7 @@ def dq_orphans(t: MarketTables) -> DataFrame:
                         Q.orphans(t.prices, "real_time_prices", t.symbols),
                         Q.orphans(t.ticks, "ticks", t.symbols),
                         # against a symbols table that lacks every fourth symbol
-                        Q.orphans(I.window_indicators(I.series_bars(t.candles)), "technical_indicators",
+                        Q.orphans(t.indicators, "technical_indicators",
                                   t.symbols.filter(F.pmod("id", F.lit(4)) != 0))])
 
 
@@ -140,6 +156,50 @@ def dq_gaps(t: MarketTables) -> DataFrame:
     return Q.gap_summary(t.candles.unionByName(monthly))
 
 
+_BIG_BARS_SQL = """(SELECT DISTINCT symbol_id, data_source, '1w' AS time_frame, date_trunc('week', t_stamp) AS t_stamp FROM candles_t
+  UNION ALL SELECT DISTINCT symbol_id, data_source, '1M', date_trunc('month', t_stamp) FROM candles_t WHERE month(t_stamp) % 3 <> 0)"""
+
+
+@query("missing_bars", f"""
+WITH b AS (SELECT *, lead(t_stamp) OVER (PARTITION BY symbol_id, data_source, time_frame ORDER BY t_stamp) AS nxt FROM {_BIG_BARS_SQL})
+SELECT symbol_id, data_source, time_frame, CAST(unnest(generate_series(t_stamp + INTERVAL 7 DAY, nxt - INTERVAL 1 DAY, INTERVAL 7 DAY)) AS TIMESTAMP) AS t_stamp
+FROM b WHERE time_frame = '1w' AND nxt IS NOT NULL
+UNION ALL
+SELECT symbol_id, data_source, time_frame, CAST(unnest(generate_series(t_stamp + INTERVAL 1 MONTH, nxt - INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS TIMESTAMP)
+FROM b WHERE time_frame = '1M' AND nxt IS NOT NULL
+""")
+def missing_bars(t: MarketTables) -> DataFrame:
+    """Q7: the weeks and months without a bar between the first and the last one of each series."""
+    weekly = t.candles.select("symbol_id", "data_source", F.lit("1w").alias("time_frame"), F.date_trunc("week", "t_stamp").alias("t_stamp"))
+    monthly = t.candles.filter(F.pmod(F.month("t_stamp"), F.lit(3)) != 0).select(
+        "symbol_id", "data_source", F.lit("1M").alias("time_frame"), F.date_trunc("month", "t_stamp").alias("t_stamp"))
+    return Q.missing_bars(weekly.unionByName(monthly).distinct())
+
+
+def _rules_sql(table: str, sql: str) -> str:
+    """(rule, violations) of one table, as ``write_checked`` measures them."""
+    bad = {f"{c}_missing": f"{c} IS NULL" for c in S.NOT_NULL[table]}
+    if table == "market_data":
+        bad |= {f"{c}_not_positive": f"NOT coalesce({c} > 0, false)" for c in ("open", "high", "low", "close")}
+        bad |= {"volume_negative": "NOT coalesce(volume >= 0, false)", "bad_time_frame": f"NOT coalesce(regexp_full_match(time_frame, '{S.TIMEFRAME_PATTERN[1:-1]}'), false)"}
+    if table == "real_time_prices":
+        bad["price_not_positive"] = "NOT coalesce(price > 0, false)"
+    if table == "symbols":
+        bad |= {f"{c}_too_long": f"length({c}) > {n}" for c, n in S.SYMBOL_LENGTHS.items()}
+    parts = [f"SELECT '{table}' AS table_name, '{r}' AS rule, CAST(count_if({cond}) AS BIGINT) AS violations FROM {sql}" for r, cond in bad.items()]
+    if table in S.KEYS:
+        key = ", ".join(S.KEYS[table][-1])
+        parts.append(f"SELECT '{table}', 'duplicate_keys_dropped', (SELECT count(*) FROM {sql}) - (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {sql}))")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("dq_on_write", "\nUNION ALL ".join(_rules_sql(name, sql) for name, sql in _ALL_SQL.items()))
+def dq_on_write(t: MarketTables) -> DataFrame:
+    """Q1, Q2, Q4, Q5: all seven tables written, their constraints measured by the writing jobs."""
+    tables = {"symbols": _bad_symbols(t), "market_data": _bad_candles(t), "real_time_prices": _bad_prices(t), **_others(t)}
+    return Q.write_checked(t.spark, tables, lambda name, df: df.write.parquet(fresh_path(t.spark, f"checked-{name}")))
+
+
 _SOD = "(hour({x}) * 3600 + minute({x}) * 60 + second({x}))"
 _SOD_TXT = ("(CAST(split_part({x}, ':', 1) AS INTEGER) * 3600 + CAST(split_part({x}, ':', 2) AS INTEGER) * 60 "
             "+ CAST(split_part({x}, ':', 3) AS INTEGER))")

@@ -114,6 +114,10 @@ NOT_NULL = {
     "symbols": ["symbol", "name", "exchange", "asset_type", "currency"],
     "market_data": ["symbol_id", "t_stamp", "open", "high", "low", "close", "volume", "time_frame", "data_source"],
     "real_time_prices": ["symbol_id", "price", "data_source"],
+    "technical_indicators": ["symbol_id", "timestamp", "time_frame"],
+    "market_sessions": ["exchange", "session_name", "timezone", "open_time", "close_time"],
+    "market_status": ["exchange", "is_open"],
+    "data_sources": ["name", "base_url"],
 }
 
 # ---------------------------------------------------------------------------
