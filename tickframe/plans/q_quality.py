@@ -285,3 +285,9 @@ def market_status_stored(t: MarketTables) -> DataFrame:
 def market_status_exchange(t: MarketTables) -> DataFrame:
     """One exchange of the stored market_status table."""
     return _stored_status(t).filter(F.col("exchange") == "XETRA")
+
+
+@query("market_status_traded", _STORED_STATUS + " WHERE exchange = 'NYSE'")
+def market_status_traded(t: MarketTables) -> DataFrame:
+    """One exchange whose stored status comes from its ticks."""
+    return _stored_status(t).filter(F.col("exchange") == "NYSE")

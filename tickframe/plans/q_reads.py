@@ -80,6 +80,16 @@ def page_overlap(t: MarketTables) -> DataFrame:
     return p1.intersect(p2)
 
 
+@query("page_overlap_shifted", """
+(SELECT id, symbol FROM symbols_t ORDER BY symbol, id LIMIT 6 OFFSET 0)
+INTERSECT
+(SELECT id, symbol FROM symbols_t ORDER BY symbol, id LIMIT 6 OFFSET 4)
+""")
+def page_overlap_shifted(t: MarketTables) -> DataFrame:
+    """Set op: pages that begin before the last one has ended share its last rows."""
+    return R.symbols_page(t.symbols, 6, 0).select("id", "symbol").intersect(R.symbols_page(t.symbols, 6, 4).select("id", "symbol"))
+
+
 @query("candles_latest", f"""
 SELECT md.{CANDLE_COLS.replace(', ', ', md.')}, s.symbol, s.name
 FROM candles_t md JOIN symbols_t s ON md.symbol_id = s.id
