@@ -23,7 +23,7 @@ class FirstTag(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "html" and self.lang is None:
             m = re.match(r"\s*([A-Za-z]{2,3})(?![A-Za-z0-9])", next((v or "" for k, v in attrs if k == "lang"), ""))
-            self.lang = m[1].lower() if m else ""
+            self.lang = m[1].lower() if m else None
 
 
 def first_tag(page):
@@ -146,9 +146,9 @@ def test_a_late_tag_is_declared():
         assert L.declared(odd) == "" and L.declared(odd + '><html lang="fr">') == "fr"
 
 
-def test_the_first_tags_own_attribute_counts():
+def test_a_tags_own_attribute_counts():
     for page, want in [('<html lang="en" xml:lang="de">', "en"), ('<html lang="en" data-lang="fr">', "en"), ('<html xml:lang="de">', ""),
-                       ('<!-- <html lang="de"> --><html class="a>b" lang=fr>', "fr"), ("<HTML\nLANG = 'es-MX'>", "es"), ('<!doctype html><html><html lang="en">', ""),
+                       ('<!-- <html lang="de"> --><html class="a>b" lang=fr>', "fr"), ("<HTML\nLANG = 'es-MX'>", "es"), ('<!doctype html><html><html lang="en">', "en"),
                        ('<html lang="">', ""), ('<html lang=x>', ""), ('<html data-x=\'lang="de"\' lang="en">', "en"), ("<htmlx lang=de>", ""),
                        ("<!-- <html lang=de>", ""), ("", ""), ('<html lang="en" lang="de">', "en"), ('<html lang="deutsch">', "")]:
         assert L.declared(page) == want, page

@@ -75,8 +75,11 @@ def visible_text(page: str | None) -> str:
 
 
 def declared(page: str | None) -> str:
-    """The language that the first <html> tag outside comments gives in its own ``lang`` attribute (the
-    first one, if it is repeated); "" where there is none. Linear in the page."""
+    """The language that the first <html> tag outside comments with a language in its own ``lang`` attribute
+    (the first one, if it is repeated) gives; "" where there is none. Linear in the page.
+
+    Later <html> tags count where earlier ones tell none, as browsers take their attributes over.
+    """
     page, at = page or "", 0
     while m := OPENING.search(page, at):
         if m[0] == "<!--":
@@ -88,10 +91,10 @@ def declared(page: str | None) -> str:
         at = m.end()
         while (a := ATTRIBUTE.match(page, at)) and a.end() > at:
             if a[1].lower() == "lang":
-                value = LANGUAGE.match(a[2] or a[3] or a[4] or "")
-                return value[1].lower() if value else ""
+                if value := LANGUAGE.match(a[2] or a[3] or a[4] or ""):
+                    return value[1].lower()
+                break
             at = a.end()
-        return ""
     return ""
 
 
