@@ -183,18 +183,13 @@ _register("ind_adx", ["adx"], True, "I10: average directional index.")
 _register("indicators_all", list(S.INDICATOR_COLUMNS), True, "I13: all 22 indicator columns per bar.")
 
 
-def _stored(c: str) -> str:
-    """A column as the stored table has it."""
-    return c if c == "volume_sma_20" else f"CAST({c} AS DECIMAL({'10, 4' if c in S.INDICATOR_D10_4 else '20, 8'})) AS {c}"
-
-
 _IND_SYM_COLS = ", ".join(f"i.{c}" for c in S.INDICATOR_COLUMNS)
 
 
 @query("indicators_with_symbols", indicator_sql(list(S.INDICATOR_COLUMNS), True).replace(
     "\nSELECT symbol_id, t_stamp AS timestamp, time_frame, " + ", ".join(S.INDICATOR_COLUMNS)
     + " FROM wd JOIN ri USING (symbol_id, time_frame, rn)",
-    ",\nind AS (SELECT symbol_id, t_stamp AS timestamp, time_frame, " + ", ".join(map(_stored, S.INDICATOR_COLUMNS))
+    ",\nind AS (SELECT symbol_id, t_stamp AS timestamp, time_frame, " + ", ".join(S.INDICATOR_COLUMNS)
     + " FROM wd JOIN ri USING (symbol_id, time_frame, rn))\n"
     + f"SELECT s.symbol, s.name, s.exchange, i.timestamp, i.time_frame, {_IND_SYM_COLS}, "
     + "TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM ind i JOIN symbols_t s ON i.symbol_id = s.id WHERE s.is_active"))
@@ -204,7 +199,7 @@ def indicators_with_symbols(t: MarketTables) -> DataFrame:
 
 
 _LEFT_SQL = (
-    ",\nind AS (SELECT symbol_id, t_stamp, time_frame, " + ", ".join(map(_stored, ["sma_20", "rsi_14", "macd"]))
+    ",\nind AS (SELECT symbol_id, t_stamp, time_frame, " + ", ".join(["sma_20", "rsi_14", "macd"])
     + " FROM wd JOIN ri USING (symbol_id, time_frame, rn)),\n"
     "every AS (SELECT *, time_frame AS stored_frame FROM ind{more})\n"
     "SELECT s.symbol, c.symbol_id, c.t_stamp AS timestamp, c.time_frame, c.data_source, c.close, i.sma_20, i.rsi_14, i.macd "

@@ -54,17 +54,18 @@ class MarketTables:
 
     @property
     def indicators(self) -> DataFrame:
-        """The technical_indicators table as stored (declared decimals): computed and written once per
-        application and input folder, scanned by every reader after that."""
+        """The stored technical_indicators table: computed and written once per application and input
+        folder, scanned by every reader after that. Values stay doubles here, so that readers see what was
+        computed; ``merge.to_storage`` gives the declared decimals."""
         from ..operators import indicators as I
         from ..operators import merge as M
         from ..session import fresh_path
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in WRITTEN:
-            rows = M.to_storage(I.technical_indicators(self.candles), "technical_indicators")
+            rows = I.technical_indicators(self.candles)
             WRITTEN[key] = M.publish(rows.select(*S.TECHNICAL_INDICATORS.fieldNames()), fresh_path(self.spark, "technical_indicators"))
-        return self.spark.read.schema(M.stored_schema("technical_indicators")).parquet(WRITTEN[key])
+        return self.spark.read.schema(S.TECHNICAL_INDICATORS).parquet(WRITTEN[key])
 
     @cached_property
     def sessions(self) -> DataFrame:
