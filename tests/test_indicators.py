@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tickframe.operators import indicators as I
@@ -180,3 +182,57 @@ def test_block_steps_are_sequential_steps(spark):
             total = total + v if k <= 14 else total
             y = total / 14 if k == 14 else (y * 13 + v) / 14 if k > 14 else None
             assert e[lo + k] == ema and (y is None or w[lo + k] == y)
+
+
+def test_frames_skip_missing_values_and_stay_in_their_series():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    number = np.concatenate([np.arange(1, 61), np.arange(1, 31)])
+    x, ok = rng.random(90) * 100, rng.random(90) > 0.2
+    ok[60:85] = False
+    given, valid = {c: np.where(ok, x, 0.0) for c in ("close", "volume", "_tp")}, {c: ok for c in ("close", "volume", "_tp")}
+    made = I.frame_block(list(I.FRAMES), number, given, valid)
+    for i, n in enumerate(number):
+        for name, (kind, _, size) in I.FRAMES.items():
+            values, missing = made[name]
+            rows = [j for j in range(i - size + 1, i + 1) if j >= 0 and ok[j]]
+            assert missing[i] == (n < size or not rows), (name, i)
+            if missing[i]:
+                continue
+            total = 0.0
+            for j in rows:
+                total += x[j]
+            center = total / (len(rows) if kind in ("mean", "deviation") else size)
+            want = {"mean": center, "share": center, "deviation": math.sqrt(sum((x[j] - center) ** 2 for j in rows) / size),
+                    "distance": sum(abs(x[j] - center) for j in rows) / size}[kind]
+            assert values[i] == pytest.approx(want, rel=1e-12), (name, i)
+            if kind in ("mean", "share"):
+                assert values[i] == want
+
+
+def test_frame_sums_are_not_taken_from_lists_or_windows(spark):
+    """A window adds up all bars of a frame for every row, and an expression in a lambda runs for every element."""
+    import __spark_entry__ as E
+
+    for name in ("ind_cci", "ind_sma", "ind_bollinger", "indicators_all"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "lambda" not in plan and "-199" not in plan, name
+
+
+def test_stored_indicators_belong_to_their_table_set(spark, tmp_path):
+    """A table set over the same folder sees what lies there now."""
+    import shutil
+
+    from tickframe.sources.catalog import MarketTables
+
+    src = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "supplier"):
+        shutil.copy(f"{src}/{name}.parquet", tmp_path)
+    lines = spark.read.parquet(f"{src}/lineitem.parquet")
+    lines.filter("l_suppkey = 1").write.parquet(f"{tmp_path}/lineitem.parquet")
+    one = MarketTables(spark, str(tmp_path))
+    assert {r[0] for r in one.indicators.select("symbol_id").distinct().collect()} == {1}
+    assert one.indicators is one.indicators
+    lines.filter("l_suppkey = 2").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r[0] for r in MarketTables(spark, str(tmp_path)).indicators.select("symbol_id").distinct().collect()} == {2}
