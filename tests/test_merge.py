@@ -363,3 +363,27 @@ def test_ticker_and_pair_documents_get_reasons(spark):
     docs = ["x", {"error": ["E"]}, {"error": [], "result": {"A": {"altname": "a"}, "B": 7}}]
     assert sorted((r.level, r.reason) for r in PL.pair_rejects(raw(docs)).collect()) == [("document", "error"), ("document", "malformed"), ("record", "bad_info")]
     assert [(r.pair, r.altname) for r in PL.decode_pairs(raw(docs)).collect()] == [("A", "a")]
+
+
+def test_first_per_key_carries_each_column_once(spark):
+    """A wide order, as an arrival, is not shuffled beside the row that holds it already."""
+    import re
+
+    df = spark.createDataFrame([(1, "b", 2, None), (1, "a", 5, 1.0), (1, "a", 3, 2.0), (2, None, 1, 7.0), (2, "z", 0, 1.0)], "k int, o string, x int, y double")
+    first = M.first_per_key(df, ["k"], ["o", "x"])
+    assert sorted(map(tuple, first.collect())) == [(1, "a", 3, 2.0), (2, None, 1, 7.0)]
+    last = M.first_per_key(df, ["k"], ["o", "x"], newest=True)
+    assert sorted(map(tuple, last.collect())) == [(1, "b", 2, None), (2, "z", 0, 1.0)]
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"min_by|max_by", plan)
+    maps = df.withColumn("m", F.create_map("o", "x")).filter("o IS NOT NULL")
+    assert {r["m"]["a"] for r in M.first_per_key(maps, ["k"], ["o", "x"]).filter("k = 1").collect()} == {3}
+
+
+def test_quality_queries_aggregate_candles_once(spark):
+    from tickframe.plans import q_quality as QQ
+    from tickframe.sources.catalog import MarketTables
+
+    t = MarketTables(spark, "/root/testdata/sf0.001")
+    plan = QQ.dq_nulls(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan

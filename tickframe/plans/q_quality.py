@@ -73,6 +73,7 @@ _ALL_SQL = {"symbols": _BAD_SYMBOLS_SQL, "market_data": _BAD_CANDLES_SQL, "real_
 @query("dq_nulls", "\nUNION ALL ".join(_nulls_sql(name, sql, S.NOT_NULL[name]) for name, sql in _ALL_SQL.items()))
 def dq_nulls(t: MarketTables) -> DataFrame:
     """Q1: NULL counts of every NOT NULL column of all seven tables."""
+    t.store_candles()
     tables = {"symbols": _bad_symbols(t), "market_data": _bad_candles(t), "real_time_prices": _bad_prices(t), **_others(t)}
     return Q.union_all([Q.null_counts(df, name, S.NOT_NULL[name]) for name, df in tables.items()])
 
@@ -96,6 +97,7 @@ _TWICE["indicators_t"] = "(SELECT DISTINCT symbol_id, t_stamp AS timestamp, time
 @query("dq_unique", "\nUNION ALL ".join(_dup_sql(name, _TWICE[cte], key) for name, cte, key in _DUPS))
 def dq_unique(t: MarketTables) -> DataFrame:
     """Q2: duplicate keys per declared UNIQUE/PRIMARY KEY."""
+    t.store_candles()
     tables = {"symbols_t": _twice(t.symbols, "id"), "candles_t": _twice(t.candles, "symbol_id"), "prices_t": _twice(t.prices, "symbol_id"),
               "indicators_t": t.indicators}
     return Q.union_all([Q.key_duplicates(tables[cte], name, key) for name, cte, key in _DUPS])
@@ -196,6 +198,7 @@ def _rules_sql(table: str, sql: str) -> str:
 @query("dq_on_write", "\nUNION ALL ".join(_rules_sql(name, sql) for name, sql in _ALL_SQL.items()))
 def dq_on_write(t: MarketTables) -> DataFrame:
     """Q1, Q2, Q4, Q5: all seven tables written, their constraints measured by the writing jobs."""
+    t.store_candles()
     tables = {"symbols": _bad_symbols(t), "market_data": _bad_candles(t), "real_time_prices": _bad_prices(t), **_others(t)}
     return Q.write_checked(t.spark, tables, lambda name, df: df.write.parquet(fresh_path(t.spark, f"checked-{name}")))
 
