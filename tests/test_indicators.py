@@ -192,7 +192,8 @@ def test_frames_skip_missing_values_and_stay_in_their_series():
     x, ok = rng.random(90) * 100, rng.random(90) > 0.2
     ok[60:85] = False
     given, valid = {c: np.where(ok, x, 0.0) for c in ("close", "volume", "_tp")}, {c: ok for c in ("close", "volume", "_tp")}
-    made = I.frame_block(list(I.FRAMES), number, given, valid)
+    opens = number == 1
+    made = I.frame_block(list(I.FRAMES), number, opens, given, valid)
     for i, n in enumerate(number):
         for name, (kind, _, size) in I.FRAMES.items():
             values, missing = made[name]
@@ -211,6 +212,17 @@ def test_frames_skip_missing_values_and_stay_in_their_series():
                 assert values[i] == want
 
 
+def test_frames_end_where_a_chunk_begins():
+    import numpy as np
+
+    x, yes = np.arange(1.0, 51.0), np.ones(50, dtype=bool)
+    opens = np.isin(np.arange(50), (0, 25))
+    number = np.arange(2, 52)  # the first bar lacks
+    mean, missing = I.frame_block(["sma_20"], number, opens, {"close": x}, {"close": yes})["sma_20"]
+    assert list(missing) == [n < 20 for n in number]
+    assert mean[18] == sum(x[:19]) / 19 and mean[25] == x[25] and mean[49] == sum(x[30:]) / 20
+
+
 def test_frame_sums_are_not_taken_from_lists_or_windows(spark):
     """A window adds up all bars of a frame for every row, and an expression in a lambda runs for every element."""
     import __spark_entry__ as E

@@ -370,12 +370,14 @@ def test_first_per_key_carries_each_column_once(spark):
     import re
 
     df = spark.createDataFrame([(1, "b", 2, None), (1, "a", 5, 1.0), (1, "a", 3, 2.0), (2, None, 1, 7.0), (2, "z", 0, 1.0)], "k int, o string, x int, y double")
-    first = M.first_per_key(df, ["k"], ["o", "x"])
+    first = M.first_per_key(df, ["k"], ["o", "x", "y"])
     assert sorted(map(tuple, first.collect())) == [(1, "a", 3, 2.0), (2, None, 1, 7.0)]
-    last = M.first_per_key(df, ["k"], ["o", "x"], newest=True)
+    last = M.first_per_key(df, ["k"], ["o", "x", "y"], newest=True)
     assert sorted(map(tuple, last.collect())) == [(1, "b", 2, None), (2, "z", 0, 1.0)]
     plan = first._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"min_by|max_by", plan)
+    less = M.first_per_key(df, ["k"], ["o", "x"], drop=["o", "x"])
+    assert less.columns == ["k", "y"] and sorted(map(tuple, less.collect())) == [(1, 2.0), (2, 7.0)]
     maps = df.withColumn("m", F.create_map("o", "x")).filter("o IS NOT NULL")
     assert {r["m"]["a"] for r in M.first_per_key(maps, ["k"], ["o", "x"]).filter("k = 1").collect()} == {3}
 
