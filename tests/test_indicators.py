@@ -248,3 +248,14 @@ def test_stored_indicators_belong_to_their_table_set(spark, tmp_path):
     assert one.indicators is one.indicators
     lines.filter("l_suppkey = 2").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     assert {r[0] for r in MarketTables(spark, str(tmp_path)).indicators.select("symbol_id").distinct().collect()} == {2}
+
+
+def test_chunks_of_a_series_with_a_bar_without_time(spark):
+    """The bar without a time gets the first number and then falls out; the others keep theirs."""
+    rows = [(7, "1d", None if i == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(days=i), "s", *[50.0 + i % 7] * 4, 10 + i) for i in range(60)]
+    bars = I.series_bars(spark.createDataFrame(rows, "symbol_id int, time_frame string, t_stamp timestamp, data_source string, "
+                                                     "open double, high double, low double, close double, volume bigint"))
+    got = {r["t_stamp"]: r["volume_sma_20"] for r in I.all_indicators(bars, chunk_bars=16).collect()}
+    at = lambda i: got[dt.datetime(2024, 1, 1) + dt.timedelta(days=i)]
+    assert len(got) == 59 and at(18) is None and at(30) == round(sum(10 + i for i in range(11, 31)) / 20)
+    assert at(19) == 20  # nineteen bars, of 11 to 29
