@@ -175,7 +175,8 @@ def missing_bars(t: MarketTables) -> DataFrame:
     weekly = t.candles.select("symbol_id", "data_source", F.lit("1w").alias("time_frame"), F.date_trunc("week", "t_stamp").alias("t_stamp"))
     monthly = t.candles.filter(F.pmod(F.month("t_stamp"), F.lit(3)) != 0).select(
         "symbol_id", "data_source", F.lit("1M").alias("time_frame"), F.date_trunc("month", "t_stamp").alias("t_stamp"))
-    return Q.missing_bars(weekly.unionByName(monthly).distinct())
+    # the time frames share no row, so each is made distinct by itself: that merges with the candles' own grouping
+    return Q.missing_bars(weekly.distinct().unionByName(monthly.distinct()))
 
 
 def _rules_sql(table: str, sql: str) -> str:
