@@ -195,3 +195,34 @@ def test_streamed_tickers_retry_gives_the_same_ids(spark):
     sink(batch(1, doc("EEE", 4), doc("BBB", 3)), 1)
     assert sorted((r.symbol_id, r.price) for r in sink.table().collect()) == once == [(4, 1.0), (5, 3.0), (6, 4.0)]
     assert {r.symbol: r.id for r in sink.known().collect()} == {"AAA": 4, "BBB": 5, "EEE": 6}
+
+
+def test_ema_keeps_the_series_of_a_block_apart():
+    import pandas as pd
+
+    class Value:
+        row = None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    p = ST.EmaProcessor()
+    p.init(Handle())
+    bars = pd.DataFrame({"symbol_id": [7, 8, 7], "t_stamp": pd.to_datetime([2000, 1000, 1000], unit="ms"), "close": [20.0, 5.0, 10.0]})
+    assert list(p._run((0, "1d"), [bars], 0)) == [] and Handle.timers == [1000]   # all wait
+    out = pd.concat(p._run((0, "1d"), [], 1000))
+    assert sorted(zip(out.symbol_id, out.ema_12)) == [(7, 10.0), (8, 5.0)]
+    out = pd.concat(p._run((0, "1d"), [bars], 2000))                               # sent again: known times are dropped
+    assert out.symbol_id.tolist() == [7] and abs(out.ema_12[0] - (10.0 + 2 / 13 * 10.0)) < 1e-12

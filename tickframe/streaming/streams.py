@@ -44,13 +44,12 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str =
     files (tasks), so arrival order follows event time as in a live feed. A stream that reads
     ``files`` files per trigger takes one delivery at a time, each file in its own task.
     """
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # computed once, re-read per chunk
+    src = M.staged(df, "deliveries")  # computed once, re-read per chunk
     lo, hi = src.agg(F.min(ts_col), F.max(ts_col)).first()
     if lo is None:  # nothing to deliver: land one empty file so the folder and schema exist
         empty = src.limit(0)
         (empty.select("value").write.mode("append").text(path) if fmt == "text"
          else empty.write.mode("append").parquet(path))
-        src.unpersist()
         return path
     span = (hi - lo) / chunks
     for i in range(chunks):
@@ -63,7 +62,6 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str =
             part.select("value").repartition(files).write.mode("append").text(path)
         else:
             part.repartition(files).write.mode("append").parquet(path)
-    src.unpersist()
     return path
 
 
@@ -354,9 +352,13 @@ def ticker_document_stream(spark: SparkSession, landing: str, files_per_batch: i
 
 
 # --------------------------------------------------------------------------- T6 incremental EMA / RSI
-EMA_STATE = ("n long, last_ms long, e12 double, e26 double, prev double, gs double, ls double, ag double, al double, "
-             "pend_ms array<long>, pend_close array<double>")
-EMA_FIELDS = [f.split()[0] for f in EMA_STATE.split(", ")]
+#: Symbols of neighbouring ids whose series of one time frame share a state row and a call into Python, each of
+#: which costs far more than the bars of one series in a batch.
+EMA_BLOCK = 64
+EMA_RUNNING = "n long, last_ms long, e12 double, e26 double, prev double, gs double, ls double, ag double, al double"
+EMA_FIELDS = [f.split()[0] for f in EMA_RUNNING.split(", ")]
+EMA_STATE = ("symbol_id array<int>, " + ", ".join("{} array<{}>".format(*f.split()) for f in EMA_RUNNING.split(", "))
+             + ", pend_id array<int>, pend_ms array<long>, pend_close array<double>")
 EMA_OUT = "symbol_id int, time_frame string, t_stamp timestamp, ema_12 double, ema_26 double, rsi_14 double"
 
 
@@ -391,9 +393,9 @@ def _ema_step(st: dict, close: float) -> tuple[float, float, float | None]:
 
 
 class EmaProcessor(StatefulProcessor):
-    """Per series: bars wait until the watermark passes them and are then released in time order.
-    Running values and waiting bars (those of one watermark delay) are one state row, read and
-    written once per series and batch. Bars at or below the watermark never reach it: Spark drops
+    """Per block of series: bars wait until the watermark passes them and are then released, each series in
+    time order. A block's running values and waiting bars (those of one watermark delay) are one state row,
+    read and written once per block and batch. Bars at or below the watermark never reach it: Spark drops
     them and counts them (``WatermarkDrops``)."""
 
     def init(self, handle) -> None:
@@ -403,29 +405,42 @@ class EmaProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _run(self, key, pdfs, watermark: int):
+    def _state(self) -> tuple[dict, dict]:
+        """Running values, and waiting bars (time -> close), of each series of the block."""
+        running: dict[int | None, dict] = {}
+        waiting: dict[int | None, dict[int, float]] = defaultdict(dict)
         got = self.values.get()
-        st = dict(zip(EMA_FIELDS, got)) if got is not None else dict(
-            n=0, last_ms=None, e12=None, e26=None, prev=None, gs=0.0, ls=0.0, ag=None, al=None, pend_ms=[], pend_close=[])
-        waiting = dict(zip(st["pend_ms"], st["pend_close"]))
-        arrived: dict[int, float] = {}
+        if got is not None:
+            ids, *values = got[:1 + len(EMA_FIELDS)]
+            running = {i: dict(zip(EMA_FIELDS, v)) for i, *v in zip(ids, *values)}
+            for i, m, c in zip(*got[1 + len(EMA_FIELDS):]):
+                waiting[i][m] = c
+        return running, waiting
+
+    def _run(self, key, pdfs, watermark: int):
+        running, waiting = self._state()
+        arrived: dict[int | None, dict[int, float]] = defaultdict(dict)
         for pdf in pdfs:
-            for m, c in zip(pdf["t_stamp"].astype("datetime64[ms]").astype("int64").tolist(), pdf["close"].tolist()):
-                if (st["last_ms"] is None or m > st["last_ms"]) and m not in waiting:
-                    arrived[m] = min(c, arrived.get(m, c))  # two bars of one time in a batch have no order: the lower close
-        waiting.update(arrived)
+            ids = [None] * len(pdf) if pd.isna(key[0]) else pdf["symbol_id"].tolist()
+            for i, m, c in zip(ids, pdf["t_stamp"].astype("datetime64[ms]").astype("int64").tolist(), pdf["close"].tolist()):
+                if (i not in running or m > running[i]["last_ms"]) and m not in waiting[i]:
+                    arrived[i][m] = min(c, arrived[i].get(m, c))  # two bars of one time in a batch have no order: the lower close
+        for i, bars in arrived.items():
+            waiting[i].update(bars)
         rows = []
-        for m in sorted(m for m in waiting if m <= watermark):
-            rows.append((key[0], key[1], pd.Timestamp(m, unit="ms"), *_ema_step(st, waiting.pop(m))))
-            st["last_ms"] = m
-        st["pend_ms"] = sorted(waiting)
-        st["pend_close"] = [waiting[m] for m in st["pend_ms"]]
-        self.values.update(tuple(st[f] for f in EMA_FIELDS))
-        if waiting:
-            self.handle.registerTimer(max(st["pend_ms"][0], watermark + 1))
+        for i, bars in waiting.items():
+            for m in sorted(m for m in bars if m <= watermark):
+                st = running.setdefault(i, dict(n=0, last_ms=None, e12=None, e26=None, prev=None, gs=0.0, ls=0.0, ag=None, al=None))
+                rows.append((i, key[1], m, *_ema_step(st, bars.pop(m))))
+                st["last_ms"] = m
+        pend = sorted((m, i, c) for i, bars in waiting.items() for m, c in bars.items())
+        self.values.update((list(running), *([st[f] for st in running.values()] for f in EMA_FIELDS),
+                            [i for _, i, _ in pend], [m for m, _, _ in pend], [c for _, _, c in pend]))
+        if pend:
+            self.handle.registerTimer(max(pend[0][0], watermark + 1))
         if rows:
-            yield pd.DataFrame(rows, columns=["symbol_id", "time_frame", "t_stamp", "ema_12", "ema_26", "rsi_14"]).astype(
-                {"ema_12": "float64", "ema_26": "float64", "rsi_14": "float64"})
+            out = pd.DataFrame(rows, columns=["symbol_id", "time_frame", "t_stamp", "ema_12", "ema_26", "rsi_14"])
+            yield out.astype({"t_stamp": "datetime64[ms]", "ema_12": "float64", "ema_26": "float64", "rsi_14": "float64"})
 
     def handleInputRows(self, key, rows, timerValues):
         yield from self._run(key, rows, timerValues.getCurrentWatermarkInMs())
@@ -437,5 +452,6 @@ class EmaProcessor(StatefulProcessor):
 def ema_stream(bars: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Incremental EMA/RSI per series with state (transformWithStateInPandas, event-time timers)."""
     _rocksdb(bars.sparkSession)
-    return (bars.withWatermark("t_stamp", delay).groupBy("symbol_id", "time_frame")
+    block = F.floor(F.col("symbol_id") / EMA_BLOCK)
+    return (bars.withWatermark("t_stamp", delay).withColumn("_block", block).groupBy("_block", "time_frame")
             .transformWithStateInPandas(EmaProcessor(), EMA_OUT, "Append", "EventTime"))
