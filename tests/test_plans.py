@@ -111,3 +111,41 @@ def test_top_n_per_series_limits_before_the_shuffle(spark, q):
     ex = next(i for i, ln in enumerate(lines) if ln.startswith("Exchange"))
     assert any(ln.startswith("WindowGroupLimit") for ln in lines[ex + 1:])   # partial, map side
     assert any(ln.startswith("WindowGroupLimit") for ln in lines[:ex])       # final
+
+
+def test_shuffles_start_small_where_the_session_sets_nothing(spark, q):
+    import re
+
+    parts = re.findall(r"hashpartitioning\([^)]*, (\d+)\)", _plan(q["merge_metrics"](spark, SF_SMALL)))
+    assert parts and set(parts) == {"1000"}, parts     # AQE joins them up to the advisory size
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert spark.conf.get(key) == "16m"
+    spark.conf.set(key, "32m")
+    try:
+        q["merge_metrics"](spark, SF_SMALL)
+        assert spark.conf.get(key) == "32m"
+    finally:
+        spark.conf.set(key, "16m")
+
+
+def test_times_are_made_distinct_without_grouping_the_candles_first(spark, q):
+    tree = _tree(_plan(q["missing_bars"](spark, SF_SMALL)))
+    assert tree.count("Exchange") == 3, tree   # weeks, months, then the series
+
+
+def test_added_prices_are_read_back_not_decoded_again(spark):
+    from pyspark.sql import functions as F
+
+    from tickframe import schemas as S
+    from tickframe.functions import payload as PL
+    from tickframe.operators import merge as M
+    from tickframe.sources.catalog import MarketTables
+
+    t = MarketTables(spark, SF_SMALL)
+    docs = PL.landed_documents(spark.createDataFrame([('{"error":[],"result":{"P1":{"c":["2","1"]}}}',)], "value string"))
+    pairs = spark.createDataFrame([("P1", None, "online")], "pair string, altname string, status string")
+    prices = spark.createDataFrame([], S.REAL_TIME_PRICES)
+    requests = spark.createDataFrame([("p1",)], "requested string")
+    _, symbols, priced = M.add_pairs(requests, pairs, t.symbols, PL.decode_ticker(docs), prices, F.lit("2024-01-01").cast("timestamp"))
+    assert "variant_get" not in _plan(priced)
+    assert [(r.price, r.action) for r in priced.collect()] == [(2.0, "insert")]
