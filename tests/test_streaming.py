@@ -1,5 +1,7 @@
 """Streaming fault tolerance: restart from a checkpoint, idempotent epoch retries."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tickframe.session import fresh_path
@@ -226,3 +228,19 @@ def test_ema_keeps_the_series_of_a_block_apart():
     assert sorted(zip(out.symbol_id, out.ema_12)) == [(7, 10.0), (8, 5.0)]
     out = pd.concat(p._run((0, "1d"), [bars], 2000))                               # sent again: known times are dropped
     assert out.symbol_id.tolist() == [7] and abs(out.ema_12[0] - (10.0 + 2 / 13 * 10.0)) < 1e-12
+
+
+def test_a_series_without_symbol_leaves_the_others_whole(spark):
+    rows = [(i, "1d", dt.datetime(2024, 1, d), float(d + (i or 0))) for i in (None, 1, 2, 100, 200) for d in range(1, 8)]
+    schema = "symbol_id int, time_frame string, t_stamp timestamp, close double"
+    land = ST.land_in_order(spark.createDataFrame(rows, schema), "t_stamp", fresh_path(spark, "t-null"), 3)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sink, _ = ST.run_to_files(ST.ema_stream(ST.read_landing(spark, land, schema)), "t-null")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = spark.read.parquet(sink).collect()
+    assert sorted((r.symbol_id or -1, r.t_stamp.day) for r in got) == sorted((i or -1, d) for i, _, t, _ in rows for d in [t.day])
+    firsts = {r.symbol_id: r.ema_12 for r in got if r.t_stamp.day == 1}
+    assert firsts == {i: float(1 + (i or 0)) for i in (None, 1, 2, 100, 200)}

@@ -421,7 +421,7 @@ class EmaProcessor(StatefulProcessor):
         running, waiting = self._state()
         arrived: dict[int | None, dict[int, float]] = defaultdict(dict)
         for pdf in pdfs:
-            ids = [None] * len(pdf) if pd.isna(key[0]) else pdf["symbol_id"].tolist()
+            ids = [None if pd.isna(i) else int(i) for i in pdf["symbol_id"].tolist()]  # floats where a batch holds a NULL
             for i, m, c in zip(ids, pdf["t_stamp"].astype("datetime64[ms]").astype("int64").tolist(), pdf["close"].tolist()):
                 if (i not in running or m > running[i]["last_ms"]) and m not in waiting[i]:
                     arrived[i][m] = min(c, arrived[i].get(m, c))  # two bars of one time in a batch have no order: the lower close
@@ -452,6 +452,7 @@ class EmaProcessor(StatefulProcessor):
 def ema_stream(bars: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Incremental EMA/RSI per series with state (transformWithStateInPandas, event-time timers)."""
     _rocksdb(bars.sparkSession)
-    block = F.floor(F.col("symbol_id") / EMA_BLOCK)
+    # no block is NULL: pandas would make the keys of its whole batch floats, which find no state
+    block = F.coalesce(F.floor(F.col("symbol_id") / EMA_BLOCK), F.lit(-2 ** 31).cast("bigint"))
     return (bars.withWatermark("t_stamp", delay).withColumn("_block", block).groupBy("_block", "time_frame")
             .transformWithStateInPandas(EmaProcessor(), EMA_OUT, "Append", "EventTime"))
