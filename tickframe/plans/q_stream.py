@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I
-from ..session import fresh_path
+from ..session import discard, fresh_path
 from ..sources.catalog import MarketTables
 from ..streaming import streams as ST
 from .q_indicators import indicator_sql
@@ -156,12 +156,14 @@ def stream_ohlc_ingest(t: MarketTables) -> DataFrame:
 
     docs = SP.ohlc_payloads(t.candles, _ohlc_pair())
     docs = docs.withColumn("doc_ts", F.to_timestamp(F.concat("ym", F.lit("-01"))))
-    resent = docs.filter(F.substring("ym", 6, 2).cast("int") % 2 == 1)
-    land = fresh_path(t.spark, "landing-ohlc")
-    ST.land_in_order(docs.unionByName(resent), "doc_ts", land, BAR_CHUNKS, fmt="text", files=FILES)
+    times = F.when(F.substring("ym", 6, 2).cast("int") % 2 == 1, 2).otherwise(1)
+    docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))  # the documents are made once
+    land, checkpoint = fresh_path(t.spark, "landing-ohlc"), fresh_path(t.spark, "stream-ohlc-ckpt")
     root = fresh_path(t.spark, "stream-ohlc")
     sink = ST.InsertIgnoreSink(t.spark, root, ST.OHLC_KEY, "t_stamp", 62 * 86400, order=["arrival", "slot"])
-    ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d", FILES), "stream-ohlc", sink, mode="append")
+    for _ in ST.deliveries(docs, "doc_ts", land, BAR_CHUNKS, fmt="text", files=FILES):
+        ST.run_foreach_batch(ST.ohlc_document_stream(t.spark, land, "1d", FILES), "stream-ohlc", sink, mode="append", checkpoint=checkpoint)
+        discard(t.spark, land)  # texts take several times the room of what the table keeps of them
     return sink.table()
 
 

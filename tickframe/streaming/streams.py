@@ -13,7 +13,7 @@ import sys
 import threading
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import merge as M
-from ..session import fresh_path
+from ..session import PARQUET, fresh_path, scratch
 
 # The grouped-map / stateful functions below run in Python workers; ship this module's code
 # with the task (pickle by value) so executors need no installed copy of the package.
@@ -44,27 +44,38 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str =
     files (tasks), so arrival order follows event time as in a live feed. A stream that reads
     ``files`` files per trigger takes one delivery at a time, each file in its own task.
     """
-    src = M.staged(df, "deliveries")  # computed once, re-read per chunk
-    lo, hi = src.agg(F.min(ts_col), F.max(ts_col)).first()
-    if lo is None:  # nothing to deliver: land one empty file so the folder and schema exist
-        empty = src.limit(0)
-        (empty.select("value").write.mode("append").text(path) if fmt == "text"
-         else empty.write.mode("append").parquet(path))
-        return path
-    span = (hi - lo) / chunks
-    for i in range(chunks):
-        a = lo + span * i
-        cond = F.col(ts_col) >= F.lit(a)
-        if i < chunks - 1:
-            cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
-        part = src.filter(cond)
-        if fmt == "text":
-            part.select("value").repartition(files).write.mode("append").text(path)
-        else:
-            part.repartition(files).write.mode("append").parquet(path)
+    for _ in deliveries(df, ts_col, path, chunks, fmt, files):
+        pass
     return path
 
 
+def deliveries(df: DataFrame, ts_col: str, path: str, chunks: int, fmt: str = "parquet", files: int = 1) -> Iterator[int]:
+    """The deliveries of ``land_in_order`` one at a time: each is landed when the next one is asked for, so a consumer
+    can work one off (and delete it) before the next arrives."""
+    with scratch(df.sparkSession) as here:
+        # computed once, re-read per chunk
+        src = M.staged(df.select(ts_col, "value") if fmt == "text" else df, "deliveries", path=f"{here}/deliveries")
+        lo, hi = src.agg(F.min(ts_col), F.max(ts_col)).first()
+        if lo is None:  # nothing to deliver: land one empty file so the folder and schema exist
+            empty = src.limit(0)
+            (empty.select("value").write.mode("append").text(path) if fmt == "text"
+             else empty.write.mode("append").parquet(path))
+            yield 0
+            return
+        span = (hi - lo) / chunks
+        for i in range(chunks):
+            a = lo + span * i
+            cond = F.col(ts_col) >= F.lit(a)
+            if i < chunks - 1:
+                cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
+            part = src.filter(cond)
+            if fmt == "text":
+                part.select("value").repartition(files).write.mode("append").text(path)
+            else:
+                part.repartition(files).write.options(**PARQUET).mode("append").parquet(path)
+            yield i
+
+
 def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
 
@@ -81,10 +92,14 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _rocksdb(spark: SparkSession) -> None:
-    """Keep state off the JVM heap also on a session that the library did not build."""
+    """Keep state off the JVM heap also on a session that the library did not build, and its changes small on disk
+    (a checkpoint remembers the codec that it was begun with)."""
     key = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(key, ""):
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    key = "spark.sql.streaming.stateStore.compression.codec"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "zstd")
 
 
 def run_to_files(stream: DataFrame, name: str, mode: str = "append", keep: bool = False) -> tuple:
@@ -93,17 +108,18 @@ def run_to_files(stream: DataFrame, name: str, mode: str = "append", keep: bool
     spark = stream.sparkSession
     _rocksdb(spark)
     sink, ckpt = fresh_path(spark, f"{name}-out"), fresh_path(spark, f"{name}-ckpt")
-    q = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.format("parquet").options(**PARQUET).option("path", sink).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return (sink, q, ckpt) if keep else (sink, q)
 
 
 def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
-                      mode: str = "update") -> object:
+                      mode: str = "update", checkpoint: str | None = None) -> object:
+    """Run a stream over everything available now; with ``checkpoint`` it goes on from there."""
     spark = stream.sparkSession
     _rocksdb(spark)
-    ckpt = fresh_path(spark, f"{name}-ckpt")
+    ckpt = checkpoint or fresh_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -275,7 +291,7 @@ class InsertIgnoreSink:
                         int((b["lo"] - timedelta(seconds=self.delay)).strftime("%Y%m")), int(b["hi"].strftime("%Y%m"))))
                     fresh = fresh.join(near.select(*self.key), self.key, "left_anti")
             (fresh.withColumn("_month", F.date_format(self.ts_col, "yyyyMM").cast("int"))
-             .write.mode("overwrite").partitionBy("_month").parquet(path))
+             .write.options(**PARQUET).mode("overwrite").partitionBy("_month").parquet(path))
         finally:
             batch.unpersist()
 
