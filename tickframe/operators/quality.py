@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.timeframes import timeframe_minutes
+from ..session import scratch, staged
 from .merge import first_per_key
 from .reads import candle_violations
 
@@ -116,22 +118,55 @@ def checked(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
 
 def write_checked(spark: SparkSession, tables: dict[str, DataFrame], write: Callable[[str, DataFrame], object]) -> DataFrame:
     """Write each table with ``write(name, rows)`` and give (table_name, rule, violations), counted on the
-    way: no table is read for it. ``duplicate_keys_dropped`` are the rows that the declared keys removed."""
+    way. ``duplicate_keys_dropped`` are the rows that the declared keys removed.
+
+    Of a table with a key the keys are counted first, and only rows whose key repeats are brought together
+    (see ``once_per_key``): such a table is read three times and should be a stored one.
+    """
     out = []
     for name, df in tables.items():
-        df, before = checked(df, name)
         key = S.KEYS.get(name, [None])[-1]
-        after = None
-        if key:
-            df, after = checked(first_per_key(df, key, [c for c in df.columns if c not in key]), name)
-        write(name, df)
-        counts = dict(before.get)
+        with scratch(spark):
+            if key:
+                parts, after = once_per_key(df, key, name)
+            else:
+                (df, seen), after = checked(df, name), None
+                parts = [(df, seen)]
+            write(name, union_all([rows for rows, _ in parts]))
+        counts = Counter()
+        for _, seen in parts:
+            counts.update(seen.get)
         rows = counts.pop("rows")
         out += [(name, r, n) for r, n in counts.items()]
         if after is not None:
-            out.append((name, "duplicate_keys_dropped", rows - after.get["rows"]))
+            out.append((name, "duplicate_keys_dropped", rows - after.get["rows"] - (parts[0][1].get["rows"] if len(parts) > 1 else 0)))
     return spark.createDataFrame(out, "table_name string, rule string, violations bigint")
 
 
+def once_per_key(df: DataFrame, key: list[str], table: str) -> tuple[list[tuple[DataFrame, Observation]], Observation]:
+    """(parts of ``df`` with one row per key, each with the counts of the rows that went into it; the counts of
+    what is left in the last part).
+
+    Where most rows have a key of their own they are not shuffled: the keys alone are counted, and the rows of
+    repeated keys (the last part) are reduced by ``first_per_key``. Where half of the rows or more have a
+    repeated key, all are one part.
+    """
+    order = [c for c in df.columns if c not in key]
+    seen = Observation()
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.observe(seen, F.sum("_n").alias("rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("repeated"))
+    repeats = staged(n.filter(F.col("_n") > 1).select(*[F.col(c).alias(f"_key_{c}") for c in key]), "repeated-keys")
+    rows, repeated = seen.get["rows"] or 0, seen.get["repeated"] or 0
+    if 2 * repeated >= rows:
+        every, before = checked(df, table)
+        left, after = checked(first_per_key(every, key, order), table)
+        return [(left, before)], after
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in key])
+    own, seen_own = checked(df.join(repeats, same, "left_anti"), table)
+    several, seen_several = checked(df.join(repeats, same, "left_semi"), table)
+    left, after = checked(first_per_key(several, key, order), table)
+    return [(own, seen_own), (left.select(*own.columns), seen_several)], after
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
